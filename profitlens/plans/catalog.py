@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from profitlens import constants as K
+from profitlens.plans import concentration as C
+from profitlens.plans import factories as Fa
 from profitlens.plans import overall as O
+from profitlens.plans import products as P
 from profitlens.sources.proxy import Star
 
 Report = Callable[[Star], DataFrame]
@@ -32,6 +36,41 @@ REPORTS: dict[str, Report] = {
     "margin_groups": lambda s: O.margin_groups(s.v),
     "margin_volume_all_bands": lambda s: O.margin_volume_all_bands(s.v),
     "sub_band_share": lambda s: O.sub_band_share(s.v),
+    # products (A10-A15)
+    "top_products_high_margin": lambda s: P.top_products_high_margin(s.v, s.product),
+    "top_products_60_70": lambda s: P.top_products_in_band(s.v, s.product, *K.CORE_BANDS[0]),
+    "top_products_70_80": lambda s: P.top_products_in_band(s.v, s.product, *K.CORE_BANDS[1]),
+    "top_products_per_band": lambda s: P.top_products_per_band(s.v, s.product),
+    "low_margin_products": lambda s: P.low_margin_products(s.v, s.product),
+    "extreme_margin_products": lambda s: P.extreme_margin_products(s.v, s.product),
+    # product profitability
+    "product_profitability": lambda s: P.product_profitability(s.fact, s.product),
+    "best_products_by_margin": lambda s: P.best_products_by_margin(s.fact, s.product),
+    "worst_products_by_margin": lambda s: P.worst_products_by_margin(s.fact, s.product),
+    "best_worst_6_products": lambda s: P.best_worst_6_products(s.fact, s.product),
+    "product_totals": lambda s: P.product_totals(s.fact, s.product),
+    "product_margin_table": lambda s: P.product_margin_table(s.fact, s.product),
+    "best_worst_product_by_margin": lambda s: P.best_worst_product_by_margin(s.fact, s.product),
+    "best_worst_product_by_gp": lambda s: P.best_worst_product_by_gp(s.fact, s.product),
+    "product_profit_share": lambda s: P.product_profit_share(s.fact, s.product),
+    "chart_product_gp": lambda s: P.chart_product_gp(s.fact, s.product),
+    "chart_product_margin": lambda s: P.chart_product_margin(s.fact, s.product),
+    "chart_product_share": lambda s: P.chart_product_share(s.fact, s.product),
+    # factories
+    "top_factories_high_margin": lambda s: Fa.top_factories_high_margin(s.v),
+    "top_factories_per_band": lambda s: Fa.top_factories_per_band(s.v),
+    "factory_profit_high_margin": lambda s: Fa.factory_profit_high_margin(s.v),
+    "extreme_margin_factories": lambda s: Fa.extreme_margin_factories(s.v),
+    "product_factory_dependency": lambda s: Fa.product_factory_dependency(s.v, s.product),
+    "factory_margin_stability": lambda s: Fa.factory_margin_stability(s.v, s.order),
+    "factory_unit_economics": lambda s: Fa.factory_unit_economics(s.v),
+    # concentration and charts
+    "profit_concentration": lambda s: C.profit_concentration(s.v, s.product),
+    "pareto_products": lambda s: C.pareto_profit_share(C.profit_concentration(s.v, s.product), K.ENTITY_PRODUCT, 10),
+    "pareto_factories": lambda s: C.pareto_profit_share(C.profit_concentration(s.v, s.product), K.ENTITY_FACTORY, 10),
+    "volume_vs_margin": lambda s: C.volume_vs_margin(C.profit_concentration(s.v, s.product)),
+    "product_bubble": lambda s: C.product_bubble(C.profit_concentration(s.v, s.product)),
+    "top10_products_asc": lambda s: C.top10_products_asc(C.profit_concentration(s.v, s.product)),
 }
 
 
