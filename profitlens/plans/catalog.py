@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from profitlens import constants as K
+from profitlens.plans import charts as Ch
 from profitlens.plans import concentration as C
+from profitlens.plans import customers as Cu
 from profitlens.plans import factories as Fa
 from profitlens.plans import overall as O
 from profitlens.plans import products as P
@@ -71,6 +73,25 @@ REPORTS: dict[str, Report] = {
     "volume_vs_margin": lambda s: C.volume_vs_margin(C.profit_concentration(s.v, s.product)),
     "product_bubble": lambda s: C.product_bubble(C.profit_concentration(s.v, s.product)),
     "top10_products_asc": lambda s: C.top10_products_asc(C.profit_concentration(s.v, s.product)),
+    "chart_margin_groups": lambda s: Ch.chart_margin_groups(s.v),
+    "chart_band_volume": lambda s: Ch.chart_band_volume(s.v),
+    "chart_band_profit": lambda s: Ch.chart_band_profit(s.v),
+    # customers
+    "customer_profit": lambda s: Cu.customer_profit(s.fact, s.order),
+    "best_worst_customer": lambda s: Cu.best_worst_customer(s.fact, s.order),
+    "customer_products_by_units": lambda s: Cu.customer_products_by_units(s.fact, s.order, s.product),
+    "customer_products_by_gp": lambda s: Cu.customer_products_by_gp(s.fact, s.order, s.product),
+    "customer_products_units_gp": lambda s: Cu.customer_products_units_gp(s.fact, s.order, s.product),
+    "best_customer_top5": lambda s: Cu.best_customer_top5(s.fact, s.order, s.product),
+    "best_customer_top5_by_id": lambda s: Cu.best_customer_top5_by_id(s.fact, s.order, s.product),
+    "best_customer_bottom10": lambda s: Cu.best_customer_bottom10(s.fact, s.order, s.product),
+    # stated questions (G1-G4, G6, G7; G5 is best_worst_6_products)
+    "country_profit": lambda s: Cu.country_profit(s.fact, s.order, s.customer),
+    "top_states_best_country": lambda s: Cu.top_states_best_country(s.fact, s.order, s.customer),
+    "top_cities_best_region": lambda s: Cu.top_cities_best_region(s.fact, s.order, s.customer),
+    "customer_profit_vs_orders": lambda s: Cu.customer_profit_vs_orders(s.fact, s.order),
+    "loss_makers": lambda s: Cu.loss_makers(s.fact, s.order),
+    "top_customers_discount": lambda s: Cu.top_customers_discount(s.fact, s.order),
 }
 
 
