@@ -13,7 +13,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from profitlens import constants as K
 
@@ -65,16 +64,16 @@ def range_table_label(m) -> Column:
     return band_by_ranges(m, [(lab, lo, hi) for lab, lo, hi, _ in K.MARGIN_BAND_TABLE])
 
 
-BAND_TABLE_SCHEMA = T.StructType(
-    [
-        T.StructField("margin_band", T.StringType(), False),
-        T.StructField("min_pct", T.IntegerType(), False),
-        T.StructField("max_pct", T.IntegerType(), False),
-        T.StructField("sort_band", T.IntegerType(), False),
-    ]
-)
-
-
 def band_table_df(spark: SparkSession) -> DataFrame:
-    """The ten-row constant band table (a LocalRelation; fixed size, safe to broadcast)."""
-    return spark.createDataFrame(K.MARGIN_BAND_TABLE, BAND_TABLE_SCHEMA)
+    """The ten-row constant band table, built JVM-side (``inline`` of literal structs), so no
+    Python worker is involved and the optimizer folds it into a local relation."""
+    rows = [
+        F.struct(
+            F.lit(label).alias("margin_band"),
+            F.lit(lo).cast("int").alias("min_pct"),
+            F.lit(hi).cast("int").alias("max_pct"),
+            F.lit(sort).cast("int").alias("sort_band"),
+        )
+        for label, lo, hi, sort in K.MARGIN_BAND_TABLE
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))

@@ -165,8 +165,9 @@ def margin_volume_all_bands(v: DataFrame) -> DataFrame:
     constant bands are equi-joined to those aggregates.  Rows whose margin is NULL, negative or
     >= 101 belong to no band and are not counted, exactly as in the range join (H4)."""
     agg = (
-        v.select(range_table_label(_m()).alias("margin_band"), _m(), _gp())
-        .where(F.col("margin_band").isNotNull())
+        # Out-of-range rows get the empty label instead of NULL: the label is then non-nullable and
+        # Catalyst does not infer a per-row NOT NULL filter that would re-derive the margin.
+        v.select(F.coalesce(range_table_label(_m()), F.lit("")).alias("margin_band"), _m(), _gp())
         .groupBy("margin_band")
         .agg(
             F.count(_m()).alias("num_records"),
@@ -174,8 +175,9 @@ def margin_volume_all_bands(v: DataFrame) -> DataFrame:
             avg_pct(_m()).alias("avg_margin_pct"),
         )
     )
-    bands = F.broadcast(band_table_df(v.sparkSession))  # ten constant rows
-    joined = bands.join(agg, "margin_band", "left").select(
+    # At most eleven aggregate rows (ten labels + the empty one): a proven bound, so they are broadcast
+    # into the right outer join that keeps all ten bands; the empty-label row matches no band.
+    joined = F.broadcast(agg).join(band_table_df(v.sparkSession), "margin_band", "right").select(
         "margin_band",
         "sort_band",
         F.coalesce(F.col("num_records"), F.lit(0).cast("bigint")).alias("num_records"),
