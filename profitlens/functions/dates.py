@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def parse_date(c, fmt: str = "yyyy-MM-dd") -> Column:
     """String → date, NULL on unparsable input (``try_to_date``; plain ``to_date`` raises)."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.try_to_date(c.cast("string"), F.lit(fmt))
+    return F.try_to_date(c.cast("string"), fmt)
 
 
 def month_start(c) -> Column:

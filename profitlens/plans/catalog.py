@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from profitlens import constants as K
 from profitlens.plans import charts as Ch
 from profitlens.plans import concentration as C
 from profitlens.plans import customers as Cu
 from profitlens.plans import factories as Fa
+from profitlens.plans import load_reports as Ld
 from profitlens.plans import overall as O
 from profitlens.plans import products as P
 from profitlens.sources.proxy import Star
@@ -92,12 +95,43 @@ REPORTS: dict[str, Report] = {
     "customer_profit_vs_orders": lambda s: Cu.customer_profit_vs_orders(s.fact, s.order),
     "loss_makers": lambda s: Cu.loss_makers(s.fact, s.order),
     "top_customers_discount": lambda s: Cu.top_customers_discount(s.fact, s.order),
+    # load pipeline (B1-B13) and quality
+    "enriched_raw": Ld.enriched_raw,
+    "composite_order_ids": Ld.composite_order_ids,
+    "dim_customer": Ld.dim_customer,
+    "dim_order": Ld.dim_order,
+    "dim_factory": Ld.dim_factory,
+    "dim_product": Ld.dim_product,
+    "order_ids": Ld.order_ids,
+    "fact_load": Ld.fact_load,
+    "pk_violations": Ld.pk_violations,
+    "fk_orphans": Ld.fk_orphans,
+    "multi_city_customers": Ld.multi_city_customers,
+    "multi_postal_customers": Ld.multi_postal_customers,
+    "factory_products": Ld.factory_products,
+    "shared_products": Ld.shared_products,
+    "unmapped_keys": Ld.unmapped_keys,
+    "column_domains": Ld.column_domains,
 }
 
 
+def portable(df: DataFrame) -> DataFrame:
+    """Output convention of registered queries: decimals as double, dates/timestamps as ISO text,
+    so results compare by value across engines."""
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.DecimalType):
+            c = c.cast("double")
+        elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            c = c.cast("string")
+        cols.append(c.alias(f.name))
+    return df.select(*cols)
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn: Report):
-        return lambda spark, sf_dir: fn(Star(spark, sf_dir))
+        return lambda spark, sf_dir: portable(fn(Star(spark, sf_dir)))
 
     return {name: bind(fn) for name, fn in REPORTS.items()}
 
