@@ -1,7 +1,7 @@
 """Profit concentration across factories and products (A23) and its chart datasets.
 
 One scan of the clean view feeds all three aggregates (per factory, per product, grand total)
-through ``GROUPING SETS``; the three consumers read the same shuffle (exchange reuse).  Only the
+through ``GROUPING SETS``; that small result is materialised once and read by the three branches.  Only the
 product rows are joined to the product dimension, and the one-row total is broadcast.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from profitlens import constants as K
 from profitlens.functions.measures import pct
 from profitlens.operators.joins import with_scalar
+from profitlens.operators.share import shared
 from profitlens.operators.topk import top_n
 
 FID, PID, PNAME = "Factory ID", "Product ID", "Product Name"
@@ -25,13 +26,13 @@ def profit_concentration(v: DataFrame, product: DataFrame) -> DataFrame:
 
     Totals cover every fact row (before the product join, H19); factory names are the factory
     key, as in the reference."""
-    g = v.groupingSets([[FID], [PID], []], FID, PID).agg(
+    g = shared(v.groupingSets([[FID], [PID], []], FID, PID).agg(
         F.grouping_id().alias("_set"),
         F.count(F.lit(1)).alias("num_records"),
         F.sum("Sales").alias("total_sales"),
         F.sum("Cost").alias("total_cost"),
         F.sum("Gross Profit").alias("total_gross_profit"),
-    )
+    ))
     totals = g.where(F.col("_set") == 3).select(
         F.col("num_records").alias("_t_txns"),
         F.col("total_sales").alias("_t_sales"),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from profitlens import constants as K
 from profitlens.functions.measures import pct, round_ratio
 from profitlens.operators.joins import attach_dim
+from profitlens.operators.share import shared
 from profitlens.operators.topk import first_and_last, top_n
 
 CID, OID, PID, PNAME, FID = "Customer ID", "Order ID", "Product ID", "Product Name", "Factory ID"
@@ -145,9 +146,10 @@ def _geo_metrics(df: DataFrame, keys) -> DataFrame:
     )
 
 
-def _customer_geo(ff, order, customer) -> DataFrame:
+def _customer_geo(ff, order, customer, materialise: bool = False) -> DataFrame:
     geo = customer.select(CID, "Country/Region", "State/Province", "City")
-    return customer_totals(ff, order).join(geo, CID, "inner")
+    cg = customer_totals(ff, order).join(geo, CID, "inner")
+    return shared(cg) if materialise else cg
 
 
 def country_profit(ff, order, customer) -> DataFrame:
@@ -163,7 +165,7 @@ def _best_one(df: DataFrame, key: str) -> DataFrame:
 
 def top_states_best_country(ff, order, customer, n: int = 5) -> DataFrame:
     """The n most profitable states/provinces of the most profitable country."""
-    cg = _customer_geo(ff, order, customer)
+    cg = _customer_geo(ff, order, customer, materialise=True)
     best = _best_one(_geo_metrics(cg, ["Country/Region"]), "Country/Region")
     states = _geo_metrics(cg.join(F.broadcast(best), "Country/Region"), ["Country/Region", "State/Province"])
     return top_n(states, [F.col("total_gross_profit").desc(), F.col("State/Province").asc_nulls_last()], n).drop(
@@ -173,7 +175,7 @@ def top_states_best_country(ff, order, customer, n: int = 5) -> DataFrame:
 
 def top_cities_best_region(ff, order, customer, n: int = 10) -> DataFrame:
     """The n most profitable cities of the best state of the best country."""
-    cg = _customer_geo(ff, order, customer)
+    cg = _customer_geo(ff, order, customer, materialise=True)
     best_country = _best_one(_geo_metrics(cg, ["Country/Region"]), "Country/Region")
     in_country = cg.join(F.broadcast(best_country), "Country/Region")
     best_state = _best_one(_geo_metrics(in_country, ["State/Province"]), "State/Province")

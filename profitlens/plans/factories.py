@@ -14,7 +14,8 @@ from profitlens import constants as K
 from profitlens.functions.bands import band_by_ranges, band_by_upper
 from profitlens.functions.dates import month_start
 from profitlens.functions.measures import avg_money, avg_pct, money_sum, pct
-from profitlens.operators.joins import semi_by_small, with_scalar
+from profitlens.operators.joins import with_scalar
+from profitlens.operators.share import shared
 from profitlens.operators.topk import rank_filter, top_n
 
 FID, PID, PNAME = "Factory ID", "Product ID", "Product Name"
@@ -31,7 +32,7 @@ def _between(lo, hi):
 def top_factories_high_margin(v: DataFrame, k: int = 10) -> DataFrame:
     """Top-k factories by profit inside ``40 <= m <= 100``, DENSE_RANK."""
     lo, hi = K.HIGH_MARGIN
-    agg = (
+    agg = shared(
         v.filter(_between(lo, hi))
         .groupBy(FID)
         .agg(
@@ -112,21 +113,15 @@ def extreme_margin_factories(v: DataFrame) -> DataFrame:
 def product_factory_dependency(v: DataFrame, product: DataFrame, k: int = 10) -> DataFrame:
     """For the top-k products (by profit in ``40..100``), each factory's contribution.
 
-    The top-k list is at most k rows, so it is broadcast to restrict the fact.  The per-product
-    volume (denominator of the share) is summed from the (product, factory) rows into at most k
-    rows and broadcast back — no window over a product's factories, which could be one huge
-    partition for a hot product."""
+    One pass over the fact: rows are aggregated at (product, factory) grain and that
+    intermediate is shared.  Product totals are sums of its rows; the top-k products (k rows,
+    broadcast) select their (product, factory) rows; the per-product volume that divides the
+    share comes from the same k products — no window over a product's factories, which could
+    be one huge partition for a hot product."""
     lo, hi = K.HIGH_MARGIN
-    hm = v.filter(_between(lo, hi))
-    per_product = hm.groupBy(PID).agg(F.sum("Gross Profit").alias("_p"))
-    top = top_n(
-        per_product.join(product.select(PID, PNAME), PID, "inner"),
-        [F.col("_p").desc(), F.col(PID).asc()],
-        k,
-    ).select(PID, PNAME)
-    contrib = (
-        semi_by_small(hm, top, PID)
-        .groupBy(PID, PNAME, FID)
+    pf = shared(
+        v.filter(_between(lo, hi))
+        .groupBy(PID, FID)
         .agg(
             F.count(F.lit(1)).alias("num_records"),
             F.sum("Sales").alias("sales_raw"),
@@ -134,9 +129,14 @@ def product_factory_dependency(v: DataFrame, product: DataFrame, k: int = 10) ->
             F.sum("Gross Profit").alias("profit_raw"),
         )
     )
-    volume = contrib.groupBy(PID).agg(F.sum("num_records").alias("_product_rows"))
+    per_product = pf.groupBy(PID).agg(F.sum("profit_raw").alias("_p"), F.sum("num_records").alias("_product_rows"))
+    top = top_n(
+        per_product.join(product.select(PID, PNAME), PID, "inner"),
+        [F.col("_p").desc(), F.col(PID).asc()],
+        k,
+    ).select(PID, PNAME, "_product_rows")
     return (
-        contrib.join(F.broadcast(volume), PID)
+        pf.join(F.broadcast(top), PID, "inner")
         .select(
             PNAME,
             PID,

@@ -14,6 +14,7 @@ from profitlens import constants as K
 from profitlens.functions.bands import band_by_ranges
 from profitlens.functions.measures import avg_pct, money_sum, pct, ratio, round_ratio
 from profitlens.operators.joins import attach_dim, with_scalar
+from profitlens.operators.share import shared
 from profitlens.operators.topk import first_and_last, rank_filter, top_n
 
 PID, PNAME = "Product ID", "Product Name"
@@ -39,7 +40,7 @@ def top_products_high_margin(v: DataFrame, product: DataFrame, k: int = 10) -> D
     The volume share's denominator counts every row of the universe, before the product join
     (H19); it is the sum of the per-product counts, taken from the same shuffle."""
     lo, hi = K.HIGH_MARGIN
-    agg = (
+    agg = shared(
         v.filter(_between(lo, hi))
         .groupBy(PID)
         .agg(
@@ -250,7 +251,7 @@ def best_worst_product_by_gp(ff: DataFrame, product: DataFrame) -> DataFrame:
 
 def product_profit_share(ff: DataFrame, product: DataFrame) -> DataFrame:
     """Each product's fraction of the total profit (total taken from the same rows)."""
-    t = product_margin_table(ff, product)
+    t = shared(product_margin_table(ff, product))
     total = t.agg(F.sum(F.col("gross_profit").cast("decimal(18,2)")).alias("_total_profit"))
     return (
         with_scalar(t, total)
