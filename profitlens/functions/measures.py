@@ -4,11 +4,9 @@ Conventions (one place, used by the Spark plans and mirrored by the oracle SQL):
 
 * money columns are ``DECIMAL(12,2)``; totals are exact decimal sums rounded to 2 places and
   reported as ``double``;
-* a ratio is computed in double and rounded half away from zero with plain IEEE arithmetic,
-  ``sign(x) * (floor(|x| * 10^d + 0.5) / 10^d)`` (``round_ratio``).  Every step is a correctly
-  rounded double operation, so any engine evaluating the same expression gets the same bits, and
-  no per-row ``BigDecimal`` work is needed (Spark's ``round(double)`` and double→decimal casts
-  both go through ``BigDecimal``, which dominated the per-row cost of the margin);
+* a ratio is computed in double, fixed to 6 decimals, then rounded half-up to 2 decimals
+  (``round_ratio``).  This is exact-decimal behaviour for all practical purposes and makes the
+  result independent of each engine's rules for rounding doubles;
 * division by zero yields NULL (``nullif``), never an ANSI error;
 * averages of margins are exact sums of integer hundredths divided by the count, so they do not
   depend on summation order.
@@ -33,12 +31,8 @@ def _safe_div(a: Column, b: Column) -> Column:
 
 
 def round_ratio(x, scale: int = 2) -> Column:
-    """Round a double half away from zero to ``scale`` decimals, in IEEE arithmetic only.
-
-    ``+ 0.0`` turns a negative zero into zero."""
-    x = _col(x)
-    p = F.lit(float(10**scale))
-    return F.signum(x) * (F.floor(F.abs(x) * p + F.lit(0.5)) / p) + F.lit(0.0)
+    """double -> 6-decimal fixed point -> half-up rounding to ``scale`` -> double."""
+    return F.round(_col(x).try_cast(RATIO_DEC), scale).cast("double")
 
 
 def pct(part, whole) -> Column:
