@@ -129,9 +129,24 @@ def portable(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+_STARS: dict[tuple[str, str], Star] = {}
+
+
+def star_for(spark: SparkSession, sf_dir: str) -> Star:
+    """One lazy ``Star`` per (Spark application, data folder).
+
+    A ``Star`` holds only DataFrame definitions (no data), so reusing it spares every query the
+    file listing, footer reads and re-analysis of the shared fact and clean-view plans."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    star = _STARS.get(key)
+    if star is None or star.spark is not spark:
+        star = _STARS[key] = Star(spark, sf_dir)
+    return star
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn: Report):
-        return lambda spark, sf_dir: portable(fn(Star(spark, sf_dir)))
+        return lambda spark, sf_dir: portable(fn(star_for(spark, sf_dir)))
 
     return {name: bind(fn) for name, fn in REPORTS.items()}
 
