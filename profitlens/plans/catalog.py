@@ -137,7 +137,11 @@ def star_for(spark: SparkSession, sf_dir: str) -> Star:
 
     A ``Star`` holds only DataFrame definitions (no data), so reusing it spares every query the
     file listing, footer reads and re-analysis of the shared fact and clean-view plans."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # no local SparkContext handle: key by session object
+        app = str(id(spark))
+    key = (app, sf_dir.rstrip("/"))
     star = _STARS.get(key)
     if star is None or star.spark is not spark:
         star = _STARS[key] = Star(spark, sf_dir)

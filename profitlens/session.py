@@ -42,23 +42,44 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # sessions without a local SparkContext handle
+        return None
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder the cluster names, if any."""
-    d = spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    d = sc.getCheckpointDir() if sc is not None else None
     if d:
         return d
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
+def _is_local(spark: SparkSession) -> bool:
+    sc = _context(spark)
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    return str(master).startswith("local")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's checkpoint folder; create a scratch one only when none is configured
-    (local tests).  On a cluster ``spark.checkpoint.dir`` must point at shared storage."""
+    """Use the checkpoint folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local-mode session (tests, benchmarks) without one gets a scratch folder; on a
+    cluster a missing setting is an error, because a machine-local folder would not survive the
+    loss of an executor."""
     d = checkpoint_dir(spark)
     if not d:
+        if not _is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
         d = tempfile.mkdtemp(prefix="profitlens-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)
         except Exception:  # static on some deployments; the context setting below is what counts
             pass
-    spark.sparkContext.setCheckpointDir(d)
+    sc = _context(spark)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d

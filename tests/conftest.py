@@ -23,6 +23,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="profitlens-test-wh-"))
     )
     for k, v in REPORT_CONF.items():
         b = b.config(k, v)

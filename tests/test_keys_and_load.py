@@ -77,3 +77,13 @@ def test_strip_and_coerce(spark):
     out = L.to_numeric(L.strip_column_names(df), ["a"])
     assert out.columns == ["a", "b"]
     assert [r.a for r in out.collect()] == [1.5, None]
+
+
+def test_append_table_accumulates(spark, tmp_out):
+    from profitlens.sources.files import append_table
+
+    df = spark.range(3).withColumnRenamed("id", "k")
+    table = "append_probe_" + os.path.basename(tmp_out).replace("-", "_")
+    append_table(df, table, path=os.path.join(tmp_out, "tbl"))
+    append_table(df, table)
+    assert spark.table(table).count() == 6
