@@ -2,8 +2,12 @@
 
 Conventions (one place, used by the Spark plans and mirrored by the oracle SQL):
 
-* money columns are ``DECIMAL(12,2)``; totals are exact decimal sums rounded to 2 places and
-  reported as ``double``;
+* money columns are ``DECIMAL(12,2)``; totals are exact sums of integer cents (``sum_cents``),
+  reported in currency units as ``double`` (``dollars``).  A ``long`` cents sum stays on Spark's
+  fixed-width aggregation fast path, where ``sum(decimal(12,2))`` — a ``decimal(22,2)`` buffer —
+  does not; it is exact up to ±9.2e16 currency units per sum, and with ANSI mode on an overflow
+  raises instead of wrapping.  ``dollars(cents)`` equals ``cast(round(sum(x), 2) as double)``
+  bit for bit;
 * a ratio is computed in double, fixed to 6 decimals, then rounded half-up to 2 decimals
   (``round_ratio``).  This is exact-decimal behaviour for all practical purposes and makes the
   result independent of each engine's rules for rounding doubles;
@@ -45,15 +49,30 @@ def ratio(part, whole) -> Column:
     return round_ratio(_safe_div(_col(part), _col(whole)), 6)
 
 
+def cents(c) -> Column:
+    """A DECIMAL(12,2) amount as an exact integer number of cents (double round trip is exact
+    far beyond the 12-digit range)."""
+    return F.floor(_col(c).cast("double") * F.lit(100.0) + F.lit(0.5))
+
+
+def sum_cents(c) -> Column:
+    """Exact sum of a money column, in cents (``long``)."""
+    return F.sum(cents(c))
+
+
+def dollars(c) -> Column:
+    """Cents → currency units as double (same value as ``cast(decimal_sum as double)``)."""
+    return _col(c) / F.lit(100.0)
+
+
 def money_sum(c) -> Column:
     """``round(sum(x), 2)`` over DECIMAL(12,2) money, reported as double."""
-    return F.round(F.sum(_col(c)), 2).cast("double")
+    return dollars(sum_cents(c))
 
 
 def avg_money(c) -> Column:
     """``round(avg(x), 2)`` of a money column (exact sum / count)."""
-    c = _col(c)
-    return round_ratio(_safe_div(F.sum(c), F.count(c)))
+    return round_ratio(_safe_div(money_sum(c), F.count(_col(c))))
 
 
 def hundredths(x) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from profitlens import constants as K
-from profitlens.functions.measures import pct
+from profitlens.functions.measures import dollars, pct, sum_cents
 from profitlens.operators.joins import with_scalar
 from profitlens.operators.share import shared
 from profitlens.operators.topk import top_n
@@ -29,9 +29,9 @@ def profit_concentration(v: DataFrame, product: DataFrame) -> DataFrame:
     g = shared(v.groupingSets([[FID], [PID], []], FID, PID).agg(
         F.grouping_id().alias("_set"),
         F.count(F.lit(1)).alias("num_records"),
-        F.sum("Sales").alias("total_sales"),
-        F.sum("Cost").alias("total_cost"),
-        F.sum("Gross Profit").alias("total_gross_profit"),
+        sum_cents("Sales").alias("total_sales"),
+        sum_cents("Cost").alias("total_cost"),
+        sum_cents("Gross Profit").alias("total_gross_profit"),
     ))
     totals = g.where(F.col("_set") == 3).select(
         F.col("num_records").alias("_t_txns"),
@@ -61,12 +61,12 @@ def profit_concentration(v: DataFrame, product: DataFrame) -> DataFrame:
         "entity_id",
         "num_records",
         pct(F.col("num_records"), F.col("_t_txns")).alias("pct_transaction_volume"),
-        F.round("total_cost", 2).cast("double").alias("total_cost"),
-        F.round("total_sales", 2).cast("double").alias("total_sales"),
-        F.round("total_gross_profit", 2).cast("double").alias("total_gross_profit"),
-        pct(F.col("total_gross_profit"), F.col("_t_profit")).alias("pct_profit_share"),
-        pct(F.col("total_sales"), F.col("_t_sales")).alias("pct_sales_share"),
-        pct(F.col("total_gross_profit"), F.col("total_sales")).alias("gross_margin_pct"),
+        dollars("total_cost").alias("total_cost"),
+        dollars("total_sales").alias("total_sales"),
+        dollars("total_gross_profit").alias("total_gross_profit"),
+        pct(dollars("total_gross_profit"), dollars("_t_profit")).alias("pct_profit_share"),
+        pct(dollars("total_sales"), dollars("_t_sales")).alias("pct_sales_share"),
+        pct(dollars("total_gross_profit"), dollars("total_sales")).alias("gross_margin_pct"),
     ).orderBy(F.col("total_gross_profit").desc(), "entity_type", "entity_id")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profitlens import constants as K
-from profitlens.functions.measures import pct, round_ratio
+from profitlens.functions.measures import dollars, pct, round_ratio, sum_cents
 from profitlens.operators.joins import attach_dim
 from profitlens.operators.share import shared
 from profitlens.operators.topk import first_and_last, top_n
@@ -33,9 +33,9 @@ def order_totals(ff: DataFrame, order: DataFrame) -> DataFrame:
     """Per-order sums with the order's customer attached (fact rows without an order drop out)."""
     per_order = ff.groupBy(OID).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.sum("Sales").alias("sales_raw"),
-        F.sum("Cost").alias("cost_raw"),
-        F.sum("Gross Profit").alias("profit_raw"),
+        sum_cents("Sales").alias("sales_raw"),
+        sum_cents("Cost").alias("cost_raw"),
+        sum_cents("Gross Profit").alias("profit_raw"),
         F.sum("Units").alias("units_raw"),
     )
     return per_order.join(order.select(OID, CID), OID, "inner")
@@ -55,7 +55,7 @@ def customer_totals(ff: DataFrame, order: DataFrame) -> DataFrame:
 def customer_profit(ff: DataFrame, order: DataFrame) -> DataFrame:
     """Total gross profit per customer, highest first (null customers dropped, H17)."""
     return customer_totals(ff, order).select(
-        CID, F.round("profit_raw", 2).cast("double").alias(TGP)
+        CID, dollars("profit_raw").alias(TGP)
     ).orderBy(F.col(TGP).desc(), CID)
 
 
@@ -79,7 +79,7 @@ def _customer_product_sums(ff: DataFrame, order: DataFrame, product: DataFrame,
     their_orders = order.select(OID, CID).join(F.broadcast(chosen), CID, "inner").select("position", OID)
     rows = ff.select(OID, PID, "Units", "Gross Profit").join(their_orders, OID, "inner")
     per_pid = rows.groupBy("position", PID).agg(
-        F.sum("Units").alias("units_raw"), F.sum("Gross Profit").alias("profit_raw")
+        F.sum("Units").alias("units_raw"), sum_cents("Gross Profit").alias("profit_raw")
     )
     if by == PID:
         keyed = per_pid.where(F.col(PID).isNotNull())
@@ -94,7 +94,7 @@ def _customer_product_sums(ff: DataFrame, order: DataFrame, product: DataFrame,
         "position",
         by,
         F.coalesce(F.col("units_raw"), F.lit(0)).cast("bigint").alias("Units"),
-        F.coalesce(F.round("profit_raw", 2).cast("double"), F.lit(0.0)).alias("Gross Profit"),
+        F.coalesce(dollars("profit_raw"), F.lit(0.0)).alias("Gross Profit"),
     )
 
 
@@ -139,10 +139,10 @@ def best_customer_bottom10(ff, order, product, n: int = 10) -> DataFrame:
 def _geo_metrics(df: DataFrame, keys) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.sum("n_rows").alias("num_records"),
-        F.round(F.sum("sales_raw"), 2).cast("double").alias("total_sales"),
-        F.round(F.sum("cost_raw"), 2).cast("double").alias("total_cost"),
-        F.round(F.sum("profit_raw"), 2).cast("double").alias("total_gross_profit"),
-        pct(F.sum("profit_raw"), F.sum("sales_raw")).alias("gross_margin_pct"),
+        dollars(F.sum("sales_raw")).alias("total_sales"),
+        dollars(F.sum("cost_raw")).alias("total_cost"),
+        dollars(F.sum("profit_raw")).alias("total_gross_profit"),
+        pct(dollars(F.sum("profit_raw")), dollars(F.sum("sales_raw"))).alias("gross_margin_pct"),
     )
 
 
@@ -190,8 +190,8 @@ def customer_profit_vs_orders(ff, order) -> DataFrame:
     return customer_totals(ff, order).select(
         CID,
         F.col("n_orders").alias("num_orders"),
-        F.round("profit_raw", 2).cast("double").alias("total_gross_profit"),
-        round_ratio(F.col("profit_raw").cast("double") / F.col("n_orders").cast("double")).alias("profit_per_order"),
+        dollars("profit_raw").alias("total_gross_profit"),
+        round_ratio(dollars("profit_raw") / F.col("n_orders").cast("double")).alias("profit_per_order"),
     ).orderBy(F.col("profit_per_order").desc(), CID)
 
 
@@ -200,8 +200,8 @@ def top_customers_discount(ff, order, n: int = 10) -> DataFrame:
     rows = customer_totals(ff, order).select(
         CID,
         F.col("n_orders").alias("num_orders"),
-        F.round("sales_raw", 2).cast("double").alias("total_sales"),
-        F.round("profit_raw", 2).cast("double").alias("total_gross_profit"),
+        dollars("sales_raw").alias("total_sales"),
+        dollars("profit_raw").alias("total_gross_profit"),
     )
     return top_n(rows, [F.col("total_gross_profit").desc(), F.col(CID).asc()], n)
 
@@ -214,7 +214,7 @@ def loss_makers(ff, order) -> DataFrame:
     g = ff.groupingSets([[PID], [FID]], PID, FID).agg(
         F.grouping_id().alias("_set"),
         F.count(F.lit(1)).alias("num_records"),
-        F.sum("Gross Profit").alias("profit_raw"),
+        sum_cents("Gross Profit").alias("profit_raw"),
     )
     prod = g.where((F.col("_set") == 1) & F.col(PID).isNotNull()).select(
         F.lit(K.ENTITY_PRODUCT).alias("entity_type"), F.col(PID).cast("string").alias("entity_id"),
@@ -233,6 +233,6 @@ def loss_makers(ff, order) -> DataFrame:
         .unionByName(cust)
         .where(F.col("profit_raw") < 0)
         .select("entity_type", "entity_id", "num_records",
-                F.round("profit_raw", 2).cast("double").alias("total_gross_profit"))
+                dollars("profit_raw").alias("total_gross_profit"))
         .orderBy("total_gross_profit", "entity_type", "entity_id")
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from profitlens import constants as K
 from profitlens.functions.bands import band_by_ranges, band_by_upper
 from profitlens.functions.dates import month_start
-from profitlens.functions.measures import avg_money, avg_pct, money_sum, pct
+from profitlens.functions.measures import avg_money, avg_pct, dollars, money_sum, pct, sum_cents
 from profitlens.operators.joins import with_scalar
 from profitlens.operators.share import shared
 from profitlens.operators.topk import rank_filter, top_n
@@ -37,9 +37,9 @@ def top_factories_high_margin(v: DataFrame, k: int = 10) -> DataFrame:
         .groupBy(FID)
         .agg(
             F.count(F.lit(1)).alias("num_records"),
-            F.sum("Cost").alias("cost_raw"),
-            F.sum("Sales").alias("sales_raw"),
-            F.sum("Gross Profit").alias("profit_raw"),
+            sum_cents("Cost").alias("cost_raw"),
+            sum_cents("Sales").alias("sales_raw"),
+            sum_cents("Gross Profit").alias("profit_raw"),
         )
     )
     total = agg.agg(F.sum("num_records").alias("total_transactions"))
@@ -47,10 +47,10 @@ def top_factories_high_margin(v: DataFrame, k: int = 10) -> DataFrame:
         FID,
         "num_records",
         pct(F.col("num_records"), F.col("total_transactions")).alias("pct_transaction_volume"),
-        F.round("cost_raw", 2).cast("double").alias("total_cost"),
-        F.round("sales_raw", 2).cast("double").alias("total_sales"),
-        F.round("profit_raw", 2).cast("double").alias("gross_profit"),
-        pct(F.col("profit_raw"), F.col("sales_raw")).alias("gross_margin_pct"),
+        dollars("cost_raw").alias("total_cost"),
+        dollars("sales_raw").alias("total_sales"),
+        dollars("profit_raw").alias("gross_profit"),
+        pct(dollars("profit_raw"), dollars("sales_raw")).alias("gross_margin_pct"),
     )
     return rank_filter(rows, [F.col("gross_profit").desc()], k, "profit_rank", fn=F.dense_rank).orderBy(
         "profit_rank", FID
@@ -85,7 +85,7 @@ def factory_profit_high_margin(v: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("num_records"),
             money_sum("Sales").alias("sales"),
             money_sum("Gross Profit").alias("gross_profit"),
-            pct(F.sum("Gross Profit"), F.sum("Sales")).alias("gross_margin_pct"),
+            pct(money_sum("Gross Profit"), money_sum("Sales")).alias("gross_margin_pct"),
         )
         .orderBy(F.col("gross_profit").desc(), FID)
     )
@@ -124,9 +124,9 @@ def product_factory_dependency(v: DataFrame, product: DataFrame, k: int = 10) ->
         .groupBy(PID, FID)
         .agg(
             F.count(F.lit(1)).alias("num_records"),
-            F.sum("Sales").alias("sales_raw"),
-            F.sum("Cost").alias("cost_raw"),
-            F.sum("Gross Profit").alias("profit_raw"),
+            sum_cents("Sales").alias("sales_raw"),
+            sum_cents("Cost").alias("cost_raw"),
+            sum_cents("Gross Profit").alias("profit_raw"),
         )
     )
     per_product = pf.groupBy(PID).agg(F.sum("profit_raw").alias("_p"), F.sum("num_records").alias("_product_rows"))
@@ -143,10 +143,10 @@ def product_factory_dependency(v: DataFrame, product: DataFrame, k: int = 10) ->
             FID,
             "num_records",
             pct(F.col("num_records"), F.col("_product_rows")).alias("pct_product_volume_in_factory"),
-            F.round("cost_raw", 2).cast("double").alias("total_cost"),
-            F.round("sales_raw", 2).cast("double").alias("total_sales"),
-            F.round("profit_raw", 2).cast("double").alias("total_gross_profit"),
-            pct(F.col("profit_raw"), F.col("sales_raw")).alias("gross_margin_pct"),
+            dollars("cost_raw").alias("total_cost"),
+            dollars("sales_raw").alias("total_sales"),
+            dollars("profit_raw").alias("total_gross_profit"),
+            pct(dollars("profit_raw"), dollars("sales_raw")).alias("gross_margin_pct"),
         )
         .orderBy(PNAME, F.col("total_gross_profit").desc(), FID)
     )
@@ -195,7 +195,7 @@ def factory_unit_economics(v: DataFrame) -> DataFrame:
             avg_money("Cost").alias("avg_cost_per_txn"),
             avg_money("Sales").alias("avg_sales_per_txn"),
             avg_money("Gross Profit").alias("avg_profit_per_txn"),
-            pct(F.sum("Gross Profit"), F.sum("Sales")).alias("gross_margin_pct"),
+            pct(money_sum("Gross Profit"), money_sum("Sales")).alias("gross_margin_pct"),
         )
         .orderBy(F.col("avg_profit_per_txn").desc(), F.col("gross_margin_pct").desc(), FID)
     )

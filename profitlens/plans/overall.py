@@ -91,13 +91,13 @@ def kpi_totals(v: DataFrame) -> DataFrame:
         money_sum("Sales").alias("total_sales"),
         money_sum("Cost").alias("total_cost"),
         money_sum("Gross Profit").alias("total_gross_profit"),
-        pct(F.sum(_gp()), F.sum("Sales")).alias("gross_margin_pct"),
+        pct(money_sum("Gross Profit"), money_sum("Sales")).alias("gross_margin_pct"),
     )
 
 
 def kpi_margin(v: DataFrame) -> DataFrame:
     """The headline margin only."""
-    return v.agg(pct(F.sum(_gp()), F.sum("Sales")).alias("gross_margin_pct"))
+    return v.agg(pct(money_sum("Gross Profit"), money_sum("Sales")).alias("gross_margin_pct"))
 
 
 def chart_overall_kpis(v: DataFrame) -> DataFrame:

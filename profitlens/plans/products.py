@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from profitlens import constants as K
 from profitlens.functions.bands import band_by_ranges
-from profitlens.functions.measures import avg_pct, money_sum, pct, ratio, round_ratio
+from profitlens.functions.measures import avg_pct, dollars, money_sum, pct, ratio, round_ratio, sum_cents
 from profitlens.operators.joins import attach_dim, with_scalar
 from profitlens.operators.share import shared
 from profitlens.operators.topk import first_and_last, rank_filter, top_n
@@ -45,9 +45,9 @@ def top_products_high_margin(v: DataFrame, product: DataFrame, k: int = 10) -> D
         .groupBy(PID)
         .agg(
             F.count(F.lit(1)).alias("num_records"),
-            F.sum("Cost").alias("cost_raw"),
-            F.sum("Sales").alias("sales_raw"),
-            F.sum("Gross Profit").alias("profit_raw"),
+            sum_cents("Cost").alias("cost_raw"),
+            sum_cents("Sales").alias("sales_raw"),
+            sum_cents("Gross Profit").alias("profit_raw"),
         )
     )
     total = agg.agg(F.sum("num_records").alias("total_transactions"))
@@ -56,10 +56,10 @@ def top_products_high_margin(v: DataFrame, product: DataFrame, k: int = 10) -> D
         PID,
         "num_records",
         pct(F.col("num_records"), F.col("total_transactions")).alias("pct_transaction_volume"),
-        F.round("cost_raw", 2).cast("double").alias("total_cost"),
-        F.round("sales_raw", 2).cast("double").alias("sales"),
-        F.round("profit_raw", 2).cast("double").alias("gross_profit"),
-        pct(F.col("profit_raw"), F.col("sales_raw")).alias("gross_margin_pct"),
+        dollars("cost_raw").alias("total_cost"),
+        dollars("sales_raw").alias("sales"),
+        dollars("profit_raw").alias("gross_profit"),
+        pct(dollars("profit_raw"), dollars("sales_raw")).alias("gross_margin_pct"),
     )
     return rank_filter(rows, [F.col("gross_profit").desc()], k, "profit_rank").orderBy("profit_rank", PID)
 
@@ -90,9 +90,9 @@ def top_products_per_band(v: DataFrame, product: DataFrame, k: int = 10) -> Data
         .groupBy(band_by_ranges(_m(), K.CORE_BANDS).alias("margin_band"), PID)
         .agg(
             F.count(F.lit(1)).alias("num_records"),
-            F.sum("Sales").alias("sales_raw"),
-            F.sum("Cost").alias("cost_raw"),
-            F.sum("Gross Profit").alias("profit_raw"),
+            sum_cents("Sales").alias("sales_raw"),
+            sum_cents("Cost").alias("cost_raw"),
+            sum_cents("Gross Profit").alias("profit_raw"),
             avg_pct(_m()).alias("avg_margin_pct"),
         )
     )
@@ -105,9 +105,9 @@ def top_products_per_band(v: DataFrame, product: DataFrame, k: int = 10) -> Data
         PNAME,
         PID,
         "num_records",
-        F.round("sales_raw", 2).cast("double").alias("sales"),
-        F.round("cost_raw", 2).cast("double").alias("cost"),
-        F.round("profit_raw", 2).cast("double").alias("gross_profit"),
+        dollars("sales_raw").alias("sales"),
+        dollars("cost_raw").alias("cost"),
+        dollars("profit_raw").alias("gross_profit"),
         "avg_margin_pct",
         "rn",
     ).orderBy("margin_band", "rn")
@@ -120,17 +120,17 @@ def low_margin_products(v: DataFrame, product: DataFrame) -> DataFrame:
         .groupBy(PID)
         .agg(
             F.count(F.lit(1)).alias("num_records"),
-            F.sum("Sales").alias("sales_raw"),
-            F.sum("Gross Profit").alias("profit_raw"),
+            sum_cents("Sales").alias("sales_raw"),
+            sum_cents("Gross Profit").alias("profit_raw"),
         )
     )
     return _named(agg, product).select(
         PNAME,
         PID,
         "num_records",
-        F.round("sales_raw", 2).cast("double").alias("sales"),
-        F.round("profit_raw", 2).cast("double").alias("gross_profit"),
-        pct(F.col("profit_raw"), F.col("sales_raw")).alias("gross_margin_pct"),
+        dollars("sales_raw").alias("sales"),
+        dollars("profit_raw").alias("gross_profit"),
+        pct(dollars("profit_raw"), dollars("sales_raw")).alias("gross_margin_pct"),
     ).orderBy(F.col("sales").desc(), PID)
 
 
@@ -148,7 +148,7 @@ def extreme_margin_products(v: DataFrame, product: DataFrame) -> DataFrame:
             avg_pct(_m()).alias("avg_margin_pct"),
             F.round(F.min(_m()), 2).alias("min_margin_pct"),
             F.round(F.max(_m()), 2).alias("max_margin_pct"),
-            round_ratio(F.sum("Cost").cast("double") / F.count(F.lit(1)).cast("double")).alias("avg_cost_per_txn"),
+            round_ratio(money_sum("Cost") / F.count(F.lit(1)).cast("double")).alias("avg_cost_per_txn"),
         )
     )
     return _named(agg, product).select(
@@ -160,9 +160,9 @@ def extreme_margin_products(v: DataFrame, product: DataFrame) -> DataFrame:
 # -- product profitability (load-side SQL and notebooks) ------------------------------------------
 def _product_sums(ff: DataFrame) -> DataFrame:
     return ff.groupBy(PID).agg(
-        F.sum("Sales").alias("sales_raw"),
-        F.sum("Cost").alias("cost_raw"),
-        F.sum("Gross Profit").alias("profit_raw"),
+        sum_cents("Sales").alias("sales_raw"),
+        sum_cents("Cost").alias("cost_raw"),
+        sum_cents("Gross Profit").alias("profit_raw"),
         F.sum("Units").alias("units_raw"),
     )
 
@@ -172,11 +172,11 @@ def product_profitability(ff: DataFrame, product: DataFrame) -> DataFrame:
     return _named(_product_sums(ff), product).select(
         PID,
         PNAME,
-        F.round("sales_raw", 2).cast("double").alias("total_sales"),
-        F.round("cost_raw", 2).cast("double").alias("total_cost"),
-        F.round("profit_raw", 2).cast("double").alias("total_gross_profit"),
-        ratio(F.col("profit_raw"), F.col("sales_raw")).alias("profit_margin"),
-        ratio(F.col("profit_raw"), F.col("units_raw")).alias("profit_per_unit"),
+        dollars("sales_raw").alias("total_sales"),
+        dollars("cost_raw").alias("total_cost"),
+        dollars("profit_raw").alias("total_gross_profit"),
+        ratio(dollars("profit_raw"), dollars("sales_raw")).alias("profit_margin"),
+        ratio(dollars("profit_raw"), F.col("units_raw")).alias("profit_per_unit"),
     ).orderBy(F.col("profit_margin").desc_nulls_last(), PID)
 
 
@@ -209,9 +209,9 @@ def product_totals(ff: DataFrame, product: DataFrame) -> DataFrame:
     sums are 0, as a pandas groupby-sum gives (H17)."""
     named = _named(_product_sums(ff), product).filter(F.col(PNAME).isNotNull())
     return named.groupBy(PNAME).agg(
-        F.coalesce(F.round(F.sum("sales_raw"), 2).cast("double"), F.lit(0.0)).alias("sales"),
-        F.coalesce(F.round(F.sum("cost_raw"), 2).cast("double"), F.lit(0.0)).alias("cost"),
-        F.coalesce(F.round(F.sum("profit_raw"), 2).cast("double"), F.lit(0.0)).alias("gross_profit"),
+        F.coalesce(dollars(F.sum("sales_raw")), F.lit(0.0)).alias("sales"),
+        F.coalesce(dollars(F.sum("cost_raw")), F.lit(0.0)).alias("cost"),
+        F.coalesce(dollars(F.sum("profit_raw")), F.lit(0.0)).alias("gross_profit"),
         F.coalesce(F.sum("units_raw"), F.lit(0)).cast("bigint").alias("units"),
     ).orderBy(F.col("gross_profit").desc(), PNAME)
 

@@ -43,7 +43,7 @@ def streaming_kpis(v: DataFrame) -> DataFrame:
         money_sum("Sales").alias("total_sales"),
         money_sum("Cost").alias("total_cost"),
         money_sum("Gross Profit").alias("total_gross_profit"),
-        pct(F.sum("Gross Profit"), F.sum("Sales")).alias("gross_margin_pct"),
+        pct(money_sum("Gross Profit"), money_sum("Sales")).alias("gross_margin_pct"),
     )
 
 
