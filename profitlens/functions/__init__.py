@@ -4,10 +4,13 @@ from profitlens.functions.measures import (  # noqa: F401
     MONEY,
     avg_money,
     avg_pct,
+    cents,
+    dollars,
     money_sum,
     pct,
     ratio,
     round_ratio,
+    sum_cents,
 )
 from profitlens.functions.bands import (  # noqa: F401
     band_by_ranges,

@@ -22,7 +22,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(12,2)"
-MARGIN_DEC = "decimal(18,2)"
 RATIO_DEC = "decimal(38,6)"
 
 

@@ -5,7 +5,6 @@
   (``spark.sql.autoBroadcastJoinThreshold``) and AQE re-plans from the real shuffle sizes.
 * ``with_scalar`` — attach a one-row aggregate (totals) to every row.  One row is a proven bound,
   so it is broadcast explicitly; this replaces ``CROSS JOIN totals`` / scalar subqueries.
-* ``semi_by_small`` — restrict rows to the keys of a result whose size is bounded by a LIMIT.
 """
 
 from __future__ import annotations
@@ -22,8 +21,3 @@ def attach_dim(rows: DataFrame, dim: DataFrame, key: str, cols: Sequence[str], h
 
 def with_scalar(rows: DataFrame, one_row: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(one_row))
-
-
-def semi_by_small(rows: DataFrame, bounded: DataFrame, key: str) -> DataFrame:
-    """Inner join to a LIMIT-bounded key set (at most a few rows → broadcast)."""
-    return rows.join(F.broadcast(bounded), key, "inner")

@@ -38,7 +38,8 @@ def top_products_high_margin(v: DataFrame, product: DataFrame, k: int = 10) -> D
     """A10: top-k products by profit inside ``40 <= m <= 100``, RANK (ties kept).
 
     The volume share's denominator counts every row of the universe, before the product join
-    (H19); it is the sum of the per-product counts, taken from the same shuffle."""
+    (H19): it is the sum of the per-product counts, read from the same materialised aggregate
+    as the product rows, so the fact is scanned once."""
     lo, hi = K.HIGH_MARGIN
     agg = shared(
         v.filter(_between(lo, hi))
