@@ -5,6 +5,11 @@ range-partitioned and sorted on the natural key, written once to the cluster's c
 (reliable storage, so a lost executor cannot make a recomputed partition number its rows
 differently), and each row's id is its partition's offset plus its position in the partition.
 The offsets are one row per partition — bounded by the partition count — and are broadcast.
+
+Rows that tie on the ordering columns are ordered by a hash of the whole row, so a hot value of
+the ordering key is spread over several range partitions instead of one.  Rows identical in every
+column hash alike and stay in one partition; their ids are interchangeable.  Splitting very large
+groups of identical copies (by multiplicity) is left open.
 """
 
 from __future__ import annotations
@@ -26,6 +31,11 @@ def dense_surrogate_key(df: DataFrame, order_cols: Sequence[str], name: str, num
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c).asc_nulls_first() for c in order_cols]
+    rest = [c for c in df.columns if c not in order_cols]
+    # deterministic tie-break: equal keys are spread by a hash of the row, then fully ordered
+    ties = [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).asc()] + [F.col(c).asc_nulls_first() for c in rest]
+    if rest:
+        keys = keys + ties
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
     local = ranged.select(
         "*",
