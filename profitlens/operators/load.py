@@ -114,18 +114,22 @@ def order_ids(order: DataFrame) -> DataFrame:
 
 # -- fact (B5) --------------------------------------------------------------------------------------
 def fact_load(raw: DataFrame, product_map: DataFrame, factory_map: DataFrame,
-              keyed_orders: DataFrame | None = None) -> DataFrame:
+              keyed_orders: DataFrame | None = None, row_index: str = "Unnamed: 0") -> DataFrame:
     """Measures of every raw row with its order, product and factory keys and a dense
     ``Financial Figures ID``.
 
     Orders are found by a null-safe equi-join on the four natural-key columns (a large-large
-    sort-merge join at scale); the name dictionaries are small lookups."""
+    sort-merge join at scale); the name dictionaries are small lookups.  Ids follow the source's
+    row order (AUTO_INCREMENT numbers rows as they are inserted), with the fact columns as
+    tie-breakers where the row index repeats."""
     keyed = keyed_orders if keyed_orders is not None else order_keys(raw)
     cond = [raw[c].eqNullSafe(keyed[c]) for c in ORDER_NATURAL_KEY]
     with_order = raw.join(keyed, cond, "left").select(raw["*"], keyed["Order ID"])
     mapped = map_by_name(with_order, product_map, "Product Name", "Product ID")
     mapped = map_by_name(mapped, factory_map, "Factory", "Factory ID")
+    cols = ["Units", "Sales", "Cost", "Gross Profit", "Order ID", "Factory ID", "Product ID"]
     fact = mapped.select(
+        F.col(f"`{row_index}`").alias("_source_row"),
         F.col("Units").cast("int").alias("Units"),
         F.col("Sales").cast(MONEY).alias("Sales"),
         F.col("Cost").cast(MONEY).alias("Cost"),
@@ -134,6 +138,6 @@ def fact_load(raw: DataFrame, product_map: DataFrame, factory_map: DataFrame,
         "Factory ID",
         "Product ID",
     )
-    return dense_surrogate_key(fact, fact.columns, "Financial Figures ID").select(
-        "Financial Figures ID", *fact.columns
+    return dense_surrogate_key(fact, ["_source_row", *cols], "Financial Figures ID").select(
+        "Financial Figures ID", *cols
     )

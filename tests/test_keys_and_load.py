@@ -55,6 +55,8 @@ def test_load_pipeline_on_raw_csv(spark, tmp_out):
 
     fact = L.fact_load(raw, pmap, fmap).collect()
     assert sorted(r["Financial Figures ID"] for r in fact) == [1, 2, 3, 4]
+    # ids follow the source row order, as AUTO_INCREMENT on insertion would
+    assert {float(r["Sales"]): r["Financial Figures ID"] for r in fact} == {6.5: 1, 7.0: 2, 3.0: 3, 1.0: 4}
     assert all(r["Order ID"] is not None for r in fact)
 
     cities = {r["Customer ID"]: r for r in Q.distinct_values_per_key(raw, "Customer ID", "City", "City", "n").collect()}
