@@ -3,8 +3,9 @@
 * ``attach_dim`` — enrich aggregated rows with dimension attributes.  No broadcast hint: the
   dimension may grow with the data, so the planner decides from statistics
   (``spark.sql.autoBroadcastJoinThreshold``) and AQE re-plans from the real shuffle sizes.
-* ``with_scalar`` — attach a one-row aggregate (totals) to every row.  One row is a proven bound,
-  so it is broadcast explicitly; this replaces ``CROSS JOIN totals`` / scalar subqueries.
+* ``scalar`` — a one-row, one-column aggregate (a grand total) as a value usable in any
+  expression: an uncorrelated scalar subquery, evaluated once and inlined — no join at all.  This
+  replaces the source's ``CROSS JOIN totals``.
 """
 
 from __future__ import annotations
@@ -12,12 +13,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def attach_dim(rows: DataFrame, dim: DataFrame, key: str, cols: Sequence[str], how: str = "inner") -> DataFrame:
     return rows.join(dim.select(key, *cols), key, how)
 
 
-def with_scalar(rows: DataFrame, one_row: DataFrame) -> DataFrame:
-    return rows.crossJoin(F.broadcast(one_row))
+def scalar(one_value: DataFrame):
+    """The single value of a one-row, one-column DataFrame as a Column (scalar subquery)."""
+    return one_value.scalar()

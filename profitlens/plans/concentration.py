@@ -1,7 +1,8 @@
 """Profit concentration across factories and products (A23) and its chart datasets.
 
 One scan of the clean view feeds all three aggregates (per factory, per product, grand total)
-through ``GROUPING SETS``; that small result is materialised once and read by the three branches.  Only the
+through ``GROUPING SETS``; that small result is materialised once, the factory and product rows
+are read from it, and the grand total enters every row as a scalar subquery (no join).  Only the
 product rows are joined to the product dimension, and the one-row total is broadcast.
 """
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from profitlens import constants as K
 from profitlens.functions.measures import dollars, pct, sum_cents
-from profitlens.operators.joins import with_scalar
+from profitlens.operators.joins import scalar
 from profitlens.operators.share import shared
 from profitlens.operators.topk import top_n
 
@@ -33,10 +34,15 @@ def profit_concentration(v: DataFrame, product: DataFrame) -> DataFrame:
         sum_cents("Cost").alias("total_cost"),
         sum_cents("Gross Profit").alias("total_gross_profit"),
     ))
-    totals = g.where(F.col("_set") == 3).select(
-        F.col("num_records").alias("_t_txns"),
-        F.col("total_sales").alias("_t_sales"),
-        F.col("total_gross_profit").alias("_t_profit"),
+    # the grand-total row, as one scalar subquery returning a struct
+    totals = scalar(
+        g.where(F.col("_set") == 3).select(
+            F.struct(
+                F.col("num_records").alias("txns"),
+                F.col("total_sales").alias("sales"),
+                F.col("total_gross_profit").alias("profit"),
+            )
+        )
     )
     factories = g.where(F.col("_set") == 1).select(
         F.lit(K.ENTITY_FACTORY).alias("entity_type"),
@@ -54,18 +60,18 @@ def profit_concentration(v: DataFrame, product: DataFrame) -> DataFrame:
             *_SUMS,
         )
     )
-    c = with_scalar(factories.unionByName(products), totals)
+    c = factories.unionByName(products)
     return c.select(
         "entity_type",
         "entity_name",
         "entity_id",
         "num_records",
-        pct(F.col("num_records"), F.col("_t_txns")).alias("pct_transaction_volume"),
+        pct(F.col("num_records"), totals.getField("txns")).alias("pct_transaction_volume"),
         dollars("total_cost").alias("total_cost"),
         dollars("total_sales").alias("total_sales"),
         dollars("total_gross_profit").alias("total_gross_profit"),
-        pct(dollars("total_gross_profit"), dollars("_t_profit")).alias("pct_profit_share"),
-        pct(dollars("total_sales"), dollars("_t_sales")).alias("pct_sales_share"),
+        pct(dollars("total_gross_profit"), dollars(totals.getField("profit"))).alias("pct_profit_share"),
+        pct(dollars("total_sales"), dollars(totals.getField("sales"))).alias("pct_sales_share"),
         pct(dollars("total_gross_profit"), dollars("total_sales")).alias("gross_margin_pct"),
     ).orderBy(F.col("total_gross_profit").desc(), "entity_type", "entity_id")
 

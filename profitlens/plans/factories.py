@@ -14,7 +14,7 @@ from profitlens import constants as K
 from profitlens.functions.bands import band_by_ranges, band_by_upper
 from profitlens.functions.dates import month_start
 from profitlens.functions.measures import avg_money, avg_pct, dollars, money_sum, pct, sum_cents
-from profitlens.operators.joins import with_scalar
+from profitlens.operators.joins import scalar
 from profitlens.operators.share import shared
 from profitlens.operators.topk import rank_filter, top_n
 
@@ -42,11 +42,11 @@ def top_factories_high_margin(v: DataFrame, k: int = 10) -> DataFrame:
             sum_cents("Gross Profit").alias("profit_raw"),
         )
     )
-    total = agg.agg(F.sum("num_records").alias("total_transactions"))
-    rows = with_scalar(agg, total).select(
+    total_transactions = scalar(agg.agg(F.sum("num_records")))
+    rows = agg.select(
         FID,
         "num_records",
-        pct(F.col("num_records"), F.col("total_transactions")).alias("pct_transaction_volume"),
+        pct(F.col("num_records"), total_transactions).alias("pct_transaction_volume"),
         dollars("cost_raw").alias("total_cost"),
         dollars("sales_raw").alias("total_sales"),
         dollars("profit_raw").alias("gross_profit"),

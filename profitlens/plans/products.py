@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from profitlens import constants as K
 from profitlens.functions.bands import band_by_ranges
 from profitlens.functions.measures import avg_pct, dollars, money_sum, pct, ratio, round_ratio, sum_cents
-from profitlens.operators.joins import attach_dim, with_scalar
+from profitlens.operators.joins import attach_dim, scalar
 from profitlens.operators.share import shared
 from profitlens.operators.topk import first_and_last, rank_filter, top_n
 
@@ -51,12 +51,12 @@ def top_products_high_margin(v: DataFrame, product: DataFrame, k: int = 10) -> D
             sum_cents("Gross Profit").alias("profit_raw"),
         )
     )
-    total = agg.agg(F.sum("num_records").alias("total_transactions"))
-    rows = with_scalar(_named(agg, product), total).select(
+    total_transactions = scalar(agg.agg(F.sum("num_records")))
+    rows = _named(agg, product).select(
         PNAME,
         PID,
         "num_records",
-        pct(F.col("num_records"), F.col("total_transactions")).alias("pct_transaction_volume"),
+        pct(F.col("num_records"), total_transactions).alias("pct_transaction_volume"),
         dollars("cost_raw").alias("total_cost"),
         dollars("sales_raw").alias("sales"),
         dollars("profit_raw").alias("gross_profit"),
@@ -253,12 +253,9 @@ def best_worst_product_by_gp(ff: DataFrame, product: DataFrame) -> DataFrame:
 def product_profit_share(ff: DataFrame, product: DataFrame) -> DataFrame:
     """Each product's fraction of the total profit (total taken from the same rows)."""
     t = shared(product_margin_table(ff, product))
-    total = t.agg(F.sum(F.col("gross_profit").cast("decimal(18,2)")).alias("_total_profit"))
-    return (
-        with_scalar(t, total)
-        .withColumn("profit_share", ratio(F.col("gross_profit"), F.col("_total_profit")))
-        .drop("_total_profit")
-        .orderBy(F.col("profit_share").asc_nulls_first(), PNAME)
+    total_profit = scalar(t.agg(F.sum(F.col("gross_profit").cast("decimal(18,2)"))))
+    return t.withColumn("profit_share", ratio(F.col("gross_profit"), total_profit)).orderBy(
+        F.col("profit_share").asc_nulls_first(), PNAME
     )
 
 
