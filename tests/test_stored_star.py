@@ -30,7 +30,13 @@ def test_stored_star_gives_the_same_reports(spark, stored, name):
 
 
 def test_margin_filter_is_pushed_to_parquet(stored):
+    import contextlib
+    import io
+
     from profitlens.plans.overall import sub_band_share
 
-    plan = sub_band_share(stored.v)._jdf.queryExecution().executedPlan().toString()
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        sub_band_share(stored.v).explain()
+    plan = buf.getvalue()
     assert "PushedFilters: [IsNotNull(gross_margin_pct), GreaterThanOrEqual(gross_margin_pct,40.0)" in plan
