@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from profitlens.operators.share import shared
+
 
 def rank_filter(df: DataFrame, order: Sequence[Column], k: int, name: str, fn=F.rank,
                 partition: Sequence[str] = ()) -> DataFrame:
@@ -24,7 +26,10 @@ def first_and_last(df: DataFrame, order: Sequence[Column], reverse: Sequence[Col
                    label: str = "position", first: str = "best", last: str = "worst") -> DataFrame:
     """The first and the last row of ``df`` under ``order`` (``reverse`` is its exact inverse).
 
-    Two ``TakeOrderedAndProject`` passes of one row each over the aggregated input."""
+    ``df`` is an aggregated result (one row per entity).  It is materialised once, so the two
+    one-row ``TakeOrderedAndProject`` passes read that copy instead of each re-aggregating the
+    fact; the explicit tie-breaks in ``order`` keep the choice deterministic."""
+    df = shared(df)
     head = df.orderBy(*order).limit(1).withColumn(label, F.lit(first))
     tail = df.orderBy(*reverse).limit(1).withColumn(label, F.lit(last))
     out = head.unionByName(tail)
