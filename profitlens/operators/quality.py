@@ -30,14 +30,32 @@ def pk_violations(tables: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
 
 
 def fk_orphans(relations: Sequence[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
-    """Q8: per relationship, the number of child rows whose non-NULL key has no parent."""
+    """Q8: per relationship, the number of child rows whose non-NULL key has no parent.
+
+    Relationships that share a child table are checked in one pass over it: the child's key
+    columns are left-joined to each parent's DISTINCT keys in turn (a parent key occurs once, so
+    no row is multiplied), the misses are counted in one aggregate, and the counts are unpivoted
+    into one row per relationship."""
+    groups: dict[int, list] = {}
+    for rel in relations:
+        groups.setdefault(id(rel[1]), []).append(rel)
     parts = []
-    for name, child, ckey, parent, pkey in relations:
-        keys = parent.select(F.col(pkey).alias("_pk")).distinct()
-        orphans = child.select(F.col(ckey).alias("_ck")).where(F.col("_ck").isNotNull()).join(
-            keys, F.col("_ck") == F.col("_pk"), "left_anti"
+    for rels in groups.values():
+        child = rels[0][1]
+        key_cols = sorted({ckey for _, _, ckey, _, _ in rels})
+        rows = child.select(*[F.col(f"`{c}`") for c in key_cols])
+        counts, names = [], {}
+        for i, (name, _, ckey, parent, pkey) in enumerate(rels):
+            keys = parent.select(F.col(f"`{pkey}`").alias(f"_pk{i}")).distinct().withColumn(f"_hit{i}", F.lit(True))
+            rows = rows.join(keys, F.col(f"`{ckey}`") == F.col(f"_pk{i}"), "left")
+            counts.append(F.count_if(F.col(f"`{ckey}`").isNotNull() & F.col(f"_hit{i}").isNull()).alias(f"_c{i}"))
+            names[f"_c{i}"] = name
+        label = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+        parts.append(
+            rows.agg(*counts)
+            .unpivot([], list(names), "_rel", "orphan_rows")
+            .select(label[F.col("_rel")].alias("relationship"), "orphan_rows")
         )
-        parts.append(orphans.agg(F.count(F.lit(1)).alias("orphan_rows")).select(F.lit(name).alias("relationship"), "orphan_rows"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -101,3 +101,16 @@ def test_dense_key_spreads_a_hot_ordering_value(spark):
     assert all(a.k <= b.k for a, b in zip(by_sk, by_sk[1:]))
     sizes = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert max(r["count"] for r in sizes) < 1000  # the 1,000 tied rows do not all land in one task
+
+
+def test_fk_orphans_counts_missing_parents_in_one_pass(spark):
+    child = spark.createDataFrame([(1, 10), (2, 99), (None, 10), (3, None), (4, 98)], "a long, b long")
+    pa = spark.createDataFrame([(1,), (2,), (2,)], "a long")  # duplicate parent key must not multiply rows
+    pb = spark.createDataFrame([(10,)], "b long")
+    other = spark.createDataFrame([(7,)], "c long")
+    out = {r.relationship: r.orphan_rows for r in Q.fk_orphans([
+        ("child.a -> pa", child, "a", pa, "a"),
+        ("child.b -> pb", child, "b", pb, "b"),
+        ("other.c -> pa", other, "c", pa, "a"),
+    ]).collect()}
+    assert out == {"child.a -> pa": 2, "child.b -> pb": 2, "other.c -> pa": 1}
