@@ -165,3 +165,56 @@ def widened(df: DataFrame, **types: str) -> StructType:
     """The schema of ``df`` with more columns, by SQL type name."""
     more = [StructField(n, _parse_datatype_string(t)) for n, t in types.items()]
     return StructType([*df.schema.fields, *more])
+
+
+#: Bits of the filter of ``maybe_in``: its broadcast is at most this / 64 rows of two longs, 2 MB.
+FILTER_BITS = 1 << 23
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
+    """Rows whose key columns may be among ``keys``: a semi-join through a bitmap of fixed size.
+
+    No row of ``keys`` is missed; others pass by chance (and all do once keys by far outnumber the bits),
+    so what follows must be an exact join.  It spares shuffling texts that no join needs."""
+    bit = F.xxhash64(*names).bitwiseAND(FILTER_BITS - 1)
+    words_ = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("_bits"))
+    probed = rows.withColumn("_bit", bit).withColumn("_at", F.shiftright("_bit", 6))
+    hit = probed.join(F.broadcast(words_), F.col("_at") == F.col("_word"))
+    return hit.where("(shiftright(_bits, cast(_bit & 63 as int)) & 1) = 1").select(*rows.columns)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of the nodes of ``edges`` (a, b: long): root is the least node linked with it.
+
+    Alternating large-star and small-star steps until nothing changes (a logarithmic number of rounds);
+    each round is stored, and a node with very many links is split by the skew join."""
+    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    mark = None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stored(large, "links-large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")),
+                                                                F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
+        e = stored(small.select("p.u", "p.v").where("u <> v").distinct(), "links-small")
+        now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
+        if now == mark:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+                e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        mark = now
+
+
+def without(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
+    """Rows whose key columns are not among ``keys``: an anti-join that shuffles only the rows that a bitmap
+    of fixed size (see ``maybe_in``) cannot rule out."""
+    bit = F.xxhash64(*names).bitwiseAND(FILTER_BITS - 1)
+    words_ = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("_bits"))
+    probed = rows.withColumn("_bit", bit).withColumn("_at", F.shiftright("_bit", 6))
+    probed = probed.join(F.broadcast(words_), F.col("_at") == F.col("_word"), "left")
+    probed = probed.withColumn("_hit", F.coalesce(F.expr("(shiftright(_bits, cast(_bit & 63 as int)) & 1) = 1"), F.lit(False)))
+    clear = probed.where(~F.col("_hit")).select(*rows.columns)
+    return clear.unionByName(probed.where("_hit").select(*rows.columns).join(keys.select(*names).distinct(), list(names), "left_anti").select(*rows.columns))

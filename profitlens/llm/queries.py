@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from profitlens.llm import bpe, html_extract, line_dedup, quality_knn
+from profitlens.llm import bpe, chat_format, class_lm, decontaminate, html_extract, jaccard_join, line_dedup, quality_knn, quality_rules, suffix_dedup
 from profitlens.llm.common import crc_mod, table
 
 
@@ -49,6 +49,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sums, sizes = [], []
@@ -79,11 +83,41 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.link_tool_calls(table(spark, sf_dir, "conversations"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked documents with the item of each leak."""
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.where("leaked").select("doc_id", "item_id", "n_windows", "item_windows", "n_slots")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ruled = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) != 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_html_extraction": op2_html_extraction,
     "op3_line_dedup": op3_line_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_bpe": op5_bpe,
+    "op6_chat_format": op6_chat_format,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL}
