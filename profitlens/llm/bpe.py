@@ -19,20 +19,22 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from profitlens.llm.common import widened
+from profitlens.llm.common import small, widened
 
 #: Fixed value: the pre-tokenisation pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces whose ids a Python worker remembers; the memo is emptied when it is full.
-MEMO = 400_000
+#: Strings in one generation of a Python worker's memo.
+MEMO = 200_000
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -43,51 +45,91 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Bpe:
-    """Tables of one vocabulary, built from the text of its JSON file."""
+class Decoder:
+    """Offset table over all entries of a vocabulary, built from the text of its JSON file."""
 
     def __init__(self, source: str) -> None:
         spec = json.loads(source)
         symbols = _byte_symbols()
-        raw = lambda s: bytes(symbols[c] for c in s)
-        vocab = {raw(k): v for k, v in spec["model"]["vocab"].items()}
+        self.raw = lambda s: bytes(symbols[c] for c in s)
+        self.vocab = {self.raw(k): v for k, v in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        self.bytes = [b""] * size
-        for k, v in [*vocab.items(), *((s.encode(), i) for s, i in self.special.items())]:
-            self.bytes[v] = k
-        lengths = np.array([len(x) for x in self.bytes], dtype=np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(lengths)])
-        self.blob = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
+        self.merges = spec["model"]["merges"]
+        self.size = max([*self.vocab.values(), *self.special.values()]) + 1
+        entries = [b""] * self.size
+        for k, v in [*self.vocab.items(), *((s.encode(), i) for s, i in self.special.items())]:
+            entries[v] = k
+        self.length = [len(x) for x in entries]
+        self.offsets = np.concatenate([[0], np.cumsum(np.array(self.length, dtype=np.int64))])
+        self.blob = np.frombuffer(b"".join(entries), dtype=np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        start, size = self.offsets[ids], self.offsets[ids + 1] - self.offsets[ids]
+        ends = np.cumsum(size)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
+        return self.blob[at].tobytes()
+
+
+class Memo:
+    """Ids of strings that were met lately: two generations, the older of which is dropped when the younger
+    is full, so that frequent strings stay."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, key: str) -> bytes | None:
+        got = self.new.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.put(key, got)
+        return got
+
+    def put(self, key: str, value: bytes) -> bytes:
+        if len(key) <= 64:
+            if len(self.new) >= MEMO:
+                self.old, self.new = self.new, {}
+            self.new[key] = value
+        return value
+
+
+class Encoder(Decoder):
+    """Automaton, merges and memos of one vocabulary."""
+
+    def __init__(self, source: str) -> None:
+        super().__init__(source)
+        vocab, size = self.vocab, self.size
         self.merge: dict[tuple[int, int], int] = {}
         self.rank = [-1] * size
         self.parts = [(0, 0)] * size
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            left, right = (raw(x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
+        for rank, pair in enumerate(self.merges):
+            left, right = (self.raw(x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
             a, b, ab = vocab[left], vocab[right], vocab[left + right]
             self.merge[a, b] = rank
             if self.rank[ab] < 0:
                 self.rank[ab], self.parts[ab] = rank, (a, b)
         self.shorter = [-1] * size
-        longest = ahocorasick.Automaton()
+        self.longest = ahocorasick.Automaton()
         for k, v in vocab.items():
             self.shorter[v] = next((vocab[k[:n]] for n in range(len(k) - 1, 0, -1) if k[:n] in vocab), -1)
-            longest.add_word(k[::-1].decode("latin-1"), v)
-        longest.make_automaton()
-        self.longest = longest
-        self.length = [len(x) for x in self.bytes]
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}  # of a space and the piece
+            self.longest.add_word(k[::-1].decode("latin-1"), v)
+        self.longest.make_automaton()
+        self.fits: dict[int, bool] = {}
+        self.lengths = np.array(self.length + [0], dtype=np.int64)
+        self.shorters = np.array(self.shorter + [-1], dtype=np.int64)
+        self.slot_key = np.full(1 << 20, -1, dtype=np.int64)
+        self.slot_fit = np.zeros(1 << 20, dtype=bool)
+        self.known = Memo()  # ids of pieces
+        self.spaced = Memo()  # ids of a space and the chunk that follows
         self.pieces = regex.compile(PATTERN)
-        self.split = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        marks = sorted(self.special, key=len, reverse=True)
+        self.split = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merges can leave a border between a and b: undo their merges, the latest first, and
         look for a merge over the border that would have come before the undone one."""
-        key = (a, b)
-        if (known := self.fits.get(key)) is not None:
-            return known
+        key = a * self.size + b
         limit, good = len(self.merge) + 1, True
         while True:
             if self.merge.get((a, b), limit) < limit:
@@ -100,90 +142,181 @@ class Bpe:
                 limit, b = rb + 1, self.parts[b][0]  # equal ranks merge from the left
             else:
                 break
-        if len(self.fits) > 4 * MEMO:
+        if len(self.fits) >= 2 * MEMO:
             self.fits.clear()
         self.fits[key] = good
         return good
 
-    def encode_piece(self, piece: bytes) -> list[int]:
-        n = len(piece)
+    def encode_piece(self, text: str) -> bytes:
+        """The ids of a piece as packed int32."""
+        piece = text.encode()
+        n, size = len(piece), self.size
         match = [0] * n
         last = -1
         for end, token in self.longest.iter(piece[::-1].decode("latin-1")):
             if end != last:  # the first match at a place is the longest
                 match[n - 1 - end], last = token, end
+        fits, length, shorter = self.fits, self.length, self.shorter
         out: list[int] = []
         dead = bytearray(n + 1)
-        at, token = 0, match[0]
+        at, token, before = 0, match[0], -1
         while at < n:
             while token >= 0:
-                end = at + self.length[token]
-                if not dead[end] and (not out or self.compatible(out[-1], token)):
-                    break
-                token = self.shorter[token]
+                end = at + length[token]
+                if not dead[end]:
+                    if before < 0:
+                        break
+                    good = fits.get(before * size + token)
+                    if good or good is None and self.compatible(before, token):
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at = end
+                at, before = end, token
                 token = match[at] if at < n else -1
             else:
                 dead[at] = 1
                 token = out.pop()
-                at -= self.length[token]
-                token = self.shorter[token]
-        return out
-
-    def _remember(self, chunk: str, space: str = "") -> bytes:
-        ids: list[int] = []
-        for piece in self.pieces.findall(space + chunk):
-            ids += self.encode_piece(piece.encode())
-        memo = self.spaced if space else self.memo
-        if len(memo) >= MEMO:
-            memo.clear()
-        packed = np.array(ids, dtype=np.int32).tobytes()
-        if len(chunk) <= 64:
-            memo[chunk] = packed
+                at -= length[token]
+                before = out[-1] if out else -1
+                token = shorter[token]
+        packed = array("i", out).tobytes()
         return packed
 
-    def encode(self, text: str, special: bool = True) -> bytes:
-        """The ids as packed int32."""
-        out: list[bytes] = []
-        parts = self.split.split(text) if special and self.split else [text]
-        for part in parts:
-            if special and part in self.special:
-                out.append(np.array([self.special[part]], dtype=np.int32).tobytes())
-                continue
-            # No piece crosses from a non-space to a space, so single spaces cut a part; where white space
-            # stands before a space the pattern looks at the whole run, and the part is cut by it alone.
-            if _RUN.search(part):
-                for c in self.pieces.findall(part):
-                    got = self.memo.get(c)
-                    out.append(self._remember(c) if got is None else got)
-                continue
-            chunks = part.split(" ")
-            out.append(self._remember(chunks[0]))
-            spaced = self.spaced
-            for c in chunks[1:]:
-                got = spaced.get(c)
-                out.append(self._remember(c, " ") if got is None else got)
-        return b"".join(out)
+    def _fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``compatible`` of many pairs, through a direct-mapped table."""
+        key = a * self.size + b
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+        for i in np.flatnonzero(self.slot_key[slot] != key).tolist():
+            k, j = int(key[i]), slot[i]
+            if self.slot_key[j] != k:
+                got = self.fits.get(k)
+                self.slot_key[j], self.slot_fit[j] = k, self.compatible(k // self.size, k % self.size) if got is None else got
+        good = self.slot_fit[slot]
+        for i in np.flatnonzero(self.slot_key[slot] != key).tolist():  # two pairs of the batch share a slot
+            good[i] = self.fits[int(key[i])] if int(key[i]) in self.fits else self.compatible(int(a[i]), int(b[i]))
+        return good
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        start, size = self.offsets[ids], self.offsets[ids + 1] - self.offsets[ids]
-        ends = np.cumsum(size)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
-        return self.blob[at].tobytes()
+    def encode_pieces(self, texts: list[str]) -> list[bytes]:
+        """Ids of many pieces at once: the steps of ``encode_piece`` on arrays, one candidate of each piece
+        a round; the few pieces that take many rounds are ended one by one."""
+        pieces = [t.encode() for t in texts]
+        size = np.array([len(x) for x in pieces], dtype=np.int64)
+        base = np.concatenate([[0], np.cumsum(size + 1)])  # a place more each, for the end
+        n = int(base[-1])
+        match = [-1] * n
+        last = -1
+        whole = "\u0100".join(x[::-1].decode("latin-1") for x in reversed(pieces))  # a mark that no entry holds
+        for end, token in self.longest.iter(whole):
+            if end != last:
+                match[n - 2 - end], last = token, end
+        match = np.array(match, dtype=np.int64)
+        stack = np.zeros(n, dtype=np.int32)
+        depth, at, stop = np.zeros(len(pieces), dtype=np.int64), base[:-1].copy(), base[:-1] + size
+        token = match[at]
+        dead = np.zeros(n, dtype=bool)
+        live = np.flatnonzero(size > 0)
+        rounds = 0
+        while len(live):
+            rounds += 1
+            if rounds > 60 and len(live) < 200:
+                break
+            t = token[live]
+            end = at[live] + self.lengths[t]
+            good = ~dead[end]
+            d = depth[live]
+            pair = np.flatnonzero(good & (d > 0))
+            before = stack[base[live[pair]] + d[pair] - 1].astype(np.int64)
+            good[pair] = self._fit(before, t[pair])
+            x = live[good]
+            stack[base[x] + depth[x]] = t[good]
+            depth[x] += 1
+            at[x] = end[good]
+            token[x] = match[at[x]]
+            y = live[~good]
+            token[y] = self.shorters[t[~good]]
+            y = y[token[y] < 0]
+            while len(y):  # nothing shorter is left: take the predecessor back
+                dead[at[y]] = True
+                depth[y] -= 1
+                back = stack[base[y] + depth[y]].astype(np.int64)
+                at[y] -= self.lengths[back]
+                token[y] = self.shorters[back]
+                y = y[token[y] < 0]
+            live = live[at[live] < stop[live]]
+        packed = stack.tobytes()
+        out = [packed[4 * i: 4 * (i + k)] for i, k in zip(base[:-1].tolist(), depth.tolist(), strict=True)]
+        for i in live.tolist():
+            out[i] = self.encode_piece(texts[i])
+        return out
+
+    def _resolve(self, chunks: list[list[str]]) -> list[bytes]:
+        """Ids of chunks given as their pieces."""
+        holes = list(dict.fromkeys(p for c in chunks for p in c if self.known.get(p) is None))
+        fresh = dict(zip(holes, self.encode_pieces(holes), strict=True)) if holes else {}
+        out = [b"".join([fresh[p] if p in fresh else self.known.get(p) for p in c]) for c in chunks]
+        for p, v in fresh.items():
+            self.known.put(p, v)
+        return out
+
+    def encode_array(self, texts: pa.Array, special: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (no nulls), and the first of each text (n + 1).
+
+        No piece crosses from a non-space to a space, so single spaces cut a text into chunks, and each
+        distinct chunk is looked up once.  Where white space stands before a space the pattern looks at the
+        whole run; such texts, and those with special entries, are cut by the pattern alone."""
+        pieces, slow, heads = self.pieces.findall, [], []
+        for i, t in enumerate(texts.to_pylist()):
+            cuts = self.split.split(t) if special and self.split else [t]
+            if len(cuts) > 1 or _RUN.search(t):
+                slow.append(i)
+                heads.append([p for part in cuts for p in ([part] if part in self.special and special else pieces(part))])
+            else:
+                heads.append(pieces(t.split(" ", 1)[0]))
+        for i in slow if special else ():
+            for p in heads[i]:
+                if p in self.special:
+                    self.known.put(p, array("i", [self.special[p]]).tobytes())
+        if slow:
+            quick = np.ones(len(texts), dtype=bool)
+            quick[slow] = False
+            texts = pc.if_else(pa.array(quick), texts, "")
+        cut = pc.split_pattern(texts, " ")
+        first = cut.offsets.to_numpy()
+        rest = np.ones(int(first[-1]), dtype=bool)
+        rest[first[:-1]] = False
+        distinct = cut.values.filter(pa.array(rest)).dictionary_encode()
+        keys = distinct.dictionary.to_pylist()
+        values = [self.spaced.get(k) for k in keys]
+        late = [i for i, v in enumerate(values) if v is None]
+        got = self._resolve([pieces(" " + keys[i]) for i in late] + heads)
+        for i, v in zip(late, got, strict=False):
+            values[i] = self.spaced.put(keys[i], v)
+        values += got[len(late):]
+        entry = np.empty(len(rest), dtype=np.int64)
+        entry[rest] = distinct.indices.to_numpy()
+        entry[first[:-1]] = len(keys) + np.arange(len(texts))
+        flat = np.frombuffer(b"".join(values), dtype=np.int32)
+        size = np.array([len(v) // 4 for v in values], dtype=np.int64)
+        start = np.cumsum(size) - size
+        size, ends = size[entry], np.cumsum(size[entry])
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start[entry] - (ends - size), size)
+        return flat[at], np.concatenate([[0], ends])[first]
+
+    def encode(self, text: str, special: bool = True) -> list[int]:
+        return self.encode_array(pa.array([text], pa.string()), special)[0].tolist()
 
 
 _RUN = re.compile(r"\s ")
-_TABLES: dict[int, Bpe] = {}
+_TABLES: dict[tuple, Decoder] = {}
 
 
-def _tables(source) -> Bpe:
-    """One Bpe a Python worker (reused by its later tasks)."""
-    key = hash(source.value)
+def _tables(source, kind: type):
+    """One table a Python worker (reused by its later tasks)."""
+    key = (kind, hash(source.value))
     if key not in _TABLES:
         _TABLES.clear()
-        _TABLES[key] = Bpe(source.value)
+        _TABLES[key] = kind(source.value)
     return _TABLES[key]
 
 
@@ -198,28 +331,27 @@ def encode(docs: DataFrame, source, special: bool = True) -> DataFrame:
     rest = [c for c in docs.columns if c != "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _tables(source)
-        for b in batches:
-            packed = [bpe.encode(t or "", special) for t in b.column("text").to_pylist()]
-            values = np.frombuffer(b"".join(packed), dtype=np.int32)
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+        bpe = _tables(source, Encoder)
+        for b in small(batches):
+            values, first = bpe.encode_array(pc.fill_null(b.column("text"), ""), special)
+            ids = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, "ids"])
 
     return docs.select(*rest).mapInArrow(run, widened(docs.select(*rest), ids="array<int>"))
 
 
+def decode_batches(batches: Iterator[pa.RecordBatch], source) -> Iterator[pa.RecordBatch]:
+    """Batches with a column ``ids``, and the column ``decoded`` added."""
+    table = _tables(source, Decoder)
+    for b in small(batches):
+        texts = []
+        for ids in b.column("ids"):
+            values = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else np.zeros(0, np.int32)
+            texts.append(table.decode(values.astype(np.int64)).decode("utf-8", "replace"))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
+
+
 def decode(tokens: DataFrame, source) -> DataFrame:
     """Input columns and ``decoded`` (string): the text of ``ids``."""
-    rest = [c for c in tokens.columns if c != "decoded"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _tables(source)
-        for b in batches:
-            texts = []
-            for ids in b.column("ids"):
-                values = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else np.zeros(0, np.int32)
-                texts.append(bpe.decode(values.astype(np.int64)).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
-
-    return tokens.select(*rest).mapInArrow(run, widened(tokens.select(*rest), decoded="string"))
+    rows = tokens.select(*(c for c in tokens.columns if c != "decoded"))
+    return rows.mapInArrow(lambda it: decode_batches(it, source), widened(rows, decoded="string"))

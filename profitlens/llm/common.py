@@ -218,3 +218,10 @@ def without(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
     probed = probed.withColumn("_hit", F.coalesce(F.expr("(shiftright(_bits, cast(_bit & 63 as int)) & 1) = 1"), F.lit(False)))
     clear = probed.where(~F.col("_hit")).select(*rows.columns)
     return clear.unionByName(probed.where("_hit").select(*rows.columns).join(keys.select(*names).distinct(), list(names), "left_anti").select(*rows.columns))
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, to keep what a worker holds as Python objects low."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)

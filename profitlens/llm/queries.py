@@ -69,8 +69,8 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents under the vocabulary file at ``path``."""
     source = bpe.vocabulary(docs.sparkSession, path)
     tokens = bpe.encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), source)
-    texts = bpe.decode(tokens.select("doc_id", "ids"), source)
-    return texts.mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    # decoded and digested in one worker
+    return tokens.select("doc_id", "ids").mapInArrow(lambda it: _digests(bpe.decode_batches(it, source)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def vocabulary_path() -> str:
