@@ -7,14 +7,15 @@ hashes), with fewer words the whole sequence as one.  Two sets link when 5 * |in
    all shingles, rare ones first; and texts with one set get one set id (copies are one node from here on).
 2. A set sends only the first n - ceil(0.8 n) + 1 shingles of that order: similar sets share one of them.
    Rows are grouped by shingle and streamed in order of size.  Pairs must pass the length filter and the
-   positional filter.  A group of at most ``SMALL`` sets gives all its pairs; a larger one gives a star and
-   a chain, so that the many members of a group of near copies are not paired with each other.  Shingles
+   positional filter.  A group of at most ``SMALL`` sets gives all its pairs; a larger one gives a star around
+   its first set, so that the many members of a group of near copies are not paired with each other.  Shingles
    that the sketch shows to be frequent are salted over several tasks.
 3. Pairs are verified once each: a suffix filter (the sums of absolute differences of ``PARTS`` partition
    counts of both sets bound their difference from below), then the exact intersection of the two sets.
-4. Links give components.  In groups that were too large or salted, the pairs left are those between
-   different components; they pass the same filters, are verified, and complete the components: no pair of
-   linked texts is lost, and pairs that a component already connects need no look.
+4. Links give components.  In groups that were too large or salted, ``STARS`` more rounds pair each set with
+   a head of another component, which leaves few components in a group of near copies.  The pairs then left
+   are those between different components; all of them pass the same filters and are verified, and complete
+   the components: no pair of linked texts is lost, and pairs that a component already connects need no look.
 
 Defined results: a null or empty text has no shingles and links with nothing; repeated rows and texts with
 one set are linked; a null doc_id is the largest id (a component of such rows alone has a null id); texts are
@@ -37,6 +38,8 @@ BUCKETS = 1 << 18
 SMALL = 8
 #: Members beyond twice the mean bucket for which a frequent shingle gets one more salt.
 SALT_ROWS = 4096
+#: Rounds of stars before all pairs between components.
+STARS = 5
 #: Partitions of the suffix filter.
 PARTS = 64
 _BLOCK = 4096
@@ -160,9 +163,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rank[start == 0] += rank0
         fresh = np.arange(n) >= old
         out_a, out_b = [], []
-        for gap in range(1, SMALL):  # pairs within the first SMALL of a group, and the chain (gap 1)
-            i = np.flatnonzero(fresh & (rank >= gap) & ((rank < SMALL) | (gap == 1)))
-            i = i[i - gap >= 0]
+        for gap in range(1, SMALL):  # pairs within the first SMALL of a group
+            i = np.flatnonzero(fresh & (rank >= gap) & (rank < SMALL))
             j = i - gap
             good = _can_link(size[j].astype(np.int64), pos[j], size[i].astype(np.int64), pos[i]) & (sid[i] != sid[j])
             out_a.append(sid[j[good]])
@@ -220,8 +222,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(sets, pa.binary())], names=["sid", "shingles"])
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, linked) of the distinct pairs of set ids; nodes: sid, n, sig, dkey, tkey of a text with the set."""
+def _set_table(sids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(sid, shingles) of the set ids, computed anew from one text of each; nodes: sid, n, sig, dkey, tkey."""
+    need = stored(sids.join(nodes.select("sid", "dkey", "tkey"), "sid").select("dkey", "tkey"), "candidate-texts")
+    texts = maybe_in(docs, need, "dkey", "tkey").select("text")
+    return stored(texts.mapInArrow(_sets, "sid long, shingles binary").where("sid is not null"), "candidate-sets")
+
+
+def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that pass the suffix filter."""
     info = nodes.select("sid", "n", "sig")
     both = pairs.join(info.toDF("a", "na", "ga"), "a").join(info.toDF("b", "nb", "gb"), "b")
 
@@ -234,16 +243,46 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             apart = np.abs(ga - gb).sum(axis=1)  # at most the true difference of the sets
             yield x.select(["a", "b"]).filter(pa.array(apart <= na + nb - 2 * ((4 * (na + nb) + 8) // 9)))
 
-    left = stored(both.mapInArrow(suffix_filter, "a long, b long"), "candidate-pairs")
-    need = left.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(nodes.select("sid", "dkey", "tkey"), "sid")
-    need = stored(need.select("dkey", "tkey"), "candidate-texts")
-    texts = maybe_in(docs, need, "dkey", "tkey")
-    sets = texts.select("text").mapInArrow(_sets, "sid long, shingles binary").where("sid is not null")
-    sets = stored(sets.groupBy("sid").agg(F.first("shingles").alias("shingles")), "candidate-sets")
-    joined = left.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    return stored(both.mapInArrow(suffix_filter, "a long, b long"), "candidate-pairs")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, linked) of the pairs, by the exact intersections."""
+    joined = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     return stored(joined.mapInArrow(_verify, "a long, b long, linked boolean"), "verified-pairs")
 
 
+def _links(pairs: DataFrame) -> DataFrame:
+    return pairs.where("linked").select("a", "b")
+
+
+_FILTER = "5 * least(na, nb) >= 4 * greatest(na, nb) and 1 + least(na - ia - 1, nb - ib - 1) >= floor((4 * (na + nb) + 8) / 9)"
+
+
+def _groups(large: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows (tok, sid, size, pos, root) of the shingles whose sets are not all of one component yet."""
+    rows = large.select("tok", "sid", "size", "pos").join(groups, F.col("sid") == F.col("node"), "left")
+    rows = stored(rows.select("tok", "sid", "size", "pos", F.coalesce("root", "sid").alias("root")), "large-groups")
+    mixed = rows.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
+    return stored(rows.join(mixed, "tok", "left_semi"), "mixed-groups")
+
+
+def _star(mixed: DataFrame, k: int) -> DataFrame:
+    """Pairs of each row with its shingle's head, if their components differ.  The head has the least hash of
+    set id and round, so that the shingles of similar sets mostly agree on it."""
+    head = F.min(F.struct(F.xxhash64("sid", F.lit(k)).alias("o"), "sid", "size", "pos", "root")).alias("h")
+    heads = mixed.groupBy("tok").agg(head).selectExpr("tok", "h.sid b", "h.size nb", "h.pos ib", "h.root rb")
+    rows = mixed.toDF("tok", "a", "na", "ia", "ra").join(heads, "tok").where("ra <> rb and " + _FILTER)
+    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _across(mixed: DataFrame) -> DataFrame:
+    """All pairs of sets of different components that share a shingle and pass the filters."""
+    x, y = mixed.toDF("tok", "a", "na", "ia", "ra"), mixed.toDF("tok", "b", "nb", "ib", "rb")
+    pairs = x.join(y, "tok").where("a < b and ra <> rb and " + _FILTER)
+    return pairs.select("a", "b").distinct()
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id, dkey, tkey, n_shingles, sid (the set's id) and component_id of each row."""
     rows = keyed(docs).select("doc_id", "dkey", "tkey", "text")
@@ -260,24 +299,23 @@ def similar(docs: DataFrame) -> DataFrame:
     prefix = rows.select("text").mapInArrow(lambda it: _prefixes(it, shared.value), "tok long, salt int, sid long, size int, pos int")
     order = ["tok", "salt", "size", "sid"]
     found = stored(prefix.repartition("tok", "salt").sortWithinPartitions(*order).mapInArrow(_pairs, _CANDIDATES), "candidates")
-    pairs = found.where("b is not null").select("a", "b").distinct()
-    checked = _verified(pairs, nodes, rows)
-    links = checked.where("linked").select("a", "b")
-    groups = components(links)
+    pairs = _plausible(found.where("b is not null").select("a", "b").distinct(), nodes)
+    checked = _verified(pairs, _set_table(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), nodes, rows))
+    groups = stored(components(_links(checked)), "components")
 
     large = found.where("b is null").select("tok", F.col("a").alias("sid"), "size", "pos").distinct()
-    labelled = large.join(groups, large["sid"] == groups["node"], "left").select("tok", "sid", "size", "pos", F.coalesce("root", "sid").alias("root"))
-    labelled = stored(labelled, "large-groups")
-    mixed = labelled.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
-    labelled = stored(labelled.join(mixed, "tok", "left_semi"), "mixed-groups")
-    x, y = labelled.toDF("tok", "a", "na", "ia", "ra"), labelled.toDF("tok", "b", "nb", "ib", "rb")
-    apart = F.expr("ra <> rb and (na < nb or (na = nb and a < b)) and 5 * na >= 4 * nb "
-                   "and 1 + least(na - ia - 1, nb - ib - 1) >= floor((4 * (na + nb) + 8) / 9)")
-    more = x.join(y, "tok").where(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = stored(more.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "cross-pairs")
-    if not more.isEmpty():
-        late = _verified(more, nodes, rows).where("linked").select("a", "b")
-        groups = components(links.unionByName(late))
+    mixed = _groups(large, groups)
+    if not mixed.isEmpty():
+        sets = _set_table(mixed.select("sid").distinct(), nodes, rows)
+        # a few rounds of stars, while they link anything, leave few components; then all pairs between those
+        for k in range(STARS + 1):
+            last = k == STARS
+            new = (_across(mixed) if last else _star(mixed, k)).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+            more = _verified(_plausible(new, nodes), sets)
+            checked = checked.unionByName(more)
+            if last or not _links(more).isEmpty():
+                groups = stored(components(_links(checked)), "components")
+                mixed = mixed if last else _groups(mixed, groups)
     of = nodes.select("sid", "dkey").join(groups.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "dkey", F.coalesce("root", "sid").alias("root"))
     least = of.groupBy("root").agg(F.min("dkey").alias("component"))
     of = of.join(least, "root").select("sid", "component")
