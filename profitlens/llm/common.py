@@ -22,7 +22,7 @@ from profitlens.session import ensure_checkpoint_dir
 
 NULL_ID = 9223372036854775807
 #: Bytes of text handled at once inside a task; a longer document is a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _WS = np.zeros(256, dtype=bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
