@@ -34,7 +34,7 @@ ALPHA = 0.1
 CLUSTERED = 1000
 CLASSES = 64
 ROUNDS = 8
-TOP = 1 << 20
+TOP = 1 << 18
 #: Distinct words that a task gathers before it sends their counts.
 GATHER = 2_000_000
 
