@@ -3,11 +3,10 @@
 Conventions (one place, used by the Spark plans and mirrored by the oracle SQL):
 
 * money columns are ``DECIMAL(12,2)``; totals are exact sums of integer cents (``sum_cents``),
-  reported in currency units as ``double`` (``dollars``).  A ``long`` cents sum stays on Spark's
-  fixed-width aggregation fast path, where ``sum(decimal(12,2))`` — a ``decimal(22,2)`` buffer —
-  does not; it is exact up to ±9.2e16 currency units per sum, and with ANSI mode on an overflow
-  raises instead of wrapping.  ``dollars(cents)`` equals ``cast(round(sum(x), 2) as double)``
-  bit for bit;
+  reported in currency units as ``double`` (``dollars``).  Cents are summed in two ``long`` parts
+  (millions of cents and the rest), which stay on Spark's fixed-width aggregation fast path, and
+  are joined as ``decimal(38,0)`` after the aggregate: a part holds 9e18 / 1e6 = 9e12 rows of any
+  12-digit amount, with ANSI mode on or off;
 * a ratio is computed in double, fixed to 6 decimals, then rounded half-up to 2 decimals
   (``round_ratio``).  This is exact-decimal behaviour for all practical purposes and makes the
   result independent of each engine's rules for rounding doubles;
@@ -55,13 +54,15 @@ def cents(c) -> Column:
 
 
 def sum_cents(c) -> Column:
-    """Exact sum of a money column, in cents (``long``)."""
-    return F.sum(cents(c))
+    """Exact sum of a money column, in cents (``decimal(38,0)``), free of overflow at any table size."""
+    x, part = cents(c), F.lit(1_000_000)
+    high, low = F.sum(F.call_function("div", x, part)), F.sum(x % part)
+    return (high.cast("decimal(31,0)") * F.lit(1_000_000).cast("decimal(7,0)") + low.cast("decimal(31,0)")).cast("decimal(38,0)")
 
 
 def dollars(c) -> Column:
     """Cents → currency units as double (same value as ``cast(decimal_sum as double)``)."""
-    return _col(c) / F.lit(100.0)
+    return _col(c).cast("double") / F.lit(100.0)
 
 
 def money_sum(c) -> Column:

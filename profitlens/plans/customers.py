@@ -42,12 +42,14 @@ def order_totals(ff: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def customer_totals(ff: DataFrame, order: DataFrame) -> DataFrame:
-    """Per-customer sums plus the number of distinct orders (one per-order row each)."""
+    """Per-customer sums plus the number of distinct orders (one per-order row each); the profit of a
+    customer whose profits are all NULL is 0 (H17)."""
     return (
         order_totals(ff, order)
         .where(F.col(CID).isNotNull())
         .groupBy(CID)
         .agg(F.count(F.lit(1)).alias("n_orders"), *_sum_cols())
+        .withColumn("profit_raw", F.coalesce("profit_raw", F.lit(0)))
     )
 
 
