@@ -18,9 +18,8 @@ from profitlens.llm.queries import bpe_digests, vocabulary_path
 
 def _drop(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the documents of ``gone`` (dkey, tkey)."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "dkey", "tkey")]
-    rows = keyed(docs.withColumn("_text", F.col("text")), "_text", *rest)
-    return without(rows, gone, "dkey", "tkey").withColumn("text", F.col("_text")).select(*docs.columns)
+    rows = keyed(docs.select("doc_id", "text", F.struct("*").alias("row")), "row")
+    return without(rows, gone, "dkey", "tkey").select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +28,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(docs).withColumnRenamed("kept_text", "text")
-    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    kept = line_dedup.dedup_lines(docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("row")))
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)}
+    return kept.select(*((new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -263,9 +263,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """Input columns but html, then text."""
-    rest = [c for c in pages.columns if c not in ("html", "text", "host", "templates", "salt")]
+    rest = [c for c in pages.columns if c not in ("html", "text")]
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(*rest, body.alias("html"), _host().alias("host"), F.pmod(F.xxhash64(body), F.lit(SALTS)).cast("int").alias("salt"))
+    rows = pages.select(F.struct(*rest).alias("rest"), body.alias("html"), _host().alias("host"),  # a struct, so that no name clashes
+                        F.pmod(F.xxhash64(body), F.lit(SALTS)).cast("int").alias("salt"))
     lists = site_templates(pages, min_pages, min_share).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = rows.join(lists, ["host", "salt"], "left").select(*rest, "html", "templates")
-    return joined.mapInArrow(_extract, widened(pages.select(*rest), text="string"))
+    joined = rows.join(lists, ["host", "salt"], "left").select("rest", "html", "templates")
+    return joined.mapInArrow(_extract, widened(rows.select("rest"), text="string")).select("rest.*", "text")

@@ -386,11 +386,11 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """Input columns but text; kept (bytes), n_bytes, n_removed, n_spans and spans (start, end, start, ...)."""
-    own = {"text", "kept", "n_bytes", "n_removed", "n_spans", "spans", "dkey", "tkey", "intervals"}
-    rest = [c for c in docs.columns if c not in own]
+    rest = [c for c in docs.columns if c not in ("text", "kept", "n_bytes", "n_removed", "n_spans", "spans")]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(*rest, text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("dkey"), F.xxhash64(text).alias("tkey"))
+    rows = docs.select(F.struct(*rest).alias("rest"), text.alias("text"),  # a struct, so that no name clashes
+                       F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("dkey"), F.xxhash64(text).alias("tkey"))
     lists = repeated_intervals(docs).groupBy("dkey", "tkey").agg(F.collect_list(F.struct("start", "end")).alias("intervals"))
-    joined = rows.join(lists, ["dkey", "tkey"], "left").select(*rest, "text", "intervals")
+    joined = rows.join(lists, ["dkey", "tkey"], "left").select("rest", "text", "intervals")
     types = {"kept": "binary", "n_bytes": "long", "n_removed": "long", "n_spans": "long", "spans": "array<long>"}
-    return joined.mapInArrow(_remove, widened(docs.select(*rest), **types))
+    return joined.mapInArrow(_remove, widened(rows.select("rest"), **types)).select("rest.*", *types)
