@@ -34,7 +34,7 @@ from profitlens.llm.common import small, widened
 #: Fixed value: the pre-tokenisation pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Strings in one generation of a Python worker's memo.
-MEMO = 200_000
+MEMO = 50_000
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -45,22 +45,26 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def read_vocabulary(source: str) -> tuple[dict[bytes, int], dict[str, int], list[tuple[bytes, bytes]]]:
+    """Ids by entry, ids by special string, and the merges in order."""
+    spec = json.loads(source)
+    symbols = _byte_symbols()
+    raw = lambda s: bytes(symbols[c] for c in s)
+    pairs = (p.split(" ") if isinstance(p, str) else p for p in spec["model"]["merges"])
+    return ({raw(k): v for k, v in spec["model"]["vocab"].items()}, {t["content"]: t["id"] for t in spec["added_tokens"]},
+            [(raw(a), raw(b)) for a, b in pairs])
+
+
 class Decoder:
     """Offset table over all entries of a vocabulary, built from the text of its JSON file."""
 
     def __init__(self, source: str) -> None:
-        spec = json.loads(source)
-        symbols = _byte_symbols()
-        self.raw = lambda s: bytes(symbols[c] for c in s)
-        self.vocab = {self.raw(k): v for k, v in spec["model"]["vocab"].items()}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.merges = spec["model"]["merges"]
-        self.size = max([*self.vocab.values(), *self.special.values()]) + 1
+        vocab, self.special, _ = read_vocabulary(source)
+        self.size = max([*vocab.values(), *self.special.values()]) + 1
         entries = [b""] * self.size
-        for k, v in [*self.vocab.items(), *((s.encode(), i) for s, i in self.special.items())]:
+        for k, v in [*vocab.items(), *((s.encode(), i) for s, i in self.special.items())]:
             entries[v] = k
-        self.length = [len(x) for x in entries]
-        self.offsets = np.concatenate([[0], np.cumsum(np.array(self.length, dtype=np.int64))])
+        self.offsets = np.concatenate([[0], np.cumsum(np.array([len(x) for x in entries], dtype=np.int64))])
         self.blob = np.frombuffer(b"".join(entries), dtype=np.uint8)
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -99,12 +103,13 @@ class Encoder(Decoder):
 
     def __init__(self, source: str) -> None:
         super().__init__(source)
-        vocab, size = self.vocab, self.size
+        vocab, _, merges = read_vocabulary(source)
+        size = self.size
+        self.length = np.diff(self.offsets).tolist()
         self.merge: dict[tuple[int, int], int] = {}
         self.rank = [-1] * size
         self.parts = [(0, 0)] * size
-        for rank, pair in enumerate(self.merges):
-            left, right = (self.raw(x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
+        for rank, (left, right) in enumerate(merges):
             a, b, ab = vocab[left], vocab[right], vocab[left + right]
             self.merge[a, b] = rank
             if self.rank[ab] < 0:
@@ -142,7 +147,7 @@ class Encoder(Decoder):
                 limit, b = rb + 1, self.parts[b][0]  # equal ranks merge from the left
             else:
                 break
-        if len(self.fits) >= 2 * MEMO:
+        if len(self.fits) >= 8 * MEMO:
             self.fits.clear()
         self.fits[key] = good
         return good

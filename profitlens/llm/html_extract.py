@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from profitlens.llm.common import stored, widened
+from profitlens.llm.common import small, stored, widened
 
 MIN_PAGES = 3
 MIN_SHARE = 0.2
@@ -228,7 +228,7 @@ def _host():
 
 
 def _hash_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         hosts, hashes = [], []
         for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
             root = parse(page)
@@ -250,7 +250,7 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         texts = []
         for page, templates in zip(b.column("html").to_pylist(), b.column("templates").to_pylist(), strict=True):
             root = parse(page)

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from profitlens.llm.common import NULL_ID, chunks, components, keyed, maybe_in, mix, signed, stored, word_hashes, words
+from profitlens.llm.common import NULL_ID, chunks, components, keyed, maybe_in, mix, signed, small, stored, word_hashes, words
 
 WORDS = 5
 #: Sums of the frequency sketch.
@@ -80,7 +80,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each text (n, sid, sig) and, last, the task's sketch in blocks of counts."""
     names = ["doc_id", "dkey", "tkey", "n", "sid", "sig", "block", "counts"]
     sketch = np.zeros(BUCKETS, dtype=np.int64)
-    for b in batches:
+    for b in small(batches):
         sizes, ids, sigs = [], [], []
         for s in shingle_sets(b.column("text")):
             np.add.at(sketch, (s >> _SHIFT).astype(np.int64), 1)
@@ -102,7 +102,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _prefixes(batches: Iterator[pa.RecordBatch], sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
     extra = np.maximum(sketch - 2 * max(1, int(sketch.mean())), 0) // SALT_ROWS
-    for b in batches:
+    for b in small(batches):
         toks, sids, sizes = [], [], []
         for s in shingle_sets(b.column("text")):
             if not len(s):
@@ -201,7 +201,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         good = []
         for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
             x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
@@ -213,7 +213,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         ids, sets = [], []
         for s in shingle_sets(b.column("text")):
             ids.append(set_id(s) if len(s) else None)

@@ -26,14 +26,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from profitlens.llm.common import NULL_ID, keyed, stored, widened
+from profitlens.llm.common import NULL_ID, keyed, small, stored, widened
 
 MIN_CHARS = 10
 _STRIP = " \t\n\x0b\x0c\r"
 
 
 def _hash_lines(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         rows, pos, digests = [], [], []
         for r, text in enumerate(b.column("text").to_pylist()):
             for p, line in enumerate(text.split("\n")):
@@ -110,7 +110,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         kept, total, gone = [], [], []
         for text, keep in zip(b.column("text").to_pylist(), b.column("keep").to_pylist(), strict=True):
             lines = text.split("\n")

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from profitlens.llm.common import chunks, mix, widened, word_hashes, words
+from profitlens.llm.common import chunks, mix, small, widened, word_hashes, words
 
 DIMS = 1024
 RANK = 64
@@ -86,7 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE) -> dict
     texts = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             at = 0
             for x in _counts(b.column("text")):
                 yield pa.RecordBatch.from_arrays(
@@ -128,7 +128,7 @@ def classify(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             s = vote(shared.value, b.column("text"))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))],
                                              names=[*b.schema.names, "score", "predicted"])

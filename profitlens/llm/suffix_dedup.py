@@ -35,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from profitlens.llm.common import NULL_ID, chunks, keyed, maybe_in, mix, prefix_hash, signed, span_hash, stored, widened
+from profitlens.llm.common import NULL_ID, chunks, keyed, maybe_in, mix, prefix_hash, signed, small, span_hash, stored, widened
 
 LENGTH = 400
 GRAM = 32
@@ -152,7 +152,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with their lists of contexts to a row a context with its bytes, or, for anchors with very
     many contexts, a row a window with its hash."""
     names = ["kind", "k1", "k2", "dkey", "tkey", "a", "lo", "hi", "bytes"]
-    for b in batches:
+    for b in small(batches):
         out: list[list] = [[] for _ in names]
 
         def send() -> pa.RecordBatch:
@@ -361,7 +361,7 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         kept, sizes, gone, runs, spans = [], [], [], [], []
         for text, found in zip(b.column("text").to_pylist(), b.column("intervals").to_pylist(), strict=True):
             data = text.encode()
