@@ -5,7 +5,8 @@ import io
 
 import pytest
 
-import __spark_entry__ as E
+
+from profitlens.plans.catalog import spark_queries
 
 from conftest import SF_SMALL
 
@@ -19,7 +20,7 @@ def _plan(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: _plan(fn(spark, SF_SMALL)) for name, fn in E.queries().items()}
+    return {name: _plan(fn(spark, SF_SMALL)) for name, fn in spark_queries().items()}
 
 
 def test_no_python_and_no_cartesian_product_anywhere(plans):

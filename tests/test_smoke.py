@@ -1,6 +1,7 @@
 """t1: the driver's smoke entry and the registry contract."""
 
 import __spark_entry__ as E
+from profitlens.plans.catalog import oracle_queries, spark_queries
 
 
 def test_entry_runs_on_smallest_scale(spark):
@@ -12,11 +13,11 @@ def test_entry_runs_on_smallest_scale(spark):
 
 
 def test_every_query_has_an_oracle_except_documented():
-    q, o = E.queries(), E.oracle_sql()
+    q, o = spark_queries(), oracle_queries()
     assert set(o) <= set(q)
     assert set(q) == set(o), sorted(set(q) - set(o))
 
 
 def test_registry_names_are_plain():
-    for name in E.queries():
+    for name in spark_queries():
         assert name.isidentifier() and name == name.lower()
