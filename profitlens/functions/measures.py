@@ -47,6 +47,11 @@ def ratio(part, whole) -> Column:
     return round_ratio(_safe_div(_col(part), _col(whole)), 6)
 
 
+def unrounded(part, whole) -> Column:
+    """``part / whole`` as double, NULL on a zero divisor: what rankings by a ratio order by."""
+    return _safe_div(_col(part), _col(whole))
+
+
 def cents(c) -> Column:
     """A DECIMAL(12,2) amount as an exact integer number of cents (double round trip is exact
     far beyond the 12-digit range)."""

@@ -21,22 +21,28 @@ from pyspark.sql import functions as F
 
 from profitlens.session import ensure_checkpoint_dir
 
+#: Rows that one task numbers, about 0.5 GB of a narrow fact.
+ROWS_PER_TASK = 8_000_000
 
-def dense_surrogate_key(df: DataFrame, order_cols: Sequence[str], name: str, num_partitions: int | None = None) -> DataFrame:
+
+def dense_surrogate_key(df: DataFrame, order_cols: Sequence[str], name: str, rows: int | None = None) -> DataFrame:
     """Add ``name`` = 1..N following ``order_cols`` (ascending, NULLs first).
 
     ``order_cols`` should identify a row; rows that tie on all of them are interchangeable, so
-    which of them gets which id does not change the result."""
+    which of them gets which id does not change the result.  ``rows``, an upper bound of the number of
+    rows, sets the number of partitions (``ROWS_PER_TASK`` each); without it the session's shuffle
+    partitions are used, which AQE may coalesce."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c).asc_nulls_first() for c in order_cols]
     rest = [c for c in df.columns if c not in order_cols]
     # deterministic tie-break: equal keys are spread by a hash of the row, then fully ordered
     ties = [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).asc()] + [F.col(c).asc_nulls_first() for c in rest]
     if rest:
         keys = keys + ties
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(*keys) if not rows else df.repartitionByRange(max(least, -(-rows // ROWS_PER_TASK)), *keys)
+    ranged = ranged.sortWithinPartitions(*keys).checkpoint(eager=True)
     local = ranged.select(
         "*",
         F.spark_partition_id().alias("_pid"),

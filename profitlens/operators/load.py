@@ -75,9 +75,10 @@ def _order_groups(raw: DataFrame) -> DataFrame:
     return raw.select(*ORDER_NATURAL_KEY).distinct()  # GROUP BY the four columns
 
 
-def order_keys(raw: DataFrame) -> DataFrame:
-    """Distinct raw order tuples with their surrogate ``Order ID`` (natural-key order)."""
-    return dense_surrogate_key(_order_groups(raw), ORDER_NATURAL_KEY, "Order ID")
+def order_keys(raw: DataFrame, rows: int | None = None) -> DataFrame:
+    """Distinct raw order tuples with their surrogate ``Order ID`` (natural-key order); ``rows`` is the
+    number of raw rows, where it is known."""
+    return dense_surrogate_key(_order_groups(raw), ORDER_NATURAL_KEY, "Order ID", rows)
 
 
 def dim_order(raw: DataFrame, keyed: DataFrame | None = None) -> DataFrame:
@@ -98,13 +99,11 @@ def dim_factory(raw: DataFrame, attrs: Sequence[str] = ("Longitude", "Latitude")
 
 
 def dim_product(raw: DataFrame, product_map: DataFrame) -> DataFrame:
-    """Mapped id, factory, name, division — distinct, unmapped names dropped."""
-    mapped = map_by_name(raw, product_map, "Product Name", "Product ID")
-    return (
-        mapped.select("Product ID", F.col("Factory").alias("Factory ID"), "Product Name", "Division")
-        .distinct()
-        .where(F.col("Product ID").isNotNull())
-    )
+    """Mapped id, factory, name, division — distinct, unmapped names dropped.  A name has one id, so
+    DISTINCT comes before the mapping, which then sees one row per product and not one per order line."""
+    products = raw.select(F.col("Factory").alias("Factory ID"), "Product Name", "Division").distinct()
+    mapped = map_by_name(products, product_map, "Product Name", "Product ID")
+    return mapped.where(F.col("Product ID").isNotNull()).select("Product ID", "Factory ID", "Product Name", "Division")
 
 
 def order_ids(order: DataFrame) -> DataFrame:
@@ -114,15 +113,17 @@ def order_ids(order: DataFrame) -> DataFrame:
 
 # -- fact (B5) --------------------------------------------------------------------------------------
 def fact_load(raw: DataFrame, product_map: DataFrame, factory_map: DataFrame,
-              keyed_orders: DataFrame | None = None, row_index: str = "Unnamed: 0") -> DataFrame:
+              keyed_orders: DataFrame | None = None, row_index: str = "Unnamed: 0",
+              rows: int | None = None) -> DataFrame:
     """Measures of every raw row with its order, product and factory keys and a dense
     ``Financial Figures ID``.
 
     Orders are found by a null-safe equi-join on the four natural-key columns (a large-large
     sort-merge join at scale); the name dictionaries are small lookups.  Ids follow the source's
     row order (AUTO_INCREMENT numbers rows as they are inserted), with the fact columns as
-    tie-breakers where the row index repeats."""
-    keyed = keyed_orders if keyed_orders is not None else order_keys(raw)
+    tie-breakers where the row index repeats.  ``raw`` is read twice (orders, then rows): pass a stored
+    table, and its number of ``rows``, where it is the result of joins."""
+    keyed = keyed_orders if keyed_orders is not None else order_keys(raw, rows)
     cond = [raw[c].eqNullSafe(keyed[c]) for c in ORDER_NATURAL_KEY]
     with_order = raw.join(keyed, cond, "left").select(raw["*"], keyed["Order ID"])
     mapped = map_by_name(with_order, product_map, "Product Name", "Product ID")
@@ -138,6 +139,6 @@ def fact_load(raw: DataFrame, product_map: DataFrame, factory_map: DataFrame,
         "Factory ID",
         "Product ID",
     )
-    return dense_surrogate_key(fact, ["_source_row", *cols], "Financial Figures ID").select(
+    return dense_surrogate_key(fact, ["_source_row", *cols], "Financial Figures ID", rows).select(
         "Financial Figures ID", *cols
     )

@@ -1,8 +1,8 @@
 """Data-quality operators beyond the fact counts: keys, lists, shared products, unmapped ids,
 column domains (Q7-Q13, U5).
 
-Nothing here collects a group into one task: list outputs are built per key from DISTINCT
-(key, value) pairs, and cross-table checks are anti-joins.
+Nothing here collects a group into one task: values per key are returned as DISTINCT (key, value)
+pairs, and cross-table checks are joins to distinct keys.
 """
 
 from __future__ import annotations
@@ -62,16 +62,14 @@ def fk_orphans(relations: Sequence[tuple[str, DataFrame, str, DataFrame, str]])
     return out
 
 
-def distinct_values_per_key(df: DataFrame, key: str, value: str, out_list: str, out_count: str) -> DataFrame:
-    """Q9/Q10: distinct values of ``value`` per ``key`` as a sorted ``|``-joined list.
+def distinct_values_per_key(df: DataFrame, key: str, value: str, out_count: str) -> DataFrame:
+    """Q9/Q10: the distinct (key, value) pairs, each with the key's number of distinct values.
 
-    DISTINCT (key, value) pairs are formed first (map-side combined), so each key's list holds
-    only its distinct values; NULL keys are dropped and NULL values ignored (H17)."""
+    NULL keys are dropped and NULL values not counted (H17); a key without any value keeps one row.
+    Pairs instead of a list per key: a placeholder key with very many values stays spread over tasks."""
     pairs = df.select(key, value).where(F.col(key).isNotNull()).distinct()
-    return pairs.groupBy(key).agg(
-        F.count(F.col(value)).alias(out_count),
-        F.array_join(F.sort_array(F.collect_list(F.col(value).cast("string"))), "|").alias(out_list),
-    )
+    counts = pairs.groupBy(key).agg(F.count(F.col(value)).alias(out_count))
+    return pairs.join(counts, key).where(F.col(value).isNotNull() | (F.col(out_count) == 0))
 
 
 def factory_products(ff: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ and a grand total (shares, ranks against totals, top-k then drill-down), the agg
 intermediate is therefore written once to the cluster's checkpoint folder — reliable storage,
 so an executor loss never recomputes it from the fact — and every branch reads that copy.
 
-Only aggregated data goes through here (one row per entity), never the fact itself.
+Reports pass only aggregated data through here (one row per entity).  The load step is the exception:
+``fact_load`` and ``pk_violations`` store the denormalised rows, which they read several times.
 """
 
 from __future__ import annotations

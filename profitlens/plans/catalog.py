@@ -23,7 +23,7 @@ Report = Callable[[Star], DataFrame]
 # name -> function of the star schema
 REPORTS: dict[str, Report] = {
     # data quality (Q1-Q6)
-    "row_count": lambda s: O.row_count(s.fact),
+    "row_count": lambda s: O.row_count(s.fact_keys),
     "null_counts": lambda s: O.null_counts(s.fact),
     "loss_rows": lambda s: O.loss_rows(s.fact),
     "zero_profit_rows": lambda s: O.zero_profit_rows(s.fact),

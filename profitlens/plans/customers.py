@@ -56,15 +56,17 @@ def customer_totals(ff: DataFrame, order: DataFrame) -> DataFrame:
 # -- A32-A33 -------------------------------------------------------------------------------------
 def customer_profit(ff: DataFrame, order: DataFrame) -> DataFrame:
     """Total gross profit per customer, highest first (null customers dropped, H17)."""
-    return customer_totals(ff, order).select(
-        CID, dollars("profit_raw").alias(TGP)
-    ).orderBy(F.col(TGP).desc(), CID)
+    return _customer_profit_rows(ff, order).orderBy(F.col(TGP).desc(), CID)
+
+
+def _customer_profit_rows(ff: DataFrame, order: DataFrame) -> DataFrame:
+    return customer_totals(ff, order).select(CID, dollars("profit_raw").alias(TGP))
 
 
 def best_worst_customer(ff: DataFrame, order: DataFrame) -> DataFrame:
     """First and last customer of A32's ordering (ties by Customer ID)."""
     return first_and_last(
-        customer_profit(ff, order),
+        _customer_profit_rows(ff, order),
         [F.col(TGP).desc_nulls_last(), F.col(CID).asc()],
         [F.col(TGP).asc_nulls_first(), F.col(CID).desc()],
     )
@@ -211,24 +213,28 @@ def top_customers_discount(ff, order, n: int = 10) -> DataFrame:
 def loss_makers(ff, order) -> DataFrame:
     """Products, factories and customers whose summed profit is negative.
 
-    Products and factories come from one scan of the fact (grouping sets); customers from the
-    per-order rows."""
-    g = ff.groupingSets([[PID], [FID]], PID, FID).agg(
-        F.grouping_id().alias("_set"),
-        F.count(F.lit(1)).alias("num_records"),
-        sum_cents("Gross Profit").alias("profit_raw"),
-    )
-    prod = g.where((F.col("_set") == 1) & F.col(PID).isNotNull()).select(
-        F.lit(K.ENTITY_PRODUCT).alias("entity_type"), F.col(PID).cast("string").alias("entity_id"),
-        "num_records", "profit_raw",
-    )
-    fac = g.where((F.col("_set") == 2) & F.col(FID).isNotNull()).select(
-        F.lit(K.ENTITY_FACTORY).alias("entity_type"), F.col(FID).cast("string").alias("entity_id"),
-        "num_records", "profit_raw",
+    One scan of the fact: its sums per product, factory and order (grouping sets) are stored once; customers
+    come from the order rows."""
+    g = shared(
+        ff.groupingSets([[PID], [FID], [OID]], PID, FID, OID).agg(
+            F.grouping_id().alias("_set"),
+            F.count(F.lit(1)).alias("num_records"),
+            sum_cents("Gross Profit").alias("profit_raw"),
+        )
     )
-    cust = customer_totals(ff, order).select(
-        F.lit("Customer").alias("entity_type"), F.col(CID).cast("string").alias("entity_id"),
-        F.col("n_rows").alias("num_records"), "profit_raw",
+
+    def entities(entity_type: str, key: str, grouping: int) -> DataFrame:
+        rows = g.where((F.col("_set") == grouping) & F.col(key).isNotNull())
+        return rows.select(F.lit(entity_type).alias("entity_type"), F.col(key).cast("string").alias("entity_id"),
+                           "num_records", "profit_raw")
+
+    prod, fac = entities(K.ENTITY_PRODUCT, PID, 0b011), entities(K.ENTITY_FACTORY, FID, 0b101)
+    per_order = g.where(F.col("_set") == 0b110).select(OID, "num_records", "profit_raw")
+    cust = (
+        per_order.join(order.select(OID, CID).where(F.col(CID).isNotNull()), OID)
+        .groupBy(CID)
+        .agg(F.sum("num_records").alias("num_records"), F.sum("profit_raw").alias("profit_raw"))
+        .select(F.lit("Customer").alias("entity_type"), F.col(CID).cast("string").alias("entity_id"), "num_records", "profit_raw")
     )
     return (
         prod.unionByName(fac)

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from profitlens.operators import load as L
 from profitlens.operators import quality as Q
+from profitlens.operators.share import shared
 from profitlens.sources.proxy import Star
 
 DOMAIN_COLUMNS = [
     "Product Name", "Factory", "State/Province", "City", "Gross Profit",
     "Ship Mode", "Country/Region", "Division", "Customer ID",
 ]
+FACT_SOURCE = [
+    "Unnamed: 0", *L.ORDER_NATURAL_KEY, "Product Name", "Factory", "Units", "Sales", "Cost", "Gross Profit",
+]
 
 
 def enriched_raw(s: Star) -> DataFrame:
@@ -19,76 +24,92 @@ def enriched_raw(s: Star) -> DataFrame:
 
 
 def composite_order_ids(s: Star) -> DataFrame:
-    mapped = L.map_by_name(s.raw, s.product_name_map, "Product Name", "Product ID")
+    raw = s.raw_of("Unnamed: 0", "Order Date", "Customer ID", "Product Name")
+    mapped = L.map_by_name(raw, s.product_name_map, "Product Name", "Product ID")
     return L.composite_order_id(mapped).select("Unnamed: 0", "Order ID")
 
 
 def dim_customer(s: Star) -> DataFrame:
-    return L.dim_customer(s.raw)
+    return L.dim_customer(s.raw_of("Customer ID", "Country/Region", "State/Province", "City", "Postal Code"))
 
 
 def dim_order(s: Star) -> DataFrame:
-    return L.dim_order(s.raw)
+    return L.dim_order(s.raw_of(*L.ORDER_NATURAL_KEY))
 
 
 def dim_factory(s: Star) -> DataFrame:
-    return L.dim_factory(s.raw, attrs=("Factory Nation",))
+    return L.dim_factory(s.raw_of("Factory", "Factory Nation"), attrs=("Factory Nation",))
 
 
 def dim_product(s: Star) -> DataFrame:
-    return L.dim_product(s.raw, s.product_name_map)
+    return L.dim_product(s.raw_of("Factory", "Product Name", "Division"), s.product_name_map)
 
 
 def order_ids(s: Star) -> DataFrame:
-    return L.order_ids(L.dim_order(s.raw))
+    return L.order_ids(dim_order(s))
 
 
 def fact_load(s: Star) -> DataFrame:
-    return L.fact_load(s.raw, s.product_name_map, s.factory_name_map)
+    raw = shared(s.raw_of(*FACT_SOURCE))
+    return L.fact_load(raw, s.product_name_map, s.factory_name_map, rows=raw.count())
 
 
 def pk_violations(s: Star) -> DataFrame:
-    raw = s.raw
+    """Q7 over the five loaded tables; the denormalised rows are built once and stored."""
+    raw = shared(s.raw)
+    rows = raw.count()
+    keyed = L.order_keys(raw, rows)
     return Q.pk_violations(
         [
             ("Customer", L.dim_customer(raw), "Customer ID"),
             ("Factory", L.dim_factory(raw, attrs=("Factory Nation",)), "Factory ID"),
             ("Product", L.dim_product(raw, s.product_name_map), "Product ID"),
+            ("Order", L.dim_order(raw, keyed), "Order ID"),
+            ("Financial Figures", L.fact_load(raw, s.product_name_map, s.factory_name_map, keyed, rows=rows),
+             "Financial Figures ID"),
         ]
     )
 
 
 def fk_orphans(s: Star) -> DataFrame:
+    """Q8; a product's factory is the one its order lines name, as the load step stores it."""
     return Q.fk_orphans(
         [
-            ("Financial Figures.Order ID -> Order", s.fact, "Order ID", s.order, "Order ID"),
-            ("Financial Figures.Product ID -> Product", s.fact, "Product ID", s.product, "Product ID"),
-            ("Financial Figures.Factory ID -> Factory", s.fact, "Factory ID", s.factory, "Factory ID"),
+            ("Financial Figures.Order ID -> Order", s.fact_keys, "Order ID", s.order, "Order ID"),
+            ("Financial Figures.Product ID -> Product", s.fact_keys, "Product ID", s.product, "Product ID"),
+            ("Financial Figures.Factory ID -> Factory", s.fact_keys, "Factory ID", s.factory, "Factory ID"),
             ("Order.Customer ID -> Customer", s.order, "Customer ID", s.customer, "Customer ID"),
-            ("Product.Factory ID -> Factory", s.product, "Factory ID", s.factory, "Factory ID"),
+            ("Product.Factory ID -> Factory", s.fact_keys.select("Product ID", "Factory ID").distinct(), "Factory ID",
+             s.factory, "Factory ID"),
         ]
     )
 
 
 def multi_city_customers(s: Star) -> DataFrame:
-    return Q.distinct_values_per_key(s.raw, "Customer ID", "City", "City", "n_cities")
+    return Q.distinct_values_per_key(s.raw_of("Customer ID", "City"), "Customer ID", "City", "n_cities")
 
 
 def multi_postal_customers(s: Star) -> DataFrame:
-    return Q.distinct_values_per_key(s.raw, "Customer ID", "Postal Code", "Postal Code", "n_postal_codes")
+    return Q.distinct_values_per_key(s.raw_of("Customer ID", "Postal Code"), "Customer ID", "Postal Code", "n_postal_codes")
 
 
 def factory_products(s: Star) -> DataFrame:
-    return Q.factory_products(s.fact)
+    return Q.factory_products(s.fact_keys)
 
 
 def shared_products(s: Star) -> DataFrame:
-    return Q.shared_products(s.fact)
+    return Q.shared_products(s.fact_keys)
 
 
 def unmapped_keys(s: Star) -> DataFrame:
-    return Q.unmapped_keys(enriched_raw(s))
+    return Q.unmapped_keys(L.enrich_raw(s.raw_of("Unnamed: 0", "Product Name", "Factory"), s.product_name_map, s.factory_name_map))
 
 
 def column_domains(s: Star) -> DataFrame:
-    return Q.column_domains(s.raw, DOMAIN_COLUMNS)
+    """U5 with the domains of the mapped ids: the maps are joined to the distinct names."""
+    domains = shared(Q.column_domains(s.raw_of(*DOMAIN_COLUMNS), DOMAIN_COLUMNS))
+    out = domains
+    for name, mapping, to in (("Product Name", s.product_name_map, "Product ID"), ("Factory", s.factory_name_map, "Factory ID")):
+        ids = L.map_by_name(domains.where(F.col("column_name") == name), mapping, "value", "id")
+        out = out.unionByName(ids.select(F.lit(to).alias("column_name"), F.col("id").cast("string").alias("value")).distinct())
+    return out

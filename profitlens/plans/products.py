@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from profitlens import constants as K
 from profitlens.functions.bands import band_by_ranges
-from profitlens.functions.measures import avg_pct, dollars, money_sum, pct, ratio, round_ratio, sum_cents
+from profitlens.functions.measures import avg_pct, dollars, money_sum, pct, ratio, round_ratio, sum_cents, unrounded
 from profitlens.operators.joins import attach_dim, scalar
 from profitlens.operators.share import shared
 from profitlens.operators.topk import first_and_last, rank_filter, top_n
 
 PID, PNAME = "Product ID", "Product Name"
+_EXACT = "_unrounded_margin"
 
 
 def _m():
@@ -168,8 +169,8 @@ def _product_sums(ff: DataFrame) -> DataFrame:
     )
 
 
-def product_profitability(ff: DataFrame, product: DataFrame) -> DataFrame:
-    """Per-product totals, margin and profit per unit, best margin first."""
+def _profitability_rows(ff: DataFrame, product: DataFrame) -> DataFrame:
+    """A24's rows, unordered, with the unrounded margin that they are ranked by."""
     return _named(_product_sums(ff), product).select(
         PID,
         PNAME,
@@ -178,84 +179,97 @@ def product_profitability(ff: DataFrame, product: DataFrame) -> DataFrame:
         dollars("profit_raw").alias("total_gross_profit"),
         ratio(dollars("profit_raw"), dollars("sales_raw")).alias("profit_margin"),
         ratio(dollars("profit_raw"), F.col("units_raw")).alias("profit_per_unit"),
-    ).orderBy(F.col("profit_margin").desc_nulls_last(), PID)
+        unrounded(dollars("profit_raw"), dollars("sales_raw")).alias(_EXACT),
+    )
 
 
-def _margin_rank_rows(ff: DataFrame, product: DataFrame) -> DataFrame:
-    return product_profitability(ff, product).select(PID, PNAME, "total_sales", "total_gross_profit", "profit_margin")
+def product_profitability(ff: DataFrame, product: DataFrame) -> DataFrame:
+    """Per-product totals, margin and profit per unit, best margin first."""
+    return _profitability_rows(ff, product).orderBy(F.col(_EXACT).desc_nulls_last(), PID).drop(_EXACT)
+
+
+def _extremes(rows: DataFrame, best: bool, n: int) -> DataFrame:
+    """The n best or worst by the unrounded margin; NULL margins are the worst, as in MySQL."""
+    order = F.col(_EXACT).desc_nulls_last() if best else F.col(_EXACT).asc_nulls_first()
+    return top_n(rows, [order, F.col(PID).asc()], n).select(PID, PNAME, "total_sales", "total_gross_profit", "profit_margin")
 
 
 def best_products_by_margin(ff: DataFrame, product: DataFrame, n: int = 5) -> DataFrame:
-    """A25 (n=5) / G5 half: highest margins."""
-    return top_n(_margin_rank_rows(ff, product), [F.col("profit_margin").desc_nulls_last(), F.col(PID).asc()], n)
+    """Highest margins."""
+    return _extremes(_profitability_rows(ff, product), True, n)
 
 
 def worst_products_by_margin(ff: DataFrame, product: DataFrame, n: int = 5) -> DataFrame:
-    """A26 (n=5) / G5 half: lowest margins (NULL margins sort first, as in MySQL)."""
-    return top_n(_margin_rank_rows(ff, product), [F.col("profit_margin").asc_nulls_first(), F.col(PID).asc()], n)
+    """Lowest margins."""
+    return _extremes(_profitability_rows(ff, product), False, n)
 
 
 def best_worst_6_products(ff: DataFrame, product: DataFrame) -> DataFrame:
-    """Six best and six worst products by margin, labelled."""
-    best = best_products_by_margin(ff, product, 6).withColumn("position", F.lit("best"))
-    worst = worst_products_by_margin(ff, product, 6).withColumn("position", F.lit("worst"))
+    """Six best and six worst products by margin, labelled; the fact is aggregated once."""
+    rows = shared(_profitability_rows(ff, product))
+    best = _extremes(rows, True, 6).withColumn("position", F.lit("best"))
+    worst = _extremes(rows, False, 6).withColumn("position", F.lit("worst"))
     return best.unionByName(worst).select("position", PID, PNAME, "total_sales", "total_gross_profit", "profit_margin")
 
 
-def product_totals(ff: DataFrame, product: DataFrame) -> DataFrame:
-    """Sales, cost, profit and units per product *name*, by profit desc.
-
-    Two-phase: totals per Product ID (the big aggregation), then names attached to those rows
-    and re-summed per name (several ids may share a name).  Nameless rows are dropped and empty
-    sums are 0, as a pandas groupby-sum gives (H17)."""
+def _name_totals(ff: DataFrame, product: DataFrame) -> DataFrame:
     named = _named(_product_sums(ff), product).filter(F.col(PNAME).isNotNull())
     return named.groupBy(PNAME).agg(
         F.coalesce(dollars(F.sum("sales_raw")), F.lit(0.0)).alias("sales"),
         F.coalesce(dollars(F.sum("cost_raw")), F.lit(0.0)).alias("cost"),
         F.coalesce(dollars(F.sum("profit_raw")), F.lit(0.0)).alias("gross_profit"),
         F.coalesce(F.sum("units_raw"), F.lit(0)).cast("bigint").alias("units"),
-    ).orderBy(F.col("gross_profit").desc(), PNAME)
+    )
 
 
-def product_margin_table(ff: DataFrame, product: DataFrame) -> DataFrame:
-    """Product totals plus margin and profit per unit, best margin first (NULL, not inf)."""
-    t = product_totals(ff, product)
-    return t.select(
+def product_totals(ff: DataFrame, product: DataFrame) -> DataFrame:
+    """Sales, cost, profit and units per product *name*, by profit desc.
+
+    Two-phase: totals per Product ID (the big aggregation), then names attached to those rows
+    and re-summed per name (several ids may share a name).  Nameless rows are dropped and empty
+    sums are 0, as a pandas groupby-sum gives (H17)."""
+    return _name_totals(ff, product).orderBy(F.col("gross_profit").desc(), PNAME)
+
+
+def _margin_rows(ff: DataFrame, product: DataFrame) -> DataFrame:
+    """A28's rows, unordered, with the unrounded margin that they are ranked by."""
+    return _name_totals(ff, product).select(
         "*",
         ratio(F.col("gross_profit"), F.col("sales")).alias("profit_margin"),
         ratio(F.col("gross_profit"), F.col("units")).alias("profit_per_unit"),
-    ).orderBy(F.col("profit_margin").desc_nulls_last(), PNAME)
+        unrounded(F.col("gross_profit"), F.col("sales")).alias(_EXACT),
+    )
 
 
-_BW_COLS = [PNAME, "sales", "gross_profit", "profit_margin", "profit_per_unit"]
+def product_margin_table(ff: DataFrame, product: DataFrame) -> DataFrame:
+    """Product totals plus margin and profit per unit, best margin first (NULL, not inf)."""
+    return _margin_rows(ff, product).orderBy(F.col(_EXACT).desc_nulls_last(), PNAME).drop(_EXACT)
+
+
+def _first_and_last_by(ff: DataFrame, product: DataFrame, key: str) -> DataFrame:
+    return first_and_last(
+        _margin_rows(ff, product).select(PNAME, "sales", "gross_profit", "profit_margin", "profit_per_unit", _EXACT),
+        [F.col(key).desc_nulls_last(), F.col(PNAME).asc()],
+        [F.col(key).asc_nulls_first(), F.col(PNAME).desc()],
+    ).drop(_EXACT)
 
 
 def best_worst_product_by_margin(ff: DataFrame, product: DataFrame) -> DataFrame:
     """First and last row of the margin table (NULL margins sort last, as pandas does)."""
-    t = product_margin_table(ff, product).select(*_BW_COLS)
-    return first_and_last(
-        t,
-        [F.col("profit_margin").desc_nulls_last(), F.col(PNAME).asc()],
-        [F.col("profit_margin").asc_nulls_first(), F.col(PNAME).desc()],
-    )
+    return _first_and_last_by(ff, product, _EXACT)
 
 
 def best_worst_product_by_gp(ff: DataFrame, product: DataFrame) -> DataFrame:
     """First and last product by gross profit."""
-    t = product_margin_table(ff, product).select(*_BW_COLS)
-    return first_and_last(
-        t,
-        [F.col("gross_profit").desc_nulls_last(), F.col(PNAME).asc()],
-        [F.col("gross_profit").asc_nulls_first(), F.col(PNAME).desc()],
-    )
+    return _first_and_last_by(ff, product, "gross_profit")
 
 
 def product_profit_share(ff: DataFrame, product: DataFrame) -> DataFrame:
     """Each product's fraction of the total profit (total taken from the same rows)."""
-    t = shared(product_margin_table(ff, product))
-    total_profit = scalar(t.agg(F.sum(F.col("gross_profit").cast("decimal(18,2)"))))
+    t = shared(_margin_rows(ff, product).drop(_EXACT))
+    total_profit = scalar(t.agg(F.sum(F.col("gross_profit").cast("decimal(38,2)"))))
     return t.withColumn("profit_share", ratio(F.col("gross_profit"), total_profit)).orderBy(
-        F.col("profit_share").asc_nulls_first(), PNAME
+        unrounded(F.col("gross_profit"), total_profit).asc_nulls_first(), PNAME
     )
 
 
@@ -266,9 +280,7 @@ def chart_product_gp(ff: DataFrame, product: DataFrame) -> DataFrame:
 
 def chart_product_margin(ff: DataFrame, product: DataFrame) -> DataFrame:
     """Horizontal bars of margin, ascending."""
-    return product_margin_table(ff, product).select(PNAME, "profit_margin").orderBy(
-        F.col("profit_margin").asc_nulls_first(), PNAME
-    )
+    return _margin_rows(ff, product).orderBy(F.col(_EXACT).asc_nulls_first(), PNAME).select(PNAME, "profit_margin")
 
 
 def chart_product_share(ff: DataFrame, product: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """File sources and sinks of the reference's workflow.
 
-* the raw denormalised sales CSV is read with a fixed schema (no ``inferSchema`` pass);
+* the raw denormalised sales CSV is matched by header name and cast to a fixed schema (no ``inferSchema`` pass);
 * exported result CSVs (the reference's golden files) are read with ``NULL`` as the null token;
 * results are written as CSV (one header line per part file) or parquet, optionally partitioned;
 * star tables are appended with ``insertInto``-like semantics through ``saveAsTable``.
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from profitlens.operators.load import strip_column_names, to_numeric
@@ -41,15 +42,21 @@ RAW_SCHEMA = T.StructType(
 )
 
 
-def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
-    """The raw sales CSV with a header, explicit schema, columns matched by header name."""
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
+def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA, bad_column: str = "_bad_columns") -> DataFrame:
+    """The raw sales CSV with a header, columns matched by header name in any order and cast to ``schema``.
+
+    A value that does not fit its type becomes NULL, and its column is named in ``bad_column`` (names joined
+    by ``|``, NULL where all values were read); ``bad_values`` counts them."""
+    text = strip_column_names(spark.read.option("header", True).option("enforceSchema", False).csv(path))
+    typed = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in schema.fields}
+    bad = [F.when(F.col(f"`{c}`").isNotNull() & x.isNull(), F.lit(c)) for c, x in typed.items()]
+    return text.select(*[x.alias(c) for c, x in typed.items()], F.nullif(F.concat_ws("|", *bad), F.lit("")).alias(bad_column))
+
+
+def bad_values(raw: DataFrame, bad_column: str = "_bad_columns") -> DataFrame:
+    """Per column with unreadable values: (column_name, n_rows)."""
+    names = raw.select(F.explode(F.split(bad_column, "[|]")).alias("column_name"))
+    return names.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def read_interim_csv(spark: SparkSession, path: str, numeric: Sequence[str] = (),

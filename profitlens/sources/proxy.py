@@ -68,6 +68,16 @@ class Star:
             (sales - cost).cast(MONEY).alias("Gross Profit"),
         )
 
+    @cached_property
+    def fact_keys(self) -> DataFrame:
+        """The fact's keys and units alone, without the join that its cost needs."""
+        return self.table("lineitem").select(
+            F.col("l_orderkey").alias("Order ID"),
+            F.col("l_suppkey").alias("Factory ID"),
+            F.col("l_partkey").alias("Product ID"),
+            F.col("l_quantity").cast("int").alias("Units"),
+        )
+
     @cached_property
     def v(self) -> DataFrame:
         """`v_financial_figures_clean` (V1)."""
@@ -125,40 +135,50 @@ class Star:
     @cached_property
     def raw(self) -> DataFrame:
         """The denormalised sales table with the raw CSV's column names (S1 shape)."""
-        li = self.table("lineitem").select(
-            "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"
-        )
-        o = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-        p = self.table("part").select("p_partkey", "p_name", "p_brand", "p_retailprice")
-        s = self.table("supplier").select("s_suppkey", "s_name", "s_nationkey")
-        c = self.customer
+        return self.raw_of()
+
+    def raw_of(self, *cols: str) -> DataFrame:
+        """``raw`` restricted to ``cols`` (all of them if none is named).  A table is joined only if
+        one of its columns is asked for; all joins are to unique keys, so no row comes or goes."""
         sales = F.col("l_extendedprice").cast(MONEY)
         cost = (F.col("l_quantity") * F.col("p_retailprice")).cast(MONEY)
-        j = (
-            li.join(o, li.l_orderkey == o.o_orderkey, "left")
-            .join(p, li.l_partkey == p.p_partkey, "left")
-            .join(s, li.l_suppkey == s.s_suppkey, "left")
-            .join(c, o.o_custkey == c["Customer ID"], "left")
-        )
-        return j.select(
-            F.col("l_orderkey").alias("Unnamed: 0"),
-            F.date_format("o_orderdate", "yyyy-MM-dd").alias("Order Date"),
-            F.date_format("l_shipdate", "yyyy-MM-dd").alias("Ship Date"),
-            F.col("o_orderpriority").alias("Ship Mode"),
-            F.col("o_custkey").alias("Customer ID"),
-            "Country/Region",
-            "State/Province",
-            "City",
-            "Postal Code",
-            F.col("s_name").alias("Factory"),
-            F.col("s_nationkey").alias("Factory Nation"),
-            F.col("p_brand").alias("Division"),
-            F.col("p_name").alias("Product Name"),
-            F.col("l_quantity").cast("int").alias("Units"),
-            sales.alias("Sales"),
-            cost.alias("Cost"),
-            (sales - cost).cast(MONEY).alias("Gross Profit"),
+        source = {
+            "Unnamed: 0": ("lineitem", F.col("l_orderkey")),
+            "Order Date": ("orders", F.date_format("o_orderdate", "yyyy-MM-dd")),
+            "Ship Date": ("lineitem", F.date_format("l_shipdate", "yyyy-MM-dd")),
+            "Ship Mode": ("orders", F.col("o_orderpriority")),
+            "Customer ID": ("orders", F.col("o_custkey")),
+            "Country/Region": ("customer", F.col("Country/Region")),
+            "State/Province": ("customer", F.col("State/Province")),
+            "City": ("customer", F.col("City")),
+            "Postal Code": ("customer", F.col("Postal Code")),
+            "Factory": ("supplier", F.col("s_name")),
+            "Factory Nation": ("supplier", F.col("s_nationkey")),
+            "Division": ("part", F.col("p_brand")),
+            "Product Name": ("part", F.col("p_name")),
+            "Units": ("lineitem", F.col("l_quantity").cast("int")),
+            "Sales": ("lineitem", sales),
+            "Cost": ("part", cost),
+            "Gross Profit": ("part", (sales - cost).cast(MONEY)),
+        }
+        cols = cols or tuple(source)
+        need = {source[c][0] for c in cols}
+        rows = self.table("lineitem").select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"
         )
+        if need & {"orders", "customer"}:
+            o = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+            rows = rows.join(o, rows.l_orderkey == o.o_orderkey, "left")
+        if "part" in need:
+            p = self.table("part").select("p_partkey", "p_name", "p_brand", "p_retailprice")
+            rows = rows.join(p, rows.l_partkey == p.p_partkey, "left")
+        if "supplier" in need:
+            s = self.table("supplier").select("s_suppkey", "s_name", "s_nationkey")
+            rows = rows.join(s, rows.l_suppkey == s.s_suppkey, "left")
+        if "customer" in need:
+            c = self.customer.drop("Region").withColumnRenamed("Customer ID", "c_id")
+            rows = rows.join(c, rows.o_custkey == c.c_id, "left")
+        return rows.select(*[source[c][1].alias(c) for c in cols])
 
     # -- name dictionaries the load step maps with (B8/B9) -------------------------------------
     @cached_property

@@ -68,7 +68,10 @@ class StoredStar(Star):
         return self._stored("customer")
 
     @cached_property
-    def raw(self) -> DataFrame:
+    def fact_keys(self) -> DataFrame:
+        return self.v.select("Order ID", "Factory ID", "Product ID", "Units")
+
+    def raw_of(self, *cols: str) -> DataFrame:
         if self._raw_source is None:
             raise ValueError("the denormalised source is not part of a stored star")
-        return self._raw_source.raw
+        return self._raw_source.raw_of(*cols)

@@ -8,7 +8,7 @@ from profitlens import constants as K
 from profitlens.operators import load as L
 from profitlens.operators import quality as Q
 from profitlens.operators.keys import dense_surrogate_key
-from profitlens.sources.files import create_view, read_raw_csv, write_csv, write_parquet
+from profitlens.sources.files import bad_values, create_view, read_raw_csv, write_csv, write_parquet
 
 RAW_CSV = """Unnamed: 0,Order Date,Ship Date,Ship Mode,Customer ID,Country/Region,City,State/Province,Postal Code,Division,Region,Product Name,Sales,Units,Gross Profit,Cost,Factory,Latitude,Longitude
 0,2021-03-31,2021-04-05,Standard Class,101,United States,Austin,Texas,73301,Chocolate,Central,Wonka Bar - Milk Chocolate,6.50,2,4.22,2.28,Wicked Choccy's,32.07,-81.09
@@ -20,7 +20,7 @@ RAW_CSV = """Unnamed: 0,Order Date,Ship Date,Ship Mode,Customer ID,Country/Regio
 
 def test_dense_surrogate_key_is_dense_and_ordered(spark):
     df = spark.range(0, 5000).select(((F.col("id") * 7919) % 5000).alias("k"))
-    out = dense_surrogate_key(df, ["k"], "sk", num_partitions=7).collect()
+    out = dense_surrogate_key(df, ["k"], "sk", rows=5000).collect()
     ids = sorted(r.sk for r in out)
     assert ids == list(range(1, 5001))
     assert all(r.sk == r.k + 1 for r in out)
@@ -59,8 +59,10 @@ def test_load_pipeline_on_raw_csv(spark, tmp_out):
     assert {float(r["Sales"]): r["Financial Figures ID"] for r in fact} == {6.5: 1, 7.0: 2, 3.0: 3, 1.0: 4}
     assert all(r["Order ID"] is not None for r in fact)
 
-    cities = {r["Customer ID"]: r for r in Q.distinct_values_per_key(raw, "Customer ID", "City", "City", "n").collect()}
-    assert cities[101]["City"] == "Austin|Dallas" and cities[101]["n"] == 2
+    cities = {(r["Customer ID"], r["City"], r["n"]) for r in Q.distinct_values_per_key(raw, "Customer ID", "City", "n").collect()}
+    assert cities == {(101, "Austin", 2), (101, "Dallas", 2), (202, "Toronto", 1)}
+    located = L.dim_factory(raw).collect()
+    assert {(r["Factory ID"], r["Longitude"], r["Latitude"]) for r in located} >= {("Sugar Shack", -96.18, 48.11)}
     customers = L.dim_customer(raw)
     bad = Q.pk_violations([("Customer", customers, "Customer ID")]).collect()
     assert {r.key_value for r in bad} == {"101", None}
@@ -74,6 +76,56 @@ def test_load_pipeline_on_raw_csv(spark, tmp_out):
     assert spark.sql("SELECT COUNT(*) AS n FROM raw_sales").collect()[0].n == 4
 
 
+def test_raw_csv_is_read_by_header_name_and_bad_values_are_counted(spark, tmp_out):
+    head, *rows = [line.split(",") for line in RAW_CSV.splitlines()]
+    a, b = head.index("Sales"), head.index("Cost")
+    for line in (head, *rows):
+        line[a], line[b] = line[b], line[a]
+    rows[1][a] = "abc"  # a cost that is no number
+    path = os.path.join(tmp_out, "swapped.csv")
+    with open(path, "w", encoding="utf-8") as fh:
+        fh.write("\n".join(",".join(line) for line in (head, *rows)) + "\n")
+    raw = read_raw_csv(spark, path)
+    got = {r["Unnamed: 0"]: (float(r["Sales"]), r["Cost"] and float(r["Cost"])) for r in raw.collect()}
+    assert got[0] == (6.5, 2.28) and got[1] == (7.0, None)
+    assert [tuple(r) for r in bad_values(raw).collect()] == [("Cost", 1)]
+
+
+def test_pairs_keep_keys_without_values(spark):
+    df = spark.createDataFrame([(1, None), (2, "a"), (2, None), (2, "b"), (None, "c")], "k long, v string")
+    assert {tuple(r) for r in Q.distinct_values_per_key(df, "k", "v", "n").collect()} == {(1, None, 0), (2, "a", 2), (2, "b", 2)}
+
+
+def test_unmapped_keys_counts_misses(spark):
+    e = spark.createDataFrame([(1, "x"), (None, "x"), (None, None)], "`Product ID` long, `Factory ID` string")
+    assert tuple(Q.unmapped_keys(e).first()) == (3, 2, 1, 1, 1)
+
+
+def test_rank_by_the_unrounded_margin(spark):
+    from profitlens.plans.products import best_products_by_margin, worst_products_by_margin
+
+    rows = [(i, 1, 9_999_999_999.99, 5_000_000_000.00 + x, 0.0) for i, x in ((1, 0.0), (2, 150.0), (3, 75.0))]
+    cols = "`Product ID` long, Units int, Sales double, `Gross Profit` double, Cost double"
+    ff = spark.createDataFrame(rows, cols).select(
+        "Product ID", "Units", *[F.col(c).cast("decimal(12,2)").alias(c) for c in ("Sales", "Gross Profit", "Cost")])
+    product = spark.createDataFrame([(i, f"p{i}") for i in (1, 2, 3)], "`Product ID` long, `Product Name` string")
+    best = best_products_by_margin(ff, product).collect()
+    assert len({r.profit_margin for r in best}) == 1  # equal to six decimals
+    assert [r["Product ID"] for r in best] == [2, 3, 1]
+    assert [r["Product ID"] for r in worst_products_by_margin(ff, product).collect()] == [1, 3, 2]
+
+
+def test_loss_makers_of_each_kind(spark):
+    from profitlens.plans.customers import loss_makers
+
+    rows = [(1, 10, 100, -5.0), (1, 11, 100, 2.0), (2, 11, 200, 3.0), (3, 10, 200, 1.0), (None, 11, 200, 1.0)]
+    ff = spark.createDataFrame(rows, "`Order ID` long, `Product ID` long, `Factory ID` long, g double").withColumn(
+        "Gross Profit", F.col("g").cast("decimal(12,2)"))
+    order = spark.createDataFrame([(1, 7), (2, 8), (3, 7)], "`Order ID` long, `Customer ID` long")
+    got = {(r.entity_type, r.entity_id, r.num_records, r.total_gross_profit) for r in loss_makers(ff, order).collect()}
+    assert got == {("Product", "10", 2, -4.0), ("Factory", "100", 2, -3.0), ("Customer", "7", 3, -2.0)}
+
+
 def test_strip_and_coerce(spark):
     df = spark.createDataFrame([(" 1.5", "x"), ("bad", "y")], "` a ` string, `b ` string")
     out = L.to_numeric(L.strip_column_names(df), ["a"])
@@ -94,7 +146,7 @@ def test_append_table_accumulates(spark, tmp_out):
 def test_dense_key_spreads_a_hot_ordering_value(spark):
     # a third of the rows share one ordering value; ids stay dense and follow the order
     df = spark.range(0, 3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
-    out = dense_surrogate_key(df, ["k"], "sk", num_partitions=6)
+    out = dense_surrogate_key(df, ["k"], "sk", rows=3000)
     rows = out.collect()
     assert sorted(r.sk for r in rows) == list(range(1, 3001))
     by_sk = sorted(rows, key=lambda r: r.sk)
