@@ -184,14 +184,21 @@ def maybe_in(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
     return hit.where("(shiftright(_bits, cast(_bit & 63 as int)) & 1) = 1").select(*rows.columns)
 
 
+def _all_stars(e: DataFrame) -> bool:
+    """Whether every u of the edges (u > v) has one v, which is no u itself."""
+    ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        e.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    sums = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return sums.where("up + down > 1 and up > 0").agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes of ``edges`` (a, b: long): root is the least node linked with it.
 
-    Alternating large-star and small-star steps until nothing changes (a logarithmic number of rounds);
+    Alternating large-star and small-star steps until only stars are left (a logarithmic number of rounds);
     each round is stored, and a node with very many links is split by the skew join."""
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    mark = None
-    while True:
+    while not _all_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -200,11 +207,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")),
                                                                 F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
         e = stored(small.select("p.u", "p.v").where("u <> v").distinct(), "links-small")
-        now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == mark:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        mark = now
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def without(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:

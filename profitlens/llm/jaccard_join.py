@@ -13,7 +13,7 @@ hashes), with fewer words the whole sequence as one.  Two sets link when 5 * |in
 3. Pairs are verified once each: a suffix filter (the sums of absolute differences of ``PARTS`` partition
    counts of both sets bound their difference from below), then the exact intersection of the two sets.
 4. Links give components.  In groups that were too large or salted, ``STARS`` more rounds pair each set with
-   a head of another component, which leaves few components in a group of near copies.  The pairs then left
+   ``HEADS`` heads of other components, which leaves few components in a group of near copies.  The pairs then left
    are those between different components; all of them pass the same filters and are verified, and complete
    the components: no pair of linked texts is lost, and pairs that a component already connects need no look.
 
@@ -38,8 +38,9 @@ BUCKETS = 1 << 18
 SMALL = 8
 #: Members beyond twice the mean bucket for which a frequent shingle gets one more salt.
 SALT_ROWS = 4096
-#: Rounds of stars before all pairs between components.
-STARS = 5
+#: Rounds of stars before all pairs between components, and the heads that a shingle has in a round.
+STARS = 2
+HEADS = 3
 #: Partitions of the suffix filter.
 PARTS = 64
 _BLOCK = 4096
@@ -268,10 +269,11 @@ def _groups(large: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _star(mixed: DataFrame, k: int) -> DataFrame:
-    """Pairs of each row with its shingle's head, if their components differ.  The head has the least hash of
-    set id and round, so that the shingles of similar sets mostly agree on it."""
-    head = F.min(F.struct(F.xxhash64("sid", F.lit(k)).alias("o"), "sid", "size", "pos", "root")).alias("h")
-    heads = mixed.groupBy("tok").agg(head).selectExpr("tok", "h.sid b", "h.size nb", "h.pos ib", "h.root rb")
+    """Pairs of each row with its shingle's heads, if their components differ.  The heads have the least hashes
+    of set id and round, so that the shingles of similar sets mostly agree on them."""
+    heads = [F.min(F.struct(F.xxhash64("sid", F.lit(k * HEADS + j)).alias("o"), "sid", "size", "pos", "root")) for j in range(HEADS)]
+    heads = mixed.groupBy("tok").agg(F.array(*heads).alias("h")).select("tok", F.explode(F.array_distinct("h")).alias("h"))
+    heads = heads.selectExpr("tok", "h.sid b", "h.size nb", "h.pos ib", "h.root rb")
     rows = mixed.toDF("tok", "a", "na", "ia", "ra").join(heads, "tok").where("ra <> rb and " + _FILTER)
     return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -283,6 +285,15 @@ def _across(mixed: DataFrame) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, root) after further links: only the links between roots are resolved anew."""
+    ends = links.join(groups.toDF("a", "ra"), "a", "left").join(groups.toDF("b", "rb"), "b", "left")
+    up = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))).toDF("root", "top")
+    known = groups.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    fresh = up.toDF("node", "root").join(groups.select("node"), "node", "left_anti")
+    return stored(known.unionByName(fresh), "components")
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id, dkey, tkey, n_shingles, sid (the set's id) and component_id of each row."""
     rows = keyed(docs).select("doc_id", "dkey", "tkey", "text")
@@ -314,7 +325,7 @@ def similar(docs: DataFrame) -> DataFrame:
             more = _verified(_plausible(new, nodes), sets)
             checked = checked.unionByName(more)
             if last or not _links(more).isEmpty():
-                groups = stored(components(_links(checked)), "components")
+                groups = _joined(groups, _links(more))
                 mixed = mixed if last else _groups(mixed, groups)
     of = nodes.select("sid", "dkey").join(groups.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "dkey", F.coalesce("root", "sid").alias("root"))
     least = of.groupBy("root").agg(F.min("dkey").alias("component"))
