@@ -34,9 +34,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = stored(jaccard_join.similar(docs).where("n_shingles > 0").select("component_id", "dkey", "tkey"), "near-duplicates")
-    first = groups.groupBy("component_id").agg(F.min(F.struct("dkey", "tkey")).alias("first")).withColumnRenamed("component_id", "of")
-    gone = groups.join(first, F.col("component_id").eqNullSafe(F.col("of"))).where(F.struct("dkey", "tkey") != F.col("first"))
+    # by the component's own key: components of null or repeated ids share a component_id
+    groups = stored(jaccard_join.similar(docs).where("n_shingles > 0").select("root", "dkey", "tkey"), "near-duplicates")
+    first = groups.groupBy("root").agg(F.min(F.struct("dkey", "tkey")).alias("first"))
+    gone = groups.join(first, "root").where(F.struct("dkey", "tkey") != F.col("first"))
     return _drop(docs, gone.select("dkey", "tkey"))
 
 

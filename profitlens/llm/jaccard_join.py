@@ -295,7 +295,9 @@ def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame) -> DataFrame:
-    """doc_id, dkey, tkey, n_shingles, sid (the set's id) and component_id of each row."""
+    """doc_id, dkey, tkey, n_shingles, sid (the set's id), root (the component's own key: one of its set ids, null
+    without shingles) and component_id (its smallest doc_id, which components of repeated or null ids may share)
+    of each row."""
     rows = keyed(docs).select("doc_id", "dkey", "tkey", "text")
     profile = stored(rows.mapInArrow(_profile, "doc_id long, dkey long, tkey long, n long, sid long, sig binary, block int, counts array<long>"), "profiles")
     sums = profile.where("block is not null").select("block", F.posexplode("counts").alias("at", "c")).groupBy("block", "at").agg(F.sum("c").alias("c"))
@@ -329,7 +331,7 @@ def similar(docs: DataFrame) -> DataFrame:
                 mixed = mixed if last else _groups(mixed, groups)
     of = nodes.select("sid", "dkey").join(groups.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "dkey", F.coalesce("root", "sid").alias("root"))
     least = of.groupBy("root").agg(F.min("dkey").alias("component"))
-    of = of.join(least, "root").select("sid", "component")
+    of = of.join(least, "root").select("sid", "root", "component")
     out = texts.join(of, "sid", "left").withColumn("component", F.coalesce("component", "dkey"))
-    return out.select("doc_id", "dkey", "tkey", F.col("n").alias("n_shingles"), "sid",
+    return out.select("doc_id", "dkey", "tkey", F.col("n").alias("n_shingles"), "sid", "root",
                       F.when(F.col("component") < NULL_ID, F.col("component")).alias("component_id"))
