@@ -2,7 +2,8 @@
 
 Each page is parsed into a tree (unclosed and misnested tags as browsers close them).  Element subtrees
 that can be furniture are hashed (tag, text, children) and counted per host in Spark; a subtree found on
-at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the pages of its host is a template and is deleted.
+at least ``MIN_PAGES`` distinct pages and ``MIN_SHARE`` of the distinct pages of its host is a template and is
+deleted.  Pages are distinct if their trees are, so copies of a page count once and keep their text.
 Prose blocks (paragraphs, headings, quotes) inside an article are never templates: articles that share a
 passage keep it.  What remains is the page's largest article, else its main element, else its body, without
 elements that are furniture by tag, role or class words (menus, page headers and footers, sidebars,
@@ -15,8 +16,8 @@ all pages is spread over ``SALTS`` tasks.
 Text: character references decoded, white space inside a block is one space, blocks trimmed and joined by
 one \\n in page order, empty blocks left out.
 
-Defined results: null or empty html gives the empty text; a null url is the host ''; repeated rows count as
-pages of their own; pages of any length are read whole; an empty table gives an empty result; extra columns
+Defined results: null or empty html gives the empty text; a null url is the host ''; repeated rows are one page
+in the counts, and each has its text; pages of any length are read whole; an empty table gives an empty result; extra columns
 are passed through (``text`` replaces a same-named input column)."""
 
 from __future__ import annotations
@@ -229,20 +230,22 @@ def _host():
 
 def _hash_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in small(batches):
-        hosts, hashes = [], []
+        hosts, trees, hashes = [], [], []
         for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
             root = parse(page)
             measure(root)
             found = furniture_hashes(root)
             hosts += [host] * (len(found) + 1)
+            trees += [root.digest - (root.digest >> 63 << 64)] * (len(found) + 1)
             hashes += [None, *found]  # null counts the page itself
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "h"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(trees, pa.int64()), pa.array(hashes, pa.int64())],
+                                         names=["host", "tree", "h"])
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, templates): the digests of the subtrees that recur over a host's pages."""
+    """(host, templates): the digests of the subtrees that recur over a host's distinct pages."""
     rows = pages.select(_host().alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    counts = rows.mapInArrow(_hash_pages, "host string, h long").groupBy("host", "h").count()
+    counts = rows.mapInArrow(_hash_pages, "host string, tree long, h long").distinct().groupBy("host", "h").count()
     counts = stored(counts, "subtree-counts")
     pages_of = counts.where("h is null").select("host", F.col("count").alias("pages"))
     often = counts.where(F.col("h").isNotNull() & (F.col("count") >= min_pages)).join(pages_of, "host")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from profitlens.llm import html_extract
 from profitlens.llm.common import reach
 
 
@@ -17,3 +18,11 @@ def test_distinct_texts_under_null_and_repeated_ids_stay(spark, tmp_out):
     out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), tmp_out).collect()
     got = sorted((r.doc_id or 0, r.text.split(" ")[0]) for r in out)
     assert got == [(0, ""), (0, "a0"), (0, "b0"), (0, "c0"), (7, "d0"), (7, "e0")]
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    reach(spark)
+    layouts = ["<body><article><div><p>Own text {}</p></div></article></body>", "<body><div><p>Own text {}</p></div></body>", "<body><p>Own text {}</p></body>"]
+    rows = [(i, url, page.format(i)) for i, page in enumerate(layouts) for url in (f"http://c{i}.example/", None) for _ in range(3)]
+    out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in out) == [(i, f"Own text {i}") for i in range(3) for _ in range(6)]
