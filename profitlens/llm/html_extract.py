@@ -2,16 +2,16 @@
 
 Each page is parsed into a tree (unclosed and misnested tags as browsers close them).  Element subtrees
 that can be furniture are hashed (tag, text, children) and counted per host in Spark; a subtree found on
-at least ``MIN_PAGES`` distinct pages and ``MIN_SHARE`` of the distinct pages of its host is a template and is
-deleted.  Pages are distinct if their trees are, so copies of a page count once and keep their text.
+at least ``MIN_PAGES`` distinct pages of its host is a template and is deleted, however large the host.
+Pages are distinct if their trees are, so copies of a page count once and keep their text.
 Prose blocks (paragraphs, headings, quotes) inside an article are never templates: articles that share a
 passage keep it.  What remains is the page's largest article, else its main element, else its body, without
 elements that are furniture by tag, role or class words (menus, page headers and footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments).
 
-The share threshold also bounds a host's list: a host has at most (subtrees on a mean page / MIN_SHARE)
-templates.  Pages meet their host's list in a join whose key is salted, so that one host with a third of
-all pages is spread over ``SALTS`` tasks.
+Templates stay (host, digest) rows.  They are joined to the subtrees of the pages, with a salt as one menu
+may be on all pages of a host with a third of all pages; what reaches a page is the list of its own
+templates, so no host has a list and no list is longer than a page.
 
 Text: character references decoded, white space inside a block is one space, blocks trimmed and joined by
 one \\n in page order, empty blocks left out.
@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame, functions as F
 from profitlens.llm.common import small, stored, widened
 
 MIN_PAGES = 3
-MIN_SHARE = 0.2
 SALTS = 16
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -230,26 +229,39 @@ def _host():
 
 def _hash_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in small(batches):
-        hosts, trees, hashes = [], [], []
-        for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+        trees, hashes = [], []
+        for page in b.column("html").to_pylist():
             root = parse(page)
             measure(root)
-            found = furniture_hashes(root)
-            hosts += [host] * (len(found) + 1)
-            trees += [root.digest - (root.digest >> 63 << 64)] * (len(found) + 1)
-            hashes += [None, *found]  # null counts the page itself
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(trees, pa.int64()), pa.array(hashes, pa.int64())],
-                                         names=["host", "tree", "h"])
+            trees.append(root.digest - (root.digest >> 63 << 64))
+            hashes.append(sorted(furniture_hashes(root)))
+        yield pa.RecordBatch.from_arrays([b.column("host"), b.column("page"), pa.array(trees, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
+                                         names=["host", "page", "tree", "hashes"])
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, templates): the digests of the subtrees that recur over a host's distinct pages."""
-    rows = pages.select(_host().alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    counts = rows.mapInArrow(_hash_pages, "host string, tree long, h long").distinct().groupBy("host", "h").count()
-    counts = stored(counts, "subtree-counts")
-    pages_of = counts.where("h is null").select("host", F.col("count").alias("pages"))
-    often = counts.where(F.col("h").isNotNull() & (F.col("count") >= min_pages)).join(pages_of, "host")
-    return often.where(F.col("count") >= min_share * F.col("pages")).groupBy("host").agg(F.collect_set("h").alias("templates"))
+def _pages(pages: DataFrame, *more) -> DataFrame:
+    """host, page (hash of the html), html and more."""
+    body = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    return pages.select(*more, _host().alias("host"), F.xxhash64(body).alias("page"), body.alias("html"))
+
+
+def page_subtrees(pages: DataFrame) -> DataFrame:
+    """(host, page, tree, h): the subtrees that may be templates, once for each host and html."""
+    trees = _pages(pages).mapInArrow(_hash_pages, "host string, page long, tree long, hashes array<long>")
+    return stored(trees.select("host", "page", "tree", F.explode("hashes").alias("h")).distinct(), "page-subtrees")
+
+
+def site_templates(subtrees: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, h): the subtrees that recur over a host's distinct pages."""
+    counts = subtrees.select("host", "tree", "h").distinct().groupBy("host", "h").count()
+    return stored(counts.where(F.col("count") >= min_pages).select("host", "h"), "templates")
+
+
+def page_templates(subtrees: DataFrame, templates: DataFrame) -> DataFrame:
+    """(host, page, templates): the templates on each page that has any."""
+    salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = subtrees.select("host", "page", "h", F.pmod("page", F.lit(SALTS)).cast("int").alias("salt"))
+    return stored(rows.join(salted, ["host", "h", "salt"]).groupBy("host", "page").agg(F.collect_set("h").alias("templates")), "page-templates")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,12 +276,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=[*(b.schema.names[i] for i in rest), "text"])
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """Input columns but html, then text."""
     rest = [c for c in pages.columns if c not in ("html", "text")]
-    body = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.struct(*rest).alias("rest"), body.alias("html"), _host().alias("host"),  # a struct, so that no name clashes
-                        F.pmod(F.xxhash64(body), F.lit(SALTS)).cast("int").alias("salt"))
-    lists = site_templates(pages, min_pages, min_share).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = rows.join(lists, ["host", "salt"], "left").select("rest", "html", "templates")
+    rows = _pages(pages, F.struct(*rest).alias("rest"))  # a struct, so that no name clashes
+    subtrees = page_subtrees(pages)
+    lists = page_templates(subtrees, site_templates(subtrees, min_pages))
+    joined = rows.join(lists, ["host", "page"], "left").select("rest", "html", "templates")
     return joined.mapInArrow(_extract, widened(rows.select("rest"), text="string")).select("rest.*", "text")

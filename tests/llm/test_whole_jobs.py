@@ -26,3 +26,12 @@ def test_copies_of_a_page_are_no_template(spark):
     rows = [(i, url, page.format(i)) for i, page in enumerate(layouts) for url in (f"http://c{i}.example/", None) for _ in range(3)]
     out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted((r.page_id, r.text) for r in out) == [(i, f"Own text {i}") for i in range(3) for _ in range(6)]
+
+
+def test_rotating_blocks_of_a_large_host_are_templates(spark):
+    reach(spark)
+    page = "<body><div><b>Block {}</b></div><article><h1>Head {}</h1><p>Own text {}</p><div><i>Offer {}</i></div></article></body>"
+    bare = "<body><div><b>Block {}</b></div><p>Own text {}</p></body>"
+    rows = [(i, f"http://h.example/{i}", bare.format(i % 40, i) if i % 2 else page.format(i % 40, i, i, i % 40)) for i in range(400)]
+    out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == {i: f"Own text {i}" if i % 2 else f"Head {i}\nOwn text {i}" for i in range(400)}
