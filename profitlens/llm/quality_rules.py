@@ -7,16 +7,17 @@ n_repeat_words (words covered by a 3-word window that occurs twice or more in th
 base rules with fewer than 50 words or with more than half of its words repeated.
 
 Method: the texts that pass have a vector of transformed statistics (log mean word length, log symbol
-share, and the angles of the shares of repeated lines and words).  For each (lang, source) the minimum
+share, and the angles of the shares of repeated lines and words).  A text is judged in its (lang, source)
+group, if that has ``MIN_GROUP`` passing texts; else among all texts of its lang, if those are as many; else
+among all texts.  Every passing text so has a distance.  For each such group the minimum
 covariance determinant is approached by concentration steps: start from medians and absolute deviations,
 then estimate mean and covariance from the ``H`` share of rows with the least distances, again and again.
 ``FLOOR`` is added to each variance, as statistics that are 0 in most texts have none.  A text is rejected
 if its squared Mahalanobis distance exceeds the chi-square quantile, corrected for the share H.
 All of it is aggregates with partial sums, so a source with a third of all rows is no larger task than
-another; the estimates are one row per (lang, source).
+another; the estimates are one row a group.
 
-Defined results: a null or empty text has no words and fails; a group of fewer than ``MIN_GROUP`` passing
-texts has no estimate and its texts are kept; null lang or source is a value of its own; ties at the H
+Defined results: a null or empty text has no words and fails; null lang or source is a value of its own; ties at the H
 quantile are all inside; repeated rows count each; an empty table gives an empty result; of the input
 columns only doc_id is passed on."""
 
@@ -98,22 +99,46 @@ _D = len(FLOOR)
 _X = [f"x{i}" for i in range(_D)]
 
 
-def _same_group(a: DataFrame, b: DataFrame) -> DataFrame:
-    b = b.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    on = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-    return a.join(b, on).drop("_lang", "_source")
+_GROUP = ["level", "lang", "source"]
+
+
+def _same_group(a: DataFrame, b: DataFrame, keys: list[str] = _GROUP) -> DataFrame:
+    b = b.withColumnsRenamed({c: f"_{c}" for c in keys})
+    return a.join(b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]).drop(*(f"_{c}" for c in keys))
+
+
+def _levels(passing: DataFrame) -> DataFrame:
+    """A row for each lang and source: level (0: judged in its own group, 1: in its lang, 2: among all), and
+    whether its texts are needed for an estimate of their lang (of_lang) and of all texts (of_all)."""
+    sizes = stored(passing.groupBy("lang", "source").agg(F.count("*").alias("n")), "group-sizes")
+    langs = sizes.groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("n_lang"), (F.min("n") < MIN_GROUP).alias("some_small"))
+    known = sizes.join(langs, F.col("lang").eqNullSafe(F.col("_lang")))
+    level = F.when(F.col("n") >= MIN_GROUP, 0).when(F.col("n_lang") >= MIN_GROUP, 1).otherwise(2)
+    known = stored(known.select("lang", "source", level.alias("level"), (F.col("some_small") & (F.col("n_lang") >= MIN_GROUP)).alias("of_lang")), "levels")
+    return known.withColumn("of_all", F.lit(not known.where("level = 2").isEmpty()))
+
+
+def _grouped(passing: DataFrame, levels: DataFrame) -> DataFrame:
+    """The rows of each group that needs an estimate: a text is in its own, its lang's and that of all texts."""
+    rows = _same_group(passing, levels.withColumnRenamed("level", "judged"), ["lang", "source"])
+    none = F.lit(None).cast("string")
+    group = lambda level, lang, source: F.struct(F.lit(level).alias("level"), lang.alias("lang"), source.alias("source"))
+    groups = F.array(F.when(F.col("judged") == 0, group(0, F.col("lang"), F.col("source"))),
+                     F.when(F.col("of_lang"), group(1, F.col("lang"), none)), F.when(F.col("of_all"), group(2, none, none)))
+    rows = rows.select(*_X, F.explode(groups).alias("g")).where("g is not null")
+    return rows.select("g.*", *_X)
 
 
 def _nearest(rows: DataFrame) -> DataFrame:
     """Of rows with their squared distance d2, the H share of each group with the least."""
-    cut = rows.groupBy("lang", "source").agg(F.percentile_approx("d2", H, 10000).alias("cut"))
+    cut = rows.groupBy(*_GROUP).agg(F.percentile_approx("d2", H, 10000).alias("cut"))
     return _same_group(rows, stored(cut, "mcd-cut")).where("d2 <= cut")
 
 
 def _estimate(rows: DataFrame) -> DataFrame:
     """Mean and Cholesky factor of the covariance of each group, one row a group."""
     pairs = [(i, j) for i in range(_D) for j in range(i + 1)]
-    sums = rows.groupBy("lang", "source").agg(
+    sums = rows.groupBy(*_GROUP).agg(
         *(F.avg(x).alias(f"m{i}") for i, x in enumerate(_X)),
         *(F.covar_pop(_X[i], _X[j]).alias(f"c{i}{j}") for i, j in pairs))
     out = sums
@@ -136,12 +161,11 @@ def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
 
 
 def group_estimates(passing: DataFrame) -> DataFrame:
-    """Minimum-covariance-determinant estimates of rows with lang, source and x0...: one row a group."""
-    big = passing.groupBy("lang", "source").agg(
-        F.count("*").alias("n"), *(F.percentile_approx(x, 0.5, 10000).alias(f"med{i}") for i, x in enumerate(_X)))
-    big = stored(big.where(F.col("n") >= MIN_GROUP), "mcd-medians")
-    rows = _same_group(passing, big)
-    mad = rows.groupBy("lang", "source").agg(
+    """Minimum-covariance-determinant estimates of rows with level, lang, source and x0...: one row a group."""
+    medians = passing.groupBy(*_GROUP).agg(
+        *(F.percentile_approx(x, 0.5, 10000).alias(f"med{i}") for i, x in enumerate(_X)))
+    rows = _same_group(passing, stored(medians, "mcd-medians"))
+    mad = rows.groupBy(*_GROUP).agg(
         *(F.percentile_approx(F.abs(F.col(x) - F.col(f"med{i}")), 0.5, 10000).alias(f"mad{i}") for i, x in enumerate(_X)))
     first = _same_group(rows, stored(mad, "mcd-deviations"))
     scaled = [((F.col(x) - F.col(f"med{i}")) / (1.4826 * F.col(f"mad{i}") + FLOOR[i])) ** 2 for i, x in enumerate(_X)]
@@ -153,19 +177,20 @@ def group_estimates(passing: DataFrame) -> DataFrame:
 
 
 def apply_rules(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed, d2 (null without an estimate) and kept."""
+    """doc_id, the base counts, base_failed, d2 (null if the base rules fail) and kept."""
     counts = base_counts(docs).withColumn(
         "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     counts = stored(counts, "base-counts")
     vectors = counts.select("*", *(v.alias(x) for v, x in zip(_vector(), _X, strict=True)))
     passing = vectors.where(~F.col("base_failed"))
-    estimate = group_estimates(passing.select("lang", "source", *_X))
-    known = _distance(passing, estimate)
-    alone = passing.withColumnsRenamed({"lang": "a", "source": "b"}).join(
-        estimate, F.col("a").eqNullSafe(F.col("lang")) & F.col("b").eqNullSafe(F.col("source")), "left_anti")
+    levels = _levels(passing)
+    estimate = group_estimates(_grouped(passing, levels))
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    judged = _same_group(passing, levels, ["lang", "source"]).drop("of_lang", "of_all")
+    judged = judged.withColumns({"lang": F.when(F.col("level") < 2, F.col("lang")).otherwise(text),
+                                 "source": F.when(F.col("level") < 1, F.col("source")).otherwise(text)})
+    known = _distance(judged, estimate)
     limit = H / _chi_cdf(_chi_quantile(H, _D), _D + 2) * _chi_quantile(QUANTILE, _D)
     own = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    none = F.lit(None).cast("double")
     return (known.select(*own, "d2", (F.col("d2") <= limit).alias("kept"))
-            .unionByName(alone.select(*own, none.alias("d2"), F.lit(True).alias("kept")))
             .unionByName(vectors.where("base_failed").select(*own, none.alias("d2"), F.lit(False).alias("kept"))))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
-from profitlens.llm import html_extract
+from profitlens.llm import html_extract, quality_rules
 from profitlens.llm.common import reach
 
 
@@ -35,3 +37,21 @@ def test_rotating_blocks_of_a_large_host_are_templates(spark):
     rows = [(i, f"http://h.example/{i}", bare.format(i % 40, i) if i % 2 else page.format(i % 40, i, i, i % 40)) for i in range(400)]
     out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in out} == {i: f"Own text {i}" if i % 2 else f"Head {i}\nOwn text {i}" for i in range(400)}
+
+
+def test_outliers_of_small_sources_are_judged(spark):
+    reach(spark)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    plain = lambda: " ".join(word() for _ in range(80))
+    planted = lambda: " ".join(word() + "#$%&" * 5 for _ in range(80))
+    rows = [(i, plain(), "en", f"s{i % 30}") for i in range(90)]  # small sources of a large lang
+    rows += [(100 + i, plain(), "de", "big") for i in range(40)]  # a large source
+    rows += [(200 + i, plain(), f"l{i}", None) for i in range(5)]  # small langs
+    bad = [(300, planted(), "en", "s1"), (301, planted(), "l1", "x"), (302, planted(), None, None), (303, planted(), "de", "tiny")]
+    docs = spark.createDataFrame(rows + bad, "doc_id long, text string, lang string, source string")
+    got = quality_rules.apply_rules(docs).collect()
+    assert len(got) == len(rows) + len(bad) and not any(r.base_failed or r.d2 is None for r in got)
+    assert sorted(r.doc_id for r in got if not r.kept) == [300, 301, 302, 303]
+    few = quality_rules.apply_rules(docs.where("doc_id < 3")).collect()
+    assert len(few) == 3 and all(r.kept and r.d2 is not None for r in few)
