@@ -6,8 +6,11 @@ canonical tokens are hashed; windows of documents are hash-joined with those of
 ``MIN_LITERALS`` plain words.  Windows that match at one alignment of a document and an item are counted
 together, and their slots must be consistent: one benchmark value, wherever it recurs, stands for one
 document value.  So a question asked anew with other numbers, names or units is found, and a chance mix of
-slots is not.  A pair is a leak if it is consistent and at least ``MIN_WINDOWS`` windows (or all of the
-item's, if it has fewer) match at one alignment.
+slots is not.  Case is no proof of a name: each window that holds a <name> is also hashed with all its words
+lower-cased, so an item in an upper-cased, lower-cased or title-cased text, or one whose sentences start
+elsewhere, is found by its words.  A pair is a leak if it is consistent and at one alignment at least
+``MIN_WINDOWS`` windows (or all of the item's, if it has fewer) match; the windows with names in slots count
+for this alone, and together with the lower-cased ones.
 
 The benchmark's windows are broadcast only up to ``MAX_BROADCAST`` rows, by their count; beyond that the
 join is a shuffled one.  A document's windows are made and probed inside one stage, and only matches are
@@ -43,30 +46,39 @@ def _list(values: list[str]) -> str:
 
 
 def _windows(rows: DataFrame) -> DataFrame:
-    """Input columns but text; raw (tokens), canon (canonical tokens) and hashes (of the windows).
+    """Input columns but text; raw (tokens), low (lower-cased tokens), canon (canonical tokens), n (number of
+    windows) and hashes: of the n canonical windows, then of the n lower-cased ones (null where it is the same).
 
     Explode ``hashes`` with an outer generator: for an inner one Spark infers a size filter and pushes it
     below the projections, which writes the token expressions out inside the lambda, anew for each window."""
     rest = [c for c in rows.columns if c != "text"]
     rows = rows.selectExpr(*rest, r"array_remove(split(text, '[^\\p{L}\\p{N}.,]+|[.,]+(?!\\d)|(?<!\\d)[.,]+'), '') raw")
     kind = (f"case when substr(x, 1, 1) between '0' and '9' or lower(x) in ({_list(NUMBER_WORDS)}) then '<num>' "
-            f"when lower(x) in ({_list(UNITS)}) then '<unit>' "
-            "when substr(x, 1, 1) <> lower(substr(x, 1, 1)) then '<name>' else lower(x) end")
-    rows = rows.selectExpr(*rest, "raw", f"transform(raw, x -> {kind}) canon")
-    hashes = (f"if(size(canon) < {WINDOW}, array(), transform(sequence(1, greatest(size(canon) - {WINDOW - 1}, 1)), "
-              f"i -> xxhash64(slice(canon, i, {WINDOW}))))")
-    return rows.selectExpr(*rest, "raw", "canon", f"{hashes} hashes")
+            f"when lower(x) in ({_list(UNITS)}) then '<unit>' else lower(x) end")
+    rows = rows.selectExpr(*rest, "raw", f"transform(raw, x -> {kind}) low")
+    name = "not startswith(y, '<') and substr(x, 1, 1) <> lower(substr(x, 1, 1))"
+    rows = rows.selectExpr(*rest, "raw", "low", f"zip_with(raw, low, (x, y) -> if({name}, '<name>', y)) canon",
+                           f"greatest(size(raw) - {WINDOW - 1}, 0) n")
+    cut = f"slice(canon, i, {WINDOW})"
+    hashes = (f"if(n = 0, array(), concat(transform(sequence(1, greatest(n, 1)), i -> xxhash64({cut})), transform(sequence(1, greatest(n, 1)), "
+              f"i -> if(array_contains({cut}, '<name>'), xxhash64(slice(low, i, {WINDOW})), null))))")
+    return rows.selectExpr(*rest, "raw", "low", "canon", "n", f"{hashes} hashes")
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, place, h, canon and slots (the raw tokens) of each usable window, and the item's count of them."""
+    """item_id, place, h, kinds and item_raw (the canonical and raw tokens) of each usable window, slotted
+    (whether its names are slots), and the item's counts of windows: item_windows with lower-cased ones and
+    slotted_windows without."""
     items = benchmark.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
-    rows = _windows(items).select("item_id", "raw", "canon", F.posexplode_outer("hashes").alias("place", "h"))
+    rows = _windows(items).select("item_id", "raw", "low", "canon", "n", F.posexplode_outer("hashes").alias("at", "h")).where("h is not null")
+    rows = rows.withColumns({"place": F.pmod("at", F.greatest("n", F.lit(1))), "slotted": F.col("at") < F.col("n")})
     cut = lambda c: F.slice(c, F.col("place") + 1, F.lit(WINDOW))
-    rows = rows.select("item_id", "place", "h", cut(F.col("raw")).alias("item_raw"), cut(F.col("canon")).alias("kinds"))
-    plain = F.size(F.filter("kinds", lambda x: ~F.startswith(x, F.lit("<"))))
-    rows = rows.where(plain >= MIN_LITERALS)
-    totals = rows.groupBy(F.col("item_id").alias("of")).agg(F.countDistinct("place").alias("item_windows"))
+    rows = rows.select("item_id", "place", "h", "slotted", cut(F.col("raw")).alias("item_raw"), cut(F.col("canon")).alias("kinds"),
+                       F.when(F.col("slotted"), cut(F.col("canon"))).otherwise(cut(F.col("low"))).alias("literals"))
+    plain = F.size(F.filter("literals", lambda x: ~F.startswith(x, F.lit("<"))))
+    rows = rows.where(plain >= MIN_LITERALS).drop("literals")
+    totals = rows.groupBy(F.col("item_id").alias("of")).agg(
+        F.countDistinct("place").alias("item_windows"), F.countDistinct(F.when(F.col("slotted"), F.col("place"))).alias("slotted_windows"))
     return rows.join(totals, F.col("item_id").eqNullSafe(F.col("of"))).drop("of")
 
 
@@ -76,17 +88,20 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = stored(item_windows(benchmark), "item-windows")
     small = windows.count() <= MAX_BROADCAST
     rows = _windows(keyed(docs).select("doc_id", "dkey", "tkey", "text"))
-    rows = rows.select("doc_id", "dkey", "tkey", "raw", F.posexplode_outer("hashes").alias("at", "h"))
+    rows = rows.select("doc_id", "dkey", "tkey", "raw", "n", F.posexplode_outer("hashes").alias("at", "h"))
+    rows = rows.withColumn("at", F.pmod("at", F.greatest("n", F.lit(1)))).drop("n")
     hits = rows.join(F.broadcast(windows) if small else windows, "h")
-    hits = hits.select("doc_id", "dkey", "tkey", "item_id", "item_windows", "place", (F.col("at") - F.col("place")).alias("shift"),
+    hits = hits.select("doc_id", "dkey", "tkey", "item_id", "item_windows", "slotted_windows", "slotted", "place", (F.col("at") - F.col("place")).alias("shift"),
                        "kinds", "item_raw", F.slice("raw", F.col("at") + 1, F.lit(WINDOW)).alias("doc_raw"))
     pairs = F.expr("transform(filter(arrays_zip(kinds, item_raw, doc_raw), x -> startswith(x.kinds, '<')),"
                    " x -> named_struct('k', x.kinds, 'i', lower(x.item_raw), 'd', lower(x.doc_raw)))")
-    aligned = hits.withColumn("pairs", pairs).groupBy("doc_id", "dkey", "tkey", "item_id", "item_windows", "shift").agg(
-        F.size(F.collect_set("place")).cast("long").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"))
+    aligned = hits.withColumn("pairs", pairs).groupBy("doc_id", "dkey", "tkey", "item_id", "item_windows", "slotted_windows", "shift").agg(
+        F.size(F.collect_set("place")).cast("long").alias("n_windows"),
+        F.size(F.collect_set(F.when(F.col("slotted"), F.col("place")))).cast("long").alias("n_slotted"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"))
     values = F.array_distinct(F.transform("slots", lambda s: F.struct(s["k"], s["i"])))
     aligned = aligned.select("*", F.size("slots").cast("long").alias("n_slots"), (F.size(values) == F.size("slots")).alias("consistent"))
-    enough = F.col("n_windows") >= F.least(F.lit(MIN_WINDOWS), F.col("item_windows"))
+    least = lambda c: F.least(F.lit(MIN_WINDOWS), F.col(c))
+    enough = (F.col("n_windows") >= least("item_windows")) | (F.col("n_slotted") > 0) & (F.col("n_slotted") >= least("slotted_windows"))
     aligned = aligned.withColumn("leaked", F.col("consistent") & enough)
     best = F.max(F.struct("leaked", "n_windows", F.col("consistent"), "n_slots")).alias("best")
     return aligned.groupBy("doc_id", "dkey", "tkey", "item_id", "item_windows").agg(best).select(

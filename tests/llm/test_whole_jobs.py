@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from profitlens.llm import html_extract, quality_rules
+from profitlens.llm import decontaminate, html_extract, quality_rules
 from profitlens.llm.common import reach
 
 
@@ -55,3 +55,12 @@ def test_outliers_of_small_sources_are_judged(spark):
     assert sorted(r.doc_id for r in got if not r.kept) == [300, 301, 302, 303]
     few = quality_rules.apply_rules(docs.where("doc_id < 3")).collect()
     assert len(few) == 3 and all(r.kept and r.d2 is not None for r in few)
+
+
+def test_items_in_other_case_are_leaks(spark):
+    reach(spark)
+    item = "Today Mary Smith sells 12 red apples in Old Town. Then Peter Miller buys another 7 of them from Mary Smith for 3 dollars"
+    cased = [item.upper(), item.lower(), item.title(), item.swapcase(), "so " + item.replace("12", "57").upper() + " AND MORE"]
+    docs = [(i, t) for i, t in enumerate(cased)] + [(10, "A TEXT IN CAPITALS THAT HOLDS NOTHING OF THE ITEM BUT A FEW RED APPLES")]
+    got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect() if r.leaked) == [0, 1, 2, 3, 4]
