@@ -1,10 +1,14 @@
 """Language-model scoring with Brown classes.
 
 Tokens: the words ([^\\x20\\x09-\\x0D]+, A-Z lower-cased) of a text, then one end token.  Learning counts all
-tokens of the training texts.  The ``CLUSTERED`` most frequent words are assigned to ``CLASSES`` classes by
-exchange clustering (each word moves to the class that raises the class-bigram likelihood most, until no
-word moves or ``ROUNDS`` are done); every other word, known or not, has a class by its surface (last
-character, foreign letters, length), and the end token one of its own.  The model is
+tokens of the training texts.  Every word of at least ``MIN_COUNT`` occurrences is assigned to one of
+``CLASSES`` classes by exchange clustering.  The ``CLUSTERED`` most frequent words start it on the driver (each
+word moves to the class that raises the class-bigram likelihood most, until no word moves or ``ROUNDS`` are
+done).  Then ``SPREAD`` rounds on Spark move all words: a round counts, for each word, the classes before and
+after it (sparse rows), and the words' partitions find the best class of each against the class bigrams of
+the round; after the first, every other word moves in a round, and a round that lowers the likelihood is
+undone and ends them.  Only a rarer word, known or not, has a class by its surface (last character, foreign
+letters, length), and the end token one of its own.  The model is
 
     P(w | previous) = P(class(w) | class(previous)) * (c(w) + a) / (N_class + a * (V_class + 1))
 
@@ -13,7 +17,7 @@ with add-a transitions, a = 0.1, and a text's score is the sum of log10 over its
 At scale: word counts, their number and total cover all training texts and stay a distributed table.  Only
 words at or above a count that at most ``TOP`` words reach are broadcast (12 bytes each, 13 MB at most; the
 threshold comes from a histogram of counts); tokens of rarer words leave as (text, word, n) rows and are
-joined with the table.  Class bigrams are at most (CLUSTERED + surfaces)**2 sums.
+joined with the table.  The clustered words are broadcast whole (10 bytes each), and grow with the corpus.
 
 Words are told apart by 64-bit hashes.  Defined results: a null or empty text is one end token; without
 training tokens every base score is that of an empty table; repeated rows are scored, and counted, each;
@@ -34,6 +38,9 @@ ALPHA = 0.1
 CLUSTERED = 1000
 CLASSES = 64
 ROUNDS = 8
+#: Occurrences from which a word is clustered, and the rounds on Spark.
+MIN_COUNT = 10
+SPREAD = 4
 TOP = 1 << 18
 #: Distinct words that a task gathers before it sends their counts.
 GATHER = 2_000_000
@@ -217,6 +224,121 @@ def exchange(pairs: np.ndarray, m: int, classes: int = CLASSES, rounds: int = RO
     return of
 
 
+def _count_contexts(batches: Iterator[pa.RecordBatch], known: np.ndarray, of: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """Counts (word, slot, n) of the class after (slot < k) and before (slot - k) each known word, by its place;
+    and with word -1 those of the class bigrams (slot = left * k + right)."""
+    total = np.zeros(k * k, dtype=np.int64)
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def merged() -> tuple[np.ndarray, ...]:
+        return _sum_by(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def send(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(key), 200_000):
+            x = key[lo: lo + 200_000]
+            yield pa.RecordBatch.from_arrays([pa.array(x // (2 * k)), pa.array((x % (2 * k)).astype(np.int32)), pa.array(n[lo: lo + 200_000])],
+                                             names=["word", "slot", "n"])
+
+    size = 0
+    for b in batches:
+        for _, _, data, off in chunks(b.column("text")):
+            h, surface, first = _tokens(data, off)
+            place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[place] == h
+            cls = np.where(hit, of[place], k - SURFACES + surface)
+            before = np.empty_like(cls)
+            before[1:] = cls[:-1]
+            before[first[:-1]] = k - 1
+            total += np.bincount(before * k + cls, minlength=k * k)
+            t = np.flatnonzero(hit)  # never the last token of a text
+            key = np.concatenate([place[t] * 2 * k + cls[t + 1], place[t] * 2 * k + k + before[t]])
+            held.append(_sum_by(key, np.ones(len(key), dtype=np.int64)))
+            size += len(held[-1][0])
+            if size > GATHER:
+                held[:] = [merged()]
+                size = len(held[0][0])
+                if size > GATHER // 2:
+                    yield from send(*held.pop())
+                    size = 0
+    if held:
+        yield from send(*merged())
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1)), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["word", "slot", "n"])
+
+
+def _best_classes(word: np.ndarray, slot: np.ndarray, n: np.ndarray, of: np.ndarray, pairs: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words (each's rows are neighbours) and the class of each that raises the likelihood most."""
+    k = len(pairs)
+    start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    words_, times = word[start], np.diff(np.append(start, len(word)))
+    own = of[words_].astype(np.int64)
+    mine = own[:, None] == np.arange(classes)
+    after, d = slot < k, slot % k
+    r = n[:, None].astype(np.float64)
+    cells = np.where(after[:, None], pairs[:classes, d].T, pairs[d, :classes])
+    cells = np.maximum(cells - np.where(np.repeat(mine, times, axis=0), r, 0.0), 0.0)  # without the word itself
+    gain = np.add.reduceat(_xlogx(cells + r) - _xlogx(cells), start)
+    for side, sums in ((after, pairs.sum(axis=1)), (~after, pairs.sum(axis=0))):
+        c = np.add.reduceat(np.where(side, n, 0), start)[:, None].astype(np.float64)
+        rest = np.maximum(sums[:classes] - np.where(mine, c, 0.0), 0.0)
+        gain -= _xlogx(rest + c) - _xlogx(rest)
+    new = gain.argmax(axis=1)
+    at = np.arange(len(new))
+    inside = own < classes
+    stay = inside & (gain[at, new] <= gain[at, np.where(inside, own, 0)] + 1e-9)
+    return words_, np.where(stay, own, new)
+
+
+def _moves(batches: Iterator[pa.RecordBatch], of: np.ndarray, pairs: np.ndarray, classes: int) -> Iterator[pa.RecordBatch]:
+    """(word, class) of rows sorted by word; a word has at most two rows a class."""
+    def found(rows: list[np.ndarray]) -> pa.RecordBatch:
+        w, c = _best_classes(*rows, of, pairs, classes)
+        return pa.RecordBatch.from_arrays([pa.array(w), pa.array(c)], names=["word", "class"])
+
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
+    for b in batches:
+        held = [np.concatenate([x, b.column(i).to_numpy()]) for i, x in enumerate(held)]
+        while len(held[0]):
+            end = int(np.searchsorted(held[0], held[0][min(len(held[0]) - 1, 20_000)]))  # whole words
+            if not end:
+                break
+            yield found([x[:end] for x in held])
+            held = [x[end:] for x in held]
+    if len(held[0]):
+        yield found(held)
+
+
+def _likelihood(pairs: np.ndarray) -> float:
+    return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(axis=1)).sum() - _xlogx(pairs.sum(axis=0)).sum())
+
+
+def spread(docs: DataFrame, learn: Column, known: np.ndarray, of: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all known words by exchange rounds on Spark, and the class bigrams; words not yet clustered
+    have a surface class in ``of``."""
+    k = classes + SURFACES
+    rows = docs.where(learn).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    best, context = None, docs.sparkSession.sparkContext
+    for i in range(SPREAD + 1):
+        shared = context.broadcast((known, of))
+        counts = rows.mapInArrow(lambda it, shared=shared: _count_contexts(it, *shared.value, k), "word long, slot int, n long")
+        counts = stored(counts.groupBy("word", "slot").agg(F.sum("n").alias("n")), "word-contexts")
+        got = counts.where("word = -1").select("slot", "n").toPandas()  # at most k * k rows
+        pairs = np.zeros(k * k)
+        pairs[got["slot"].to_numpy()] = got["n"].to_numpy()
+        pairs = pairs.reshape(k, k)
+        if i > 1 and _likelihood(pairs) <= _likelihood(best[1]):
+            break
+        best = of, pairs
+        if i == SPREAD:
+            break
+        movable = counts.where("word >= 0" if i == 0 else f"word >= 0 and word % 2 = {i % 2}")
+        moves = movable.repartition("word").sortWithinPartitions("word", "slot").mapInArrow(
+            lambda it, shared=shared, pairs=pairs: _moves(it, shared.value[1], pairs, classes), "word long, class long").toPandas()
+        of = of.copy()
+        of[moves["word"].to_numpy()] = moves["class"].to_numpy()
+    return best
+
+
 def fit(docs: DataFrame, learn: Column) -> tuple[dict, DataFrame]:
     """The broadcastable model, and the table of all word counts."""
     counts = stored(count_words(docs, learn), "word-counts")
@@ -238,17 +360,29 @@ def fit(docs: DataFrame, learn: Column) -> tuple[dict, DataFrame]:
     onto = np.zeros((m + SURFACES, k))
     onto[np.arange(m + SURFACES), unit_class] = 1
     n = onto.T @ pairs @ onto
+    seeds, unit_class = known, unit_class[:m]
+    rows = counts.where((F.col("c") >= MIN_COUNT) & (F.col("h") != int(END.view(np.int64)))).select("h", "c", "surface").toPandas()
+    more = ~np.isin(rows["h"].to_numpy().view(np.uint64), seeds)
+    if more.any():
+        known = np.concatenate([seeds, rows["h"].to_numpy().view(np.uint64)[more]])
+        order = np.argsort(known)
+        known = known[order]
+        known_c = np.concatenate([c[place], rows["c"].to_numpy()[more]])[order]
+        known_surface = np.concatenate([surface[place], rows["surface"].to_numpy()[more]])[order].astype(np.int64)
+        start = np.concatenate([unit_class, classes + rows["surface"].to_numpy()[more]])[order].astype(np.int64)
+        unit_class, n = spread(docs, learn, known, start, classes)
+    else:
+        known_c, known_surface = c[place], surface[place]
     step = np.log10((n + ALPHA) / (n.sum(axis=1, keepdims=True) + ALPHA * k))
     tokens, kinds = np.zeros(k), np.zeros(k)
     for s, (total, v) in by_surface.items():
         tokens[classes + s], kinds[classes + s] = total, v
-    np.add.at(tokens, unit_class[:m], c[place])
-    np.add.at(kinds, unit_class[:m], 1)
-    np.subtract.at(tokens, classes + surface[place], c[place])
-    np.subtract.at(kinds, classes + surface[place], 1)
+    np.add.at(tokens, unit_class, known_c)
+    np.add.at(kinds, unit_class, 1)
+    np.subtract.at(tokens, classes + known_surface, known_c)
+    np.subtract.at(kinds, classes + known_surface, 1)
     total, v = sum(x for x, _ in by_surface.values()), sum(x for _, x in by_surface.values())
-    cls = _unit_of(h, surface, known, unit_class[:m], classes)
-    return {"h": h, "log": np.log10(c + ALPHA), "class": cls.astype(np.int16), "classes": classes, "step": step,
+    return {"h": h, "log": np.log10(c + ALPHA), "known": known, "class": unit_class.astype(np.int16), "classes": classes, "step": step,
             "emit": np.log10(tokens + ALPHA * (kinds + 1)), "tokens": total, "base": math.log10(total + ALPHA * (v + 1))}, counts
 
 
@@ -260,11 +394,12 @@ def _score(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.Record
         for lo, hi, data, off in chunks(b.column("text")):
             h, surface, first = _tokens(data, off)
             uniq, place, inv = np.unique(h, return_index=True, return_inverse=True)
-            cls, log, found = model["classes"] + surface[place], np.zeros(len(uniq)), np.zeros(len(uniq), dtype=bool)
+            cls = _unit_of(uniq, surface[place], model["known"], model["class"], model["classes"])
+            log, found = np.zeros(len(uniq)), np.zeros(len(uniq), dtype=bool)
             if len(top):
                 t = np.minimum(np.searchsorted(top, uniq), len(top) - 1)
                 found = top[t] == uniq
-                cls, log = np.where(found, model["class"][t], cls), np.where(found, model["log"][t], 0.0)
+                log = np.where(found, model["log"][t], 0.0)
             c = cls[inv]
             before = np.empty_like(c)
             before[1:] = c[:-1]

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from profitlens.llm import decontaminate, html_extract, quality_rules
+from profitlens.llm import class_lm, decontaminate, html_extract, quality_rules
 from profitlens.llm.common import reach
 
 
@@ -64,3 +66,19 @@ def test_items_in_other_case_are_leaks(spark):
     docs = [(i, t) for i, t in enumerate(cased)] + [(10, "A TEXT IN CAPITALS THAT HOLDS NOTHING OF THE ITEM BUT A FEW RED APPLES")]
     got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string"))
     assert sorted(r.doc_id for r in got.collect() if r.leaked) == [0, 1, 2, 3, 4]
+
+
+def test_all_words_above_the_threshold_are_clustered(spark):
+    reach(spark)
+    rng = random.Random(6)
+    kinds = [[f"{a}{i}x" for i in range(1500)] for a in "pqr"]  # one surface; the kinds take turns
+
+    def text():
+        return " ".join(rng.choice(kinds[j % 3]) for j in range(300))
+
+    docs = spark.createDataFrame([(i, text()) for i in range(400)], "doc_id long, text string")
+    model, counts = class_lm.fit(docs, F.lit(True))
+    often = counts.where((F.col("c") >= class_lm.MIN_COUNT) & (F.col("c") != 400)).count()
+    assert often > 4000 and len(model["known"]) >= often and (model["class"] < model["classes"]).all()
+    scored = class_lm.score(docs, F.lit(True)).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (scored[0] - scored[1]) / scored[2] > 0.3  # log10(3) = 0.48 a token is the best
