@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from profitlens.llm import bpe, chat_format, class_lm, decontaminate, html_extract, jaccard_join, line_dedup, quality_knn, quality_rules, suffix_dedup
+from profitlens.llm import bpe, chat_format, class_lm, decontaminate, html_extract, jaccard_join, line_dedup, quality_knn, quality_rules, source_divergence, suffix_dedup
 from profitlens.llm.common import crc_mod, table
 
 
@@ -107,6 +107,47 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) != 0)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH docs AS (
+    SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+words AS (
+    SELECT lang, source, doc_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+                                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+    FROM docs),
+kept AS (
+    SELECT lang, term, count(*)::HUGEINT AS in_lang FROM words GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 3),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(in_lang)::HUGEINT AS n FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+held AS (
+    SELECT words.lang, source, term, count(*)::HUGEINT AS c FROM words SEMI JOIN kept USING (lang, term)
+    GROUP BY words.lang, source, term),
+totals AS (
+    SELECT groups.lang, groups.source, coalesce(sum(c), 0)::HUGEINT AS n
+    FROM groups LEFT JOIN held USING (lang, source) GROUP BY groups.lang, groups.source),
+grid AS (
+    SELECT g.lang, g.source, k.term, k.in_lang, coalesce(h.c, 0) AS c,
+           1 + (1000000000 * (coalesce(h.c, 0) + 1)) // (t.n + l.v) AS p,
+           1 + (1000000000 * (k.in_lang + 1)) // (l.n + l.v) AS q
+    FROM groups g JOIN totals t USING (lang, source) JOIN langs l ON l.lang = g.lang JOIN kept k ON k.lang = g.lang
+    LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
+pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+           coalesce((SELECT sum((x.p - y.p) * (x.p - y.p) // y.p) FROM grid x JOIN grid y USING (lang, term)
+                     WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+terms AS (
+    SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM grid WHERE c > 0 AND p > q),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_html_extraction": op2_html_extraction,
@@ -118,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_score": op10_lm_score,
+    "op11_source_divergence": op11_source_divergence,
 }
 
-ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op11_source_divergence": OP11_SQL}
