@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from profitlens.llm import bpe, chat_format, class_lm, decontaminate, html_extract, jaccard_join, line_dedup, quality_knn, quality_rules, source_divergence, suffix_dedup
+from profitlens.llm import bpe, chat_format, class_lm, decontaminate, html_extract, jaccard_join, line_dedup, quality_knn, quality_rules, source_divergence, suffix_dedup, token_align, token_file
 from profitlens.llm.common import crc_mod, table
 
 
@@ -73,10 +73,10 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(lambda it: _digests(bpe.decode_batches(it, source)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,6 +148,16 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank F
 """
 
 
+def op12_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = token_file.vocabulary(spark, vocabulary_path("word_bpe_49k.json"))
+    return token_file.read(token_file.write(table(spark, sf_dir, "documents"), source, end=1))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = token_align.vocabularies(spark, vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))
+    return token_align.align(table(spark, sf_dir, "documents"), source)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_html_extraction": op2_html_extraction,
@@ -160,6 +170,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_score": op10_lm_score,
     "op11_source_divergence": op11_source_divergence,
+    "op12_token_file": op12_token_file,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op11_source_divergence": OP11_SQL}
