@@ -2,14 +2,16 @@
 
 from profitlens.functions.measures import (  # noqa: F401
     MONEY,
+    average,
     avg_money,
     avg_pct,
     cents,
     dollars,
+    half_up,
     money_sum,
     pct,
+    per_unit,
     ratio,
-    round_ratio,
     sum_cents,
 )
 from profitlens.functions.bands import (  # noqa: F401

@@ -7,9 +7,9 @@ Conventions (one place, used by the Spark plans and mirrored by the oracle SQL):
   (millions of cents and the rest), which stay on Spark's fixed-width aggregation fast path, and
   are joined as ``decimal(38,0)`` after the aggregate: a part holds 9e18 / 1e6 = 9e12 rows of any
   12-digit amount, with ANSI mode on or off;
-* a ratio is computed in double, fixed to 6 decimals, then rounded half-up to 2 decimals
-  (``round_ratio``).  This is exact-decimal behaviour for all practical purposes and makes the
-  result independent of each engine's rules for rounding doubles;
+* a ratio of sums is the quotient of two integers (cents, counts, hundredths), rounded once, half away
+  from zero, by quotient and remainder on ``decimal(38,0)`` (``half_up``); no double takes part before the
+  rounded whole number is scaled back;
 * division by zero yields NULL (``nullif``), never an ANSI error;
 * averages of margins are exact sums of integer hundredths divided by the count, so they do not
   depend on summation order.
@@ -21,7 +21,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(12,2)"
-RATIO_DEC = "decimal(38,6)"
+WHOLE = "decimal(38,0)"
 
 
 def _col(c) -> Column:
@@ -32,19 +32,35 @@ def _safe_div(a: Column, b: Column) -> Column:
     return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
 
 
-def round_ratio(x, scale: int = 2) -> Column:
-    """double -> 6-decimal fixed point -> half-up rounding to ``scale`` -> double."""
-    return F.round(_col(x).try_cast(RATIO_DEC), scale).cast("double")
+def half_up(part, whole, up: int, down: int) -> Column:
+    """``part * 10**up / whole`` as a whole number, rounded half away from zero, over ``10**down`` (double).
+
+    ``part`` and ``whole`` are integers of any width up to 31 digits; NULL on a zero ``whole``."""
+    n, d = _col(part).cast(WHOLE), _col(whole).cast(WHOLE)
+    twice = F.abs(n) * F.lit(2 * 10**up).cast("decimal(7,0)") + F.abs(d)
+    step = F.nullif(F.abs(d) * F.lit(2), F.lit(0).cast(WHOLE))
+    size = ((twice - twice % step) / step).cast("double") / F.lit(float(10**down))
+    return F.when((n < 0) != (d < 0), -size).otherwise(size)
 
 
 def pct(part, whole) -> Column:
-    """``round(100 * part / nullif(whole, 0), 2)`` as double (guarded margin / share, V4/V5)."""
-    return round_ratio(F.lit(100.0) * _safe_div(_col(part), _col(whole)))
+    """``round(100 * part / nullif(whole, 0), 2)`` of two integers in one unit (guarded margin / share, V4/V5)."""
+    return half_up(part, whole, 4, 2)
 
 
 def ratio(part, whole) -> Column:
-    """Unscaled ratio ``part / whole`` kept to 6 decimals, NULL on a zero divisor (V2/V3)."""
-    return round_ratio(_safe_div(_col(part), _col(whole)), 6)
+    """``part / whole`` of two integers in one unit, to 6 decimals, NULL on a zero divisor (V2/V3)."""
+    return half_up(part, whole, 6, 6)
+
+
+def per_unit(amount_cents, units) -> Column:
+    """Currency units per unit, to 6 decimals, from cents and a count."""
+    return half_up(amount_cents, units, 4, 6)
+
+
+def average(total_hundredths, n) -> Column:
+    """``round(total / n, 2)`` of a total held in whole hundredths (cents, margins)."""
+    return half_up(total_hundredths, n, 0, 2)
 
 
 def unrounded(part, whole) -> Column:
@@ -77,7 +93,7 @@ def money_sum(c) -> Column:
 
 def avg_money(c) -> Column:
     """``round(avg(x), 2)`` of a money column (exact sum / count)."""
-    return round_ratio(_safe_div(money_sum(c), F.count(_col(c))))
+    return average(sum_cents(c), F.count(_col(c)))
 
 
 def hundredths(x) -> Column:
@@ -89,4 +105,4 @@ def avg_pct(m) -> Column:
     """``round(avg(margin), 2)``; margins carry 2 decimals, so they are summed exactly as
     integer hundredths (order-independent), then divided by the count."""
     m = _col(m)
-    return round_ratio(_safe_div(F.sum(hundredths(m)), F.count(m)) / F.lit(100.0))
+    return average(F.sum(hundredths(m)), F.count(m))

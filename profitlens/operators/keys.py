@@ -1,15 +1,15 @@
 """Dense surrogate keys (AUTO_INCREMENT) without a global single-partition window.
 
 ``row_number() OVER (ORDER BY k)`` would pull every row into one task.  Instead the rows are
-range-partitioned and sorted on the natural key, written once to the cluster's checkpoint folder
-(reliable storage, so a lost executor cannot make a recomputed partition number its rows
-differently), and each row's id is its partition's offset plus its position in the partition.
-The offsets are one row per partition — bounded by the partition count — and are broadcast.
+range-partitioned and sorted on the natural key and written once, as parquet in the shared folder, with
+their place (partition and position).  Each row's id is its partition's offset plus its position; the
+offsets are a prefix sum over one row per partition, bounded by the partition count, and are broadcast.
+What is written is fixed, so a lost executor cannot make rows change their numbers.
 
-Rows that tie on the ordering columns are ordered by a hash of the whole row, so a hot value of
-the ordering key is spread over several range partitions instead of one.  Rows identical in every
-column hash alike and stay in one partition; their ids are interchangeable.  Splitting very large
-groups of identical copies (by multiplicity) is left open.
+Rows that tie on the ordering columns are ordered by a hash of the whole row, then by the other columns,
+so a hot value of the ordering key is spread over several range partitions.  Rows identical in every
+column are interchangeable; a tag that is unique to each row, and was itself written before, spreads such
+copies over several partitions too, and no copy can be routed twice when a task is repeated.
 """
 
 from __future__ import annotations
@@ -19,46 +19,48 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from profitlens.session import ensure_checkpoint_dir
+from profitlens.operators.share import shared
 
 #: Rows that one task numbers, about 0.5 GB of a narrow fact.
 ROWS_PER_TASK = 8_000_000
+TAG = "_tag"
 
 
-def dense_surrogate_key(df: DataFrame, order_cols: Sequence[str], name: str, rows: int | None = None) -> DataFrame:
+def tagged(df: DataFrame, name: str = "tagged") -> DataFrame:
+    """``df`` stored with a column ``_tag`` that is unique to each row."""
+    return shared(df.withColumn(TAG, F.monotonically_increasing_id()), name)
+
+
+def dense_surrogate_key(df: DataFrame, order_cols: Sequence[str], name: str, rows: int | None = None,
+                        distinct: bool = False) -> DataFrame:
     """Add ``name`` = 1..N following ``order_cols`` (ascending, NULLs first).
 
-    ``order_cols`` should identify a row; rows that tie on all of them are interchangeable, so
-    which of them gets which id does not change the result.  ``rows``, an upper bound of the number of
-    rows, sets the number of partitions (``ROWS_PER_TASK`` each); without it the session's shuffle
-    partitions are used, which AQE may coalesce."""
+    Rows that tie on all columns are interchangeable, so which of them gets which id does not change the
+    result.  ``rows``, an upper bound of the number of rows, sets the number of partitions
+    (``ROWS_PER_TASK`` each, at least the session's shuffle partitions).  ``distinct`` says that no two rows
+    are equal in all columns; otherwise ``df`` is expected to carry the tag of ``tagged``, and is stored with
+    one if it does not."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    keys = [F.col(c).asc_nulls_first() for c in order_cols]
-    rest = [c for c in df.columns if c not in order_cols]
-    # deterministic tie-break: equal keys are spread by a hash of the row, then fully ordered
-    ties = [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).asc()] + [F.col(c).asc_nulls_first() for c in rest]
+    if not distinct and TAG not in df.columns:
+        df = tagged(df)
+        rows = df.count() if rows is None else rows
+    cols = [c for c in df.columns if c != TAG]
+    rest = [c for c in cols if c not in order_cols]
+    keys = [F.col(f"`{c}`").asc_nulls_first() for c in order_cols]
     if rest:
-        keys = keys + ties
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(*keys) if not rows else df.repartitionByRange(max(least, -(-rows // ROWS_PER_TASK)), *keys)
-    ranged = ranged.sortWithinPartitions(*keys).checkpoint(eager=True)
-    local = ranged.select(
-        "*",
-        F.spark_partition_id().alias("_pid"),
-        F.monotonically_increasing_id().alias("_mono"),
-    )
-    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias(
-            "_offset"
-        ),
-    )
-    # _mono = (partition index << 33) + position inside the partition
-    pos = F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (
-        local.join(F.broadcast(offsets), "_pid")
-        .withColumn(name, F.col("_offset") + pos + F.lit(1))
-        .drop("_pid", "_mono", "_offset")
-    )
+        keys += [F.xxhash64(*[F.col(f"`{c}`") for c in cols]).asc(), *[F.col(f"`{c}`").asc_nulls_first() for c in rest]]
+    if TAG in df.columns:
+        keys.append(F.col(TAG).asc())
+    if rows is None:
+        ranged = df.repartitionByRange(*keys)
+    else:
+        ranged = df.repartitionByRange(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_TASK)), *keys)
+    # the place of a row: (partition index << 33) + position inside the partition
+    placed = shared(ranged.sortWithinPartitions(*keys).select(*[F.col(f"`{c}`") for c in cols], F.monotonically_increasing_id().alias("_place")), "numbered")
+    part = F.shiftright("_place", 33).alias("_part")
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    offsets = counts.select("_part", before.alias("_offset"))
+    ids = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    position = F.col("_place") - F.shiftleft(F.col("_part"), 33)
+    return ids.select(*[F.col(f"`{c}`") for c in cols], (F.col("_offset") + position + F.lit(1)).alias(name))

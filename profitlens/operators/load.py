@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from profitlens.functions.dates import parse_date
 from profitlens.functions.measures import MONEY
-from profitlens.operators.keys import dense_surrogate_key
+from profitlens.operators.keys import TAG, dense_surrogate_key, tagged
+from profitlens.operators.share import shared
 
 ORDER_NATURAL_KEY = ["Customer ID", "Order Date", "Ship Date", "Ship Mode"]
 
@@ -40,14 +41,31 @@ def rename_row_index(df: DataFrame, index_col: str = "Unnamed: 0", to: str = "Or
 
 
 # -- dictionary lookups (B8, B9) --------------------------------------------------------------------
-def map_by_name(df: DataFrame, mapping: DataFrame, name_col: str, out_col: str) -> DataFrame:
-    """Dictionary lookup ``df[name_col] → out_col``; unknown names give NULL (``Series.map``).
-
-    ``mapping`` has columns ``name``, ``id`` with one row per name.  It is joined without a
-    broadcast hint: the planner broadcasts it when its estimated size allows, which is always
-    the case for the 16-entry product map and the 5-entry factory map of the source system."""
-    m = mapping.select(F.col("name").alias("_map_name"), F.col("id").alias(out_col))
-    return df.join(m, df[name_col] == m["_map_name"], "left").drop("_map_name")
+#: Names that are looked up by a broadcast: the most frequent ones.  Any other name holds at most
+#: 1 / HOT_NAMES of the rows, so that the shuffle that looks it up has no hot key.
+HOT_NAMES = 1024
+
+
+def map_by_name(df: DataFrame, mapping: DataFrame, name_col: str, out_col: str, names: DataFrame | None = None) -> DataFrame:
+    """Dictionary lookup ``df[name_col] → out_col``; unknown and NULL names give NULL (``Series.map``).
+
+    ``mapping`` has columns ``name``, ``id`` with one row per name and may be of any size.  The distinct names
+    of ``df`` are counted (one pass over that column, added up before any shuffle; ``names``, rows with the
+    same names, spares the rest of a costly ``df``) and mapped once.  The most frequent ``HOT_NAMES`` of them
+    are broadcast, so that rows with these names are not moved; only rows with a rarer name, if there are
+    more names than that, are shuffled on it."""
+    used = (df if names is None else names).groupBy(F.col(f"`{name_col}`").alias("_name")).agg(F.count(F.lit(1)).alias("_n")).where("_name is not null")
+    ids = mapping.select(F.col("name").alias("_name"), F.col("id").alias(out_col))
+    known = shared(used.join(ids, "_name", "left"), "names")
+    name = F.col(f"`{name_col}`")
+    if known.count() <= HOT_NAMES:
+        return df.join(F.broadcast(known.drop("_n")), name == F.col("_name"), "left").drop("_name")
+    hot = shared(known.orderBy(F.desc("_n"), "_name").limit(HOT_NAMES).drop("_n"), "hot-names")
+    cold = known.drop("_n").join(F.broadcast(hot.select("_name")), "_name", "left_anti")
+    tried = df.join(F.broadcast(hot), name == F.col("_name"), "left")
+    done = tried.where(F.col("_name").isNotNull() | name.isNull())
+    late = tried.where(F.col("_name").isNull() & name.isNotNull()).drop(out_col, "_name").join(cold, name == F.col("_name"), "left")
+    return done.unionByName(late.select(*done.columns)).drop("_name")
 
 
 def composite_order_id(df: DataFrame, out_col: str = "Order ID") -> DataFrame:
@@ -58,10 +76,12 @@ def composite_order_id(df: DataFrame, out_col: str = "Order ID") -> DataFrame:
     return df.withColumn(out_col, F.concat_ws("_", part("Order Date"), part("Customer ID"), part("Product ID")))
 
 
-def enrich_raw(raw: DataFrame, product_map: DataFrame, factory_map: DataFrame) -> DataFrame:
-    """The notebook enrichment: map product and factory ids, then the row index as Order ID."""
-    mapped = map_by_name(raw, product_map, "Product Name", "Product ID")
-    mapped = map_by_name(mapped, factory_map, "Factory", "Factory ID")
+def enrich_raw(raw: DataFrame, product_map: DataFrame, factory_map: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """The notebook enrichment: map product and factory ids, then the row index as Order ID.  ``names`` has the
+    two name columns of ``raw``, where they can be had for less than all of it."""
+    names = raw if names is None else names
+    mapped = map_by_name(raw, product_map, "Product Name", "Product ID", names)
+    mapped = map_by_name(mapped, factory_map, "Factory", "Factory ID", names)
     return rename_row_index(strip_column_names(mapped))
 
 
@@ -78,7 +98,7 @@ def _order_groups(raw: DataFrame) -> DataFrame:
 def order_keys(raw: DataFrame, rows: int | None = None) -> DataFrame:
     """Distinct raw order tuples with their surrogate ``Order ID`` (natural-key order); ``rows`` is the
     number of raw rows, where it is known."""
-    return dense_surrogate_key(_order_groups(raw), ORDER_NATURAL_KEY, "Order ID", rows)
+    return dense_surrogate_key(_order_groups(raw), ORDER_NATURAL_KEY, "Order ID", rows, distinct=True)
 
 
 def dim_order(raw: DataFrame, keyed: DataFrame | None = None) -> DataFrame:
@@ -121,13 +141,16 @@ def fact_load(raw: DataFrame, product_map: DataFrame, factory_map: DataFrame,
     Orders are found by a null-safe equi-join on the four natural-key columns (a large-large
     sort-merge join at scale); the name dictionaries are small lookups.  Ids follow the source's
     row order (AUTO_INCREMENT numbers rows as they are inserted), with the fact columns as
-    tie-breakers where the row index repeats.  ``raw`` is read twice (orders, then rows): pass a stored
-    table, and its number of ``rows``, where it is the result of joins."""
+    tie-breakers where the row index repeats.  ``raw`` is read several times (orders, names, rows): unless it
+    is the result of ``tagged``, it is stored first."""
+    if TAG not in raw.columns:
+        raw = tagged(raw, "raw")
+    rows = raw.count() if rows is None else rows
     keyed = keyed_orders if keyed_orders is not None else order_keys(raw, rows)
     cond = [raw[c].eqNullSafe(keyed[c]) for c in ORDER_NATURAL_KEY]
     with_order = raw.join(keyed, cond, "left").select(raw["*"], keyed["Order ID"])
-    mapped = map_by_name(with_order, product_map, "Product Name", "Product ID")
-    mapped = map_by_name(mapped, factory_map, "Factory", "Factory ID")
+    mapped = map_by_name(with_order, product_map, "Product Name", "Product ID", raw)
+    mapped = map_by_name(mapped, factory_map, "Factory", "Factory ID", raw)
     cols = ["Units", "Sales", "Cost", "Gross Profit", "Order ID", "Factory ID", "Product ID"]
     fact = mapped.select(
         F.col(f"`{row_index}`").alias("_source_row"),
@@ -138,6 +161,7 @@ def fact_load(raw: DataFrame, product_map: DataFrame, factory_map: DataFrame,
         "Order ID",
         "Factory ID",
         "Product ID",
+        TAG,
     )
     return dense_surrogate_key(fact, ["_source_row", *cols], "Financial Figures ID", rows).select(
         "Financial Figures ID", *cols

@@ -40,6 +40,7 @@ REPORTS: dict[str, Report] = {
     "margin_sub_bands": lambda s: O.margin_sub_bands(s.v),
     "margin_groups": lambda s: O.margin_groups(s.v),
     "margin_volume_all_bands": lambda s: O.margin_volume_all_bands(s.v),
+    "margin_volume_table_bands": lambda s: O.margin_volume_of(s.v, s.bands),
     "sub_band_share": lambda s: O.sub_band_share(s.v),
     # products (A10-A15)
     "top_products_high_margin": lambda s: P.top_products_high_margin(s.v, s.product),
@@ -67,12 +68,13 @@ REPORTS: dict[str, Report] = {
     "factory_profit_high_margin": lambda s: Fa.factory_profit_high_margin(s.v),
     "extreme_margin_factories": lambda s: Fa.extreme_margin_factories(s.v),
     "product_factory_dependency": lambda s: Fa.product_factory_dependency(s.v, s.product),
-    "factory_margin_stability": lambda s: Fa.factory_margin_stability(s.v, s.order),
+    "factory_margin_stability": lambda s: Fa.factory_margin_stability(s.v_by_order, s.order),
     "factory_unit_economics": lambda s: Fa.factory_unit_economics(s.v),
     # concentration and charts
     "profit_concentration": lambda s: C.profit_concentration(s.v, s.product),
     "pareto_products": lambda s: C.pareto_profit_share(C.profit_concentration(s.v, s.product), K.ENTITY_PRODUCT, 10),
     "pareto_factories": lambda s: C.pareto_profit_share(C.profit_concentration(s.v, s.product), K.ENTITY_FACTORY, 10),
+    "running_profit_share": lambda s: C.running_profit_share(s.v),
     "volume_vs_margin": lambda s: C.volume_vs_margin(C.profit_concentration(s.v, s.product)),
     "product_bubble": lambda s: C.product_bubble(C.profit_concentration(s.v, s.product)),
     "top10_products_asc": lambda s: C.top10_products_asc(C.profit_concentration(s.v, s.product)),
@@ -80,21 +82,21 @@ REPORTS: dict[str, Report] = {
     "chart_band_volume": lambda s: Ch.chart_band_volume(s.v),
     "chart_band_profit": lambda s: Ch.chart_band_profit(s.v),
     # customers
-    "customer_profit": lambda s: Cu.customer_profit(s.fact, s.order),
-    "best_worst_customer": lambda s: Cu.best_worst_customer(s.fact, s.order),
-    "customer_products_by_units": lambda s: Cu.customer_products_by_units(s.fact, s.order, s.product),
-    "customer_products_by_gp": lambda s: Cu.customer_products_by_gp(s.fact, s.order, s.product),
-    "customer_products_units_gp": lambda s: Cu.customer_products_units_gp(s.fact, s.order, s.product),
-    "best_customer_top5": lambda s: Cu.best_customer_top5(s.fact, s.order, s.product),
-    "best_customer_top5_by_id": lambda s: Cu.best_customer_top5_by_id(s.fact, s.order, s.product),
-    "best_customer_bottom10": lambda s: Cu.best_customer_bottom10(s.fact, s.order, s.product),
+    "customer_profit": lambda s: Cu.customer_profit(s.fact_by_order, s.order),
+    "best_worst_customer": lambda s: Cu.best_worst_customer(s.fact_by_order, s.order),
+    "customer_products_by_units": lambda s: Cu.customer_products_by_units(s.fact_by_order, s.order, s.product),
+    "customer_products_by_gp": lambda s: Cu.customer_products_by_gp(s.fact_by_order, s.order, s.product),
+    "customer_products_units_gp": lambda s: Cu.customer_products_units_gp(s.fact_by_order, s.order, s.product),
+    "best_customer_top5": lambda s: Cu.best_customer_top5(s.fact_by_order, s.order, s.product),
+    "best_customer_top5_by_id": lambda s: Cu.best_customer_top5_by_id(s.fact_by_order, s.order, s.product),
+    "best_customer_bottom10": lambda s: Cu.best_customer_bottom10(s.fact_by_order, s.order, s.product),
     # stated questions (G1-G4, G6, G7; G5 is best_worst_6_products)
-    "country_profit": lambda s: Cu.country_profit(s.fact, s.order, s.customer),
-    "top_states_best_country": lambda s: Cu.top_states_best_country(s.fact, s.order, s.customer),
-    "top_cities_best_region": lambda s: Cu.top_cities_best_region(s.fact, s.order, s.customer),
-    "customer_profit_vs_orders": lambda s: Cu.customer_profit_vs_orders(s.fact, s.order),
-    "loss_makers": lambda s: Cu.loss_makers(s.fact, s.order),
-    "top_customers_discount": lambda s: Cu.top_customers_discount(s.fact, s.order),
+    "country_profit": lambda s: Cu.country_profit(s.fact_by_order, s.order, s.customer),
+    "top_states_best_country": lambda s: Cu.top_states_best_country(s.fact_by_order, s.order, s.customer),
+    "top_cities_best_region": lambda s: Cu.top_cities_best_region(s.fact_by_order, s.order, s.customer),
+    "customer_profit_vs_orders": lambda s: Cu.customer_profit_vs_orders(s.fact_by_order, s.order),
+    "loss_makers": lambda s: Cu.loss_makers(s.fact_by_order, s.order),
+    "top_customers_discount": lambda s: Cu.top_customers_discount(s.fact_by_order, s.order),
     # load pipeline (B1-B13) and quality
     "enriched_raw": Ld.enriched_raw,
     "composite_order_ids": Ld.composite_order_ids,
@@ -106,6 +108,8 @@ REPORTS: dict[str, Report] = {
     "fact_load": Ld.fact_load,
     "pk_violations": Ld.pk_violations,
     "fk_orphans": Ld.fk_orphans,
+    "early_load_orphans": Ld.early_load_orphans,
+    "repeated_load": Ld.repeated_load,
     "multi_city_customers": Ld.multi_city_customers,
     "multi_postal_customers": Ld.multi_postal_customers,
     "factory_products": Ld.factory_products,

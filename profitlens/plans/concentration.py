@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from profitlens import constants as K
 from profitlens.functions.measures import dollars, pct, sum_cents
 from profitlens.operators.joins import scalar
+from profitlens.operators.prefix import running_totals
 from profitlens.operators.share import shared
 from profitlens.operators.topk import top_n
 
@@ -70,9 +71,9 @@ def profit_concentration(v: DataFrame, product: DataFrame) -> DataFrame:
         dollars("total_cost").alias("total_cost"),
         dollars("total_sales").alias("total_sales"),
         dollars("total_gross_profit").alias("total_gross_profit"),
-        pct(dollars("total_gross_profit"), dollars(totals.getField("profit"))).alias("pct_profit_share"),
-        pct(dollars("total_sales"), dollars(totals.getField("sales"))).alias("pct_sales_share"),
-        pct(dollars("total_gross_profit"), dollars("total_sales")).alias("gross_margin_pct"),
+        pct("total_gross_profit", totals.getField("profit")).alias("pct_profit_share"),
+        pct("total_sales", totals.getField("sales")).alias("pct_sales_share"),
+        pct("total_gross_profit", "total_sales").alias("gross_margin_pct"),
     ).orderBy(F.col("total_gross_profit").desc(), "entity_type", "entity_id")
 
 
@@ -94,6 +95,23 @@ def pareto_profit_share(conc: DataFrame, entity_type: str = K.ENTITY_PRODUCT, to
     )
 
 
+def running_profit_share(v: DataFrame) -> DataFrame:
+    """W6/P1 over every product: profit, rank, and the running profit and share of the total, largest first.
+
+    Shares are of exact running sums (P1 adds rounded shares over its few rows); ties go by product id."""
+    sums = v.groupBy(PID).agg(sum_cents("Gross Profit").alias("profit_raw")).withColumn("one", F.lit(1))
+    order = [F.col("profit_raw").desc_nulls_last(), F.col(PID).asc_nulls_first()]
+    run = running_totals(sums, order, {"cum_raw": "profit_raw", "profit_rank": "one"})
+    total = scalar(v.agg(sum_cents("Gross Profit")))
+    return run.select(
+        PID,
+        dollars("profit_raw").alias("total_gross_profit"),
+        F.col("profit_rank").cast("bigint").alias("profit_rank"),
+        dollars("cum_raw").alias("cum_gross_profit"),
+        pct("cum_raw", total).alias("cum_profit_share"),
+    )
+
+
 def volume_vs_margin(conc: DataFrame, entity_type: str = K.ENTITY_PRODUCT, top_n_: int = 25) -> DataFrame:
     """Scatter data — volume share vs margin for the top-n entities by profit share."""
     return _top_by_share(conc, entity_type, top_n_).select(

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profitlens import constants as K
-from profitlens.functions.measures import dollars, pct, round_ratio, sum_cents
+from profitlens.functions.measures import average, dollars, pct, sum_cents
 from profitlens.operators.joins import attach_dim
 from profitlens.operators.share import shared
 from profitlens.operators.topk import first_and_last, top_n
@@ -146,7 +146,7 @@ def _geo_metrics(df: DataFrame, keys) -> DataFrame:
         dollars(F.sum("sales_raw")).alias("total_sales"),
         dollars(F.sum("cost_raw")).alias("total_cost"),
         dollars(F.sum("profit_raw")).alias("total_gross_profit"),
-        pct(dollars(F.sum("profit_raw")), dollars(F.sum("sales_raw"))).alias("gross_margin_pct"),
+        pct(F.sum("profit_raw"), F.sum("sales_raw")).alias("gross_margin_pct"),
     )
 
 
@@ -195,7 +195,7 @@ def customer_profit_vs_orders(ff, order) -> DataFrame:
         CID,
         F.col("n_orders").alias("num_orders"),
         dollars("profit_raw").alias("total_gross_profit"),
-        round_ratio(dollars("profit_raw") / F.col("n_orders").cast("double")).alias("profit_per_order"),
+        average("profit_raw", "n_orders").alias("profit_per_order"),
     ).orderBy(F.col("profit_per_order").desc(), CID)
 
 

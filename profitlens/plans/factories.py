@@ -50,7 +50,7 @@ def top_factories_high_margin(v: DataFrame, k: int = 10) -> DataFrame:
         dollars("cost_raw").alias("total_cost"),
         dollars("sales_raw").alias("total_sales"),
         dollars("profit_raw").alias("gross_profit"),
-        pct(dollars("profit_raw"), dollars("sales_raw")).alias("gross_margin_pct"),
+        pct("profit_raw", "sales_raw").alias("gross_margin_pct"),
     )
     return rank_filter(rows, [F.col("gross_profit").desc()], k, "profit_rank", fn=F.dense_rank).orderBy(
         "profit_rank", FID
@@ -85,7 +85,7 @@ def factory_profit_high_margin(v: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("num_records"),
             money_sum("Sales").alias("sales"),
             money_sum("Gross Profit").alias("gross_profit"),
-            pct(money_sum("Gross Profit"), money_sum("Sales")).alias("gross_margin_pct"),
+            pct(sum_cents("Gross Profit"), sum_cents("Sales")).alias("gross_margin_pct"),
         )
         .orderBy(F.col("gross_profit").desc(), FID)
     )
@@ -146,7 +146,7 @@ def product_factory_dependency(v: DataFrame, product: DataFrame, k: int = 10) ->
             dollars("cost_raw").alias("total_cost"),
             dollars("sales_raw").alias("total_sales"),
             dollars("profit_raw").alias("total_gross_profit"),
-            pct(dollars("profit_raw"), dollars("sales_raw")).alias("gross_margin_pct"),
+            pct("profit_raw", "sales_raw").alias("gross_margin_pct"),
         )
         .orderBy(PNAME, F.col("total_gross_profit").desc(), FID)
     )
@@ -195,7 +195,7 @@ def factory_unit_economics(v: DataFrame) -> DataFrame:
             avg_money("Cost").alias("avg_cost_per_txn"),
             avg_money("Sales").alias("avg_sales_per_txn"),
             avg_money("Gross Profit").alias("avg_profit_per_txn"),
-            pct(money_sum("Gross Profit"), money_sum("Sales")).alias("gross_margin_pct"),
+            pct(sum_cents("Gross Profit"), sum_cents("Sales")).alias("gross_margin_pct"),
         )
         .orderBy(F.col("avg_profit_per_txn").desc(), F.col("gross_margin_pct").desc(), FID)
     )

@@ -17,7 +17,10 @@ from profitlens.functions.bands import (
     range_table_label,
     three_group,
 )
-from profitlens.functions.measures import avg_pct, money_sum, pct
+from profitlens.functions.measures import average, avg_pct, dollars, hundredths, money_sum, pct, sum_cents
+from profitlens.operators.intervals import range_join
+from profitlens.operators.joins import scalar
+from profitlens.operators.share import shared
 
 MARGIN = "gross_margin_pct"
 PROFIT = "Gross Profit"
@@ -91,13 +94,13 @@ def kpi_totals(v: DataFrame) -> DataFrame:
         money_sum("Sales").alias("total_sales"),
         money_sum("Cost").alias("total_cost"),
         money_sum("Gross Profit").alias("total_gross_profit"),
-        pct(money_sum("Gross Profit"), money_sum("Sales")).alias("gross_margin_pct"),
+        pct(sum_cents("Gross Profit"), sum_cents("Sales")).alias("gross_margin_pct"),
     )
 
 
 def kpi_margin(v: DataFrame) -> DataFrame:
     """The headline margin only."""
-    return v.agg(pct(money_sum("Gross Profit"), money_sum("Sales")).alias("gross_margin_pct"))
+    return v.agg(pct(sum_cents("Gross Profit"), sum_cents("Sales")).alias("gross_margin_pct"))
 
 
 def chart_overall_kpis(v: DataFrame) -> DataFrame:
@@ -195,6 +198,34 @@ def margin_volume_all_bands(v: DataFrame) -> DataFrame:
     ).orderBy("sort_band").drop("sort_band")
 
 
+def margin_volume_of(v: DataFrame, bands: DataFrame) -> DataFrame:
+    """A8 over a band table given as data: margin_band, min_pct, max_pct, sort_band.
+
+    Bands may overlap, leave gaps or be open (NULL bound); as in the source's LEFT JOIN on ``min <= m < max``,
+    a row counts in every band that holds it and an empty band keeps its row.  Rows are first added up by
+    margin (whole hundredths), then joined to the bands through an interval index; no nested loop."""
+    m = hundredths(_m()).cast("long")
+    by_margin = v.where(_m().isNotNull()).groupBy(m.alias("_m")).agg(F.count(F.lit(1)).alias("_n"), sum_cents(PROFIT).alias("_profit"))
+    table = shared(bands.select(
+        "margin_band", "sort_band",
+        F.ceil(F.col("min_pct").cast("decimal(28,6)") * 100).cast("long").alias("_low"),
+        F.ceil(F.col("max_pct").cast("decimal(28,6)") * 100).cast("long").alias("_high"),
+    ), "bands")
+    hits = range_join(by_margin, "_m", table, "_low", "_high").groupBy("margin_band", "sort_band").agg(
+        F.sum("_n").alias("_n"), F.sum("_profit").alias("_profit"), F.sum(F.col("_n") * F.col("_m")).alias("_points"))
+    rows = table.select("margin_band", "sort_band").distinct().join(hits, ["margin_band", "sort_band"], "left")
+    n = F.coalesce("_n", F.lit(0))
+    total = scalar(hits.agg(F.sum("_n")))
+    return rows.select(
+        "margin_band",
+        "sort_band",
+        n.alias("num_records"),
+        pct(n, total).alias("pct_transaction_volume"),
+        F.coalesce(dollars("_profit"), F.lit(0.0)).alias("total_profit"),
+        average("_points", "_n").alias("avg_margin_pct"),
+    ).orderBy("sort_band", "margin_band")
+
+
 def sub_band_share(v: DataFrame) -> DataFrame:
     """Sub-bands inside ``40 <= m <= 100`` with volume share, average and sort helper.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from profitlens import constants as K
 from profitlens.functions.bands import band_by_ranges
-from profitlens.functions.measures import avg_pct, dollars, money_sum, pct, ratio, round_ratio, sum_cents, unrounded
+from profitlens.functions.measures import average, avg_pct, dollars, money_sum, pct, per_unit, ratio, sum_cents, unrounded
 from profitlens.operators.joins import attach_dim, scalar
 from profitlens.operators.share import shared
 from profitlens.operators.topk import first_and_last, rank_filter, top_n
@@ -61,7 +61,7 @@ def top_products_high_margin(v: DataFrame, product: DataFrame, k: int = 10) -> D
         dollars("cost_raw").alias("total_cost"),
         dollars("sales_raw").alias("sales"),
         dollars("profit_raw").alias("gross_profit"),
-        pct(dollars("profit_raw"), dollars("sales_raw")).alias("gross_margin_pct"),
+        pct("profit_raw", "sales_raw").alias("gross_margin_pct"),
     )
     return rank_filter(rows, [F.col("gross_profit").desc()], k, "profit_rank").orderBy("profit_rank", PID)
 
@@ -132,7 +132,7 @@ def low_margin_products(v: DataFrame, product: DataFrame) -> DataFrame:
         "num_records",
         dollars("sales_raw").alias("sales"),
         dollars("profit_raw").alias("gross_profit"),
-        pct(dollars("profit_raw"), dollars("sales_raw")).alias("gross_margin_pct"),
+        pct("profit_raw", "sales_raw").alias("gross_margin_pct"),
     ).orderBy(F.col("sales").desc(), PID)
 
 
@@ -150,7 +150,7 @@ def extreme_margin_products(v: DataFrame, product: DataFrame) -> DataFrame:
             avg_pct(_m()).alias("avg_margin_pct"),
             F.round(F.min(_m()), 2).alias("min_margin_pct"),
             F.round(F.max(_m()), 2).alias("max_margin_pct"),
-            round_ratio(money_sum("Cost") / F.count(F.lit(1)).cast("double")).alias("avg_cost_per_txn"),
+            average(sum_cents("Cost"), F.count(F.lit(1))).alias("avg_cost_per_txn"),
         )
     )
     return _named(agg, product).select(
@@ -177,8 +177,8 @@ def _profitability_rows(ff: DataFrame, product: DataFrame) -> DataFrame:
         dollars("sales_raw").alias("total_sales"),
         dollars("cost_raw").alias("total_cost"),
         dollars("profit_raw").alias("total_gross_profit"),
-        ratio(dollars("profit_raw"), dollars("sales_raw")).alias("profit_margin"),
-        ratio(dollars("profit_raw"), F.col("units_raw")).alias("profit_per_unit"),
+        ratio("profit_raw", "sales_raw").alias("profit_margin"),
+        per_unit("profit_raw", "units_raw").alias("profit_per_unit"),
         unrounded(dollars("profit_raw"), dollars("sales_raw")).alias(_EXACT),
     )
 
@@ -214,11 +214,15 @@ def best_worst_6_products(ff: DataFrame, product: DataFrame) -> DataFrame:
 
 def _name_totals(ff: DataFrame, product: DataFrame) -> DataFrame:
     named = _named(_product_sums(ff), product).filter(F.col(PNAME).isNotNull())
-    return named.groupBy(PNAME).agg(
-        F.coalesce(dollars(F.sum("sales_raw")), F.lit(0.0)).alias("sales"),
-        F.coalesce(dollars(F.sum("cost_raw")), F.lit(0.0)).alias("cost"),
-        F.coalesce(dollars(F.sum("profit_raw")), F.lit(0.0)).alias("gross_profit"),
-        F.coalesce(F.sum("units_raw"), F.lit(0)).cast("bigint").alias("units"),
+    sums = named.groupBy(PNAME).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("sales_raw", "cost_raw", "profit_raw", "units_raw")])
+    return sums.select(
+        PNAME,
+        dollars("sales_raw").alias("sales"),
+        dollars("cost_raw").alias("cost"),
+        dollars("profit_raw").alias("gross_profit"),
+        F.col("units_raw").cast("bigint").alias("units"),
+        "sales_raw",
+        "profit_raw",
     )
 
 
@@ -228,22 +232,22 @@ def product_totals(ff: DataFrame, product: DataFrame) -> DataFrame:
     Two-phase: totals per Product ID (the big aggregation), then names attached to those rows
     and re-summed per name (several ids may share a name).  Nameless rows are dropped and empty
     sums are 0, as a pandas groupby-sum gives (H17)."""
-    return _name_totals(ff, product).orderBy(F.col("gross_profit").desc(), PNAME)
+    return _name_totals(ff, product).drop("sales_raw", "profit_raw").orderBy(F.col("gross_profit").desc(), PNAME)
 
 
 def _margin_rows(ff: DataFrame, product: DataFrame) -> DataFrame:
     """A28's rows, unordered, with the unrounded margin that they are ranked by."""
     return _name_totals(ff, product).select(
         "*",
-        ratio(F.col("gross_profit"), F.col("sales")).alias("profit_margin"),
-        ratio(F.col("gross_profit"), F.col("units")).alias("profit_per_unit"),
-        unrounded(F.col("gross_profit"), F.col("sales")).alias(_EXACT),
-    )
+        ratio("profit_raw", "sales_raw").alias("profit_margin"),
+        per_unit("profit_raw", "units").alias("profit_per_unit"),
+        unrounded("profit_raw", "sales_raw").alias(_EXACT),
+    ).drop("sales_raw")
 
 
 def product_margin_table(ff: DataFrame, product: DataFrame) -> DataFrame:
     """Product totals plus margin and profit per unit, best margin first (NULL, not inf)."""
-    return _margin_rows(ff, product).orderBy(F.col(_EXACT).desc_nulls_last(), PNAME).drop(_EXACT)
+    return _margin_rows(ff, product).orderBy(F.col(_EXACT).desc_nulls_last(), PNAME).drop(_EXACT, "profit_raw")
 
 
 def _first_and_last_by(ff: DataFrame, product: DataFrame, key: str) -> DataFrame:
@@ -267,10 +271,10 @@ def best_worst_product_by_gp(ff: DataFrame, product: DataFrame) -> DataFrame:
 def product_profit_share(ff: DataFrame, product: DataFrame) -> DataFrame:
     """Each product's fraction of the total profit (total taken from the same rows)."""
     t = shared(_margin_rows(ff, product).drop(_EXACT))
-    total_profit = scalar(t.agg(F.sum(F.col("gross_profit").cast("decimal(38,2)"))))
-    return t.withColumn("profit_share", ratio(F.col("gross_profit"), total_profit)).orderBy(
-        unrounded(F.col("gross_profit"), total_profit).asc_nulls_first(), PNAME
-    )
+    total_profit = scalar(t.agg(F.sum("profit_raw")))
+    return t.withColumn("profit_share", ratio("profit_raw", total_profit)).orderBy(
+        unrounded("profit_raw", total_profit).asc_nulls_first(), PNAME
+    ).drop("profit_raw")
 
 
 def chart_product_gp(ff: DataFrame, product: DataFrame) -> DataFrame:

@@ -180,6 +180,27 @@ class Star:
             rows = rows.join(c, rows.o_custkey == c.c_id, "left")
         return rows.select(*[source[c][1].alias(c) for c in cols])
 
+    # -- a band table kept as data ---------------------------------------------------------------
+    @cached_property
+    def bands(self) -> DataFrame:
+        """Margin bands as rows that can be changed: here one a nation, overlapping, the first and the last open."""
+        n, r = F.col("n_nationkey"), F.col("n_regionkey")
+        return self.table("nation").select(
+            F.col("n_name").alias("margin_band"),
+            F.when(n > 0, n * 4 - F.lit(10.5)).cast("decimal(9,3)").alias("min_pct"),
+            F.when(n < 24, n * 4 + 2 + r * F.lit(7.255)).cast("decimal(9,3)").alias("max_pct"),
+            n.alias("sort_band"),
+        )
+
+    # -- the same fact, where it is kept by order --------------------------------------------------
+    @property
+    def fact_by_order(self) -> DataFrame:
+        return self.fact
+
+    @property
+    def v_by_order(self) -> DataFrame:
+        return self.v
+
     # -- name dictionaries the load step maps with (B8/B9) -------------------------------------
     @cached_property
     def product_name_map(self) -> DataFrame:

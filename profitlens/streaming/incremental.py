@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from profitlens.functions.bands import range_table_label
-from profitlens.functions.measures import MONEY, money_sum, pct
+from profitlens.functions.measures import MONEY, money_sum, pct, sum_cents
 from profitlens.operators.clean import clean_view
 
 FACT_SCHEMA = T.StructType(
@@ -43,7 +43,7 @@ def streaming_kpis(v: DataFrame) -> DataFrame:
         money_sum("Sales").alias("total_sales"),
         money_sum("Cost").alias("total_cost"),
         money_sum("Gross Profit").alias("total_gross_profit"),
-        pct(money_sum("Gross Profit"), money_sum("Sales")).alias("gross_margin_pct"),
+        pct(sum_cents("Gross Profit"), sum_cents("Sales")).alias("gross_margin_pct"),
     )
 
 
