@@ -35,11 +35,13 @@ def _safe_div(a: Column, b: Column) -> Column:
 def half_up(part, whole, up: int, down: int) -> Column:
     """``part * 10**up / whole`` as a whole number, rounded half away from zero, over ``10**down`` (double).
 
-    ``part`` and ``whole`` are integers of any width up to 31 digits; NULL on a zero ``whole``."""
+    ``part`` and ``whole`` are integers of any width up to 31 digits; NULL on a zero ``whole``.  A quotient
+    beyond 32 digits, which a double can't tell from its neighbours, is divided as doubles."""
     n, d = _col(part).cast(WHOLE), _col(whole).cast(WHOLE)
     twice = F.abs(n) * F.lit(2 * 10**up).cast("decimal(7,0)") + F.abs(d)
     step = F.nullif(F.abs(d) * F.lit(2), F.lit(0).cast(WHOLE))
-    size = ((twice - twice % step) / step).cast("double") / F.lit(float(10**down))
+    even = twice - twice % step
+    size = F.coalesce(F.try_divide(even, step).cast("double"), even.cast("double") / step.cast("double")) / F.lit(float(10**down))
     return F.when((n < 0) != (d < 0), -size).otherwise(size)
 
 
