@@ -23,8 +23,11 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import struct
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +36,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from profitlens.llm.common import small, stored
-from profitlens.llm.slices import Memo, cut, filled, sliced
+from profitlens.llm.slices import Memo, cut, filled, gathered, sliced
 
 #: Bytes of text aligned at once inside a task, and chunks in one generation of a worker's memo.
-SLICE = 1 << 23
-MEMO = 300_000
+SLICE = 1 << 22
+MEMO = 150_000
 
 _SPACE = "▁"
 _WHOLE = re.compile(r"\s | $")  # texts whose chunks do not stand alone
 _PLAIN = re.compile(r"[!-~]+")
 _BITS = 32
+_HEAD = struct.Struct("<4i")  # A tokens, B tokens, groups, links
 
 
 def shared_cuts(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -52,22 +56,28 @@ def shared_cuts(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     todo = [(0, len(a), 0, len(b))]
     while todo:
         lo, hi, low, high = todo.pop()
-        middle, found = (lo + hi) // 2, None
         if hi - lo > 1 and high - low > 1:
-            for step in range(hi - lo):
-                for i in (middle + step, middle - step) if step else (middle,):
-                    if lo < i < hi:
+            i = middle = (lo + hi) >> 1
+            j = bisect_left(b, a[i - 1], low, high)
+            if b[j] != a[i - 1]:
+                for step in range(1, hi - lo):
+                    i = middle + step
+                    if i < hi:
                         j = bisect_left(b, a[i - 1], low, high)
                         if b[j] == a[i - 1]:
-                            found = i, j + 1
                             break
-                if found:
-                    break
-        if found:
-            todo.append((found[0], hi, found[1], high))
-            todo.append((lo, found[0], low, found[1]))
-        else:
-            out.append((hi, high))
+                    i = middle - step
+                    if i > lo:
+                        j = bisect_left(b, a[i - 1], low, high)
+                        if b[j] == a[i - 1]:
+                            break
+                else:
+                    i = 0
+            if i:
+                todo.append((i, hi, j + 1, high))
+                todo.append((lo, i, low, j + 1))
+                continue
+        out.append((hi, high))
     return out
 
 
@@ -82,9 +92,7 @@ def _overlaps(a: list[int], b: list[int]) -> Iterator[tuple[int, int]]:
 
 
 class Aligner:
-    """Both tokenizers, the bytes of their entries, and the memo of aligned chunks.
-
-    A chunk's result is None (no tokens) or (A tokens, B tokens, groups, links, groups as text, packed pairs)."""
+    """Both tokenizers, the bytes of their entries, and the memo of aligned chunks."""
 
     def __init__(self, a_source: str, b_model: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -102,10 +110,12 @@ class Aligner:
         for entry, i in self.a.get_vocab().items():
             self.a_bytes[i] = bytes(symbols[c] for c in entry) if all(c in symbols for c in entry) else entry.encode()
             self.a_first[i] = self.a_bytes[i][:1] == b" "
+        self.a_size = list(map(len, self.a_bytes))
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.b_first = np.array([p.startswith(_SPACE) for p in pieces])
+        self.names = [str(i) for i in range(max(size, len(pieces)))]
         self.memo = Memo(MEMO)
 
     def _both(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
@@ -130,30 +140,29 @@ class Aligner:
             out[i] = v
         return out
 
-    def _aligned(self, text: str, a: list[int], b: list[int]) -> tuple | None:
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
+    def _aligned(self, text: str, a: list[int], b: list[int]) -> bytes:
+        """The packed result of a chunk: its counts (``_HEAD``), its pairs, and its groups as text; b"" for none."""
         whole = b" " + text.encode()
-        if b"".join(b_bytes) != whole or b"".join(a_bytes) != whole:
-            return None
-        ends = []
-        for parts in (a_bytes, b_bytes):
-            at, own = 0, []
-            for x in parts:
-                at += len(x)
-                own.append(at)
-            ends.append(own)
-        groups, i, j = [], 0, 0
-        for x, y in shared_cuts(*ends):
-            groups.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
+        b_bytes = [self.b_bytes[i] for i in b]
+        # A's bytes are the text's by its construction; that they are as many is checked
+        a_ends, b_ends = list(accumulate([self.a_size[i] for i in a])), list(accumulate(map(len, b_bytes)))
+        if not a_ends or a_ends[-1] != len(whole) or b"".join(b_bytes) != whole:
+            return b""
+        groups, i, j, names = [], 0, 0, self.names
+        for x, y in shared_cuts(a_ends, b_ends):
+            if x - i == 1 and y - j == 1:
+                groups.append(f"{a[i]}|{b[j]}")
+            else:
+                groups.append(",".join([names[k] for k in a[i:x]]) + "|" + ",".join([names[k] for k in b[j:y]]))
             i, j = x, y
-        links = [(a[i] << _BITS) | b[j] for i, j in _overlaps(*ends)]
-        return len(a), len(b), len(groups), len(links), ";".join(groups), np.array(links, dtype=np.int64).tobytes()
+        pairs = array("q", [(a[i] << _BITS) | b[j] for i, j in _overlaps(a_ends, b_ends)])
+        return _HEAD.pack(len(a), len(b), len(groups), len(pairs)) + pairs.tobytes() + ";".join(groups).encode()
 
-    def _make(self, chunks: list[str]) -> list:
-        return [self._aligned(c, a, b) or () for c, (a, b) in zip(chunks, self._many(chunks), strict=True)]
+    def _make(self, chunks: list[str]) -> list[bytes]:
+        return [self._aligned(c, a, b) for c, (a, b) in zip(chunks, self._many(chunks), strict=True)]
 
-    def align(self, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
-        """Results of the distinct chunks (() for none), the chunk of each place, and the first place of each text."""
+    def align(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Packed results of the distinct chunks, the chunk of each place, and the first place of each text."""
         values = texts.to_pylist()
         whole = [i for i, t in enumerate(values) if _WHOLE.search(" " + t)]
         nothing = [i for i, t in enumerate(values) if not t or _SPACE in t]
@@ -166,7 +175,7 @@ class Aligner:
         alone = sorted({*whole} - {*nothing})
         for i in alone:
             (a, b), = self._both([values[i]])
-            results.append(self._aligned(values[i], a, b) or ())
+            results.append(self._aligned(values[i], a, b))
         size[alone] = 1
         ends = np.concatenate([[0], np.cumsum(size)])
         places = np.empty(int(ends[-1]), dtype=np.int32)
@@ -203,20 +212,28 @@ def _sums(values: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarra
 
 def _slice(number: int, ids: pa.Array, aligner: Aligner, texts: pa.Array) -> pa.RecordBatch:
     results, place, first = aligner.align(texts)
-    good = np.array([bool(r) for r in results], dtype=bool)
-    lost = _sums((~good).astype(np.int64), place, first) > 0  # a chunk that B does not give back
+    width = np.array([len(r) for r in results], dtype=np.int64)
+    lost = _sums((width == 0).astype(np.int64), place, first) > 0  # a chunk that B does not give back
     size = np.diff(first)
     if lost.any():
         place = place[np.repeat(~lost, size)]
         size = np.where(lost, 0, size)
         first = np.concatenate([[0], np.cumsum(size)])
-    results = [r or (0, 0, 0, 0, "", b"") for r in results]
-    counts = [_sums(np.array([r[k] for r in results], dtype=np.int64), place, first) for k in range(4)]
-    strings = pa.array([r[4] for r in results], pa.string()).take(pa.array(place))
+    # unpack: counts, pairs and groups of every chunk
+    nothing = _HEAD.pack(0, 0, 0, 0)
+    packed = np.frombuffer(b"".join([r or nothing for r in results]), dtype=np.uint8)
+    width = np.maximum(width, _HEAD.size)
+    at = np.cumsum(width) - width
+    head = gathered(packed, at, np.full(len(at), _HEAD.size)).view("<i4").reshape(-1, 4).astype(np.int64)
+    counts = [_sums(np.ascontiguousarray(head[:, k]), place, first) for k in range(4)]
+    many = head[:, 3]
+    pairs = gathered(packed, at + _HEAD.size, 8 * many).view("<i8")
+    texts_at = at + _HEAD.size + 8 * many
+    data = gathered(packed, texts_at, at + width - texts_at)
+    ends = np.concatenate([[0], np.cumsum(at + width - texts_at)]).astype(np.int32)
+    strings = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(data)).take(pa.array(place))
     joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), strings), ";")
     sha = [hashlib.sha256(s.as_buffer()).hexdigest() if n else "" for s, n in zip(joined, size.tolist(), strict=True)]
-    pairs = np.frombuffer(b"".join([r[5] for r in results]), dtype=np.int64)
-    many = np.array([r[3] for r in results], dtype=np.int64)
     distinct, link = np.unique(pairs, return_inverse=True)
     used = np.bincount(place, minlength=len(results))
     times = np.bincount(link, weights=np.repeat(used, many), minlength=len(distinct)).astype(np.int64)  # exact below 2**53
