@@ -17,6 +17,7 @@ passed through (``ids`` and ``decoded`` replace same-named input columns)."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from array import array
@@ -27,14 +28,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from profitlens.llm.common import small, widened
+from profitlens.llm.slices import Memo, cut, filled, gathered, sliced
 
 #: Fixed value: the pre-tokenisation pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Strings in one generation of a Python worker's memo.
-MEMO = 50_000
+#: Strings in one generation of a Python worker's memo of pieces (twice as many of chunks), and bytes of text
+#: encoded at once inside a task.
+MEMO = 100_000
+SLICE = 1 << 23
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -74,30 +78,6 @@ class Decoder:
         return self.blob[at].tobytes()
 
 
-class Memo:
-    """Ids of strings that were met lately: two generations, the older of which is dropped when the younger
-    is full, so that frequent strings stay."""
-
-    def __init__(self) -> None:
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def get(self, key: str) -> bytes | None:
-        got = self.new.get(key)
-        if got is None:
-            got = self.old.get(key)
-            if got is not None:
-                self.put(key, got)
-        return got
-
-    def put(self, key: str, value: bytes) -> bytes:
-        if len(key) <= 64:
-            if len(self.new) >= MEMO:
-                self.old, self.new = self.new, {}
-            self.new[key] = value
-        return value
-
-
 class Encoder(Decoder):
     """Automaton, merges and memos of one vocabulary."""
 
@@ -125,8 +105,8 @@ class Encoder(Decoder):
         self.shorters = np.array(self.shorter + [-1], dtype=np.int64)
         self.slot_key = np.full(1 << 20, -1, dtype=np.int64)
         self.slot_fit = np.zeros(1 << 20, dtype=bool)
-        self.known = Memo()  # ids of pieces
-        self.spaced = Memo()  # ids of a space and the chunk that follows
+        self.known = Memo(MEMO)  # ids of pieces
+        self.spaced = Memo(2 * MEMO)  # ids of a space and the chunk that follows
         self.pieces = regex.compile(PATTERN)
         marks = sorted(self.special, key=len, reverse=True)
         self.split = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
@@ -147,7 +127,7 @@ class Encoder(Decoder):
                 limit, b = rb + 1, self.parts[b][0]  # equal ranks merge from the left
             else:
                 break
-        if len(self.fits) >= 8 * MEMO:
+        if len(self.fits) >= 4 * MEMO:
             self.fits.clear()
         self.fits[key] = good
         return good
@@ -255,58 +235,58 @@ class Encoder(Decoder):
             out[i] = self.encode_piece(texts[i])
         return out
 
-    def _resolve(self, chunks: list[list[str]]) -> list[bytes]:
+    def _chunks(self, chunks: list[list[str]]) -> list[bytes]:
         """Ids of chunks given as their pieces."""
-        holes = list(dict.fromkeys(p for c in chunks for p in c if self.known.get(p) is None))
-        fresh = dict(zip(holes, self.encode_pieces(holes), strict=True)) if holes else {}
-        out = [b"".join([fresh[p] if p in fresh else self.known.get(p) for p in c]) for c in chunks]
-        for p, v in fresh.items():
-            self.known.put(p, v)
-        return out
+        names = list(dict.fromkeys(p for c in chunks for p in c))
+        ids = dict(zip(names, self.known.fill(names, self.encode_pieces), strict=True))
+        return [ids[c[0]] if len(c) == 1 else b"".join([ids[p] for p in c]) for c in chunks]
 
-    def encode_array(self, texts: pa.Array, special: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts (no nulls), and the first of each text (n + 1).
+    def _spaced(self, chunks: list[str]) -> list[bytes]:
+        """Ids of a space and each chunk; letters alone are one piece with it."""
+        return self._chunks([[" " + c] if c.isalpha() else self.pieces.findall(" " + c) for c in chunks])
+
+    def encode_coded(self, texts: pa.Array, special: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """All texts (no nulls) as runs of entries: the ids of each entry (packed int32), the entry of each place,
+        and the first place of each text (n + 1).
 
         No piece crosses from a non-space to a space, so single spaces cut a text into chunks, and each
         distinct chunk is looked up once.  Where white space stands before a space the pattern looks at the
         whole run; such texts, and those with special entries, are cut by the pattern alone."""
-        pieces, slow, heads = self.pieces.findall, [], []
+        pieces, slow, heads, marked = self.pieces.findall, [], [], {}
         for i, t in enumerate(texts.to_pylist()):
             cuts = self.split.split(t) if special and self.split else [t]
+            if len(cuts) > 1:
+                marked[i] = b"".join([array("i", [self.special[part]]).tobytes() if k % 2 else b"".join(self._chunks([pieces(part)]))
+                                      for k, part in enumerate(cuts)])
             if len(cuts) > 1 or _RUN.search(t):
                 slow.append(i)
-                heads.append([p for part in cuts for p in ([part] if part in self.special and special else pieces(part))])
+                heads.append([] if len(cuts) > 1 else pieces(t))
             else:
                 heads.append(pieces(t.split(" ", 1)[0]))
-        for i in slow if special else ():
-            for p in heads[i]:
-                if p in self.special:
-                    self.known.put(p, array("i", [self.special[p]]).tobytes())
         if slow:
             quick = np.ones(len(texts), dtype=bool)
             quick[slow] = False
             texts = pc.if_else(pa.array(quick), texts, "")
-        cut = pc.split_pattern(texts, " ")
-        first = cut.offsets.to_numpy()
-        rest = np.ones(int(first[-1]), dtype=bool)
-        rest[first[:-1]] = False
-        distinct = cut.values.filter(pa.array(rest)).dictionary_encode()
-        keys = distinct.dictionary.to_pylist()
-        values = [self.spaced.get(k) for k in keys]
-        late = [i for i, v in enumerate(values) if v is None]
-        got = self._resolve([pieces(" " + keys[i]) for i in late] + heads)
-        for i, v in zip(late, got, strict=False):
-            values[i] = self.spaced.put(keys[i], v)
-        values += got[len(late):]
-        entry = np.empty(len(rest), dtype=np.int64)
-        entry[rest] = distinct.indices.to_numpy()
-        entry[first[:-1]] = len(keys) + np.arange(len(texts))
+        chunks, place, first = cut(texts, " ")  # the first chunk of a text has no space before it
+        head = first[:-1]
+        rest = np.ones(len(place), dtype=bool)
+        rest[head] = False
+        used = np.unique(place[rest])
+        values = self.spaced.fill(chunks.take(pa.array(used)).to_pylist(), self._spaced)
+        own = self._chunks(heads)
+        for i, v in marked.items():
+            own[i] = v
+        entry = np.searchsorted(used, place)
+        entry[head] = len(values) + np.arange(len(head))
+        return values + own, entry, first
+
+    def encode_array(self, texts: pa.Array, special: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (no nulls), and the first of each text (n + 1)."""
+        values, entry, first = self.encode_coded(texts, special)
         flat = np.frombuffer(b"".join(values), dtype=np.int32)
         size = np.array([len(v) // 4 for v in values], dtype=np.int64)
-        start = np.cumsum(size) - size
-        size, ends = size[entry], np.cumsum(size[entry])
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start[entry] - (ends - size), size)
-        return flat[at], np.concatenate([[0], ends])[first]
+        many = size[entry]
+        return gathered(flat, (np.cumsum(size) - size)[entry], many), np.concatenate([[0], np.cumsum(many)])[first]
 
     def encode(self, text: str, special: bool = True) -> list[int]:
         return self.encode_array(pa.array([text], pa.string()), special)[0].tolist()
@@ -333,30 +313,61 @@ def vocabulary(spark: SparkSession, path: str):
 
 def encode(docs: DataFrame, source, special: bool = True) -> DataFrame:
     """Input columns and ``ids`` (array of int): the text column's ids under the broadcast vocabulary."""
-    rest = [c for c in docs.columns if c != "ids"]
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "ids"))  # a struct, so that no name clashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tables(source, Encoder)
-        for b in small(batches):
-            values, first = bpe.encode_array(pc.fill_null(b.column("text"), ""), special)
+        for b in sliced(batches, "text", SLICE):
+            values, first = bpe.encode_array(filled(b.column("text")), special)
             ids = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values))
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("rest"), ids], names=["rest", "ids"])
+
+    rows = docs.select(rest.alias("rest"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, widened(rows.select("rest"), ids="array<int>")).select("rest.*", "ids")
+
 
-    return docs.select(*rest).mapInArrow(run, widened(docs.select(*rest), ids="array<int>"))
+def digests(docs: DataFrame, source, special: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas) and decoded_sha256 (of the decoded text) of
+    doc_id and text: encoded, decoded and digested in one pass, entry by entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _tables(source, Encoder)
+        for b in sliced(batches, "text", SLICE):
+            values, entry, first = bpe.encode_coded(filled(b.column("text")), special)
+            flat = np.frombuffer(b"".join(values), dtype=np.int32)
+            size = np.array([len(v) // 4 for v in values], dtype=np.int64)
+            texts = pa.array([",".join(map(str, array("i", v))) for v in values], pa.string())
+            stops = np.concatenate([[0], np.cumsum(size)])
+            width = np.diff(np.concatenate([[0], np.cumsum(bpe.lengths[flat])])[stops])  # bytes of each entry
+            data = gathered(np.frombuffer(bpe.decode(flat.astype(np.int64)), dtype=np.uint8), (np.cumsum(width) - width)[entry], width[entry])
+            ends = np.concatenate([[0], np.cumsum(width[entry])])[first].tolist()
+            full = size[entry] > 0
+            starts = np.concatenate([[0], np.cumsum(full)])[first].astype(np.int32)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts), texts.take(pa.array(entry[full]))), ",")
+            ids = [hashlib.sha256(t.as_buffer()).hexdigest() for t in joined]
+            raw = memoryview(data)
+            plain = [hashlib.sha256(bytes(raw[x:y]).decode("utf-8", "replace").encode()).hexdigest() for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            count = np.diff(np.concatenate([[0], np.cumsum(size[entry])])[first])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(count), pa.array(ids, pa.string()), pa.array(plain, pa.string())],
+                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decode_batches(batches: Iterator[pa.RecordBatch], source) -> Iterator[pa.RecordBatch]:
-    """Batches with a column ``ids``, and the column ``decoded`` added."""
+    """Batches of ``rest`` and ``ids`` to ``rest`` and ``decoded``."""
     table = _tables(source, Decoder)
     for b in small(batches):
         texts = []
         for ids in b.column("ids"):
             values = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else np.zeros(0, np.int32)
             texts.append(table.decode(values.astype(np.int64)).decode("utf-8", "replace"))
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
+        yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(texts, pa.string())], names=["rest", "decoded"])
 
 
 def decode(tokens: DataFrame, source) -> DataFrame:
     """Input columns and ``decoded`` (string): the text of ``ids``."""
-    rows = tokens.select(*(c for c in tokens.columns if c != "decoded"))
-    return rows.mapInArrow(lambda it: decode_batches(it, source), widened(rows, decoded="string"))
+    rest = F.struct(*(F.col(f"`{c}`") for c in tokens.columns if c != "decoded"))
+    rows = tokens.select(rest.alias("rest"), "ids")
+    return rows.mapInArrow(lambda it: decode_batches(it, source), widened(rows.select("rest"), decoded="string")).select("rest.*", "decoded")

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from profitlens.llm import bpe, chat_format, class_lm, decontaminate, html_extract, jaccard_join, line_dedup, quality_knn, quality_rules, source_divergence, suffix_dedup, token_align, token_file
@@ -53,24 +50,9 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sums, sizes = [], []
-        for ids in b.column("ids"):
-            values = ids.values.tolist() if ids.is_valid else []
-            sums.append(hashlib.sha256(",".join(map(str, values)).encode()).hexdigest())
-            sizes.append(len(values))
-        decoded = [hashlib.sha256(t.encode()).hexdigest() for t in b.column("decoded").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(sizes, dtype=np.int64)), pa.array(sums), pa.array(decoded)],
-                                         names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents under the vocabulary file at ``path``."""
-    source = bpe.vocabulary(docs.sparkSession, path)
-    tokens = bpe.encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), source)
-    # decoded and digested in one worker
-    return tokens.select("doc_id", "ids").mapInArrow(lambda it: _digests(bpe.decode_batches(it, source)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bpe.digests(docs, bpe.vocabulary(docs.sparkSession, path))
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
