@@ -2,7 +2,7 @@
 
 Model of an id, given those before it in its block: order 2 predicts the id that last followed the two before
 it, order 1 the one that last followed the one before it, order 0 has adaptive counts of logarithmic id ranges
-and of sixteenths of them (ids of one sixteenth are equally likely).  A prediction's reliability is learnt by its
+and of sixteenths of them (ids of one sixteenth are equally likely), brought up to date every few ids.  A prediction's reliability is learnt by its
 confidence; the orders are mixed with weights that follow how well each did.  A 64-bit range coder with
 carries codes every id with the mixed probability.  All arithmetic is integer or plain float multiplication and
 division, so that coder and decoder agree on every machine.
@@ -48,12 +48,12 @@ MAX_ID = (1 << 20) - 16
 _SLOTS = 11  # bits of a context table
 _ONE = 1 << 16
 _TOP = np.uint64(1 << 48)
-_16, _48 = np.uint64(16), np.uint64(48)
+_16, _32, _48 = np.uint64(16), np.uint64(32), np.uint64(48)
 _BYTES = 0x0101010101010101
 _HASH = -7046029254386353131  # an odd 64-bit factor
-#: Row s is the distribution that symbol s of 16 draws its table's row to, as running sums: 64 of 2**16 for each other symbol.
-_DRAWN = np.array([[64 * i if i <= s else _ONE - 64 * (16 - i) for i in range(17)] for s in range(16)], dtype=np.int32)
-_EVEN = np.arange(17, dtype=np.int32) << 12
+_SUMS = np.triu(np.ones((16, 16), dtype=np.float32))  # counts times this are their running sums (exact: whole, below 2**24)
+_FLOOR = np.arange(1, 17, dtype=np.float32) * 24  # each of 16 symbols has 24 of 2**16 at least
+_INC, _FULL = 24, 6000
 #: By confidence (0: an empty slot), and again for a prediction that came true: the probability of a predicted id, how
 #: an order's weight changes against order 0, and how the slot's confidence does (a step up, or halved).
 _TRUST = np.array([0.0] + [(c + 0.4) / (c + 1.6) for c in range(1, 16)], dtype=np.float32)
@@ -68,8 +68,6 @@ class _Model:
         self.tables = [np.full(lanes << _SLOTS, -16, dtype=np.int32) for _ in range(2)]  # id << 4 | confidence
         self.base = (np.arange(lanes) << _SLOTS) + (1 << _SLOTS - 1)
         self.weight = [np.full(lanes, w, dtype=np.float32) for w in (1.0, 1.5)]  # order 1 and order 2; order 0 has 1
-        self.coarse = np.tile(_EVEN, (lanes, 1))
-        self.fine = np.tile(_EVEN, (lanes * 16, 1))
         self.last = np.zeros(lanes, dtype=np.int64)
         self.pair = np.zeros(lanes, dtype=np.int64)
 
@@ -101,9 +99,77 @@ class _Model:
         self.last[:n] = ids
 
 
-def _draw(table: np.ndarray, row: np.ndarray, sums: np.ndarray, symbol: np.ndarray) -> None:
-    """Move the rows a 32nd of the way to their symbols."""
-    table[row] = sums + ((_DRAWN.take(symbol, axis=0) - sums) >> 5)
+class _Counts:
+    """Adaptive counts of 16 symbols in each row, and the code space that follows from them: the ends of the
+    symbols in 2**16.  Counted symbols count from the next ``update`` on."""
+
+    def __init__(self, rows: int) -> None:
+        self.counts = np.ones((rows, 16), dtype=np.float32)
+        self.ends = np.tile((np.arange(1, 17, dtype=np.int32) << 12), (rows, 1))
+
+    def update(self, row: np.ndarray, symbol: np.ndarray) -> None:
+        seen = np.bincount((row << 4) + symbol, minlength=self.counts.size).astype(np.float32).reshape(-1, 16)
+        at = np.flatnonzero(np.bincount(row, minlength=len(seen)))
+        counts = self.counts[at] + seen[at] * _INC
+        sums = counts @ _SUMS
+        full = sums[:, 15] > _FULL
+        if full.any():
+            counts[full] = np.floor(counts[full] * 0.5) + 1
+            sums[full] = counts[full] @ _SUMS
+        self.counts[at] = counts
+        ends = np.floor(sums * (np.float32(_ONE - 24 * 16) / sums[:, 15:])) + _FLOOR
+        ends[:, 15] = _ONE
+        self.ends[at] = ends
+
+    def span(self, row: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of symbols of the rows."""
+        flat, at = self.ends.ravel(), (row << 4) + symbol
+        start = flat.take(np.maximum(at - 1, 0)) * (symbol > 0)
+        return start, flat.take(at) - start
+
+    def find(self, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The symbols of the rows that hold the places, with their start and size."""
+        passed = (self.ends.take(row, axis=0) <= place[:, None]).view(np.int64)  # eight flags of a byte in each
+        symbol = ((passed[:, 0] + passed[:, 1]) * _BYTES) >> 56
+        return symbol, *self.span(row, symbol)
+
+
+class _Ranges:
+    """Order 0: an id + 16 is 2**(4 + range) and more; counts of the range, of its sixteenth, and the bits below."""
+
+    def __init__(self, lanes: int) -> None:
+        self.coarse, self.fine, self.lanes = _Counts(lanes), _Counts(lanes * 16), lanes
+
+    def update(self, ids: np.ndarray, last: int) -> None:
+        """Count ids (steps by lanes); the last lane has ``last`` steps."""
+        e, s, _ = self.parts(ids)
+        row = np.broadcast_to(np.arange(self.lanes), ids.shape)
+        keep = np.ones(ids.shape, dtype=bool)
+        keep[max(last, 0):, -1] = False
+        e, s, row = e[keep], s[keep], row[keep]
+        self.coarse.update(row, e)
+        self.fine.update((row << 4) + e, s)
+
+    @staticmethod
+    def parts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = ids.astype(np.int64) + 16
+        e = (np.frexp(x.astype(np.float32))[1] - 5).astype(np.int64)  # exact: below 2**24
+        return e, (x >> e) & 15, x & ((1 << e) - 1)
+
+    def spans(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Start and size in 2**32 of the range and sixteenth of ids (steps by lanes), and the bits below: how many,
+        and which."""
+        e, s, low = self.parts(ids)
+        row = np.broadcast_to(np.arange(self.lanes), ids.shape)
+        start, size = self.coarse.span(row, e)
+        start2, size2 = self.fine.span((row << 4) + e, s)
+        size = size.astype(np.uint64)
+        return (start.astype(np.uint64) << _16) + size * start2.astype(np.uint64), size * size2.astype(np.uint64), e.view(np.uint64), low.view(np.uint64)
+
+
+def _updates(block: int) -> list[int]:
+    """The steps before which order 0 is brought up to date: soon at first, then every 32."""
+    return [t for t in (0, 4, 8, 16) if t < block] + list(range(32, block, 32))
 
 
 class _Writer:
@@ -157,49 +223,38 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     padded = np.zeros(lanes * block, dtype=np.int32)
     padded[:total] = ids
     columns = np.ascontiguousarray(padded.reshape(lanes, block).T)
-    # an id + 16 is 2**(4 + range) and more: its range, the sixteenth of it, and the bits below
-    ranges = (np.frexp((columns + 16).astype(np.float32))[1] - 5).astype(np.int8)
-    model, w = _Model(lanes), _Writer(lanes, block)
+    model, ranges, w, steps = _Model(lanes), _Ranges(lanes), _Writer(lanes, block), min(block, total)
+    marks = [*_updates(steps), steps]
     with np.errstate(over="ignore"):
-        for t in range(min(block, total)):
-            n = lanes if t < short else lanes - 1
-            x = columns[t, :n]
-            model.predict(n)
-            end2, end1 = model.end2, model.end1
-            hit2, hit1 = model.guess[1] == x, model.guess[0] == x
-            start = np.where(hit2, 0, np.where(hit1, end2, end1))
-            size = np.where(hit2, end2, np.where(hit1, end1, _ONE)) - start
-            step = w.range[:n] >> _16
-            low = w.low[:n]
-            new = low + step * start.view(np.uint64)
-            narrow = step * size.view(np.uint64)
-            over = np.flatnonzero(new < low)
-            if len(over):
-                w.carry(over)
-            rest = np.flatnonzero(~(hit2 | hit1))
-            if len(rest):
-                e = ranges[t].take(rest).astype(np.int64)
-                y = x.take(rest) + 16
-                place, extent, row = new.take(rest), narrow.take(rest), rest
-                before, line = place, np.arange(len(rest)) * 17
-                for table, symbol in ((model.coarse, e), (model.fine, (y >> e) & 15)):
-                    sums = table.take(row, axis=0)
-                    at = line + symbol
-                    first = sums.ravel().take(at)
-                    step = extent >> _16
-                    place = place + step * first.astype(np.uint64)
-                    extent = step * (sums.ravel().take(at + 1) - first).astype(np.uint64)
-                    _draw(table, row, sums, symbol)
-                    row = (rest << 4) + e
-                extent = extent >> e.view(np.uint64)
-                place = place + extent * (y & ((1 << e) - 1)).astype(np.uint64)
-                over = rest[place < before]  # all three steps together add less than the range
+        for before, begin, end in zip([0, *marks], marks, marks[1:]):
+            if begin:
+                ranges.update(columns[before:begin], short - before)
+            spans = ranges.spans(columns[begin:end])
+            for t in range(begin, end):
+                n = lanes if t < short else lanes - 1
+                x = columns[t, :n]
+                model.predict(n)
+                end2, end1 = model.end2, model.end1
+                hit2, hit1 = model.guess[1] == x, model.guess[0] == x
+                start = np.where(hit2, 0, np.where(hit1, end2, end1))
+                size = np.where(hit2, end2, np.where(hit1, end1, _ONE)) - start
+                step = w.range[:n] >> _16
+                low = w.low[:n]
+                new = low + step * start.view(np.uint64)
+                narrow = step * size.view(np.uint64)
+                rest = np.flatnonzero(~(hit2 | hit1))
+                if len(rest):
+                    first, extent, bits, below = (part[t - begin].take(rest) for part in spans)
+                    step = narrow.take(rest) >> _32
+                    extent = step * extent >> bits
+                    new[rest] += step * first + extent * below
+                    narrow[rest] = extent
+                over = np.flatnonzero(new < low)  # what is added is less than the range
                 if len(over):
                     w.carry(over)
-                new[rest], narrow[rest] = place, extent
-            w.low[:n], w.range[:n] = new, narrow
-            w.shift(n)
-            model.learn(x)
+                w.low[:n], w.range[:n] = new, narrow
+                w.shift(n)
+                model.learn(x)
     flat = padded[:total].astype("<u4")
     out = []
     for i, code in enumerate(w.end()):
@@ -229,55 +284,50 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
         codes = (codes << _16) | words[:, k]
     extents = np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
     columns = np.zeros((block, lanes), dtype=np.int32)
-    model = _Model(lanes)
+    model, ranges = _Model(lanes), _Ranges(lanes)
+    steps = short if lanes == 1 else block
+    marks = [*_updates(steps), steps]
     with np.errstate(over="ignore"):
-        for t in range(block):
-            n = lanes if t < short else lanes - 1
-            if not n:
-                break
-            model.predict(n)
-            end2, end1 = model.end2, model.end1
-            step = extents[:n] >> _16
-            place = np.minimum((codes[:n] // step).view(np.int64), _ONE - 1)
-            hit2, below = place < end2, place < end1
-            start = np.where(hit2, 0, np.where(below, end2, end1))
-            size = np.where(hit2, end2, np.where(below, end1, _ONE)) - start
-            code = codes[:n] - step * start.view(np.uint64)
-            narrow = step * size.view(np.uint64)
-            x = np.where(hit2, model.guess[1], model.guess[0])
-            rest = np.flatnonzero(~below)
-            if len(rest):
-                part_code, extent, row, got = code.take(rest), narrow.take(rest), rest, []
-                line = np.arange(len(rest)) * 17
-                for table in (model.coarse, model.fine):
-                    sums = table.take(row, axis=0)
-                    step = extent >> _16
-                    place = np.minimum(part_code // step, np.uint64(_ONE - 1)).astype(np.int32)
-                    passed = (sums[:, 1:] <= place[:, None]).view(np.int64)  # eight flags of a byte in each
-                    symbol = ((passed[:, 0] + passed[:, 1]) * _BYTES) >> 56
-                    at = line + symbol
-                    first = sums.ravel().take(at)
-                    part_code = part_code - step * first.astype(np.uint64)
-                    extent = step * (sums.ravel().take(at + 1) - first).astype(np.uint64)
-                    _draw(table, row, sums, symbol)
-                    got.append(symbol)
-                    row = (rest << 4) + symbol
-                e = got[0]
-                extent = extent >> e.view(np.uint64)
-                low = np.minimum((part_code // extent).view(np.int64), (1 << e) - 1)
-                code[rest], narrow[rest] = part_code - extent * low.view(np.uint64), extent
-                x[rest] = (((got[1] + 16) << e) | low) - 16
-            columns[t, :n] = x
-            need = np.flatnonzero(narrow < _TOP)
-            while len(need):
-                at = pos[need]
-                code[need] = (code[need] << _16) | flat.take(at)
-                pos[need] = at + 1
-                wide = narrow[need] << _16
-                narrow[need] = wide
-                need = need[wide < _TOP]
-            codes[:n], extents[:n] = code, narrow
-            model.learn(x)
+        for before, begin, end in zip([0, *marks], marks, marks[1:]):
+            if begin:
+                ranges.update(columns[before:begin], short - before)
+            for t in range(begin, end):
+                n = lanes if t < short else lanes - 1
+                model.predict(n)
+                end2, end1 = model.end2, model.end1
+                step = extents[:n] >> _16
+                place = np.minimum((codes[:n] // step).view(np.int64), _ONE - 1)
+                hit2, known = place < end2, place < end1
+                start = np.where(hit2, 0, np.where(known, end2, end1))
+                size = np.where(hit2, end2, np.where(known, end1, _ONE)) - start
+                code = codes[:n] - step * start.view(np.uint64)
+                narrow = step * size.view(np.uint64)
+                x = np.where(hit2, model.guess[1], model.guess[0])
+                rest = np.flatnonzero(~known)
+                if len(rest):
+                    own = code.take(rest)
+                    step = narrow.take(rest) >> _32
+                    place = np.minimum(own // step, np.uint64((1 << 32) - 1)).view(np.int64)
+                    e, start, size = ranges.coarse.find(rest, (place >> 16).astype(np.int32))
+                    inside = np.minimum((place - (start.astype(np.int64) << 16)) // size, _ONE - 1).astype(np.int32)
+                    s, start2, size2 = ranges.fine.find((rest << 4) + e, inside)
+                    size = size.astype(np.uint64)
+                    own = own - step * ((start.astype(np.uint64) << _16) + size * start2.astype(np.uint64))
+                    extent = step * (size * size2.astype(np.uint64)) >> e.view(np.uint64)
+                    low = np.minimum((own // extent).view(np.int64), (1 << e) - 1)
+                    code[rest], narrow[rest] = own - extent * low.view(np.uint64), extent
+                    x[rest] = (((s + 16) << e) | low) - 16
+                columns[t, :n] = x
+                need = np.flatnonzero(narrow < _TOP)
+                while len(need):
+                    at = pos[need]
+                    code[need] = (code[need] << _16) | flat.take(at)
+                    pos[need] = at + 1
+                    wide = narrow[need] << _16
+                    narrow[need] = wide
+                    need = need[wide < _TOP]
+                codes[:n], extents[:n] = code, narrow
+                model.learn(x)
     ids = columns.T.ravel()[: (lanes - 1) * block + short]
     for i, (_, many, _, crc) in enumerate(heads):
         if zlib.crc32(ids[i * block: i * block + many].astype("<u4")) != crc:
