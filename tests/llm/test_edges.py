@@ -113,7 +113,7 @@ def test_reparameterised_question(spark):
     mixed = item.replace("12 apples for", "57 apples for")  # 12 stands for two values
     docs = spark.createDataFrame([(1, "so " + same), (2, mixed), (3, item.upper())], "doc_id long, text string")
     got = decontaminate.matches(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
-    assert {r.doc_id: r.leaked for r in got} == {1: True, 2: False}
+    assert {r.doc_id: r.leaked for r in got} == {1: True, 2: False, 3: True}
 
 
 def test_pages(spark):
