@@ -8,7 +8,6 @@ columns it needs by name first, so extra columns cannot clash with its own."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -18,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from profitlens.session import ensure_checkpoint_dir
+from profitlens.operators.share import shared
 
 NULL_ID = 9223372036854775807
 #: Bytes of text handled at once inside a task; a longer document is a chunk of its own.
@@ -33,11 +32,10 @@ _MASK = (1 << 64) - 1
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: cuts lineage, survives executors."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` written as Parquet in the shared folder and read back: cuts lineage, survives executors.
+
+    ``release_scratch`` of the core deletes what was written."""
+    return shared(df, name)
 
 
 def reach(spark: SparkSession) -> None:
@@ -167,21 +165,27 @@ def widened(df: DataFrame, **types: str) -> StructType:
     return StructType([*df.schema.fields, *more])
 
 
-#: Bits of the filter of ``maybe_in``: its broadcast is at most this / 64 rows of two longs, 2 MB.
+#: Bits of the filter of ``may_hold``: its broadcast is at most this / 64 rows of two longs, 2 MB.
 FILTER_BITS = 1 << 23
 
 
-def maybe_in(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
-    """Rows whose key columns may be among ``keys``: a semi-join through a bitmap of fixed size.
+def may_hold(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
+    """Rows with ``_may``: whether their key columns may be among ``keys``, by a bitmap of fixed size.
 
     No row of ``keys`` is missed; others pass by chance (and all do once keys by far outnumber the bits),
-    so what follows must be an exact join.  It spares shuffling texts that no join needs."""
+    so what follows must be exact.  It spares shuffling texts that no join needs."""
     bit = F.xxhash64(*names).bitwiseAND(FILTER_BITS - 1)
     words_ = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("_word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("_bits"))
     probed = rows.withColumn("_bit", bit).withColumn("_at", F.shiftright("_bit", 6))
-    hit = probed.join(F.broadcast(words_), F.col("_at") == F.col("_word"))
-    return hit.where("(shiftright(_bits, cast(_bit & 63 as int)) & 1) = 1").select(*rows.columns)
+    probed = probed.join(F.broadcast(words_), F.col("_at") == F.col("_word"), "left")
+    may = F.coalesce(F.expr("(shiftright(_bits, cast(_bit & 63 as int)) & 1) = 1"), F.lit(False))
+    return probed.select(*(F.col(f"`{c}`") for c in rows.columns), may.alias("_may"))
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
+    """Rows whose key columns may be among ``keys`` (see ``may_hold``): a semi-join to be made exact."""
+    return may_hold(rows, keys, *names).where("_may").drop("_may")
 
 
 def _all_stars(e: DataFrame) -> bool:
@@ -213,15 +217,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def without(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
     """Rows whose key columns are not among ``keys``: an anti-join that shuffles only the rows that a bitmap
-    of fixed size (see ``maybe_in``) cannot rule out."""
-    bit = F.xxhash64(*names).bitwiseAND(FILTER_BITS - 1)
-    words_ = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("_word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("_bits"))
-    probed = rows.withColumn("_bit", bit).withColumn("_at", F.shiftright("_bit", 6))
-    probed = probed.join(F.broadcast(words_), F.col("_at") == F.col("_word"), "left")
-    probed = probed.withColumn("_hit", F.coalesce(F.expr("(shiftright(_bits, cast(_bit & 63 as int)) & 1) = 1"), F.lit(False)))
-    clear = probed.where(~F.col("_hit")).select(*rows.columns)
-    return clear.unionByName(probed.where("_hit").select(*rows.columns).join(keys.select(*names).distinct(), list(names), "left_anti").select(*rows.columns))
+    of fixed size (see ``may_hold``) cannot rule out."""
+    marked = may_hold(rows, keys, *names)
+    clear = marked.where("not _may").drop("_may")
+    return clear.unionByName(marked.where("_may").drop("_may").join(keys.select(*names).distinct(), list(names), "left_anti").select(*clear.columns))
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
