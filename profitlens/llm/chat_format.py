@@ -3,18 +3,21 @@
 Messages (conv_id, turn, role, text) become events.  A text that is a JSON object with "tool_calls" (a list
 of {"id", "name", "arguments", "after"}) makes calls; a message of role "tool" whose text is a JSON object
 with "tool_call_id" is a result.  In plain chat, every user message is the call "reply" with the text as
-its argument, and the assistant message that comes next answers it (identifier ``<conv>:<turn>``).
+its argument, and the assistant message of the next turn answers it (identifier ``<conv>:<turn>``).
 
 Calls and results are joined by a shuffled hash of (conversation, identifier).  Events are ordered
 topologically: a call comes after the calls it names in "after", a result after its call.  Where all such
-edges point forward, the turn order is that order, and nothing has to be gathered; only the calls with an
-edge that points back go through rounds of relaxation over joins, which also find cycles.  Arguments are
+edges point forward, the turn order is that order, and nothing has to be gathered.  Conversations with an edge
+that points back are ordered by levels, which also find cycles: those with at most ``GATHER`` edges in one
+task each, larger ones in rounds of joins.  Arguments are
 validated against a schema for each tool (type, required, additional properties), and each event is
 serialised as canonical JSON (sorted keys, no spaces, UTF-8).
 
-No conversation is gathered into one task: the result is a row for each event, placed by (conv_id, rank).
+No unbounded conversation is gathered into one task: the result is a row for each event, placed by (conv_id, rank).
 
-Defined results: a null text is the empty text; a null role is "unknown"; a null conv_id or turn sorts as
+Defined results: a text with NaN, an infinite number (1e400) or deeper nesting than Python reads is not JSON, and an
+object whose "tool_calls" is empty or no list of objects makes no calls: both are plain text; a lone surrogate in
+JSON becomes U+FFFD; a null text is the empty text; a null role is "unknown"; a null conv_id or turn sorts as
 the largest long; a repeated identifier links each of its calls to its first result, further results have
 status "repeated"; a result without call is "orphan", a call without result "open"; a tool without schema
 is invalid ("unknown tool"); a call in a cycle has status "cycle"; empty tables give empty results; extra
@@ -23,8 +26,11 @@ columns are ignored."""
 from __future__ import annotations
 
 import json
+import math
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -36,8 +42,17 @@ SCHEMAS = {"reply": {"type": "object", "required": ["prompt"], "additionalProper
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
+#: Most edges of a conversation that one task puts in order.
+GATHER = 100_000
+
+
+def clean(text: str) -> str:
+    """Text that UTF-8 can hold: a lone surrogate becomes U+FFFD."""
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return clean(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
 def validate(value, schema: dict, at: str = "$") -> list[str]:
@@ -70,12 +85,20 @@ def _object(text: str):
     if not text.lstrip().startswith("{"):
         return None
     try:
-        value = json.loads(text)
+        value = json.loads(text, parse_float=_finite, parse_constant=_finite)
+        canonical(value)
     except (ValueError, RecursionError):
         return None
     return value if isinstance(value, dict) else None
 
 
+def _finite(text: str) -> float:
+    x = float(text)
+    if not math.isfinite(x):
+        raise ValueError(text)
+    return x
+
+
 def _events(batches: Iterator[pa.RecordBatch], schemas: dict) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("conv_id", pa.int64()), ("ckey", pa.int64()), ("turn", pa.int64()), ("seq", pa.int32()), ("kind", pa.string()),
                         ("id", pa.string()), ("name", pa.string()), ("after", pa.list_(pa.string())), ("role", pa.string()),
@@ -87,19 +110,19 @@ def _events(batches: Iterator[pa.RecordBatch], schemas: dict) -> Iterator[pa.Rec
                     "errors": [], "name": None, "id": None}
             got = _object(m["text"])
             calls = got.get("tool_calls") if got else None
-            if isinstance(calls, list) and all(isinstance(c, dict) for c in calls):
+            if isinstance(calls, list) and calls and all(isinstance(c, dict) for c in calls):
                 for k, c in enumerate(calls):
                     args = c.get("arguments", {})
                     if isinstance(args, str):
                         args = _object(args) if _object(args) is not None else args
-                    name = str(c.get("name"))
+                    name, own = clean(str(c.get("name"))), clean(str(c.get("id")))
                     wrong = validate(args, schemas[name]) if name in schemas else ["unknown tool"]
                     after = c.get("after") or []
-                    rows.append(head | {"seq": k, "kind": "call", "id": str(c.get("id")), "name": name, "errors": wrong,
-                                        "after": [str(x) for x in (after if isinstance(after, list) else [after])],
-                                        "body": canonical({"arguments": args, "id": str(c.get("id")), "name": name})})
+                    rows.append(head | {"seq": k, "kind": "call", "id": own, "name": name, "errors": [clean(x) for x in wrong],
+                                        "after": [clean(str(x)) for x in (after if isinstance(after, list) else [after])],
+                                        "body": canonical({"arguments": args, "id": own, "name": name})})
             elif got and m["role"] == "tool" and "tool_call_id" in got:
-                rows.append(head | {"kind": "result", "id": str(got["tool_call_id"]), "body": canonical(got)})
+                rows.append(head | {"kind": "result", "id": clean(str(got["tool_call_id"])), "body": canonical(got)})
             elif m["role"] == "user":
                 own = f"{m['ckey']}:{m['turn']}"
                 args = {"prompt": m["text"]}
@@ -160,13 +183,43 @@ def link_tool_calls(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
                       "errors", rank.alias("rank"), F.col("body").alias("json"))
 
 
-def _levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(ckey, id, level) of calls in conversations with an edge that points back; level -1 in or behind a cycle.
+def _ordered(pairs: pd.DataFrame) -> pd.DataFrame:
+    """The levels of one conversation's calls (rows from, to; from is null in a row for each call)."""
+    ids, after, waits = [], defaultdict(list), defaultdict(int)
+    for a, b in zip(pairs["from"], pairs["to"]):
+        if a is None:
+            ids.append(b)
+        else:
+            after[a].append(b)
+            waits[b] += 1
+    level = {x: 0 for x in ids if not waits[x]}
+    ready = deque(level)
+    while ready:
+        x = ready.popleft()
+        for y in after[x]:
+            waits[y] -= 1
+            if not waits[y]:
+                level[y] = level[x] + 1
+                ready.append(y)
+    return pd.DataFrame({"ckey": pairs["ckey"].iloc[0] if ids else 0, "id": ids, "level": [level.get(x, -1) for x in ids]})
 
-    Each round settles the calls all of whose predecessors are settled; it ends when a round settles none."""
+
+def _levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(ckey, id, level) of calls in conversations with an edge that points back; level -1 in or behind a cycle."""
     edges = stored(edges.select("ckey", "from", "to"), "chat-back-edges")
-    open_ = stored(nodes.select("ckey", "id"), "chat-open")
-    done = stored(open_.withColumn("level", F.lit(0).cast("long")).limit(0), "chat-levels")
+    nodes = stored(nodes.select("ckey", "id"), "chat-open")
+    counted = edges.select("ckey").unionByName(nodes.select("ckey")).groupBy("ckey").count()
+    large = stored(counted.where(F.col("count") > GATHER).select("ckey"), "chat-large")
+    here = edges.unionByName(nodes.select("ckey", F.lit(None).cast("string").alias("from"), F.col("id").alias("to"))).join(large, "ckey", "left_anti")
+    small = here.groupBy("ckey").applyInPandas(_ordered, "ckey long, id string, level long")
+    return small.unionByName(_rounds(edges.join(large, "ckey", "left_semi"), nodes.join(large, "ckey", "left_semi")))
+
+
+def _rounds(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Levels by joins: each round settles the calls all of whose predecessors are settled; it ends when a round
+    settles none."""
+    open_ = stored(nodes, "chat-open")
+    done = nodes.withColumn("level", F.lit(0).cast("long")).limit(0)
     level = 0
     while not open_.isEmpty():
         waits = edges.join(open_.withColumnRenamed("id", "from"), ["ckey", "from"], "left_semi").select("ckey", F.col("to").alias("id"))
