@@ -1,10 +1,12 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
-A document becomes a bag of word shapes and pairs of them (letters, capitals, digits and marks of a word,
-runs collapsed; a word equal to the one before it has a shape of its own), hashed into ``DIMS`` places.
-Shapes carry layout and junk in any language, and no id, label, language or source.  A bounded sample of labelled rows
-(``SAMPLE``, the rows of least id hash) gives idf weights, a truncated SVD (``RANK``), and the labelled
-latent vectors.  They have a fixed size (at most SAMPLE x RANK floats, 1 MB) and are broadcast.  Every
+A document becomes two bags of terms: its words and pairs of neighbouring words (A-Z lower-cased), hashed into
+``WORDS`` places, and their shapes and pairs of shapes (letters, capitals, digits and marks of a word, runs
+collapsed; a word equal to the one before it has a shape of its own), hashed into ``SHAPES`` places.  Words tell
+what a text is about, shapes how it is written, in any language; no id, label, language or source is a term.
+Both bags weigh the same.  A bounded sample of labelled rows (``SAMPLE``, the rows of least id hash) gives idf
+weights, a truncated SVD of the weighted terms (``RANK``), and the labelled latent-semantic vectors.  The model has
+a fixed size (at most (WORDS + SHAPES + SAMPLE) x RANK floats, 2 MB) and is broadcast.  Every
 document's vector is multiplied with all of them in blocks (exact cosines, no index); its ``NEIGHBOURS``
 nearest vote with weight cosine**``POWER``.
 
@@ -23,7 +25,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from profitlens.llm.common import chunks, mix, small, widened, word_hashes, words
 
-DIMS = 1024
+WORDS = 3072
+SHAPES = 1024
+DIMS = WORDS + SHAPES
 RANK = 64
 #: Most labelled rows that are learnt from.
 SAMPLE = 4096
@@ -41,7 +45,8 @@ _REPEAT = np.uint64(0x5DEECE66D)
 
 
 def _counts(texts: pa.Array) -> Iterator[np.ndarray]:
-    """Counts of hashed shapes and shape pairs, a row a document, in blocks of at most _BLOCK rows."""
+    """Counts of hashed words and word pairs, then of shapes and shape pairs, a row a document, in blocks of at most
+    _BLOCK rows."""
     for at in range(0, len(texts), _BLOCK):
         block = texts.slice(at, _BLOCK)
         out = np.zeros((len(block), DIMS), dtype=np.float32)
@@ -61,12 +66,14 @@ def _counts(texts: pa.Array) -> Iterator[np.ndarray]:
             same = np.zeros(len(start), dtype=bool)
             same[1:] = (word[1:] == word[:-1]) & (doc[1:] == doc[:-1])
             h[same] = _REPEAT
-            with np.errstate(over="ignore"):
-                pair = mix(h[:-1] * np.uint64(3) + h[1:])[doc[1:] == doc[:-1]]
-            pair_doc = doc[:-1][doc[1:] == doc[:-1]]
-            cell = np.concatenate([doc * DIMS + (mix(h) % np.uint64(DIMS)).astype(np.int64),
-                                   pair_doc * DIMS + (pair % np.uint64(DIMS)).astype(np.int64)])
-            out[lo:hi] = np.bincount(cell, minlength=(hi - lo) * DIMS).reshape(hi - lo, DIMS)
+            inside = doc[1:] == doc[:-1]
+            pair_doc, cells = doc[:-1][inside], []
+            for term, base, size in ((word, 0, WORDS), (h, WORDS, SHAPES)):
+                with np.errstate(over="ignore"):
+                    pair = mix(term[:-1] * np.uint64(3) + term[1:])[inside]
+                cells += [doc * DIMS + base + (mix(term) % np.uint64(size)).astype(np.int64),
+                          pair_doc * DIMS + base + (pair % np.uint64(size)).astype(np.int64)]
+            out[lo:hi] = np.minimum(np.bincount(np.concatenate(cells), minlength=(hi - lo) * DIMS), 65535).reshape(hi - lo, DIMS)
         yield out
 
 
@@ -74,6 +81,22 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Term weights, both bags of unit length."""
+    x = np.log1p(counts) * idf
+    return np.hstack([_unit(x[:, :WORDS]), _unit(x[:, WORDS:])])
+
+
+def _axes(z: np.ndarray) -> np.ndarray:
+    """The RANK leading right singular vectors of ``z``, by subspace iteration from a fixed start."""
+    rank = min(RANK + 16, *z.shape)
+    basis = np.random.default_rng(7).standard_normal((z.shape[1], rank)).astype(np.float32)
+    for _ in range(12):
+        basis = np.linalg.qr(z.T @ (z @ basis))[0]
+    _, _, rows = np.linalg.svd(z @ basis, full_matrices=False)
+    return (basis @ rows.T)[:, :RANK].astype(np.float32)
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE) -> dict | None:
     """The broadcastable model from ``labels`` (doc_id, quality) rows for which ``learn`` (a condition on
     doc_id) holds and a document exists."""
@@ -91,18 +114,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE) -> dict
             for x in _counts(b.column("text")):
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(at, len(x)), b.column("quality").slice(at, len(x)),
-                     pa.array([r.astype("<u4").tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "counts"])
+                     pa.array([r.astype("<u2").tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "counts"])
                 at += len(x)
 
     got = sorted(texts.mapInArrow(featurise, "doc_id long, quality int, counts binary").collect())  # at most `sample` rows
     if not got:
         return None
-    x = np.stack([np.frombuffer(r.counts, dtype="<u4") for r in got]).astype(np.float32)
+    x = np.stack([np.frombuffer(r.counts, dtype="<u2") for r in got]).astype(np.float32)
     y = np.array([float(r.quality) for r in got], dtype=np.float32)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 0.1
-    z = _unit(np.log1p(x) * idf)
-    value, vector = np.linalg.eigh(z.T.astype(np.float64) @ z)
-    top = vector[:, np.argsort(value)[::-1][:RANK]].astype(np.float32)
+    z = _weighted(x, idf)
+    top = _axes(z)
     return {"idf": idf, "axes": top, "vectors": _unit(z @ top), "labels": y}
 
 
@@ -113,7 +135,7 @@ def vote(model: dict | None, texts: pa.Array) -> np.ndarray:
     out = [np.zeros(0)]
     y, mean, k = model["labels"], float(model["labels"].mean()), min(NEIGHBOURS, len(model["labels"]))
     for x in _counts(texts):
-        q = _unit(_unit(np.log1p(x) * model["idf"]) @ model["axes"])
+        q = _unit(_weighted(x, model["idf"]) @ model["axes"])
         cosine = q @ model["vectors"].T
         least = np.partition(cosine, -k, axis=1)[:, -k, None]
         weight = np.where(cosine >= least, np.maximum(cosine, 0), 0) ** POWER
@@ -124,14 +146,13 @@ def vote(model: dict | None, texts: pa.Array) -> np.ndarray:
 
 def classify(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
     """Input columns, then score (double) and predicted (int)."""
-    rest = [c for c in docs.columns if c not in ("score", "predicted")]
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")))  # a struct, so that no name clashes
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            s = vote(shared.value, b.column("text"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))],
-                                             names=[*b.schema.names, "score", "predicted"])
+            s = vote(shared.value, b.column("own"))
+            yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["rest", "score", "predicted"])
 
-    rows = docs.select(*rest)
-    return rows.mapInArrow(run, widened(rows, score="double", predicted="int"))
+    rows = docs.select(rest.alias("rest"), F.col("text").cast("string").alias("own"))
+    return rows.mapInArrow(run, widened(rows.select("rest"), score="double", predicted="int")).select("rest.*", "score", "predicted")
