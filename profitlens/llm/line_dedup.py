@@ -130,7 +130,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Input columns but text, then kept_text, n_lines (before) and n_dropped."""
     rest = [c for c in docs.columns if c not in ("text", "kept_text", "n_lines", "n_dropped")]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*rest).alias("rest"), text.alias("text"),  # a struct, so that no name clashes
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), text.alias("text"),  # a struct, so that no name clashes
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("dkey"), F.xxhash64(text).alias("tkey"))
     joined = rows.join(keep_bitmaps(docs, min_chars), ["dkey", "tkey"], "left").select("rest", "text", "keep")
     schema = widened(rows.select("rest"), kept_text="string", n_lines="long", n_dropped="long")

@@ -388,7 +388,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     """Input columns but text; kept (bytes), n_bytes, n_removed, n_spans and spans (start, end, start, ...)."""
     rest = [c for c in docs.columns if c not in ("text", "kept", "n_bytes", "n_removed", "n_spans", "spans")]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*rest).alias("rest"), text.alias("text"),  # a struct, so that no name clashes
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), text.alias("text"),  # a struct, so that no name clashes
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("dkey"), F.xxhash64(text).alias("tkey"))
     lists = repeated_intervals(docs).groupBy("dkey", "tkey").agg(F.collect_list(F.struct("start", "end")).alias("intervals"))
     joined = rows.join(lists, ["dkey", "tkey"], "left").select("rest", "text", "intervals")
