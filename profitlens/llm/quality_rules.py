@@ -9,28 +9,37 @@ base rules with fewer than 50 words or with more than half of its words repeated
 Method: the texts that pass have a vector of transformed statistics (log mean word length, log symbol
 share, and the angles of the shares of repeated lines and words).  A text is judged in its (lang, source)
 group, if that has ``MIN_GROUP`` passing texts; else among all texts of its lang, if those are as many; else
-among all texts.  Every passing text so has a distance.  For each such group the minimum
-covariance determinant is approached by concentration steps: start from medians and absolute deviations,
-then estimate mean and covariance from the ``H`` share of rows with the least distances, again and again.
+among all texts: an estimate of four means and ten covariances needs so many, and every passing text so has a
+distance.  For each such group the minimum covariance determinant is sought from several starts: the ``H`` share
+of rows nearest to the medians by sum of squares, by sum and by maximum of the scaled deviations, and ``DRAWS``
+draws of ``DRAWN`` rows (those of least hash).  A concentration step estimates mean and covariance of a subset
+and takes the H share nearest by that estimate, which never raises the determinant; each start takes ``TRIAL``
+steps, the start with the least determinant goes on until it falls no more, and the least is what counts.
 ``FLOOR`` is added to each variance, as statistics that are 0 in most texts have none.  A text is rejected
 if its squared Mahalanobis distance exceeds the chi-square quantile, corrected for the share H.
-All of it is aggregates with partial sums, so a source with a third of all rows is no larger task than
-another; the estimates are one row a group.
 
-Defined results: a null or empty text has no words and fails; null lang or source is a value of its own; ties at the H
-quantile are all inside; repeated rows count each; an empty table gives an empty result; of the input
+Statistics are whole millionths and their sums exact; quantiles are taken over counts of fixed bins (an H share
+is rounded up to a whole bin).  So no estimate depends on how rows are dealt.  All of it is aggregates with partial
+sums, so a source with a third of all rows is no larger task than another; the estimates are one row a group.
+
+Defined results: a null or empty text has no words and fails; null lang or source is a value of its own; rows of the
+last bin of an H share are all inside; repeated rows count each; an empty table gives an empty result; of the input
 columns only doc_id is passed on."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from profitlens.llm.common import stored
 
 H = 0.75
-STEPS = 4
+DRAWS = 6
+DRAWN = 8
+TRIAL = 2
+#: Most concentration steps of the best start; they end long before, when the determinant falls no more.
+STEPS = 30
 QUANTILE = 0.99999
 MIN_GROUP = 30
 #: Standard deviations added to each transformed statistic.
@@ -97,6 +106,7 @@ def _vector() -> list[Column]:
 
 _D = len(FLOOR)
 _X = [f"x{i}" for i in range(_D)]
+_UNIT = 1_000_000
 
 
 _GROUP = ["level", "lang", "source"]
@@ -125,55 +135,102 @@ def _grouped(passing: DataFrame, levels: DataFrame) -> DataFrame:
     group = lambda level, lang, source: F.struct(F.lit(level).alias("level"), lang.alias("lang"), source.alias("source"))
     groups = F.array(F.when(F.col("judged") == 0, group(0, F.col("lang"), F.col("source"))),
                      F.when(F.col("of_lang"), group(1, F.col("lang"), none)), F.when(F.col("of_all"), group(2, none, none)))
-    rows = rows.select(*_X, F.explode(groups).alias("g")).where("g is not null")
-    return rows.select("g.*", *_X)
+    rows = rows.select(*_X, "seed", F.explode(groups).alias("g")).where("g is not null")
+    return rows.select("g.*", *_X, "seed")
+
+
+def _quantile(rows: DataFrame, keys: list[str], value: str, share: float, name: str) -> DataFrame:
+    """The least value (long) of each key that a share of its rows does not exceed; values are few a key."""
+    bins = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy(value)
+    bins = bins.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(Window.partitionBy(*keys))})
+    return bins.where(F.col("_upto") >= F.ceil(share * F.col("_all"))).groupBy(*keys).agg(F.min(value).alias(name))
+
+
+#: Bins of a squared distance for each time it doubles.
+_BINS = 512
 
 
-def _nearest(rows: DataFrame) -> DataFrame:
-    """Of rows with their squared distance d2, the H share of each group with the least."""
-    cut = rows.groupBy(*_GROUP).agg(F.percentile_approx("d2", H, 10000).alias("cut"))
-    return _same_group(rows, stored(cut, "mcd-cut")).where("d2 <= cut")
+def _nearest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows with their squared distance d2, the H share of each key with the least."""
+    rows = rows.withColumn("bin", F.floor(F.log2(F.greatest("d2", F.lit(1e-12))) * _BINS).cast("long"))
+    return _same_group(rows, stored(_quantile(rows, keys, "bin", H, "cut"), "mcd-cut"), keys).where("bin <= cut")
 
 
-def _estimate(rows: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of the covariance of each group, one row a group."""
+def _estimate(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean, Cholesky factor of the covariance and half the log determinant of each key, one row a key."""
     pairs = [(i, j) for i in range(_D) for j in range(i + 1)]
-    sums = rows.groupBy(*_GROUP).agg(
-        *(F.avg(x).alias(f"m{i}") for i, x in enumerate(_X)),
-        *(F.covar_pop(_X[i], _X[j]).alias(f"c{i}{j}") for i, j in pairs))
-    out = sums
+    whole = lambda c: F.sum(c.cast("decimal(38,0)")).cast("double")
+    x = [F.col(c) for c in _X]
+    out = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *(whole(c).alias(f"s{i}") for i, c in enumerate(x)),
+                                  *(whole(x[i] * x[j]).alias(f"s{i}{j}") for i, j in pairs))
+    out = out.select(*keys, *((F.col(f"s{i}") / F.col("_n") / _UNIT).alias(f"m{i}") for i in range(_D)),
+                     *((F.col(f"s{i}{j}") / F.col("_n") / _UNIT / _UNIT).alias(f"p{i}{j}") for i, j in pairs))
     for i, j in pairs:  # row by row: each factor from those before it
-        rest = F.col(f"c{i}{j}") + (FLOOR[i] ** 2 if i == j else 0.0)
+        rest = F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")
+        if i == j:
+            rest = F.greatest(rest, F.lit(0.0)) + FLOOR[i] ** 2
         for k in range(j):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        out = out.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.drop(*(f"c{i}{j}" for i, j in pairs))
+        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
+    half = sum((F.log(f"l{i}{i}") for i in range(1, _D)), F.log("l00"))
+    return out.withColumn("det", half).drop(*(f"p{i}{j}" for i, j in pairs))
 
 
-def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    out = _same_group(rows, estimate)
+def _distance(rows: DataFrame, estimate: DataFrame, keys: list[str]) -> DataFrame:
+    out = _same_group(rows, estimate, keys)
     for i in range(_D):
-        rest = F.col(_X[i]) - F.col(f"m{i}")
+        rest = F.col(_X[i]) / _UNIT - F.col(f"m{i}")
         for k in range(i):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"z{k}")
         out = out.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
     return out.select(*rows.columns, sum((F.col(f"z{i}") ** 2 for i in range(1, _D)), F.col("z0") ** 2).alias("d2"))
 
 
-def group_estimates(passing: DataFrame) -> DataFrame:
-    """Minimum-covariance-determinant estimates of rows with level, lang, source and x0...: one row a group."""
-    medians = passing.groupBy(*_GROUP).agg(
-        *(F.percentile_approx(x, 0.5, 10000).alias(f"med{i}") for i, x in enumerate(_X)))
-    rows = _same_group(passing, stored(medians, "mcd-medians"))
-    mad = rows.groupBy(*_GROUP).agg(
-        *(F.percentile_approx(F.abs(F.col(x) - F.col(f"med{i}")), 0.5, 10000).alias(f"mad{i}") for i, x in enumerate(_X)))
-    first = _same_group(rows, stored(mad, "mcd-deviations"))
-    scaled = [((F.col(x) - F.col(f"med{i}")) / (1.4826 * F.col(f"mad{i}") + FLOOR[i])) ** 2 for i, x in enumerate(_X)]
-    near = first.select(*passing.columns, sum(scaled[1:], scaled[0]).alias("d2"))
-    estimate = stored(_estimate(_nearest(near)), "mcd-estimate")
-    for _ in range(STEPS - 1):
-        estimate = stored(_estimate(_nearest(_distance(passing, estimate))), "mcd-estimate")
-    return estimate
+def _starts(rows: DataFrame) -> DataFrame:
+    """The rows of each group's starting subsets, with ``start``: the nearest by three distances, and the draws."""
+    spread = rows.select(*_GROUP, F.posexplode(F.array(*(F.col(x) for x in _X))).alias("axis", "x"))
+    spread = spread.withColumn("bin", F.floor(F.col("x") / 1000).cast("long"))
+    axis = [*_GROUP, "axis"]
+    medians = stored(_quantile(spread, axis, "bin", 0.5, "med"), "mcd-medians")
+    off = _same_group(spread, medians, axis).withColumn("off", F.abs(F.col("bin") - F.col("med")))
+    mads = _quantile(off, axis, "off", 0.5, "mad")
+    wide = lambda df, c: df.groupBy(*_GROUP).agg(*(F.max(F.when(F.col("axis") == i, F.col(c))).alias(f"{c}{i}") for i in range(_D)))
+    centre = stored(_same_group(wide(medians, "med"), wide(mads, "mad"), _GROUP), "mcd-centres")
+    z = [F.abs(F.col(x) / _UNIT - F.col(f"med{i}") / 1000) / (1.4826 * F.col(f"mad{i}") / 1000 + FLOOR[i]) for i, x in enumerate(_X)]
+    at = _same_group(rows, centre, _GROUP).select(*rows.columns, F.array(*z).alias("z"))
+    total = lambda f: F.aggregate("z", F.lit(0.0), lambda a, v: a + f(v))
+    kinds = F.array(total(lambda v: v * v), total(lambda v: v), F.array_max("z"))
+    near = at.select(*rows.columns, F.posexplode(kinds).alias("start", "d2"))
+    draws = rows.select(*rows.columns, F.explode(F.sequence(F.lit(3), F.lit(2 + DRAWS))).alias("start"))
+    order = Window.partitionBy(*_GROUP, "start").orderBy(F.xxhash64("start", "seed", *_X), "seed")
+    drawn = draws.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= DRAWN)
+    keys = [*_GROUP, "start"]
+    return _nearest(near, keys).select(*keys, *_X).unionByName(drawn.select(*keys, *_X))
+
+
+def group_estimates(passing: DataFrame, trial: int = TRIAL, steps: int = STEPS, only: int | None = None) -> DataFrame:
+    """Minimum-covariance-determinant estimates of rows with level, lang, source, seed and x0... (whole
+    millionths): one row a group.  ``only`` names a single start, to see what it finds alone."""
+    keys = [*_GROUP, "start"]
+    begin = _starts(passing)
+    trials = stored(_estimate(begin if only is None else begin.where(F.col("start") == only), keys), "mcd-trials")
+    all_starts = passing.select(*_GROUP, *_X, F.explode(F.sequence(F.lit(0), F.lit(2 + DRAWS))).alias("start"))
+    for _ in range(trial):
+        trials = stored(_estimate(_nearest(_distance(all_starts, trials, keys), keys), keys), "mcd-trials")
+    # the start of least determinant (ties: the first) goes on
+    first = trials.groupBy(*_GROUP).agg(F.min(F.struct("det", "start")).alias("best")).select(*_GROUP, F.col("best.start").alias("start"))
+    best = stored(_same_group(trials, first, keys).drop("start"), "mcd-best")
+    for _ in range(steps):
+        step = _estimate(_nearest(_distance(passing, best, _GROUP), _GROUP), _GROUP)
+        old = best.select(*_GROUP, F.col("det").alias("old"))
+        lower = stored(_same_group(step, old, _GROUP).where(F.col("det") < F.col("old") - 1e-9).drop("old"), "mcd-lower")
+        if lower.isEmpty():
+            break
+        same = lower.select(*_GROUP, F.lit(True).alias("moved")).withColumnsRenamed({c: f"_{c}" for c in _GROUP})
+        kept = best.join(same, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _GROUP], "left").where("moved is null").select(*best.columns)
+        best = stored(kept.unionByName(lower), "mcd-best")
+    return best
 
 
 def apply_rules(docs: DataFrame) -> DataFrame:
@@ -181,7 +238,9 @@ def apply_rules(docs: DataFrame) -> DataFrame:
     counts = base_counts(docs).withColumn(
         "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     counts = stored(counts, "base-counts")
-    vectors = counts.select("*", *(v.alias(x) for v, x in zip(_vector(), _X, strict=True)))
+    # whole millionths; the seed of the draws is the row's text statistics and id, so equal rows draw alike
+    vectors = counts.select("*", *(F.round(v * _UNIT).cast("long").alias(x) for v, x in zip(_vector(), _X, strict=True)),
+                            F.xxhash64("doc_id", "n_words", "word_chars").alias("seed"))
     passing = vectors.where(~F.col("base_failed"))
     levels = _levels(passing)
     estimate = group_estimates(_grouped(passing, levels))
@@ -189,7 +248,7 @@ def apply_rules(docs: DataFrame) -> DataFrame:
     judged = _same_group(passing, levels, ["lang", "source"]).drop("of_lang", "of_all")
     judged = judged.withColumns({"lang": F.when(F.col("level") < 2, F.col("lang")).otherwise(text),
                                  "source": F.when(F.col("level") < 1, F.col("source")).otherwise(text)})
-    known = _distance(judged, estimate)
+    known = _distance(judged, estimate, _GROUP)
     limit = H / _chi_cdf(_chi_quantile(H, _D), _D + 2) * _chi_quantile(QUANTILE, _D)
     own = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return (known.select(*own, "d2", (F.col("d2") <= limit).alias("kept"))
