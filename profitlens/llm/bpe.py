@@ -37,8 +37,8 @@ from profitlens.llm.slices import Memo, cut, filled, gathered, sliced
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Strings in one generation of a Python worker's memo of pieces (twice as many of chunks), and bytes of text
 #: encoded at once inside a task.
-MEMO = 100_000
-SLICE = 1 << 23
+MEMO = 50_000
+SLICE = 1 << 22
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -313,17 +313,18 @@ def vocabulary(spark: SparkSession, path: str):
 
 def encode(docs: DataFrame, source, special: bool = True) -> DataFrame:
     """Input columns and ``ids`` (array of int): the text column's ids under the broadcast vocabulary."""
-    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "ids"))  # a struct, so that no name clashes
+    names = [c for c in docs.columns if c != "ids"]
+    rest, at = F.struct(*(F.col(f"`{c}`") for c in names)), names.index("text")  # a struct, so that no name clashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tables(source, Encoder)
-        for b in sliced(batches, "text", SLICE):
-            values, first = bpe.encode_array(filled(b.column("text")), special)
+        for b in small(batches):
+            values, first = bpe.encode_array(filled(b.column("rest").field(at)), special)
             ids = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values))
             yield pa.RecordBatch.from_arrays([b.column("rest"), ids], names=["rest", "ids"])
 
-    rows = docs.select(rest.alias("rest"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, widened(rows.select("rest"), ids="array<int>")).select("rest.*", "ids")
+    rows = docs.select(rest.alias("rest"))
+    return rows.mapInArrow(run, widened(rows, ids="array<int>")).select("rest.*", "ids")
 
 
 def digests(docs: DataFrame, source, special: bool = True) -> DataFrame:

@@ -228,3 +228,4 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Re
     for b in batches:
         for lo in range(0, b.num_rows, rows):
             yield b.slice(lo, rows)
+    pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds nothing back

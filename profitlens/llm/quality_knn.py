@@ -34,7 +34,7 @@ SAMPLE = 4096
 NEIGHBOURS = 25
 POWER = 8
 THRESHOLD = 0.7
-_BLOCK = 512
+_BLOCK = 128
 
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[97:123] = 97
@@ -146,13 +146,14 @@ def vote(model: dict | None, texts: pa.Array) -> np.ndarray:
 
 def classify(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
     """Input columns, then score (double) and predicted (int)."""
-    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")))  # a struct, so that no name clashes
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    rest = F.struct(*(F.col(f"`{c}`") for c in names))  # a struct, so that no name clashes
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            s = vote(shared.value, b.column("own"))
+            s = vote(shared.value, b.column("rest").field(at).cast(pa.string()))
             yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["rest", "score", "predicted"])
 
-    rows = docs.select(rest.alias("rest"), F.col("text").cast("string").alias("own"))
-    return rows.mapInArrow(run, widened(rows.select("rest"), score="double", predicted="int")).select("rest.*", "score", "predicted")
+    rows = docs.select(rest.alias("rest"))
+    return rows.mapInArrow(run, widened(rows, score="double", predicted="int")).select("rest.*", "score", "predicted")

@@ -28,6 +28,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             hi = min(b.num_rows, max(lo + 1, int(np.searchsorted(ends, ends[lo] + limit, side="right")) - 1))
             yield b.slice(lo, hi - lo)
             lo = hi
+    pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds nothing back
 
 
 def cut(texts: pa.Array, at: str | None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
