@@ -159,10 +159,9 @@ def unmapped_names(names: DataFrame, product_map: DataFrame, factory_map: DataFr
                           F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("n"))), F.lit(0)).alias(f"null_{prefix}_id"),
                           F.countDistinct("id").alias(f"distinct_{prefix}_ids"))
 
-    products, factories = side(1, "Product Name", product_map, "product"), side(2, "Factory", factory_map, "factory")
-    one = F.lit(1).alias("_one")
-    both = products.select("*", one).join(F.broadcast(factories.select("*", one)), "_one")  # one row each
-    return both.select(F.col("product_rows").alias("total_rows"), "null_product_id", "null_factory_id", "distinct_product_ids", "distinct_factory_ids")
+    both = side(1, "Product Name", product_map, "product").unionByName(side(2, "Factory", factory_map, "factory"), allowMissingColumns=True)
+    cols = ["null_product_id", "null_factory_id", "distinct_product_ids", "distinct_factory_ids"]
+    return both.agg(F.max("product_rows").alias("total_rows"), *[F.max(c).alias(c) for c in cols])  # a row each
 
 
 def column_domains(df: DataFrame, cols: Sequence[str]) -> DataFrame:
