@@ -7,7 +7,8 @@ word moves to the class that raises the class-bigram likelihood most, until no w
 done).  Then ``SPREAD`` rounds on Spark move all words: a round counts, for each word, the classes before and
 after it (sparse rows), and the words' partitions find the best class of each against the class bigrams of
 the round; after the first, every other word moves in a round, and a round that lowers the likelihood is
-undone and ends them.  Only a rarer word, known or not, has a class by its surface (last character, foreign
+undone and ends them.  The rounds read the training texts as stored codes of their words, not as texts, and a
+round's counts are shuffled as packed blocks of words.  Only a rarer word, known or not, has a class by its surface (last character, foreign
 letters, length), and the end token one of its own.  The model is
 
     P(w | previous) = P(class(w) | class(previous)) * (c(w) + a) / (N_class + a * (V_class + 1))
@@ -136,38 +137,91 @@ def frequent(counts: DataFrame, top: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return h[order], rows["c"].to_numpy()[order], rows["surface"].to_numpy()[order].astype(np.int64)
 
 
-def _unit_of(h: np.ndarray, surface: np.ndarray, known: np.ndarray, units: np.ndarray, base: int) -> np.ndarray:
-    """Unit of each token: that of a clustered word, else base + surface.  known: sorted hashes."""
-    if not len(known):
-        return base + surface
-    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    return np.where(known[at] == h, units[at], base + surface)
+class Index:
+    """Places of hashes in a sorted array: a table by their first bits, then the few with the same bits."""
+
+    def __init__(self, known: np.ndarray) -> None:
+        self.known, self.bits = known, max(1, int(len(known)).bit_length() + 2)
+        self.shift = np.uint64(64 - self.bits)
+        self.first = np.searchsorted(known >> self.shift, np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 where it is not known."""
+        out = np.full(len(h), -1, dtype=np.int32)
+        if not len(self.known):
+            return out
+        slot = (h >> self.shift).astype(np.int64)
+        at, end = self.first.take(slot), self.first.take(slot + 1)
+        open_ = np.flatnonzero(at < end)
+        while len(open_):
+            here = at[open_]
+            hit = self.known.take(here) == h[open_]
+            out[open_[hit]] = here[hit]
+            open_ = open_[~hit]
+            at[open_] += 1
+            open_ = open_[at[open_] < end[open_]]
+        return out
+
+
+def _unit_of(h: np.ndarray, surface: np.ndarray, known: Index, units: np.ndarray, base: int) -> np.ndarray:
+    """Unit of each token: that of a clustered word, else base + surface."""
+    at = known.find(h)
+    return np.where(at >= 0, units[at], base + surface) if len(units) else base + surface
+
+
+def _code_texts(batches: Iterator[pa.RecordBatch], known: Index) -> Iterator[pa.RecordBatch]:
+    """Texts as codes (packed int32), many in a row: the place of a clustered word, else -1 - surface.  A text
+    ends with the end token, whose surface is the last."""
+    for b in batches:
+        for _, _, data, off in chunks(b.column("text")):
+            h, surface, _ = _tokens(data, off)
+            at = known.find(h)
+            yield pa.RecordBatch.from_arrays([pa.array([np.where(at >= 0, at, -1 - surface).astype("<i4").tobytes()], pa.binary())], names=["codes"])
+
+
+def code_texts(docs: DataFrame, learn: Column, known: np.ndarray) -> DataFrame:
+    """The training texts as codes, stored: what clustering counts over and over."""
+    rows = docs.where(learn).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    return stored(rows.mapInArrow(lambda it: _code_texts(it, Index(shared.value)), "codes binary"), "coded-texts")
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for b in batches:
+        for x in b.column("codes"):
+            yield np.frombuffer(x.as_buffer(), dtype="<i4")
+
+
+def _units(codes: np.ndarray, of: np.ndarray, base: int) -> np.ndarray:
+    """Unit of each code: that of a clustered word, else base + surface."""
+    return np.where(codes >= 0, of.take(codes, mode="clip"), base - 1 - codes) if len(of) else base - 1 - codes
+
 
+def _before(units: np.ndarray, end: int) -> np.ndarray:
+    """The unit before each; a text begins after the end token."""
+    out = np.empty_like(units)
+    out[1:] = units[:-1]
+    out[:1] = end
+    return out
 
-def _count_pairs(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Counts of neighbouring units; the unit before a text is the end token's."""
-    m = len(known)
+
+def _count_pairs(batches: Iterator[pa.RecordBatch], of: np.ndarray, m: int) -> Iterator[pa.RecordBatch]:
+    """Counts of neighbouring units, of which the first ``m`` are words."""
     size = m + SURFACES
     total = np.zeros(size * size, dtype=np.int64)
-    for b in batches:
-        for _, _, data, off in chunks(b.column("text")):
-            h, surface, first = _tokens(data, off)
-            u = _unit_of(h, surface, known, np.arange(m), m)
-            before = np.empty_like(u)
-            before[1:] = u[:-1]
-            before[first[:-1]] = size - 1
-            total += np.bincount(before * size + u, minlength=size * size)
+    for codes in _coded(batches):
+        u = _units(codes, of, m).astype(np.int64)
+        np.add.at(total, _before(u, size - 1) * size + u, 1)
     at = np.flatnonzero(total)
     for lo in range(0, len(at), 100_000):
         part = at[lo: lo + 100_000]
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["pair", "n"])
 
 
-def pair_counts(docs: DataFrame, learn: Column, known: np.ndarray) -> np.ndarray:
-    """Matrix of unit bigrams over the training texts."""
-    rows = docs.where(learn).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = len(known) + SURFACES
-    sums = rows.mapInArrow(lambda it: _count_pairs(it, known), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+def pair_counts(coded: DataFrame, of: np.ndarray, m: int) -> np.ndarray:
+    """Matrix of unit bigrams over the training texts; ``of`` is the unit of each known word."""
+    size, shared = m + SURFACES, coded.sparkSession.sparkContext.broadcast(of)
+    sums = coded.mapInArrow(lambda it: _count_pairs(it, shared.value, m), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size * size, dtype=np.int64)
     out[sums["pair"].to_numpy()] = sums["n"].to_numpy()
     return out.reshape(size, size)
@@ -224,35 +278,38 @@ def exchange(pairs: np.ndarray, m: int, classes: int = CLASSES, rounds: int = RO
     return of
 
 
-def _count_contexts(batches: Iterator[pa.RecordBatch], known: np.ndarray, of: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """Counts (word, slot, n) of the class after (slot < k) and before (slot - k) each known word, by its place;
-    and with word -1 those of the class bigrams (slot = left * k + right)."""
-    total = np.zeros(k * k, dtype=np.int64)
-    held: list[tuple[np.ndarray, ...]] = []
+#: Words whose contexts go together; a block's counts are a table of BLOCK x 2 k cells (1.5 MB).
+BLOCK = 1024
+_CONTEXTS = "block int, cells binary, times binary"
 
-    def merged() -> tuple[np.ndarray, ...]:
+
+def _count_contexts(batches: Iterator[pa.RecordBatch], of: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the class after (cell word * 2 k + class) and before (k further) each known word, by its place: a
+    row a block of words, its cells and their counts packed."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
         return _sum_by(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     def send(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for lo in range(0, len(key), 200_000):
-            x = key[lo: lo + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x // (2 * k)), pa.array((x % (2 * k)).astype(np.int32)), pa.array(n[lo: lo + 200_000])],
-                                             names=["word", "slot", "n"])
-
-    size = 0
-    for b in batches:
-        for _, _, data, off in chunks(b.column("text")):
-            h, surface, first = _tokens(data, off)
-            place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            hit = known[place] == h
-            cls = np.where(hit, of[place], k - SURFACES + surface)
-            before = np.empty_like(cls)
-            before[1:] = cls[:-1]
-            before[first[:-1]] = k - 1
-            total += np.bincount(before * k + cls, minlength=k * k)
-            t = np.flatnonzero(hit)  # never the last token of a text
-            key = np.concatenate([place[t] * 2 * k + cls[t + 1], place[t] * 2 * k + k + before[t]])
-            held.append(_sum_by(key, np.ones(len(key), dtype=np.int64)))
+        block = key // (BLOCK * 2 * k)
+        cuts = [*np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])).tolist(), len(key)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            own = int(block[lo])
+            packed = (key[lo:hi] - own * BLOCK * 2 * k).astype("<i4").tobytes(), n[lo:hi].astype("<u4").tobytes()  # a task has fewer than 2**32 tokens
+            yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names=["block", "cells", "times"])
+
+    size, keys, many = 0, [], 0
+    for codes in _coded(batches):
+        cls = _units(codes, of, k - SURFACES).astype(np.int64)
+        before = _before(cls, k - 1)
+        t = np.flatnonzero(codes >= 0)  # never the last token of a text
+        base = codes[t].astype(np.int64) * (2 * k)
+        keys += [base + cls[t + 1], base + k + before[t]]
+        many += 2 * len(t)
+        if many > GATHER // 4:
+            held.append(_sum_by(np.concatenate(keys), np.ones(many, dtype=np.int64)))
+            keys, many = [], 0
             size += len(held[-1][0])
             if size > GATHER:
                 held[:] = [merged()]
@@ -260,10 +317,10 @@ def _count_contexts(batches: Iterator[pa.RecordBatch], known: np.ndarray, of: np
                 if size > GATHER // 2:
                     yield from send(*held.pop())
                     size = 0
+    if many:
+        held.append(_sum_by(np.concatenate(keys), np.ones(many, dtype=np.int64)))
     if held:
         yield from send(*merged())
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1)), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["word", "slot", "n"])
 
 
 def _best_classes(word: np.ndarray, slot: np.ndarray, n: np.ndarray, of: np.ndarray, pairs: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -289,51 +346,55 @@ def _best_classes(word: np.ndarray, slot: np.ndarray, n: np.ndarray, of: np.ndar
     return words_, np.where(stay, own, new)
 
 
-def _moves(batches: Iterator[pa.RecordBatch], of: np.ndarray, pairs: np.ndarray, classes: int) -> Iterator[pa.RecordBatch]:
-    """(word, class) of rows sorted by word; a word has at most two rows a class."""
-    def found(rows: list[np.ndarray]) -> pa.RecordBatch:
-        w, c = _best_classes(*rows, of, pairs, classes)
-        return pa.RecordBatch.from_arrays([pa.array(w), pa.array(c)], names=["word", "class"])
+def _moves(batches: Iterator[pa.RecordBatch], of: np.ndarray, pairs: np.ndarray, classes: int, parity: int | None) -> Iterator[pa.RecordBatch]:
+    """(word, class) of rows sorted by block; with a parity, of every other word."""
+    k = len(pairs)
+    table, block = np.zeros(BLOCK * 2 * k, dtype=np.int64), None
+
+    def found() -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(table)
+        word = at // (2 * k) + block * BLOCK
+        if parity is not None:
+            keep = word % 2 == parity
+            at, word = at[keep], word[keep]
+        lo = 0
+        while lo < len(at):
+            hi = int(np.searchsorted(word, word[min(len(at) - 1, lo + 20_000)])) if lo + 20_000 < len(at) else len(at)  # whole words
+            w, c = _best_classes(word[lo:hi], at[lo:hi] % (2 * k), table[at[lo:hi]], of, pairs, classes)
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(c)], names=["word", "class"])
+            lo = hi
 
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
     for b in batches:
-        held = [np.concatenate([x, b.column(i).to_numpy()]) for i, x in enumerate(held)]
-        while len(held[0]):
-            end = int(np.searchsorted(held[0], held[0][min(len(held[0]) - 1, 20_000)]))  # whole words
-            if not end:
-                break
-            yield found([x[:end] for x in held])
-            held = [x[end:] for x in held]
-    if len(held[0]):
-        yield found(held)
+        for own, cells, times in zip(b.column("block").to_pylist(), b.column("cells"), b.column("times"), strict=True):
+            if own != block:
+                if block is not None:
+                    yield from found()
+                table[:], block = 0, own
+            table[np.frombuffer(cells.as_buffer(), dtype="<i4")] += np.frombuffer(times.as_buffer(), dtype="<u4")  # the cells of a row differ
+    if block is not None:
+        yield from found()
 
 
 def _likelihood(pairs: np.ndarray) -> float:
     return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(axis=1)).sum() - _xlogx(pairs.sum(axis=0)).sum())
 
 
-def spread(docs: DataFrame, learn: Column, known: np.ndarray, of: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+def spread(coded: DataFrame, of: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all known words by exchange rounds on Spark, and the class bigrams; words not yet clustered
     have a surface class in ``of``."""
     k = classes + SURFACES
-    rows = docs.where(learn).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    best, context = None, docs.sparkSession.sparkContext
+    best, context = None, coded.sparkSession.sparkContext
     for i in range(SPREAD + 1):
-        shared = context.broadcast((known, of))
-        counts = rows.mapInArrow(lambda it, shared=shared: _count_contexts(it, *shared.value, k), "word long, slot int, n long")
-        counts = stored(counts.groupBy("word", "slot").agg(F.sum("n").alias("n")), "word-contexts")
-        got = counts.where("word = -1").select("slot", "n").toPandas()  # at most k * k rows
-        pairs = np.zeros(k * k)
-        pairs[got["slot"].to_numpy()] = got["n"].to_numpy()
-        pairs = pairs.reshape(k, k)
+        pairs = pair_counts(coded, of, classes).astype(np.float64)
         if i > 1 and _likelihood(pairs) <= _likelihood(best[1]):
             break
         best = of, pairs
         if i == SPREAD:
             break
-        movable = counts.where("word >= 0" if i == 0 else f"word >= 0 and word % 2 = {i % 2}")
-        moves = movable.repartition("word").sortWithinPartitions("word", "slot").mapInArrow(
-            lambda it, shared=shared, pairs=pairs: _moves(it, shared.value[1], pairs, classes), "word long, class long").toPandas()
+        shared = context.broadcast(of)
+        counts = coded.mapInArrow(lambda it, shared=shared: _count_contexts(it, shared.value, k), _CONTEXTS)
+        moves = counts.repartition("block").sortWithinPartitions("block").mapInArrow(
+            lambda it, shared=shared, pairs=pairs, i=i: _moves(it, shared.value, pairs, classes, i % 2 if i else None), "word long, class long").toPandas()
         of = of.copy()
         of[moves["word"].to_numpy()] = moves["class"].to_numpy()
     return best
@@ -345,34 +406,30 @@ def fit(docs: DataFrame, learn: Column) -> tuple[dict, DataFrame]:
     by_surface = {r.surface: (r.c, r.v) for r in counts.groupBy("surface").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()}
     h, c, surface = frequent(counts, TOP)
     words_only = np.flatnonzero(h != END)
-    best = words_only[np.lexsort((h[words_only], -c[words_only]))][:CLUSTERED]
-    known = np.sort(h[best])
-    place = np.searchsorted(h, known)
-    order = np.lexsort((known, -c[place]))  # most frequent first, as the exchange starts from that order
-    rank = np.argsort(order)
-    pairs = pair_counts(docs, learn, known)
-    m = len(known)
-    shuffled = np.concatenate([order, np.arange(m, m + SURFACES)])
-    of = exchange(pairs[np.ix_(shuffled, shuffled)], m)
+    best = words_only[np.lexsort((h[words_only], -c[words_only]))][:CLUSTERED]  # most frequent first, as the exchange starts from that order
+    rows = counts.where((F.col("c") >= MIN_COUNT) & (F.col("h") != int(END.view(np.int64)))).select("h", "c", "surface").toPandas()
+    more = ~np.isin(rows["h"].to_numpy().view(np.uint64), h[best])
+    known = np.concatenate([h[best], rows["h"].to_numpy().view(np.uint64)[more]])
+    order = np.argsort(known)
+    known = known[order]
+    known_c = np.concatenate([c[best], rows["c"].to_numpy()[more]])[order]
+    known_surface = np.concatenate([surface[best], rows["surface"].to_numpy()[more]])[order].astype(np.int64)
+    coded = code_texts(docs, learn, known)
+    m = len(best)
+    seed = np.full(len(known), -1, dtype=np.int64)
+    seed[np.searchsorted(known, h[best])] = np.arange(m)
+    seeded = seed >= 0
+    pairs = pair_counts(coded, np.where(seeded, seed, m + known_surface), m)
+    of = exchange(pairs, m)
     classes = min(CLASSES, m)
-    unit_class = np.concatenate([of[:m][rank], of[m:]]).astype(np.int64)
     k = classes + SURFACES
-    onto = np.zeros((m + SURFACES, k))
-    onto[np.arange(m + SURFACES), unit_class] = 1
-    n = onto.T @ pairs @ onto
-    seeds, unit_class = known, unit_class[:m]
-    rows = counts.where((F.col("c") >= MIN_COUNT) & (F.col("h") != int(END.view(np.int64)))).select("h", "c", "surface").toPandas()
-    more = ~np.isin(rows["h"].to_numpy().view(np.uint64), seeds)
+    unit_class = np.where(seeded, of[:m].take(seed, mode="clip") if m else 0, classes + known_surface).astype(np.int64)
     if more.any():
-        known = np.concatenate([seeds, rows["h"].to_numpy().view(np.uint64)[more]])
-        order = np.argsort(known)
-        known = known[order]
-        known_c = np.concatenate([c[place], rows["c"].to_numpy()[more]])[order]
-        known_surface = np.concatenate([surface[place], rows["surface"].to_numpy()[more]])[order].astype(np.int64)
-        start = np.concatenate([unit_class, classes + rows["surface"].to_numpy()[more]])[order].astype(np.int64)
-        unit_class, n = spread(docs, learn, known, start, classes)
+        unit_class, n = spread(coded, unit_class, classes)
     else:
-        known_c, known_surface = c[place], surface[place]
+        onto = np.zeros((m + SURFACES, k))
+        onto[np.arange(m + SURFACES), of] = 1
+        n = onto.T @ pairs @ onto
     step = np.log10((n + ALPHA) / (n.sum(axis=1, keepdims=True) + ALPHA * k))
     tokens, kinds = np.zeros(k), np.zeros(k)
     for s, (total, v) in by_surface.items():
@@ -389,16 +446,17 @@ def fit(docs: DataFrame, learn: Column) -> tuple[dict, DataFrame]:
 def _score(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
     """A row a text with what the frequent words give (n = 0), and a row for each rarer word of a text."""
     top, k = model["h"], len(model["emit"])
+    index, frequent_ = Index(model["known"]), Index(top)
     for b in batches:
         at = b.column("rid").to_numpy()
         for lo, hi, data, off in chunks(b.column("text")):
             h, surface, first = _tokens(data, off)
             uniq, place, inv = np.unique(h, return_index=True, return_inverse=True)
-            cls = _unit_of(uniq, surface[place], model["known"], model["class"], model["classes"])
+            cls = _unit_of(uniq, surface[place], index, model["class"], model["classes"]).astype(np.int64)
             log, found = np.zeros(len(uniq)), np.zeros(len(uniq), dtype=bool)
             if len(top):
-                t = np.minimum(np.searchsorted(top, uniq), len(top) - 1)
-                found = top[t] == uniq
+                t = frequent_.find(uniq)
+                found = t >= 0
                 log = np.where(found, model["log"][t], 0.0)
             c = cls[inv]
             before = np.empty_like(c)
