@@ -7,14 +7,14 @@ tables, orders get a dense surrogate key, and the fact carries the resolved keys
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profitlens.functions.dates import parse_date
 from profitlens.functions.measures import MONEY
-from profitlens.operators.keys import TAG, dense_surrogate_key, tagged
+from profitlens.operators.keys import TAG, dense_group_key, dense_surrogate_key, tagged
 from profitlens.operators.share import shared
 
 ORDER_NATURAL_KEY = ["Customer ID", "Order Date", "Ship Date", "Ship Mode"]
@@ -76,12 +76,34 @@ def composite_order_id(df: DataFrame, out_col: str = "Order ID") -> DataFrame:
     return df.withColumn(out_col, F.concat_ws("_", part("Order Date"), part("Customer ID"), part("Product ID")))
 
 
-def enrich_raw(raw: DataFrame, product_map: DataFrame, factory_map: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """The notebook enrichment: map product and factory ids, then the row index as Order ID.  ``names`` has the
-    two name columns of ``raw``, where they can be had for less than all of it."""
-    names = raw if names is None else names
-    mapped = map_by_name(raw, product_map, "Product Name", "Product ID", names)
-    mapped = map_by_name(mapped, factory_map, "Factory", "Factory ID", names)
+Lookups = dict[str, Callable[[DataFrame], DataFrame]]
+
+
+def name_lookups(product_map: DataFrame, factory_map: DataFrame, names: DataFrame | None = None) -> Lookups:
+    """The lookups of the load step by the column they read; they add ``Product ID`` and ``Factory ID``."""
+    return {
+        "Product Name": lambda rows: map_by_name(rows, product_map, "Product Name", "Product ID", names),
+        "Factory": lambda rows: map_by_name(rows, factory_map, "Factory", "Factory ID", names),
+    }
+
+
+def with_ids(raw: DataFrame | Callable[[Lookups], DataFrame], product_map: DataFrame, factory_map: DataFrame,
+             names: DataFrame | None = None) -> DataFrame:
+    """``raw`` with ``Product ID`` and ``Factory ID``.  Where the rows are joined from tables that have the names,
+    ``raw`` is a function that applies the lookups to those tables, so that no raw row is moved for a lookup."""
+    if not isinstance(raw, DataFrame):
+        return raw(name_lookups(product_map, factory_map))
+    for lookup in name_lookups(product_map, factory_map, names).values():
+        raw = lookup(raw)
+    return raw
+
+
+def enrich_raw(raw: DataFrame | Callable[[Lookups], DataFrame], product_map: DataFrame, factory_map: DataFrame,
+               names: DataFrame | None = None) -> DataFrame:
+    """The notebook enrichment: map product and factory ids, then the row index as Order ID.  ``raw`` may be a
+    function (see ``with_ids``); ``names`` has the two name columns of ``raw``, where they can be had for less
+    than all of it."""
+    mapped = with_ids(raw, product_map, factory_map, raw if names is None and isinstance(raw, DataFrame) else names)
     return rename_row_index(strip_column_names(mapped))
 
 
@@ -132,37 +154,35 @@ def order_ids(order: DataFrame) -> DataFrame:
 
 
 # -- fact (B5) --------------------------------------------------------------------------------------
-def fact_load(raw: DataFrame, product_map: DataFrame, factory_map: DataFrame,
+def fact_load(raw: DataFrame | Callable[[Lookups], DataFrame], product_map: DataFrame, factory_map: DataFrame,
               keyed_orders: DataFrame | None = None, row_index: str = "Unnamed: 0",
               rows: int | None = None) -> DataFrame:
     """Measures of every raw row with its order, product and factory keys and a dense
     ``Financial Figures ID``.
 
-    Orders are found by a null-safe equi-join on the four natural-key columns (a large-large
-    sort-merge join at scale); the name dictionaries are small lookups.  Ids follow the source's
-    row order (AUTO_INCREMENT numbers rows as they are inserted), with the fact columns as
-    tie-breakers where the row index repeats.  ``raw`` is read several times (orders, names, rows): unless it
-    is the result of ``tagged``, it is stored first."""
-    if TAG not in raw.columns:
-        raw = tagged(raw, "raw")
+    An order's id is the dense rank of its natural key, which ``dense_group_key`` gives the raw rows in one range
+    shuffle; ``keyed_orders``, if they are numbered already, are found by a null-safe equi-join on the four
+    columns instead.  The names are looked up as in ``with_ids``.  Ids follow the source's row order
+    (AUTO_INCREMENT numbers rows as they are inserted), with the fact columns as tie-breakers where the row index
+    repeats.  ``raw`` is read several times (rows, names, numbering): unless it is the result of ``tagged``, it is
+    stored first; where it is a function, with its ids in place of its names."""
+    if not isinstance(raw, DataFrame):
+        raw = mapped = tagged(with_ids(raw, product_map, factory_map), "raw")
+    else:
+        raw = raw if TAG in raw.columns else tagged(raw, "raw")
+        mapped = with_ids(raw, product_map, factory_map, raw)
     rows = raw.count() if rows is None else rows
-    keyed = keyed_orders if keyed_orders is not None else order_keys(raw, rows)
-    cond = [raw[c].eqNullSafe(keyed[c]) for c in ORDER_NATURAL_KEY]
-    with_order = raw.join(keyed, cond, "left").select(raw["*"], keyed["Order ID"])
-    mapped = map_by_name(with_order, product_map, "Product Name", "Product ID", raw)
-    mapped = map_by_name(mapped, factory_map, "Factory", "Factory ID", raw)
+    source = F.col(f"`{row_index}`").alias("_source_row")
+    measures = [F.col("Units").cast("int").alias("Units"), *(F.col(c).cast(MONEY).alias(c) for c in ("Sales", "Cost", "Gross Profit"))]
+    ids = ["Factory ID", "Product ID", TAG]
+    lines = mapped.select(*ORDER_NATURAL_KEY, source, *measures, *ids)
+    if keyed_orders is None:
+        lines = dense_group_key(lines, ORDER_NATURAL_KEY, "Order ID", rows)
+    else:
+        cond = [lines[c].eqNullSafe(keyed_orders[c]) for c in ORDER_NATURAL_KEY]
+        lines = lines.join(keyed_orders, cond, "left").select(lines["*"], keyed_orders["Order ID"])
     cols = ["Units", "Sales", "Cost", "Gross Profit", "Order ID", "Factory ID", "Product ID"]
-    fact = mapped.select(
-        F.col(f"`{row_index}`").alias("_source_row"),
-        F.col("Units").cast("int").alias("Units"),
-        F.col("Sales").cast(MONEY).alias("Sales"),
-        F.col("Cost").cast(MONEY).alias("Cost"),
-        F.col("Gross Profit").cast(MONEY).alias("Gross Profit"),
-        "Order ID",
-        "Factory ID",
-        "Product ID",
-        TAG,
-    )
+    fact = lines.select("_source_row", *cols, TAG)
     return dense_surrogate_key(fact, ["_source_row", *cols], "Financial Figures ID", rows).select(
         "Financial Figures ID", *cols
     )

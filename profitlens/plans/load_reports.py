@@ -21,17 +21,17 @@ DOMAIN_COLUMNS = [
     "Ship Mode", "Country/Region", "Division", "Customer ID",
 ]
 FACT_SOURCE = [
-    "Unnamed: 0", *L.ORDER_NATURAL_KEY, "Product Name", "Factory", "Units", "Sales", "Cost", "Gross Profit",
+    "Unnamed: 0", *L.ORDER_NATURAL_KEY, "Units", "Sales", "Cost", "Gross Profit",
 ]
 
 
 def enriched_raw(s: Star) -> DataFrame:
-    return L.enrich_raw(s.raw, s.product_name_map, s.factory_name_map, s.raw_of("Product Name", "Factory"))
+    return L.enrich_raw(lambda lookups: s.raw_of(lookups=lookups), s.product_name_map, s.factory_name_map)
 
 
 def composite_order_ids(s: Star) -> DataFrame:
-    raw = s.raw_of("Unnamed: 0", "Order Date", "Customer ID", "Product Name")
-    mapped = L.map_by_name(raw, s.product_name_map, "Product Name", "Product ID", s.raw_of("Product Name"))
+    product = lambda rows: L.map_by_name(rows, s.product_name_map, "Product Name", "Product ID")
+    mapped = s.raw_of("Unnamed: 0", "Order Date", "Customer ID", lookups={"Product Name": product})
     return L.composite_order_id(mapped).select("Unnamed: 0", "Order ID")
 
 
@@ -61,7 +61,7 @@ def order_ids(s: Star) -> DataFrame:
 
 
 def fact_load(s: Star) -> DataFrame:
-    return L.fact_load(tagged(s.raw_of(*FACT_SOURCE), "raw"), s.product_name_map, s.factory_name_map)
+    return L.fact_load(lambda lookups: s.raw_of(*FACT_SOURCE, lookups=lookups), s.product_name_map, s.factory_name_map)
 
 
 PK_SOURCE = [
