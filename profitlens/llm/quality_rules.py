@@ -221,15 +221,16 @@ def group_estimates(passing: DataFrame, trial: int = TRIAL, steps: int = STEPS,
     # the start of least determinant (ties: the first) goes on
     first = trials.groupBy(*_GROUP).agg(F.min(F.struct("det", "start")).alias("best")).select(*_GROUP, F.col("best.start").alias("start"))
     best = stored(_same_group(trials, first, keys).drop("start"), "mcd-best")
+    own = [c for c in best.columns if c not in _GROUP]
+    both = lambda df, name: df.select(*_GROUP, F.struct(*own).alias(name))
     for _ in range(steps):
+        # one table a step: each group's estimate, and whether it is a lower one
         step = _estimate(_nearest(_distance(passing, best, _GROUP), _GROUP), _GROUP)
-        old = best.select(*_GROUP, F.col("det").alias("old"))
-        lower = stored(_same_group(step, old, _GROUP).where(F.col("det") < F.col("old") - 1e-9).drop("old"), "mcd-lower")
-        if lower.isEmpty():
+        lower = _same_group(both(best, "old"), both(step, "new"), _GROUP).withColumn("moved", F.col("new.det") < F.col("old.det") - 1e-9)
+        lower = stored(lower.select(*_GROUP, F.when(F.col("moved"), F.col("new")).otherwise(F.col("old")).alias("e"), "moved"), "mcd-best")
+        best = lower.select(*_GROUP, "e.*")
+        if lower.where("moved").isEmpty():
             break
-        same = lower.select(*_GROUP, F.lit(True).alias("moved")).withColumnsRenamed({c: f"_{c}" for c in _GROUP})
-        kept = best.join(same, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _GROUP], "left").where("moved is null").select(*best.columns)
-        best = stored(kept.unionByName(lower), "mcd-best")
     return best
 
 
@@ -243,7 +244,8 @@ def apply_rules(docs: DataFrame) -> DataFrame:
                             F.xxhash64("doc_id", "n_words", "word_chars").alias("seed"))
     passing = vectors.where(~F.col("base_failed"))
     levels = _levels(passing)
-    estimate = group_estimates(_grouped(passing, levels))
+    # the steps read the rows of the groups often: their plans are to be small, as the driver keeps what it knows of each
+    estimate = group_estimates(stored(_grouped(passing, levels), "mcd-rows"))
     none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
     judged = _same_group(passing, levels, ["lang", "source"]).drop("of_lang", "of_all")
     judged = judged.withColumns({"lang": F.when(F.col("level") < 2, F.col("lang")).otherwise(text),
