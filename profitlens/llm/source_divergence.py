@@ -32,10 +32,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from profitlens.llm.common import stored
-from profitlens.llm.slices import cut, filled, sliced
+from profitlens.llm.slices import cut, filled, released, sliced
 
 #: Bytes of text whose chunks are counted at once inside a task.
 SLICE = 1 << 25
+#: Rows in a batch that a task puts out.
+ROWS = 20_000
 SCALE = 1_000_000_000
 TOP_TERMS = 200
 _NOT_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -65,20 +67,29 @@ def _chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         order = np.lexsort((rows, group))  # documents by group, then by key
         rank = np.empty(len(rows), dtype=np.int64)
         rank[order] = np.arange(len(rows))
-        doc = np.repeat(rank, np.diff(first))
+        key = place.astype(np.int64)  # a chunk of a document
+        key *= len(rows)
+        key += np.repeat(rank.astype(np.int32), np.diff(first))
         empty = pc.index(chunks, "").as_py()
         if empty >= 0:
-            doc, place = doc[place != empty], place[place != empty]
-        if not len(place):
+            key = key[place != empty]
+        if not len(key):
             continue
-        key, count = np.unique(place.astype(np.int64) * len(rows) + doc, return_counts=True)  # a chunk of a document
+        place = None
+        key.sort()
+        begin = _runs(key)
+        count = np.diff(begin, append=len(key))
+        key = key[begin]
         code, at = key // len(rows), order[key % len(rows)]
         start = _runs(code * len(langs) + group[at])
-        docs = np.diff(np.concatenate([start, [len(key)]]))
-        g = pa.array(group[at[start]])
-        yield pa.RecordBatch.from_arrays(
-            [langs.take(g), sources.take(g), chunks.take(pa.array(code[start])), pa.array(np.add.reduceat(count, start)), pa.array(docs),
-             pa.array(rows[at[start]]), pa.array(rows[at[start + docs - 1]], mask=docs == 1)], names=_NAMES)
+        n, docs = np.add.reduceat(count, start), np.diff(start, append=len(key))
+        key = count = None
+        for lo in range(0, len(start), ROWS):  # a batch is held by the task's two sides
+            s, d = start[lo: lo + ROWS], docs[lo: lo + ROWS]
+            g = pa.array(group[at[s]])
+            yield pa.RecordBatch.from_arrays(
+                [langs.take(g), sources.take(g), chunks.take(pa.array(code[s])), pa.array(n[lo: lo + ROWS]), pa.array(d),
+                 pa.array(rows[at[s]]), pa.array(rows[at[s + d - 1]], mask=d == 1)], names=_NAMES)
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +133,8 @@ def _named(docs: DataFrame) -> DataFrame:
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term and its occurrences ``count`` there, of the terms in at least 3 documents of the lang."""
     rows = _named(docs).withColumn("row", F.monotonically_increasing_id())
-    chunks = rows.mapInArrow(_chunk_counts, _COUNTS).repartition("chunk").sortWithinPartitions("chunk", "lang", "source")
-    terms = chunks.mapInArrow(_terms, _TERMS).repartition("lang", "term")
+    chunks = rows.mapInArrow(released(_chunk_counts), _COUNTS).repartition("chunk").sortWithinPartitions("chunk", "lang", "source")
+    terms = chunks.mapInArrow(released(_terms), _TERMS).repartition("lang", "term")
     # one row a document while few are known; a row without a document: three or more are
     each = F.when(F.col("docs") >= 3, F.array(F.lit(None).cast("long"))).otherwise(F.array_compact(F.array("lo", "hi")))
     spread = terms.select("lang", "source", "term", "n", F.posexplode(each).alias("pos", "doc"))
