@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
+from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 
-from profitlens.llm import suffix_dedup
+from profitlens.llm import bpe, source_divergence, suffix_dedup
+from profitlens.llm.queries import vocabulary_path
 
 
 def test_suffixes_are_sorted_in_bunches_of_whole_anchors(monkeypatch):
@@ -36,3 +40,30 @@ def test_suffixes_are_sorted_in_bunches_of_whole_anchors(monkeypatch):
     for batch in (1000, 3):
         assert found(10_000, batch) == whole
         assert len(sizes) > 10 and max(sizes) <= 10_000
+
+
+def test_divergence_counts_leave_a_task_in_small_batches():
+    texts = [" ".join(f"w{i}" for i in range(k, 50_000, 2)) + f" w{k} both both" for k in (0, 1)]
+    columns = [pa.array(["en", "en"]), pa.array(["x", "x"]), pa.array(texts), pa.array([5, 3])]
+    batch = pa.RecordBatch.from_arrays(columns, names=["lang", "source", "text", "row"])
+    got = list(source_divergence._chunk_counts(iter([batch])))
+    assert max(b.num_rows for b in got) <= 20_000
+    rows = {r["chunk"]: (r["n"], r["docs"], r["lo"], r["hi"]) for b in got for r in b.to_pylist()}
+    want = {f"w{i}": (1 + (i < 2), 1, 5 - 2 * (i % 2), None) for i in range(50_000)}
+    assert rows == want | {"both": (4, 2, 3, 5)}
+
+
+def test_bpe_digests_hold_a_small_slice_of_a_batch():
+    with open(vocabulary_path(), encoding="utf-8") as f:
+        source = SimpleNamespace(value=f.read())
+    draw = np.random.default_rng(2)
+    words = ["".join(draw.choice(list("etaoinsr"), 6)) for _ in range(3000)]
+    texts = [" ".join(draw.choice(words, 3000)) for _ in range(400)]  # 8 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts)], names=["doc_id", "text"])
+    list(bpe.digest_batches(iter([batch.slice(0, 1)]), source))  # the tables
+    tracemalloc.start()
+    got = [r for b in bpe.digest_batches(iter([batch]), source) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r["doc_id"] for r in got] == list(range(400)) and min(r["n_tokens"] for r in got) > 3000
+    assert peak < 16 << 20
