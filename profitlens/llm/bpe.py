@@ -31,14 +31,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from profitlens.llm.common import small, widened
-from profitlens.llm.slices import Memo, cut, filled, gathered, sliced
+from profitlens.llm.slices import Memo, cut, filled, gathered, released, sliced
 
 #: Fixed value: the pre-tokenisation pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Strings in one generation of a Python worker's memo of pieces (twice as many of chunks), and bytes of text
-#: encoded at once inside a task.
+#: encoded at once inside a task (which takes some 50 times that).
 MEMO = 50_000
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -327,32 +327,34 @@ def encode(docs: DataFrame, source, special: bool = True) -> DataFrame:
     return rows.mapInArrow(run, widened(rows, ids="array<int>")).select("rest.*", "ids")
 
 
+def digest_batches(batches: Iterator[pa.RecordBatch], source, special: bool = True) -> Iterator[pa.RecordBatch]:
+    """Batches of ``doc_id`` and ``text`` to the columns of ``digests``."""
+    bpe = _tables(source, Encoder)
+    for b in sliced(batches, "text", SLICE):
+        values, entry, first = bpe.encode_coded(filled(b.column("text")), special)
+        flat = np.frombuffer(b"".join(values), dtype=np.int32)
+        size = np.array([len(v) // 4 for v in values], dtype=np.int64)
+        texts = pa.array([",".join(map(str, array("i", v))) for v in values], pa.string())
+        stops = np.concatenate([[0], np.cumsum(size)])
+        width = np.diff(np.concatenate([[0], np.cumsum(bpe.lengths[flat])])[stops])  # bytes of each entry
+        data = gathered(np.frombuffer(bpe.decode(flat.astype(np.int64)), dtype=np.uint8), (np.cumsum(width) - width)[entry], width[entry])
+        ends = np.concatenate([[0], np.cumsum(width[entry])])[first].tolist()
+        full = size[entry] > 0
+        starts = np.concatenate([[0], np.cumsum(full)])[first].astype(np.int32)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts), texts.take(pa.array(entry[full]))), ",")
+        ids = [hashlib.sha256(t.as_buffer()).hexdigest() for t in joined]
+        raw = memoryview(data)
+        plain = [hashlib.sha256(bytes(raw[x:y]).decode("utf-8", "replace").encode()).hexdigest() for x, y in zip(ends[:-1], ends[1:], strict=True)]
+        count = np.diff(np.concatenate([[0], np.cumsum(size[entry])])[first])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(count), pa.array(ids, pa.string()), pa.array(plain, pa.string())],
+                                         names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def digests(docs: DataFrame, source, special: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas) and decoded_sha256 (of the decoded text) of
     doc_id and text: encoded, decoded and digested in one pass, entry by entry."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _tables(source, Encoder)
-        for b in sliced(batches, "text", SLICE):
-            values, entry, first = bpe.encode_coded(filled(b.column("text")), special)
-            flat = np.frombuffer(b"".join(values), dtype=np.int32)
-            size = np.array([len(v) // 4 for v in values], dtype=np.int64)
-            texts = pa.array([",".join(map(str, array("i", v))) for v in values], pa.string())
-            stops = np.concatenate([[0], np.cumsum(size)])
-            width = np.diff(np.concatenate([[0], np.cumsum(bpe.lengths[flat])])[stops])  # bytes of each entry
-            data = gathered(np.frombuffer(bpe.decode(flat.astype(np.int64)), dtype=np.uint8), (np.cumsum(width) - width)[entry], width[entry])
-            ends = np.concatenate([[0], np.cumsum(width[entry])])[first].tolist()
-            full = size[entry] > 0
-            starts = np.concatenate([[0], np.cumsum(full)])[first].astype(np.int32)
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts), texts.take(pa.array(entry[full]))), ",")
-            ids = [hashlib.sha256(t.as_buffer()).hexdigest() for t in joined]
-            raw = memoryview(data)
-            plain = [hashlib.sha256(bytes(raw[x:y]).decode("utf-8", "replace").encode()).hexdigest() for x, y in zip(ends[:-1], ends[1:], strict=True)]
-            count = np.diff(np.concatenate([[0], np.cumsum(size[entry])])[first])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(count), pa.array(ids, pa.string()), pa.array(plain, pa.string())],
-                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    run = released(lambda it: digest_batches(it, source, special))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
