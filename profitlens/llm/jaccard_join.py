@@ -248,8 +248,9 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, linked) of the pairs, by the exact intersections."""
-    joined = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    """(a, b, linked) of the pairs, by the exact intersections; only sets that a bitmap of the pairs may hold move."""
+    at = lambda c: maybe_in(sets, pairs.select(F.col(c).alias("sid")), "sid").toDF(c, f"set_{c}")
+    joined = pairs.join(at("a"), "a").join(at("b"), "b")
     return stored(joined.mapInArrow(_verify, "a long, b long, linked boolean"), "verified-pairs")
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from profitlens.llm import jaccard_join
 
 
@@ -54,3 +56,16 @@ def test_large_groups_of_near_copies(spark):
     want = _brute_force(ids, sets)
     assert len(set(want.values())) < len(ids) // 2
     assert got == {k: (len(s), want[k]) for k, s in zip(ids, sets, strict=True)}
+
+
+def test_verification_moves_only_the_sets_of_its_pairs(spark, monkeypatch):
+    one, two, far = (np.arange(k, k + 50, dtype=np.uint64) for k in (0, 2, 1000))
+    table = [(i, s.tobytes()) for i, s in enumerate([one, two, far, *(far + np.uint64(i * 100) for i in range(300))])]
+    sets = spark.createDataFrame(table, "sid long, shingles binary")
+    pairs = spark.createDataFrame([(0, 1), (0, 2)], "a long, b long")
+    plans, keep = [], jaccard_join.stored
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, name: plans.append(df) or keep(df, name))
+    got = {(r["a"], r["b"]): r["linked"] for r in jaccard_join._verified(pairs, sets).collect()}
+    assert got == {(0, 1): True, (0, 2): False}
+    plan = plans[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("bit_or") == 2  # a bitmap for each side of the join
