@@ -10,12 +10,14 @@ hashes), with fewer words the whole sequence as one.  Two sets link when 5 * |in
    positional filter.  A group of at most ``SMALL`` sets gives all its pairs; a larger one gives a star around
    its first set, so that the many members of a group of near copies are not paired with each other.  Shingles
    that the sketch shows to be frequent are salted over several tasks.
-3. Pairs are verified once each: a suffix filter (the sums of absolute differences of ``PARTS`` partition
-   counts of both sets bound their difference from below), then the exact intersection of the two sets.
+3. Pairs are verified once each: the bits in which two parity signatures differ bound the difference of the sets from
+   below.  First signatures of ``PARITY`` bits are compared, then longer ones, ``SPREAD`` bits a shingle and more
+   (short ones say nothing of large sets); what is left is decided by the exact intersection of the two sets.
 4. Links give components.  In groups that were too large or salted, ``STARS`` more rounds pair each set with
    ``HEADS`` heads of other components, which leaves few components in a group of near copies.  The pairs then left
    are those between different components; all of them pass the same filters and are verified, and complete
    the components: no pair of linked texts is lost, and pairs that a component already connects need no look.
+   In a group of more than ``DENSE`` sets the join itself compares the signatures: only pairs that may link are rows.
 
 Defined results: a null or empty text has no shingles and links with nothing; repeated rows and texts with
 one set are linked; a null doc_id is the largest id (a component of such rows alone has a null id); texts are
@@ -33,18 +35,22 @@ from profitlens.llm.common import NULL_ID, chunks, components, keyed, maybe_in,
 
 WORDS = 5
 #: Sums of the frequency sketch.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 #: Sets of a shingle's group that are paired at once.
 SMALL = 8
 #: Members beyond twice the mean bucket for which a frequent shingle gets one more salt.
 SALT_ROWS = 4096
+#: Sets of a group beyond which its pairs between components are compared by their signatures at once.
+DENSE = 64
 #: Rounds of stars before all pairs between components, and the heads that a shingle has in a round.
 STARS = 2
 HEADS = 3
-#: Partitions of the suffix filter.
-PARTS = 64
+#: Bits of the parity signature that each set has, in longs of 64; candidates get longer ones, with bits for
+#: ``SPREAD`` times their shingles.
+PARITY = 1024
+SPREAD = 4
 _BLOCK = 4096
-_SHIFT = np.uint64(64 - 18)
+_SHIFT = np.uint64(64 - 20)
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -77,28 +83,52 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1 if n else 0
 
 
+def parity(s: np.ndarray, bits: int = PARITY) -> np.ndarray:
+    """For each of ``bits`` buckets (a power of 2) whether the set holds an odd number of shingles there, packed.
+    The bits in which two sets differ are at most the shingles in which they do."""
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """The bits in which two signatures differ, the longer one folded to the length of the other."""
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each text (n, sid, sig) and, last, the task's sketch in blocks of counts."""
     names = ["doc_id", "dkey", "tkey", "n", "sid", "sig", "block", "counts"]
-    sketch = np.zeros(BUCKETS, dtype=np.int64)
+    sketch = np.zeros(BUCKETS, dtype=np.int32)
     for b in small(batches):
         sizes, ids, sigs = [], [], []
         for s in shingle_sets(b.column("text")):
             np.add.at(sketch, (s >> _SHIFT).astype(np.int64), 1)
             sizes.append(len(s))
             ids.append(set_id(s) if len(s) else None)
-            sigs.append(np.minimum(np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes())
+            sigs.append(parity(s).view(np.int64))
         n = len(sizes)
         yield pa.RecordBatch.from_arrays(
             [*(b.column(x) for x in names[:3]), pa.array(sizes, pa.int64()),
-             pa.array([None if x is None else int(np.uint64(x).view(np.int64)) for x in ids], pa.int64()), pa.array(sigs, pa.binary()),
-             pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64()))], names=names)
+             pa.array([None if x is None else int(np.uint64(x).view(np.int64)) for x in ids], pa.int64()), pa.array(sigs, pa.list_(pa.int64())),
+             pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32()))], names=names)
     rows = [(i, sketch[i * _BLOCK: (i + 1) * _BLOCK]) for i in range(BUCKETS // _BLOCK)]
     rows = [(i, x) for i, x in rows if x.any()]
     m = len(rows)
     none = pa.nulls(m, pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(m, pa.binary()), pa.array([i for i, _ in rows], pa.int32()),
-                                      pa.array([x.tolist() for _, x in rows], pa.list_(pa.int64()))], names=names)
+    yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(m, pa.list_(pa.int64())), pa.array([i for i, _ in rows], pa.int32()),
+                                      pa.array([x for _, x in rows], pa.list_(pa.int32()))], names=names)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of the blocks of counts with one number; all of a number are in one task."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for i, x in zip(b.column("block").to_pylist(), b.column("counts"), strict=True):
+            x = x.values.to_numpy().astype(np.int64)
+            sums[i] = sums[i] + x if i in sums else x
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.int64()))], names=["block", "counts"])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -201,6 +231,17 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank0 = int(rank[n - held + lead])
 
 
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose long signatures differ in no more than sets may at Jaccard 4 / 5."""
+    for b in small(batches):
+        good = []
+        na, nb = (b.column(c).to_pylist() for c in ("n_a", "n_b"))
+        for n, x, y in zip(map(sum, zip(na, nb, strict=True)), b.column("sig_a"), b.column("sig_b"), strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint8) for v in (x, y))
+            good.append(apart(x, y) <= n - 2 * ((4 * n + 8) // 9))
+        yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in small(batches):
         good = []
@@ -215,40 +256,46 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in small(batches):
-        ids, sets = [], []
+        ids, sets, sizes, sigs = [], [], [], []
         for s in shingle_sets(b.column("text")):
             ids.append(set_id(s) if len(s) else None)
             sets.append(s.tobytes())
+            sizes.append(len(s))
+            sigs.append(parity(s, max(PARITY, 1 << (SPREAD * len(s) - 1).bit_length())).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([None if x is None else int(np.uint64(x).view(np.int64)) for x in ids], pa.int64()),
-                                          pa.array(sets, pa.binary())], names=["sid", "shingles"])
+                                          pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())],
+                                         names=["sid", "shingles", "n", "sig"])
 
 
 def _set_table(sids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(sid, shingles) of the set ids, computed anew from one text of each; nodes: sid, n, sig, dkey, tkey."""
+    """(sid, shingles, n, sig: the long signature) of the set ids, computed anew from one text of each; nodes: sid, n,
+    sig, dkey, tkey."""
     need = stored(sids.join(nodes.select("sid", "dkey", "tkey"), "sid").select("dkey", "tkey"), "candidate-texts")
     texts = maybe_in(docs, need, "dkey", "tkey").select("text")
-    return stored(texts.mapInArrow(_sets, "sid long, shingles binary").where("sid is not null"), "candidate-sets")
+    return stored(texts.mapInArrow(_sets, "sid long, shingles binary, n long, sig binary").where("sid is not null"), "candidate-sets")
+
+
+#: Of the sets a and b (sizes na, nb; signatures ga, gb): the bits that differ are at most what may differ at Jaccard 4 / 5.
+_ALIKE = " + ".join(f"bit_count(ga[{i}] ^ gb[{i}])" for i in range(PARITY // 64)) + " <= na + nb - 2 * ((4 * (na + nb) + 8) div 9)"
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that pass the suffix filter."""
+    """The pairs (a, b) whose signatures are close enough."""
     info = nodes.select("sid", "n", "sig")
     both = pairs.join(info.toDF("a", "na", "ga"), "a").join(info.toDF("b", "nb", "gb"), "b")
+    return stored(both.where(_ALIKE).select("a", "b"), "candidate-pairs")
 
-    def suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            if not x.num_rows:
-                continue
-            ga, gb = (np.frombuffer(b"".join(x.column(c).to_pylist()), dtype=np.uint8).reshape(-1, PARTS).astype(np.int64) for c in ("ga", "gb"))
-            na, nb = (x.column(c).to_numpy() for c in ("na", "nb"))
-            apart = np.abs(ga - gb).sum(axis=1)  # at most the true difference of the sets
-            yield x.select(["a", "b"]).filter(pa.array(apart <= na + nb - 2 * ((4 * (na + nb) + 8) // 9)))
 
-    return stored(both.mapInArrow(suffix_filter, "a long, b long"), "candidate-pairs")
+def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that the long signatures leave, so that few sets move in vain: large sets differ in most of the
+    short signatures' bits, linked or not."""
+    at = lambda c: maybe_in(sets.select("sid", "n", "sig"), pairs.select(F.col(c).alias("sid")), "sid").toDF(c, f"n_{c}", f"sig_{c}")
+    return stored(pairs.join(at("a"), "a").join(at("b"), "b").mapInArrow(_compare, "a long, b long"), "close-pairs")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, linked) of the pairs, by the exact intersections; only sets that a bitmap of the pairs may hold move."""
+    sets = sets.select("sid", "shingles")
     at = lambda c: maybe_in(sets, pairs.select(F.col(c).alias("sid")), "sid").toDF(c, f"set_{c}")
     joined = pairs.join(at("a"), "a").join(at("b"), "b")
     return stored(joined.mapInArrow(_verify, "a long, b long, linked boolean"), "verified-pairs")
@@ -279,11 +326,20 @@ def _star(mixed: DataFrame, k: int) -> DataFrame:
     return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _across(mixed: DataFrame) -> DataFrame:
-    """All pairs of sets of different components that share a shingle and pass the filters."""
-    x, y = mixed.toDF("tok", "a", "na", "ia", "ra"), mixed.toDF("tok", "b", "nb", "ib", "rb")
-    pairs = x.join(y, "tok").where("a < b and ra <> rb and " + _FILTER)
-    return pairs.select("a", "b").distinct()
+def _across(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All pairs of sets of different components that share a shingle and pass the filters.  In the groups of more
+    than ``DENSE`` sets the join itself compares the signatures, and a group is dealt over as many tasks as it has
+    times ``SALT_ROWS`` sets, so that neither rows nor a task grow with the square of a group."""
+    dense = mixed.groupBy("tok").agg(F.count("*").alias("many")).where(F.col("many") > DENSE)
+    few = mixed.join(dense, "tok", "left_anti")
+    x, y = few.toDF("tok", "a", "na", "ia", "ra"), few.toDF("tok", "b", "nb", "ib", "rb")
+    pairs = x.join(y, "tok").where("a < b and ra <> rb and " + _FILTER).select("a", "b")
+    rows = mixed.join(dense, "tok").withColumn("salts", F.expr(f"1 + (many - 1) div {SALT_ROWS}")).drop("many")
+    rows = stored(rows.join(nodes.select("sid", F.col("sig").alias("g")), "sid").select("tok", "sid", "size", "pos", "root", "g", "salts"), "dense-groups")
+    x = rows.withColumn("salts", F.expr("pmod(xxhash64(sid), salts)")).toDF("tok", "a", "na", "ia", "ra", "ga", "salt")
+    y = rows.withColumn("salts", F.explode(F.expr("sequence(0L, salts - 1)"))).toDF("tok", "b", "nb", "ib", "rb", "gb", "salt")
+    more = x.join(y, ["tok", "salt"]).where("a < b and ra <> rb and " + _FILTER + " and " + _ALIKE).select("a", "b")
+    return pairs.unionByName(more).distinct()
 
 
 def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -300,11 +356,11 @@ def similar(docs: DataFrame) -> DataFrame:
     without shingles) and component_id (its smallest doc_id, which components of repeated or null ids may share)
     of each row."""
     rows = keyed(docs).select("doc_id", "dkey", "tkey", "text")
-    profile = stored(rows.mapInArrow(_profile, "doc_id long, dkey long, tkey long, n long, sid long, sig binary, block int, counts array<long>"), "profiles")
-    sums = profile.where("block is not null").select("block", F.posexplode("counts").alias("at", "c")).groupBy("block", "at").agg(F.sum("c").alias("c"))
-    sketch = np.zeros(BUCKETS, dtype=np.int64)
-    got = sums.toPandas()  # at most BUCKETS rows
-    sketch[(got["block"].to_numpy().astype(np.int64) * _BLOCK + got["at"].to_numpy())] = got["c"].to_numpy()
+    profile = stored(rows.mapInArrow(_profile, "doc_id long, dkey long, tkey long, n long, sid long, sig array<long>, block int, counts array<int>"), "profiles")
+    sums = profile.where("block is not null").select("block", "counts").repartition("block").mapInArrow(_summed, "block int, counts array<long>").toArrow()
+    sketch = np.zeros(BUCKETS, dtype=np.int64)  # of at most BUCKETS sums
+    for i, x in zip(sums.column("block").to_pylist(), sums.column("counts"), strict=True):
+        sketch[i * _BLOCK: (i + 1) * _BLOCK] = x.values.to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     texts = profile.where("block is null").select("doc_id", "dkey", "tkey", "n", "sid", "sig")
     least = F.min(F.struct("dkey", "tkey", "n", "sig")).alias("least")
@@ -314,7 +370,8 @@ def similar(docs: DataFrame) -> DataFrame:
     order = ["tok", "salt", "size", "sid"]
     found = stored(prefix.repartition("tok", "salt").sortWithinPartitions(*order).mapInArrow(_pairs, _CANDIDATES), "candidates")
     pairs = _plausible(found.where("b is not null").select("a", "b").distinct(), nodes)
-    checked = _verified(pairs, _set_table(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), nodes, rows))
+    sets = _set_table(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), nodes, rows)
+    checked = _verified(_close(pairs, sets), sets)
     groups = stored(components(_links(checked)), "components")
 
     large = found.where("b is null").select("tok", F.col("a").alias("sid"), "size", "pos").distinct()
@@ -324,8 +381,8 @@ def similar(docs: DataFrame) -> DataFrame:
         # a few rounds of stars, while they link anything, leave few components; then all pairs between those
         for k in range(STARS + 1):
             last = k == STARS
-            new = (_across(mixed) if last else _star(mixed, k)).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-            more = _verified(_plausible(new, nodes), sets)
+            new = (_across(mixed, nodes) if last else _star(mixed, k)).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+            more = _verified(_close(_plausible(new, nodes), sets), sets)
             checked = checked.unionByName(more)
             if last or not _links(more).isEmpty():
                 groups = _joined(groups, _links(more))

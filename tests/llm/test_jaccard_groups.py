@@ -69,3 +69,65 @@ def test_verification_moves_only_the_sets_of_its_pairs(spark, monkeypatch):
     assert got == {(0, 1): True, (0, 2): False}
     plan = plans[0]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("bit_or") == 2  # a bitmap for each side of the join
+
+
+def _counted(spark, monkeypatch, name, texts):
+    """The rows that step ``name`` of the join gives for the texts, call by call, and the result."""
+    seen, keep = [], getattr(jaccard_join, name)
+
+    def run(*args):
+        df = keep(*args)
+        seen.append(df.count())
+        return df
+
+    monkeypatch.setattr(jaccard_join, name, run)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return seen, {r.doc_id: r.component_id for r in jaccard_join.similar(docs).collect()}
+
+
+def test_pairs_of_a_group_that_cannot_link_are_no_rows(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(160):  # three words of its own in each: 15 shingles (16 may differ), and 30 from most others
+        words = list(base)
+        for j in range(3):
+            words[rng.randrange(j * 50 + 4, j * 50 + 46)] = f"x{i}y{j}"
+        texts.append(" ".join(words))
+    texts += [texts[0] + " end", texts[7] + " end"]
+    seen, got = _counted(spark, monkeypatch, "_across", texts)
+    assert got == _brute_force(list(range(len(texts))), _sets(texts))
+    assert len(set(got.values())) > 100
+    assert len(seen) == 1 and seen[0] < 500  # of 13,000 pairs
+
+
+def test_large_sets_that_differ_are_not_moved(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(4000)]
+    texts = []
+    for i in range(5):  # 80 words of its own in each: they link with the base, but not with each other
+        words = list(base)
+        for at in rng.sample(range(4000), 80):
+            words[at] = f"x{i}y{at}"
+        texts.append(" ".join(words))
+    texts.append(" ".join([*base, "end"]))
+    texts.append(" ".join([*base, "end", "more"]))
+    moved, keep = [], jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda pairs, sets: moved.append(pairs.count()) or keep(pairs, sets))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar(docs).collect()}
+    want = _brute_force(list(range(len(texts))), _sets(texts))
+    assert got == want
+    links = sum(5 * len(x & y) >= 4 * len(x | y) for i, x in enumerate(_sets(texts)) for y in _sets(texts)[:i])
+    assert sum(moved) <= links + 2
+
+
+def test_signatures_never_differ_in_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    for n, m in ((10, 30), (200, 3000), (3000, 3100)):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: n // 2], rng.integers(0, 1 << 63, m - n // 2, dtype=np.uint64)]))
+        far = len(np.setxor1d(x, y))
+        for a, b in ((1024, 1024), (1024, 16384), (16384, 16384)):
+            d = jaccard_join.apart(jaccard_join.parity(x, a), jaccard_join.parity(y, b))
+            assert 0 < d <= far and (far - d) % 2 == 0
