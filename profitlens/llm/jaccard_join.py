@@ -328,8 +328,8 @@ def _star(mixed: DataFrame, k: int) -> DataFrame:
 
 def _across(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
     """All pairs of sets of different components that share a shingle and pass the filters.  In the groups of more
-    than ``DENSE`` sets the join itself compares the signatures, and a group is dealt over as many tasks as it has
-    times ``SALT_ROWS`` sets, so that neither rows nor a task grow with the square of a group."""
+    than ``DENSE`` sets the join itself compares the signatures, so that its rows are pairs that may link.  It still
+    compares all sets of a group with each other, dealt over as many keys as the group has times ``SALT_ROWS`` sets."""
     dense = mixed.groupBy("tok").agg(F.count("*").alias("many")).where(F.col("many") > DENSE)
     few = mixed.join(dense, "tok", "left_anti")
     x, y = few.toDF("tok", "a", "na", "ia", "ra"), few.toDF("tok", "b", "nb", "ib", "rb")
