@@ -131,3 +131,17 @@ def test_signatures_never_differ_in_more_than_the_sets():
         for a, b in ((1024, 1024), (1024, 16384), (16384, 16384)):
             d = jaccard_join.apart(jaccard_join.parity(x, a), jaccard_join.parity(y, b))
             assert 0 < d <= far and (far - d) % 2 == 0
+
+
+def test_a_group_dealt_over_many_keys_gives_the_same_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    shared = rng.integers(0, 1 << 63, 90, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, 2 + i % 20, dtype=np.uint64)])) for i in range(150)]
+    nodes = spark.createDataFrame([(i, jaccard_join.parity(s).view(np.int64).tolist()) for i, s in enumerate(sets)], "sid long, sig array<long>")
+    mixed = spark.createDataFrame([(7, i, len(s), 0, i // 2) for i, s in enumerate(sets)], "tok long, sid long, size int, pos int, root long")
+    want = {tuple(r) for r in jaccard_join._across(mixed, nodes).collect()}
+    monkeypatch.setattr(jaccard_join, "SALT_ROWS", 20)
+    got = [tuple(r) for r in jaccard_join._across(mixed, nodes).collect()]
+    links = {(a, b) for b in range(150) for a in range(b) if a // 2 != b // 2
+             and 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))}
+    assert sorted(got) == sorted(want) and links and links <= want
