@@ -112,18 +112,29 @@ def fit(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE) -> dict
         for b in small(batches):
             at = 0
             for x in _counts(b.column("text")):
+                cells = [np.flatnonzero(r) for r in x]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(at, len(x)), b.column("quality").slice(at, len(x)),
-                     pa.array([r.astype("<u2").tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "counts"])
+                     pa.array([c.astype("<u2").tobytes() for c in cells], pa.binary()),
+                     pa.array([r[c].astype("<u2").tobytes() for r, c in zip(x, cells, strict=True)], pa.binary())],
+                    names=["doc_id", "quality", "cells", "counts"])
                 at += len(x)
 
-    got = sorted(texts.mapInArrow(featurise, "doc_id long, quality int, counts binary").collect())  # at most `sample` rows
-    if not got:
+    got = texts.mapInArrow(featurise, "doc_id long, quality int, cells binary, counts binary").toArrow()  # at most `sample` rows
+    if not got.num_rows:
         return None
-    x = np.stack([np.frombuffer(r.counts, dtype="<u2") for r in got]).astype(np.float32)
-    y = np.array([float(r.quality) for r in got], dtype=np.float32)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 0.1
-    z = _weighted(x, idf)
+    got = got.sort_by("doc_id").combine_chunks()
+    y = got.column("quality").to_numpy().astype(np.float32)
+    seen = np.zeros(DIMS, dtype=np.int64)  # documents with a term
+    for r in got.column("cells"):
+        seen[np.frombuffer(r.as_buffer(), dtype="<u2")] += 1
+    idf = np.log((1 + len(y)) / (1 + seen)).astype(np.float32) + 0.1
+    z = np.empty((len(y), DIMS), dtype=np.float32)  # the one array of this size: the weights are made in blocks of rows
+    for at in range(0, len(y), _BLOCK):
+        x = np.zeros((min(_BLOCK, len(y) - at), DIMS), dtype=np.float32)
+        for row, c, n in zip(x, *(got.column(name).slice(at, _BLOCK) for name in ("cells", "counts")), strict=True):
+            row[np.frombuffer(c.as_buffer(), dtype="<u2")] = np.frombuffer(n.as_buffer(), dtype="<u2")
+        z[at: at + _BLOCK] = _weighted(x, idf)
     top = _axes(z)
     return {"idf": idf, "axes": top, "vectors": _unit(z @ top), "labels": y}
 
