@@ -231,6 +231,10 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank0 = int(rank[n - held + lead])
 
 
+#: A pair, with the sizes of its sets and one text of each (dkey, tkey).
+_PAIR = ["a", "b", "n_a", "n_b", "d_a", "t_a", "d_b", "t_b"]
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose long signatures differ in no more than sets may at Jaccard 4 / 5."""
     for b in small(batches):
@@ -239,13 +243,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, x, y in zip(map(sum, zip(na, nb, strict=True)), b.column("sig_a"), b.column("sig_b"), strict=True):
             x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint8) for v in (x, y))
             good.append(apart(x, y) <= n - 2 * ((4 * n + 8) // 9))
-        yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        yield b.select(_PAIR).filter(pa.array(good, pa.bool_()))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in small(batches):
         good = []
-        for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
+        for x, y in zip(b.column("shingles_a"), b.column("shingles_b"), strict=True):
             x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
             both = np.concatenate([x, y])
             both.sort(kind="stable")  # two sorted runs
@@ -254,25 +258,45 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(good, pa.bool_())], names=["a", "b", "linked"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_rows(batches: Iterator[pa.RecordBatch], name: str, packed) -> Iterator[pa.RecordBatch]:
+    """(sid, dkey, tkey, ``packed`` of the set) of texts that have shingles; a row that a task meets again is left out."""
+    seen: set[tuple[int, int]] = set()
     for b in small(batches):
-        ids, sets, sizes, sigs = [], [], [], []
-        for s in shingle_sets(b.column("text")):
-            ids.append(set_id(s) if len(s) else None)
-            sets.append(s.tobytes())
-            sizes.append(len(s))
-            sigs.append(parity(s, max(PARITY, 1 << (SPREAD * len(s) - 1).bit_length())).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([None if x is None else int(np.uint64(x).view(np.int64)) for x in ids], pa.int64()),
-                                          pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())],
-                                         names=["sid", "shingles", "n", "sig"])
+        out = []
+        for d, t, s in zip(b.column("dkey").to_pylist(), b.column("tkey").to_pylist(), shingle_sets(b.column("text")), strict=True):
+            if len(s) and (d, t) not in seen:
+                seen.add((d, t))
+                out.append((int(set_id(s).view(np.int64)), d, t, packed(s)))
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*[pa.int64()] * 3, pa.binary()], strict=True)], names=["sid", "dkey", "tkey", name])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _set_rows(batches, "shingles", np.ndarray.tobytes)
 
 
-def _set_table(sids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(sid, shingles, n, sig: the long signature) of the set ids, computed anew from one text of each; nodes: sid, n,
-    sig, dkey, tkey."""
-    need = stored(sids.join(nodes.select("sid", "dkey", "tkey"), "sid").select("dkey", "tkey"), "candidate-texts")
-    texts = maybe_in(docs, need, "dkey", "tkey").select("text")
-    return stored(texts.mapInArrow(_sets, "sid long, shingles binary, n long, sig binary").where("sid is not null"), "candidate-sets")
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _set_rows(batches, "sig", lambda s: parity(s, max(PARITY, 1 << (SPREAD * len(s) - 1).bit_length())).tobytes())
+
+
+def _texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """One text of each set of the pairs, and a few others: a bitmap finds them."""
+    need = pairs.select(F.explode(F.expr("array(struct(d_a dkey, t_a tkey), struct(d_b dkey, t_b tkey))")).alias("x")).select("x.*")
+    return maybe_in(docs, need, "dkey", "tkey").select("dkey", "tkey", "text")
+
+
+def _at(sets: DataFrame, pairs: DataFrame, c: str, name: str) -> DataFrame:
+    """What ``sets`` has in ``name``, as ``name``_``c``, by the columns of side ``c`` of the pairs: by the set's id and, if it has
+    them, the keys of its text, as copies of that text may have come too.  Only sets that a bitmap of the pairs may hold move."""
+    keys = {k: v for k, v in (("sid", c), ("dkey", f"d_{c}"), ("tkey", f"t_{c}")) if k in sets.columns}
+    need = pairs.select(*(F.col(v).alias(k) for k, v in keys.items()))
+    return maybe_in(sets, need, *keys).withColumnsRenamed(keys | {name: f"{name}_{c}"}).select(*keys.values(), f"{name}_{c}")
+
+
+def _with(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """The pairs with what ``sets`` has of either side."""
+    a, b = (_at(sets, pairs, c, name) for c in "ab")
+    return pairs.join(a, a.columns[:-1]).join(b, b.columns[:-1])
 
 
 #: Of the sets a and b (sizes na, nb; signatures ga, gb): the bits that differ are at most what may differ at Jaccard 4 / 5.
@@ -280,27 +304,35 @@ _ALIKE = " + ".join(f"bit_count(ga[{i}] ^ gb[{i}])" for i in range(PARITY // 64)
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures are close enough."""
-    info = nodes.select("sid", "n", "sig")
-    both = pairs.join(info.toDF("a", "na", "ga"), "a").join(info.toDF("b", "nb", "gb"), "b")
-    return stored(both.where(_ALIKE).select("a", "b"), "candidate-pairs")
+    """The pairs (a, b) whose signatures are close enough, as ``_PAIR``."""
+    info = nodes.select("sid", "n", "sig", "dkey", "tkey")
+    both = pairs.join(info.toDF("a", "na", "ga", "d_a", "t_a"), "a").join(info.toDF("b", "nb", "gb", "d_b", "t_b"), "b")
+    return stored(both.where(_ALIKE).withColumnsRenamed({"na": "n_a", "nb": "n_b"}).select(_PAIR), "candidate-pairs")
 
 
-def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _close(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs that the long signatures leave, so that few sets move in vain: large sets differ in most of the
-    short signatures' bits, linked or not."""
-    at = lambda c: maybe_in(sets.select("sid", "n", "sig"), pairs.select(F.col(c).alias("sid")), "sid").toDF(c, f"n_{c}", f"sig_{c}")
-    return stored(pairs.join(at("a"), "a").join(at("b"), "b").mapInArrow(_compare, "a long, b long"), "close-pairs")
+    short signatures' bits, linked or not.  If one set is small, the long signatures say what the short ones did."""
+    large = F.least("n_a", "n_b") * SPREAD > PARITY
+    far = pairs.where(large)
+    sigs = stored(_texts(far, docs).mapInArrow(_signatures, "sid long, dkey long, tkey long, sig binary"), "candidate-signatures")
+    close = _with(far, sigs, "sig").mapInArrow(_compare, ", ".join(f"{c} long" for c in _PAIR))
+    return pairs.where(~large).unionByName(stored(close, "close-pairs"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, linked) of the pairs, by the exact intersections; only sets that a bitmap of the pairs may hold move."""
-    sets = sets.select("sid", "shingles")
-    at = lambda c: maybe_in(sets, pairs.select(F.col(c).alias("sid")), "sid").toDF(c, f"set_{c}")
-    joined = pairs.join(at("a"), "a").join(at("b"), "b")
+    """(a, b, linked) of the pairs, by the exact intersections."""
+    joined = _with(pairs, sets, "shingles").select("a", "b", "shingles_a", "shingles_b")
     return stored(joined.mapInArrow(_verify, "a long, b long, linked boolean"), "verified-pairs")
 
 
+def _checked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, linked) of those of the pairs (a, b) that may link by their signatures.  Only their sets are computed
+    anew, from one text of each: the sets of all members of large groups would be most of the corpus."""
+    pairs = _close(_plausible(pairs, nodes), docs)
+    return _verified(pairs, stored(_texts(pairs, docs).mapInArrow(_sets, "sid long, dkey long, tkey long, shingles binary"), "candidate-sets"))
+
+
 def _links(pairs: DataFrame) -> DataFrame:
     return pairs.where("linked").select("a", "b")
 
@@ -369,20 +401,17 @@ def similar(docs: DataFrame) -> DataFrame:
     prefix = rows.select("text").mapInArrow(lambda it: _prefixes(it, shared.value), "tok long, salt int, sid long, size int, pos int")
     order = ["tok", "salt", "size", "sid"]
     found = stored(prefix.repartition("tok", "salt").sortWithinPartitions(*order).mapInArrow(_pairs, _CANDIDATES), "candidates")
-    pairs = _plausible(found.where("b is not null").select("a", "b").distinct(), nodes)
-    sets = _set_table(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), nodes, rows)
-    checked = _verified(_close(pairs, sets), sets)
+    checked = _checked(found.where("b is not null").select("a", "b").distinct(), nodes, rows)
     groups = stored(components(_links(checked)), "components")
 
     large = found.where("b is null").select("tok", F.col("a").alias("sid"), "size", "pos").distinct()
     mixed = _groups(large, groups)
     if not mixed.isEmpty():
-        sets = _set_table(mixed.select("sid").distinct(), nodes, rows)
         # a few rounds of stars, while they link anything, leave few components; then all pairs between those
         for k in range(STARS + 1):
             last = k == STARS
             new = (_across(mixed, nodes) if last else _star(mixed, k)).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-            more = _verified(_close(_plausible(new, nodes), sets), sets)
+            more = _checked(new, nodes, rows)
             checked = checked.unionByName(more)
             if last or not _links(more).isEmpty():
                 groups = _joined(groups, _links(more))

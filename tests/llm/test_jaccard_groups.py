@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from profitlens.llm import jaccard_join
 
@@ -145,3 +146,42 @@ def test_a_group_dealt_over_many_keys_gives_the_same_pairs(spark, monkeypatch):
     links = {(a, b) for b in range(150) for a in range(b) if a // 2 != b // 2
              and 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))}
     assert sorted(got) == sorted(want) and links and links <= want
+
+
+def test_only_the_sets_of_pairs_that_may_link_are_stored(spark, monkeypatch):
+    rng = random.Random(7)
+    passage = " ".join(f"p{i}" for i in range(44))  # 40 shingles of 60 texts; 10 more are a text's own, and no two link
+    texts = [passage + "".join(f" w{rng.randrange(10**6)}" for _ in range(10)) for _ in range(60)]
+    base = [f"v{i}" for i in range(60)]
+    texts += [" ".join(base), " ".join([*base, "end"])]
+    rows, keep = {}, jaccard_join.stored
+
+    def run(df, name):
+        out = keep(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", run)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar(docs).collect()}
+    assert got == _brute_force(list(range(len(texts))), _sets(texts))
+    assert rows["mixed-groups"] >= 60
+    assert rows["candidate-sets"] < 10
+
+
+def test_copies_of_a_text_do_not_multiply_its_pairs(spark, monkeypatch):
+    base = [f"v{i}" for i in range(60)]
+    texts = [" ".join(base)] * 40 + [" ".join([*base, "end"])] * 40
+    monkeypatch.setattr(jaccard_join, "maybe_in", lambda rows, keys, *names: rows)  # as full bitmaps: all rows come
+    seen, got = _counted(spark, monkeypatch, "_verified", texts)
+    assert set(got.values()) == {0}
+    assert seen[0] == 1  # one pair of sets, of 1600 pairs of texts
+
+
+def test_a_repeated_row_is_one_text_of_its_pairs():
+    texts = [" ".join(f"v{i}" for i in range(n)) for n in (30, 40)]
+    columns = [pa.array([1, 2] * 50), pa.array([3, 4] * 50), pa.array(texts * 50)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["dkey", "tkey", "text"])
+    for find in (jaccard_join._sets, jaccard_join._signatures):
+        got = [r for b in find(iter([batch.slice(0, 60), batch.slice(60)])) for r in b.to_pylist()]
+        assert [(r["dkey"], r["tkey"]) for r in got] == [(1, 3), (2, 4)]
