@@ -12,7 +12,8 @@ at the end, are encoded and aligned whole.
 How often an id pair is linked in the corpus is counted from slices: a slice keeps its documents' chunks, its
 chunks' links as places in its list of distinct pairs, and how often each pair is linked in it.  Only the
 lists are exploded and summed; the counts are joined back to the lists, one row a pair and slice however hot
-the pair, and each slice adds them up for its documents.  A slice's list is bounded by the slice.
+the pair, and each slice adds them up for its documents.  A slice's list is bounded by the slice.  Slices are stored
+and shuffled as rows, so their numbers are packed and a slice is small: executors hold several such rows at once.
 
 Defined results: a text that is null, empty, or not given back byte by byte by B's pieces has no tokens (zeros
 and ''); its id stays.  Strings of special tokens are plain text.  A repeated row counts again; null ids are passed
@@ -24,6 +25,7 @@ import hashlib
 import os
 import re
 import struct
+import zlib
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -36,10 +38,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from profitlens.llm.common import small, stored
-from profitlens.llm.slices import Memo, cut, filled, gathered, sliced
+from profitlens.llm.slices import Memo, cut, filled, gathered, released, sliced
 
 #: Bytes of text aligned at once inside a task, and chunks in one generation of a worker's memo.
-SLICE = 1 << 22
+SLICE = 1 << 21
 MEMO = 100_000
 
 _SPACE = "▁"
@@ -202,7 +204,17 @@ def vocabularies(spark: SparkSession, a_path: str, b_path: str):
 
 
 _SLICES = ("slice long, doc_id array<long>, counts array<array<long>>, sha array<string>, first array<int>, place binary, "
-           "begin array<int>, link binary, pair array<long>, times array<long>")
+           "many binary, link binary, pair array<long>, times array<long>")
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers from 0 to 2**32 - 1: their lowest bytes, then the next ones and so on, compressed."""
+    return zlib.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
 def _sums(values: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -221,15 +233,15 @@ def _slice(number: int, ids: pa.Array, aligner: Aligner, texts: pa.Array) -> pa.
         first = np.concatenate([[0], np.cumsum(size)])
     # unpack: counts, pairs and groups of every chunk
     nothing = _HEAD.pack(0, 0, 0, 0)
-    packed = np.frombuffer(b"".join([r or nothing for r in results]), dtype=np.uint8)
+    joint = np.frombuffer(b"".join([r or nothing for r in results]), dtype=np.uint8)
     width = np.maximum(width, _HEAD.size)
     at = np.cumsum(width) - width
-    head = gathered(packed, at, np.full(len(at), _HEAD.size)).view("<i4").reshape(-1, 4).astype(np.int64)
+    head = gathered(joint, at, np.full(len(at), _HEAD.size)).view("<i4").reshape(-1, 4).astype(np.int64)
     counts = [_sums(np.ascontiguousarray(head[:, k]), place, first) for k in range(4)]
     many = head[:, 3]
-    pairs = gathered(packed, at + _HEAD.size, 8 * many).view("<i8")
+    pairs = gathered(joint, at + _HEAD.size, 8 * many).view("<i8")
     texts_at = at + _HEAD.size + 8 * many
-    data = gathered(packed, texts_at, at + width - texts_at)
+    data = gathered(joint, texts_at, at + width - texts_at)
     ends = np.concatenate([[0], np.cumsum(at + width - texts_at)]).astype(np.int32)
     strings = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(data)).take(pa.array(place))
     joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), strings), ";")
@@ -237,10 +249,9 @@ def _slice(number: int, ids: pa.Array, aligner: Aligner, texts: pa.Array) -> pa.
     distinct, link = np.unique(pairs, return_inverse=True)
     used = np.bincount(place, minlength=len(results))
     times = np.bincount(link, weights=np.repeat(used, many), minlength=len(distinct)).astype(np.int64)  # exact below 2**53
-    begin = np.concatenate([[0], np.cumsum(many)])
     lists = [("doc_id", ids.to_pylist(), pa.list_(pa.int64())), ("counts", [c.tolist() for c in counts], pa.list_(pa.list_(pa.int64()))),
-             ("sha", sha, pa.list_(pa.string())), ("first", first.astype(np.int32), pa.list_(pa.int32())), ("place", place.astype("<i4").tobytes(), pa.binary()),
-             ("begin", begin.astype(np.int32), pa.list_(pa.int32())), ("link", link.astype("<i4").tobytes(), pa.binary()),
+             ("sha", sha, pa.list_(pa.string())), ("first", first.astype(np.int32), pa.list_(pa.int32())), ("place", packed(place), pa.binary()),
+             ("many", packed(many), pa.binary()), ("link", packed(link), pa.binary()),
              ("pair", distinct, pa.list_(pa.int64())), ("times", times, pa.list_(pa.int64()))]
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([v], t) for _, v, t in lists)], names=["slice", *(n for n, _, _ in lists)])
 
@@ -249,11 +260,13 @@ _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _WORKER.clear()  # the tokenizers, if this worker had them, are done
     for b in small(batches, 1):
         number = lambda c: b.column(c).flatten().to_numpy(zero_copy_only=False)
-        bytes_ = lambda c: np.frombuffer(b.column(c)[0].as_py(), dtype="<i4")
+        places = lambda c: unpacked(b.column(c)[0].as_py())
         order = np.argsort(number("known"))  # the same pairs as the slice's, which are sorted
-        first, place, begin, link = number("first"), bytes_("place"), number("begin"), bytes_("link")
+        first, place, link = number("first"), places("place"), places("link")
+        begin = np.concatenate([[0], np.cumsum(places("many"))])
         sums = []
         for values in (number("best"), number("total")):
             run = np.concatenate([[0], np.cumsum(values[order].astype(np.int64)[link])])
@@ -274,7 +287,7 @@ def align(docs: DataFrame, source) -> DataFrame:
             number += 1
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    slices = stored(texts.mapInArrow(run, _SLICES), "token-slices")
+    slices = stored(texts.mapInArrow(released(run), _SLICES), "token-slices")
     listed = slices.select("slice", F.explode(F.arrays_zip("pair", "times")).alias("x")).select("slice", "x.pair", "x.times")
     totals = listed.groupBy("pair").agg(F.sum("times").alias("total")).withColumn("b", F.expr(f"pair & {(1 << _BITS) - 1}"))
     totals = stored(totals, "token-pairs")
@@ -282,5 +295,5 @@ def align(docs: DataFrame, source) -> DataFrame:
     ranked = totals.join(F.broadcast(most), "b").select("pair", "total", (F.col("total") == F.col("most")).cast("long").alias("best"))
     back = listed.select("slice", "pair").join(ranked, "pair").groupBy("slice").agg(F.collect_list(F.struct("pair", "total", "best")).alias("y"))
     rows = slices.join(back, "slice", "left").select(
-        "doc_id", "counts", "sha", "first", "place", "begin", "link", F.col("y.pair").alias("known"), F.col("y.total").alias("total"), F.col("y.best").alias("best"))
-    return rows.mapInArrow(_counted, _RESULT)
+        "doc_id", "counts", "sha", "first", "place", "many", "link", F.col("y.pair").alias("known"), F.col("y.total").alias("total"), F.col("y.best").alias("best"))
+    return rows.mapInArrow(released(_counted), _RESULT)

@@ -9,8 +9,9 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 
-from profitlens.llm import bpe, source_divergence, suffix_dedup
+from profitlens.llm import bpe, source_divergence, suffix_dedup, token_align
 from profitlens.llm.queries import vocabulary_path
+from profitlens.llm.slices import sliced
 
 
 def test_suffixes_are_sorted_in_bunches_of_whole_anchors(monkeypatch):
@@ -67,3 +68,22 @@ def test_bpe_digests_hold_a_small_slice_of_a_batch():
     tracemalloc.stop()
     assert [r["doc_id"] for r in got] == list(range(400)) and min(r["n_tokens"] for r in got) > 3000
     assert peak < 16 << 20
+
+
+def test_slices_of_aligned_tokens_are_small_rows():
+    with open(vocabulary_path(), encoding="utf-8") as a, open(vocabulary_path("piece_bpe_32k.model"), "rb") as b:
+        aligner = token_align.Aligner(a.read(), b.read())
+    draw = np.random.default_rng(2)
+    words = ["".join(draw.choice(list("etaoinsr"), 5)) for _ in range(20_000)]
+    texts = [" ".join(draw.choice(words, 3000)) for _ in range(400)]  # 7 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts)], names=["doc_id", "text"])
+    rows = [token_align._slice(i, b.column("doc_id"), aligner, b.column("text")) for i, b in enumerate(sliced(iter([batch]), "text", token_align.SLICE))]
+    assert sum(len(r.column("doc_id")[0]) for r in rows) == 400
+    assert max(r.nbytes for r in rows) < 2 << 20  # such rows are stored, shuffled and sorted
+    assert sum(r.nbytes for r in rows) < batch.nbytes
+
+
+def test_packed_numbers_are_given_back():
+    for values in ([], [0], [5, 0, 255, 256, 70_000, 2**32 - 1]):
+        got = token_align.unpacked(token_align.packed(np.array(values, dtype=np.int64)))
+        assert got.tolist() == values
