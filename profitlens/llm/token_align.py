@@ -42,7 +42,7 @@ from profitlens.llm.slices import Memo, cut, filled, gathered, released, sliced
 
 #: Bytes of text aligned at once inside a task, and chunks in one generation of a worker's memo.
 SLICE = 1 << 21
-MEMO = 100_000
+MEMO = 200_000
 
 _SPACE = "▁"
 _WHOLE = re.compile(r"\s | $")  # texts whose chunks do not stand alone
